@@ -67,18 +67,21 @@ def running_counts(df: DataFrame, value: str, family: Sequence[str] = (),
     )
 
 
-def average_rank(df: DataFrame, value: str, family: Sequence[str], out: str) -> DataFrame:
-    """Adds the tie-averaged rank of ``value`` inside its family (null stays null)."""
+def average_rank(df: DataFrame, value: str | Sequence[str], family: Sequence[str],
+                 out: str | Sequence[str]) -> DataFrame:
+    """Adds the tie-averaged rank of each value inside its family (null stays null)."""
     df, fam = _family(df, family)
-    ranks = running_counts(df, value, fam).select(
-        *fam, value, (F.col("n_upto") - (F.col("n") - 1) / 2.0).alias(out))
-    return df.join(ranks, [*fam, value], "left").drop(ONE_FAMILY)
+    result = df
+    pairs = [(value, out)] if isinstance(value, str) else list(zip(value, out))
+    for col, name in pairs:
+        ranks = running_counts(df, col, fam).select(
+            *fam, col, (F.col("n_upto") - (F.col("n") - 1) / 2.0).alias(name))
+        result = result.join(ranks, [*fam, col], "left")
+    return result.drop(ONE_FAMILY)
 
 
-def bh_fdr(df: DataFrame, p: str, family: Sequence[str] = (), out: str = "fdr") -> DataFrame:
-    """Benjamini-Hochberg over each family; non-finite p stays null and is not counted."""
-    df, fam = _family(df, family)
-    df = df.withColumn("__p", F.when(~F.isnan(p) & F.col(p).isNotNull(), F.col(p).cast("double")))
+def _bh_table(df: DataFrame, fam: Sequence[str], out: str) -> DataFrame:
+    """Adjusted value per family and distinct p."""
     steps = running_counts(df, "__p", fam).withColumn(
         "__raw", F.col("__p") * F.col("n_total") / F.col("n_upto"))
     after = Window.partitionBy(*fam).orderBy(F.desc("__bucket")).rowsBetween(
@@ -89,12 +92,26 @@ def bh_fdr(df: DataFrame, p: str, family: Sequence[str] = (), out: str = "fdr")
     )
     inside = Window.partitionBy(*fam, "__bucket").orderBy(F.desc("__p")).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
-    q = (
+    return (
         steps.withColumn("__here", F.min("__raw").over(inside))
         .join(later, [*fam, "__bucket"])
         .select(*fam, "__p", F.least(F.lit(1.0), "__here", "__later").alias(out))
     )
-    return df.join(q, [*fam, "__p"], "left").drop("__p", ONE_FAMILY)
+
+
+def bh_fdr(df: DataFrame, p: str, outputs: dict[str, Sequence[str]] | None = None) -> DataFrame:
+    """Benjamini-Hochberg; ``outputs`` maps a new column to its family (none: all rows).
+
+    Non-finite p stays null and is not counted. All families are worked out from the input
+    itself, not from each other's results.
+    """
+    base = df.withColumn(ONE_FAMILY, F.lit(0)).withColumn(
+        "__p", F.when(~F.isnan(p) & F.col(p).isNotNull(), F.col(p).cast("double")))
+    result = base
+    for out, family in (outputs or {"fdr": ()}).items():
+        fam = list(family) or [ONE_FAMILY]
+        result = result.join(_bh_table(base.select(*fam, "__p"), fam, out), [*fam, "__p"], "left")
+    return result.drop("__p", ONE_FAMILY)
 
 
 def number_with_ties(df: DataFrame, value: str, family: Sequence[str], tie: str, out: str):

@@ -17,14 +17,17 @@ from cohortroll.functions.scalar import age_bin, age_bin_order
 from cohortroll.operators.joins import structural_zero_grid
 
 
-def fold(df: DataFrame, keys: Sequence[str], value: str, n: str = "n") -> DataFrame:
-    return df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias(n))
+def fold(df: DataFrame, keys: Sequence[str], *values: str, weight: str | None = None,
+         n: str = "n") -> DataFrame:
+    """Distinct value combinations with their counts (or summed ``weight``)."""
+    size = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    return df.groupBy(*keys, *values).agg(size.alias(n))
 
 
 def group_mode(df: DataFrame, keys: Sequence[str], value: str, out: str | None = None,
-               empty: str | None = "NA") -> DataFrame:
+               empty: str | None = "NA", weight: str | None = None) -> DataFrame:
     """Most frequent non-null value, the smallest on ties; ``empty`` when there is none."""
-    counts = fold(df, keys, value)
+    counts = fold(df, keys, value, weight=weight)
     has = F.col(value).isNotNull()
     best = F.min(F.when(has, F.struct((-F.col("n")).alias("k"), F.col(value).alias("v"))))
     picked = best["v"]
@@ -33,9 +36,10 @@ def group_mode(df: DataFrame, keys: Sequence[str], value: str, out: str | None =
     return counts.groupBy(*keys).agg(picked.alias(out or value))
 
 
-def group_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float]):
+def group_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float],
+                    weight: str | None = None):
     """Exact linear-interpolated quantiles per group from (value, count) rows."""
-    counts = fold(df.where(F.col(value).isNotNull()), keys, value)
+    counts = fold(df.where(F.col(value).isNotNull()), keys, value, weight=weight)
     return counts.groupBy(*keys).agg(*[
         F.percentile(value, F.lit(p), F.col("n")).alias(name) for name, p in probs.items()])
 
@@ -44,21 +48,28 @@ def _join_all(frames: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
     return reduce(lambda a, b: a.join(b, list(keys), "left"), frames)
 
 
-def sample_totals(cells: DataFrame, sample: str, covariates: Sequence[str], min_cells: int):
-    """Size, median age, mode subject and mode covariates per sample with enough cells."""
-    size = cells.groupBy(sample).agg(F.count(F.lit(1)).alias("total_cells")) \
-        .where(F.col("total_cells") >= min_cells)
-    age = group_quantiles(cells, [sample], "age", {"age": 0.5})
-    modes = [group_mode(cells, [sample], c) for c in ("subject_id", *covariates)]
-    return _join_all([size, age, *modes], [sample])
+def sample_totals(folded: DataFrame, keys: Sequence[str], covariates: Sequence[str], min_cells: int,
+                  size: str = "total_cells") -> DataFrame:
+    """Size, median age, mode subject and mode covariates per group with enough cells.
+
+    ``folded`` has one row per distinct attribute combination with its count ``n``.
+    """
+    base = folded.groupBy(*keys).agg(F.sum("n").alias(size)).where(F.col(size) >= min_cells)
+    age = group_quantiles(folded, keys, "age", {"age": 0.5}, weight="n")
+    modes = [group_mode(folded, keys, c, weight="n") for c in ("subject_id", *covariates)]
+    return _join_all([base, age, *modes], keys)
 
 
 def sample_fractions(cells: DataFrame, sample: str = "sample_unit_id",
                      covariates: Sequence[str] = (), min_cells: int = 200) -> DataFrame:
-    """Fraction of each type in each sample over the full grid; structural zeros included."""
-    totals = sample_totals(cells, sample, covariates, min_cells)
-    counts = cells.groupBy(sample, "cell_type").agg(F.count(F.lit(1)).alias("n_cells"))
-    kept = cells.join(totals.select(sample), sample, "left_semi").select("cell_type")
+    """Fraction of each type in each sample over the full grid; structural zeros included.
+
+    The cells are read once, into counts per distinct (sample, type, attributes).
+    """
+    folded = fold(cells, [sample], "cell_type", "age", "subject_id", *covariates)
+    totals = sample_totals(folded, [sample], covariates, min_cells)
+    counts = folded.groupBy(sample, "cell_type").agg(F.sum("n").alias("n_cells"))
+    kept = counts.join(totals.select(sample), sample, "left_semi").select("cell_type")
     grid = structural_zero_grid(totals, counts, sample, kept)
     return grid.withColumn("fraction", F.col("n_cells") / F.col("total_cells"))
 
@@ -71,12 +82,12 @@ def fraction_sum_violations(fractions: DataFrame, sample: str, tolerance: float
 def group_means(cells: DataFrame, keys: Sequence[str], scores: Sequence[str],
                 covariates: Sequence[str], min_cells: int) -> DataFrame:
     """Mean scores, median age, mode subject and covariates, and size per group."""
-    base = cells.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_cells"), *[F.avg(s).alias(s) for s in scores])
-    base = base.where(F.col("n_cells") >= min_cells)
-    age = group_quantiles(cells, keys, "age", {"age": 0.5})
-    modes = [group_mode(cells, keys, c) for c in ("subject_id", *covariates)]
-    return _join_all([base, age, *modes], keys)
+    folded = cells.groupBy(*keys, "age", "subject_id", *covariates).agg(
+        F.count(F.lit(1)).alias("n"), *[F.sum(s).alias(f"__s_{s}") for s in scores],
+        *[F.count(s).alias(f"__c_{s}") for s in scores])
+    means = folded.groupBy(*keys).agg(*[
+        F.try_divide(F.sum(f"__s_{s}"), F.sum(f"__c_{s}")).alias(s) for s in scores])
+    return sample_totals(folded, keys, covariates, min_cells, "n_cells").join(means, list(keys))
 
 
 def signature_coverage(sets: DataFrame, genes: DataFrame) -> DataFrame:
@@ -200,9 +211,10 @@ def reasons(*pairs: tuple[Column, str], sep: str = ";") -> Column:
     return F.array_join(F.filter(items, lambda x: x.isNotNull()), sep)
 
 
-def dominant(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
+def dominant(df: DataFrame, keys: Sequence[str], value: str, out: str,
+             weight: str | None = None) -> DataFrame:
     """Most frequent value (smallest on ties) and its share of the group."""
-    counts = fold(df, keys, value)
+    counts = fold(df, keys, value, weight=weight)
     best = F.min(F.struct((-F.col("n")).alias("k"), F.col(value).alias("v")))
     return counts.groupBy(*keys).agg(
         best["v"].alias(out), (-best["k"] / F.sum("n")).alias(f"{out}_share"))
@@ -210,16 +222,19 @@ def dominant(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFr
 
 def label_evidence(cells: DataFrame, label: str, low_confidence: float = 0.5) -> DataFrame:
     """Support, age range, confidence spread, dominant cluster and batch per label."""
-    base = cells.groupBy(label).agg(
-        F.count(F.lit(1)).alias("n_cells"),
+    low = (F.col("confidence") < low_confidence).cast("int")
+    folded = cells.groupBy(label, "sample_unit_id", "subject_id", "cluster", "batch", "age").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(low).alias("n_low"))
+    base = folded.groupBy(label).agg(
+        F.sum("n").alias("n_cells"),
         F.count_distinct("sample_unit_id").alias("n_sample_units"),
         F.count_distinct("subject_id").alias("n_subjects"),
         F.min("age").alias("age_min"), F.max("age").alias("age_max"),
-        F.avg((F.col("confidence") < low_confidence).cast("int")).alias("low_confidence_fraction"))
+        (F.sum("n_low") / F.sum("n")).alias("low_confidence_fraction"))
     quant = group_quantiles(cells, [label], "confidence",
                             {"confidence_q05": 0.05, "confidence_median": 0.5, "confidence_q95": 0.95})
-    return _join_all([base, quant, dominant(cells, [label], "cluster", "dominant_cluster"),
-                      dominant(cells, [label], "batch", "dominant_batch")], [label])
+    return _join_all([base, quant, dominant(folded, [label], "cluster", "dominant_cluster", "n"),
+                      dominant(folded, [label], "batch", "dominant_batch", "n")], [label])
 
 
 def marker_summary(cells: DataFrame, counts: DataFrame, genes: DataFrame, panel: DataFrame,

@@ -35,7 +35,7 @@ def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str, out: str = "spe
     """Rank correlation per test over rows where both sides are known."""
     both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(
         *keys, F.col(x).alias("__x"), F.col(y).alias("__y"))
-    ranked = average_rank(average_rank(both, "__x", keys, "__rx"), "__y", keys, "__ry")
+    ranked = average_rank(both, ["__x", "__y"], keys, ["__rx", "__ry"])
     return ranked.groupBy(*keys).agg(pearson("__rx", "__ry").alias(out))
 
 

@@ -10,6 +10,7 @@ from cohortroll.operators.rollup import sample_fractions
 from cohortroll.operators.stats import linear_fit, spearman
 from cohortroll.plans import bindings as b
 from cohortroll.plans.registry import query
+from cohortroll.session import keep
 
 MIN_CELLS = 5
 
@@ -31,7 +32,7 @@ RANKED_SQL = """ranked AS (SELECT *,
 
 
 def fractions(spark, folder):
-    return sample_fractions(b.cells_a(spark, folder), min_cells=MIN_CELLS)
+    return keep(sample_fractions(b.cells_a(spark, folder), min_cells=MIN_CELLS), "fractions")
 
 
 @query("composition_trend", f"""WITH {FRACTIONS_SQL}, {RANKED_SQL}
@@ -72,5 +73,5 @@ SELECT cell_id, cell_type, round(least(1, min(p * m / r) OVER (PARTITION BY cell
   RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)), 9) AS fdr_global FROM w""")
 def bh_two_levels(spark, folder):
     p = b.cells_a(spark, folder).select("cell_id", "cell_type", F.col("confidence").alias("p"))
-    out = bh_fdr(bh_fdr(p, "p", ["cell_type"], "fdr_within_celltype"), "p", [], "fdr_global")
+    out = bh_fdr(p, "p", {"fdr_within_celltype": ["cell_type"], "fdr_global": []})
     return b.rounded(out.drop("p"), 9)

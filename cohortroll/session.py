@@ -61,3 +61,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise in the shared folder, so a lost executor never replays the whole history."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def keep(df: DataFrame, label: str = "kept") -> DataFrame:
+    """Writes a roll-up that several consumers read, so the fact table is scanned once for all.
+
+    The copy lives in the shared folder: it survives lost executors and carries file sizes, which
+    lets Spark pick broadcast joins from what was really written.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, label)
+    df.write.parquet(path)
+    return spark.read.parquet(path)
