@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from cohortroll.functions.scalar import hash_int
 from cohortroll.operators.ordering import hashed_number, running_position
+from cohortroll.session import keep
 
 
 def draw_key(seed: int | str, *ids: str) -> Column:
@@ -51,8 +52,9 @@ def capped_allocation(sizes: DataFrame, keys: Sequence[str], weight: str, cap: s
     """Splits ``total`` over groups by weight under caps.
 
     Floor of the quota first, then one each by largest remainder, then what is left by largest
-    remaining cap. Group order breaks ties. The ranks run over the table of groups.
+    remaining cap, ties in hash order. Each step is kept, so the next one reads a small table.
     """
+    sizes = keep(sizes, "sizes")
     sums = sizes.agg(F.struct(
         F.sum(F.greatest(F.col(weight).cast("double"), F.lit(0.0))).alias("w"),
         F.sum(cap).alias("c")).alias("s")).scalar()
@@ -64,13 +66,13 @@ def capped_allocation(sizes: DataFrame, keys: Sequence[str], weight: str, cap: s
     base = base.withColumn("__budget", budget).withColumn(
         "__quota", F.coalesce(F.try_divide(F.col("__w"), whole) * F.col("__budget"), F.lit(0.0)))
     base = base.withColumn("__floor", F.least(F.floor("__quota"), F.col(cap)))
-    base = base.withColumn("__frac", F.col("__quota") - F.floor("__quota"))
+    base = keep(base.withColumn("__frac", F.col("__quota") - F.floor("__quota")), "quota")
     spare = base.agg(F.sum("__floor").alias("f")).scalar()
     base = base.withColumn("__left", F.col("__budget") - spare).withColumn(
         "__by_frac", F.when(F.col("__floor") < F.col(cap), -F.col("__frac")))
     base = running_position(base, "__by_frac", keys, "__turn")
-    base = base.withColumn("__second", F.col("__floor") + F.when(
-        F.col("__turn") <= F.col("__left"), 1).otherwise(0))
+    base = keep(base.withColumn("__second", F.col("__floor") + F.when(
+        F.col("__turn") <= F.col("__left"), 1).otherwise(0)), "second")
     used = base.agg(F.sum("__second").alias("u")).scalar()
     base = base.withColumn("__rest", F.col("__budget") - used).withColumn(
         "__by_cap", -(F.col(cap) - F.col("__second")).cast("double"))
@@ -85,6 +87,7 @@ def allocate_budget(sizes: DataFrame, keys: Sequence[str], size: str, budget: in
     """A minimum for every large group, the rest by remaining size; when the minimum alone
     exceeds the budget, only large groups share it by size."""
     minimum = max(minimum, 1)
+    sizes = keep(sizes, "sizes")
     base = sizes.withColumn("__large", F.col(size) >= minimum).withColumn(
         "__must", F.when(F.col("__large"), minimum).otherwise(0))
     needed = base.agg(F.sum("__must").alias("m")).scalar()
@@ -104,10 +107,10 @@ def stratified_take(cells: DataFrame, keys: Sequence[str], ids: Sequence[str], b
     sizes = cells.groupBy(*keys).agg(F.count(F.lit(1)).alias("size"))
     alloc = allocate_budget(sizes, keys, "size", budget, minimum).withColumn(
         "total", F.lit(None).cast("bigint"))
-    total = cells.agg(F.count(F.lit(1)).alias("n")).scalar()
-    take = alloc.withColumn("total", total).select(
+    total = sizes.agg(F.sum("size").alias("n")).scalar()
+    take = keep(alloc.withColumn("total", total).select(
         *keys, F.when(F.col("total") <= budget, F.col("size")).otherwise(F.col("allocation"))
-        .alias("take"))
+        .alias("take")), "take")
     return seeded_take(cells, ids, take, seed, keys, digits=2)
 
 
