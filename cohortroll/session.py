@@ -15,6 +15,8 @@ SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    # Call-site capture costs milliseconds per column expression while a plan is built.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
