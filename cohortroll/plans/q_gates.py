@@ -6,12 +6,11 @@ from pyspark.sql import functions as F
 
 from cohortroll.operators import gates as g
 from cohortroll.operators import qc
+from cohortroll.operators.eligibility import method_eligibility_table, pseudobulk_eligibility_table
 from cohortroll.operators.contracts import overall
-from cohortroll.operators.glm import design_diagnostics, indicator_columns
 from cohortroll.operators.ordering import bh_fdr, sorted_position
 from cohortroll.operators.rollup import label_evidence, marker_summary, reasons
 from cohortroll.operators.sampling import grouped_folds
-from cohortroll.operators.stats import age_terms
 from cohortroll.plans import bindings as b
 from cohortroll.plans.q_contracts_joins import MAPPING_SQL, mapping, spoiled, SPOILED_SQL
 from cohortroll.plans.q_models import FRACTIONS_SQL, fractions
@@ -144,58 +143,7 @@ def qualifying(spark, folder):
  FROM j GROUP BY ALL""")
 def method_eligibility(spark, folder):
     """Each method contract against each label; composition keeps all samples (structural zeros)."""
-    items = F.array(*[F.struct(F.lit(m).alias("method"), F.lit(e).alias("every"), F.lit(n).alias("need"))
-                      for m, e, n in METHODS])
-    rows = qualifying(spark, folder).select("*", F.inline(items)).where(F.col("every") | (F.col("n_cells") >= 2))
-    keys = ["method", "cell_type"]
-    base = rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_sample_units"), F.count_distinct("subject_id").alias("n_subjects"),
-        (F.max("age") - F.min("age")).alias("age_span"), F.max("need").alias("need"))
-    d, x, groups = indicator_columns(rows, ["sex"])
-    design = design_diagnostics(age_terms(d, keys), keys, x, groups, "age_decade")
-    j = base.join(design, keys).withColumn("exclusion_reasons", reasons(
-        (F.col("n_subjects") < F.col("need"), "insufficient_subjects"),
-        (F.col("age_span") < 12, "insufficient_age_span"), (~F.col("estimable"), "design_not_estimable")))
-    return b.rounded(j.select(*keys, "n_sample_units", "n_subjects", "age_span", "exclusion_reasons",
-                              (F.col("exclusion_reasons") == "").alias("eligible"), "design_rank"))
-
-
-def pseudobulk_eligibility_table(profiles, primary, exploratory, *, min_cells, min_samples, min_subjects, min_age_span=12,
-                                 min_residual_df=5):
-    """Tier, support, design and ordered exclusion reasons per observed or configured type."""
-    tiers = F.when(F.col("cell_type").isin(*primary), "primary").when(
-        F.col("cell_type").isin(*exploratory), "exploratory").otherwise("not_approved")
-    ok = F.col("n_cells") >= min_cells
-    base = profiles.groupBy("cell_type").agg(
-        F.count(F.lit(1)).alias("n_sample_units_observed"), F.count_if(ok).alias("n_sample_units_qualifying"),
-        F.count_distinct("subject_id").alias("n_subjects_observed"),
-        F.count_distinct(F.when(ok, F.col("subject_id"))).alias("n_subjects_qualifying"),
-        (F.max(F.when(ok, F.col("age"))) - F.min(F.when(ok, F.col("age")))).alias("age_span_years"))
-    good = keep(profiles.where(ok), "qualifying")
-    repeated = good.groupBy("cell_type", "subject_id").agg(F.count(F.lit(1)).alias("k")).groupBy("cell_type").agg(
-        F.count_if(F.col("k") > 1).alias("n_repeated_subjects"))
-    d, x, groups = indicator_columns(age_terms(good, ["cell_type"]), ["sex", "batch"])
-    design = design_diagnostics(d, ["cell_type"], x, groups, "age_decade", min_residual_df).select(
-        "cell_type", "design_columns", "design_rank", "residual_df", "estimable")
-    j = base.join(repeated, "cell_type", "left").join(design, "cell_type", "left").withColumn("analysis_tier", tiers)
-    why = reasons(
-        (F.col("analysis_tier") == "not_approved", "not_approved_by_analysis_contract"),
-        (F.col("n_sample_units_qualifying") < min_samples, "insufficient_qualifying_sample_units"),
-        (F.col("n_subjects_qualifying") < min_subjects, "insufficient_qualifying_subjects"),
-        (F.coalesce(F.col("age_span_years") < min_age_span, F.lit(True)), "insufficient_age_span"),
-        (F.coalesce(F.col("design_rank") < F.col("design_columns"), F.lit(True)), "fixed_effect_design_not_estimable"),
-        (F.coalesce(F.col("n_repeated_subjects") < 1, F.lit(True)), "no_repeated_subject_support"),
-        (F.coalesce(F.col("residual_df") < min_residual_df, F.lit(True)), "insufficient_full_model_residual_df"))
-    j = j.withColumn("exclusion_reasons", why)
-    # Configured types never observed still get a row.
-    asked = F.explode(F.array(*[F.lit(t) for t in (*primary, *exploratory)])).alias("cell_type")
-    one = base.agg(F.count(F.lit(1)).alias("n"))
-    missing = one.select(asked).join(base.select("cell_type"), "cell_type", "left_anti").withColumn("analysis_tier", tiers) \
-        .withColumn("exclusion_reasons", F.lit("configured_cell_type_not_observed"))
-    out = j.unionByName(missing, allowMissingColumns=True).fillna(0, [
-        "n_sample_units_observed", "n_sample_units_qualifying", "n_subjects_observed", "n_subjects_qualifying",
-        "n_repeated_subjects", "design_columns", "design_rank", "residual_df"])
-    return out.withColumn("aggregation_status", F.when(F.col("exclusion_reasons") == "", "included").otherwise("excluded"))
+    return b.rounded(method_eligibility_table(qualifying(spark, folder), METHODS, min_cells=2))
 
 
 @query("pseudobulk_eligibility", f"""WITH {b.CELLS_B}, p AS (SELECT sample_unit_id, cell_type, count(*) AS n_cells, min(subject_id) AS
@@ -217,8 +165,8 @@ def pseudobulk_eligibility(spark, folder):
 
 @query("qualification_bundle", f"""WITH {b.CELLS_B}, {b.COUNTS_B}, {b.GENES_B}, ev AS (SELECT raw_label, count(*) AS n_cells,
  count(DISTINCT subject_id) AS n_subjects, round(median(confidence), 7) AS confidence_median FROM cells GROUP BY 1), x AS (SELECT raw_label,
- max(n / t) AS top_cluster_share FROM (SELECT raw_label, cluster, count(*) AS n, sum(count(*)) OVER (PARTITION BY raw_label) AS t FROM cells GROUP BY ALL)
- GROUP BY 1), mk AS (SELECT raw_label, count(*) FILTER (c > 0) AS n_markers_seen FROM (SELECT l.raw_label, g.gene_id, (SELECT count(*) FROM counts JOIN
+ max(n / t) AS top_cluster_share FROM (SELECT raw_label, cluster, count(*) AS n, sum(count(*)) OVER (PARTITION BY raw_label) AS t FROM cells GROUP BY raw_label,
+ cluster) GROUP BY 1), mk AS (SELECT raw_label, count(*) FILTER (c > 0) AS n_markers_seen FROM (SELECT l.raw_label, g.gene_id, (SELECT count(*) FROM counts JOIN
  cells USING (cell_id) WHERE raw_label = l.raw_label AND gene_id = g.gene_id) AS c FROM (SELECT DISTINCT raw_label FROM cells) l, (SELECT gene_id
  FROM genes WHERE brand = 'Brand#7') g) GROUP BY 1)
  SELECT raw_label, n_cells, n_subjects, confidence_median, round(top_cluster_share, 7) AS top_cluster_share, n_markers_seen, 'pending' AS
