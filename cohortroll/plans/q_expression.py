@@ -1 +1,130 @@
-"""Registered queries."""
+"""Per-gene expression models over the order star, with brands as genes."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from cohortroll.operators import expression as ex
+from cohortroll.operators.ordering import bh_fdr
+from cohortroll.operators.rollup import pseudobulk_sums
+from cohortroll.operators.stats import age_terms
+from cohortroll.plans import bindings as b
+from cohortroll.plans.registry import query
+from cohortroll.session import keep
+
+PROFILE_SQL = f"""{b.CELLS_B}, {b.COUNTS_BRAND}, lib AS (SELECT cell_id, sum(count) AS lib FROM counts GROUP BY 1), profiles AS (SELECT
+ sample_unit_id || '|' || cell_type AS profile_id, cell_type, min(subject_id) AS subject_id, min(age) AS age, min(sex) AS sex, min(batch) AS batch,
+ count(*) AS n_cells, sum(lib)::BIGINT AS library_size FROM cells LEFT JOIN lib USING (cell_id) GROUP BY sample_unit_id, cell_type HAVING count(*) >= 2
+ AND sum(lib) > 0), sums AS (SELECT sample_unit_id || '|' || cell_type AS profile_id, gene_id, sum(count)::BIGINT AS count FROM counts JOIN cells USING
+ (cell_id) GROUP BY ALL), xp AS (SELECT *, (age - avg(age) OVER (PARTITION BY cell_type)) / 10 AS x FROM profiles)"""
+
+
+def inputs(spark, folder):
+    """Profiles with at least two cells and a library, and their summed counts per brand."""
+    cells = b.cells_b(spark, folder).withColumn("profile_id", F.concat_ws("|", "sample_unit_id", "cell_type"))
+    counts = b.counts_b(spark, folder, "brand")
+    sums = keep(pseudobulk_sums(counts, cells, ["profile_id"]), "sums")
+    lib = sums.groupBy("profile_id").agg(F.sum("count").alias("library_size"))
+    profiles = cells.groupBy("profile_id", "cell_type").agg(
+        *[F.min(c).alias(c) for c in ("subject_id", "age", "sex", "batch")], F.count(F.lit(1)).alias("n_cells"))
+    profiles = keep(profiles.where("n_cells >= 2").join(lib.where("library_size > 0"), "profile_id"), "profiles")
+    return profiles, sums.join(profiles.select("profile_id"), "profile_id", "left_semi")
+
+
+@query("leverage_sample_size", f"""WITH {PROFILE_SQL}, l AS (SELECT cell_type, 1 / max(1.0 / n + x * x / sxx) AS n0 FROM xp JOIN (SELECT cell_type,
+ count(*) AS n, sum(x * x) AS sxx FROM xp GROUP BY 1) USING (cell_type) GROUP BY 1) SELECT cell_type, round(CASE WHEN n0 > 10 THEN 10 + (n0 - 10) * 0.7
+ ELSE n0 END, 5) AS min_samples FROM l""")
+def leverage_sample_size(spark, folder):
+    profiles, _ = inputs(spark, folder)
+    return b.rounded(ex.leverage_sample_size(profiles, []), 5)
+
+
+@query("expressed_genes", f"""WITH {PROFILE_SQL}, l AS (SELECT cell_type, 1 / max(1.0 / n + x * x / sxx) AS n0 FROM xp JOIN (SELECT cell_type,
+ count(*) AS n, sum(x * x) AS sxx FROM xp GROUP BY 1) USING (cell_type) GROUP BY 1), m AS (SELECT cell_type, 10 / median(library_size) * 1e6 AS cutoff FROM
+ profiles GROUP BY 1), g AS (SELECT p.cell_type, gene_id, count(*) FILTER (count * 1e6 / library_size >= cutoff) AS n_above, sum(count)::BIGINT AS total FROM
+ sums JOIN profiles p USING (profile_id) JOIN m ON m.cell_type = p.cell_type GROUP BY ALL) SELECT g.* FROM g JOIN l USING (cell_type) WHERE n_above >=
+ CASE WHEN n0 > 10 THEN 10 + (n0 - 10) * 0.7 ELSE n0 END AND total >= 15""")
+def expressed_genes(spark, folder):
+    profiles, sums = inputs(spark, folder)
+    return ex.expressed_genes(profiles, sums, ex.leverage_sample_size(profiles, []))
+
+
+TMM_SQL = """s AS (SELECT profile_id, cell_type, library_size AS lib, gene_id, count FROM sums JOIN profiles USING (profile_id)), gn AS (SELECT DISTINCT
+ cell_type, gene_id FROM s), q AS (SELECT p.profile_id, p.cell_type, quantile_cont(coalesce(count, 0), 0.75) / any_value(p.library_size) AS q FROM profiles p
+ JOIN gn ON gn.cell_type = p.cell_type LEFT JOIN sums ON sums.profile_id = p.profile_id AND sums.gene_id = gn.gene_id GROUP BY ALL), r AS (SELECT cell_type,
+ profile_id AS ref FROM q JOIN (SELECT cell_type, avg(q) AS m FROM q GROUP BY 1) USING (cell_type) QUALIFY row_number() OVER (PARTITION BY cell_type ORDER BY
+ round(abs(q - m), 12), profile_id) = 1), rc AS (SELECT s.cell_type, gene_id, count AS rc, lib AS rl FROM s JOIN r ON r.ref = s.profile_id), j AS (SELECT
+ s.cell_type, profile_id, round(log2((count / lib) / (rc / rl)), 12) AS m, round((log2(count / lib) + log2(rc / rl)) / 2, 12) AS a, (lib - count) / lib / count +
+ (rl - rc) / rl / rc AS v FROM s JOIN rc USING (cell_type, gene_id)), k AS (SELECT *, count(*) OVER (PARTITION BY profile_id) AS n, rank() OVER (PARTITION BY
+ profile_id ORDER BY m) + (count(*) OVER (PARTITION BY profile_id, m) - 1) / 2.0 AS rm, rank() OVER (PARTITION BY profile_id ORDER BY a) + (count(*) OVER
+ (PARTITION BY profile_id, a) - 1) / 2.0 AS ra FROM j), f AS (SELECT profile_id, sum(m / v) / sum(1 / v) AS lf FROM k WHERE rm >= floor(n * 0.3) + 1 AND rm <= n -
+ floor(n * 0.3) AND ra >= floor(n * 0.05) + 1 AND ra <= n - floor(n * 0.05) AND v > 0 GROUP BY 1), lf AS (SELECT p.profile_id, p.cell_type, p.library_size,
+ coalesce(lf, 0) AS lf FROM profiles p LEFT JOIN f USING (profile_id)), tmm AS (SELECT profile_id, cell_type, library_size, 2 ** (lf - avg(lf) OVER (PARTITION BY
+ cell_type)) AS norm_factor FROM lf)"""
+
+
+@query("tmm_factors", f"WITH {PROFILE_SQL}, {TMM_SQL} SELECT profile_id, cell_type, library_size, round(norm_factor, 7) AS norm_factor FROM tmm")
+def tmm_factors(spark, folder):
+    profiles, sums = inputs(spark, folder)
+    return b.rounded(ex.tmm_factors(profiles, sums), 7)
+
+
+@query("log_cpm_lines", f"""WITH {PROFILE_SQL}, d AS (SELECT xp.cell_type, g.gene_id, x, log2((coalesce(count, 0) + 0.5) / (library_size + 1) * 1e6) AS y
+ FROM xp JOIN (SELECT DISTINCT cell_type, gene_id FROM sums JOIN profiles USING (profile_id)) g ON g.cell_type = xp.cell_type LEFT JOIN sums ON
+ sums.profile_id = xp.profile_id AND sums.gene_id = g.gene_id) SELECT cell_type, gene_id, count(*) AS n, round(avg(y), 7) AS average_log_cpm,
+ round(regr_slope(y, x), 6) AS effect, round((regr_syy(y, x) - regr_sxy(y, x) ** 2 / regr_sxx(y, x)) / (count(*) - 2), 5) AS sigma2 FROM d GROUP BY ALL""")
+def log_cpm_lines(spark, folder):
+    profiles, sums = inputs(spark, folder)
+    genes = sums.join(profiles.select("profile_id", "cell_type"), "profile_id").select("cell_type", "gene_id").distinct()
+    d = age_terms(profiles, ["cell_type"]).withColumn("x0", F.lit(1.0)).withColumn("norm_factor", F.lit(1.0))
+    out = ex.gene_lines(ex.log_cpm(ex.dense_counts(d, sums, genes)), ["x0", "age_decade"], "log_cpm")
+    return out.select("cell_type", "gene_id", "n", F.round("average_log_cpm", 7).alias("average_log_cpm"),
+                      F.round("effect", 6).alias("effect"), F.round("sigma2", 5).alias("sigma2"))
+
+
+def _with_fdr(out, p="p_value"):
+    return bh_fdr(keep(out, "results"), p, {"fdr_within_celltype": ["cell_type"], "fdr_global": []})
+
+
+@query("moderated_gene_models")
+def moderated_gene_models(spark, folder):
+    dense, x, _ = ex.prepare_expression(*inputs(spark, folder), ["sex"])
+    fit, _ = ex.fixed_model(dense, x)
+    return _with_fdr(fit.select("cell_type", "gene_id", F.col("effect").alias("log2_fc_per_10_years"), "average_log_cpm",
+                                "moderated_t", "df", "prior_df", "prior_var", "p_value"))
+
+
+@query("mixed_gene_models")
+def mixed_gene_models(spark, folder):
+    dense, x, _ = ex.prepare_expression(*inputs(spark, folder), ["sex"])
+    _, weighted = ex.fixed_model(dense, x)
+    return _with_fdr(ex.effect_interval(ex.mixed_model(weighted, x, "log_cpm", "weight")))
+
+
+@query("quasi_poisson_gene_models")
+def quasi_poisson_gene_models(spark, folder):
+    dense, x, groups = ex.prepare_expression(*inputs(spark, folder), ["sex"])
+    return _with_fdr(ex.quasi_poisson(dense, ["cell_type", "gene_id"], x, groups))
+
+
+@query("robustness_scenarios", f"""WITH {PROFILE_SQL}, sc AS (SELECT 'high_cell_support' AS scenario_id, 'cell_support' AS scenario_type, '' AS excluded_batch
+ UNION ALL SELECT 'drop_sex', 'covariate', '' UNION ALL SELECT 'drop_batch', 'covariate', '' UNION ALL SELECT DISTINCT 'leave_out_' || batch,
+ 'leave_one_batch_out', batch FROM profiles) SELECT scenario_id, scenario_type, excluded_batch, cell_type, count(*) AS n_profiles FROM profiles CROSS JOIN sc
+ WHERE (scenario_id <> 'high_cell_support' OR n_cells >= 3) AND batch <> excluded_batch GROUP BY ALL""")
+def robustness_scenarios(spark, folder):
+    profiles, _ = inputs(spark, folder)
+    batches = [r[0] for r in profiles.select("batch").distinct().orderBy("batch").limit(1001).collect()]
+    out = ex.robustness_scenarios(profiles, 3, batches)
+    return out.groupBy("scenario_id", "scenario_type", "excluded_batch", "cell_type").agg(F.count(F.lit(1)).alias("n_profiles"))
+
+
+@query("robustness_refits")
+def robustness_refits(spark, folder):
+    """Quasi-Poisson refits of the strongest quarter of primary results under every scenario."""
+    profiles, sums = inputs(spark, folder)
+    dense, x, groups = ex.prepare_expression(profiles, sums, ["sex", "batch"])
+    primary = keep(ex.quasi_poisson(dense, ["cell_type", "gene_id"], x, groups), "primary")
+    batches = [r[0] for r in profiles.select("batch").distinct().orderBy("batch").limit(1001).collect()]
+    scenarios = ex.robustness_scenarios(profiles, 3, batches)
+    cols = [[x[i] for i in g] for g in groups]
+    return ex.scenario_models(dense, scenarios, primary.where("p_value < 0.25"), x, groups, cols[0], cols[1])

@@ -47,12 +47,12 @@ def boosted_tree_predictions(spark, folder):
 PREDS_SQL = f"""{FOLDS_SQL}, pb AS (SELECT fold, (sum(sum(m)) OVER () - sum(m)) / (sum(count(*)) OVER () - count(*)) AS age_base FROM
  (SELECT c.subject_id, fold, median(age) AS m FROM cells c JOIN folds USING (subject_id) GROUP BY ALL) GROUP BY fold),
  ag AS (SELECT c.subject_id, sample_unit_id, cell_type, fold AS outer_fold, count(*) AS n_cells, round(min(age), 8) AS age, avg(k) AS k, avg(value) AS v FROM
- cells c JOIN folds USING (subject_id) GROUP BY ALL), preds AS (SELECT m.model, ag.* EXCLUDE (k, v), round(CASE m.model WHEN 'ridge_a' THEN 30 + k / 5 WHEN
- 'ridge_b' THEN 42 + v / 50 ELSE 36 + v / 10 END, 8) AS age_pred, round(age_base, 8) AS age_base FROM ag JOIN pb ON pb.fold = ag.outer_fold CROSS JOIN
- (VALUES ('ridge_a'), ('ridge_b'), ('tree')) m(model))"""
+ cells c JOIN folds USING (subject_id) GROUP BY ALL), raw AS (SELECT m.model, ag.* EXCLUDE (k, v), CASE m.model WHEN 'ridge_a' THEN 30 + k / 5 WHEN 'ridge_b' THEN
+ 42 + v / 50 ELSE 36 + v / 10 END AS age_pred, round(age_base, 8) AS age_base FROM ag JOIN pb ON pb.fold = ag.outer_fold CROSS JOIN
+ (VALUES ('ridge_a'), ('ridge_b'), ('tree')) m(model)), preds AS (SELECT * REPLACE (round(age_pred, 8) AS age_pred) FROM raw)"""
 
 
-def simple_predictions(spark, folder):
+def simple_predictions(spark, folder, digits: int | None = 8):
     """Three plain predictors on the event cells, so every summary below can be checked in SQL."""
     cells = b.cells_a(spark, folder)
     folds = grouped_folds(cells, "subject_id", 5).select("subject_id", F.col("fold").alias("outer_fold"))
@@ -60,7 +60,7 @@ def simple_predictions(spark, folder):
     base = pr.training_baseline(rows, "subject_id")
     agg = rows.groupBy("subject_id", "sample_unit_id", "cell_type", "outer_fold").agg(
         F.count(F.lit(1)).alias("n_cells"), F.round(F.min("age"), 8).alias("age"), F.avg("k").alias("k"), F.avg("value").alias("v"))
-    models = F.array(*[F.struct(F.lit(n).alias("model"), F.round(e, 8).alias("age_pred")) for n, e in (
+    models = F.array(*[F.struct(F.lit(n).alias("model"), (F.round(e, digits) if digits else e).alias("age_pred")) for n, e in (
         ("ridge_a", 30 + F.col("k") / 5), ("ridge_b", 42 + F.col("v") / 50), ("tree", 36 + F.col("v") / 10))])
     out = agg.select("*", F.inline(models)).join(base.withColumn("age_base", F.round("age_base", 8)), "outer_fold")
     return keep(out.drop("k", "v"), "predictions")
@@ -73,18 +73,19 @@ def training_baseline(spark, folder):
     return b.rounded(pr.training_baseline(cells.join(folds, "subject_id"), "subject_id"), 8)
 
 
-@query("prediction_frames", f"""WITH {PREDS_SQL} SELECT model, sample_unit_id, cell_type, round(age_pred - age, 7) AS residual,
- round(abs(age_pred - age), 7) AS abs_error, abs(age_pred - age) <= 5 AS within_5y FROM preds""")
+@query("prediction_frames", f"""WITH {PREDS_SQL} SELECT model, sample_unit_id, cell_type, round(age_pred - age, 8) AS residual,
+ round(abs(age_pred - age), 8) AS abs_error, abs(age_pred - age) <= 5 AS within_5y FROM preds""")
 def prediction_frames(spark, folder):
     out = pr.prediction_frame(simple_predictions(spark, folder))
-    return b.rounded(out.select("model", "sample_unit_id", "cell_type", "residual", "abs_error", "within_5y"), 7)
+    return b.rounded(out.select("model", "sample_unit_id", "cell_type", "residual", "abs_error", "within_5y"), 8)
 
 
-@query("prediction_rollup_to_sample", f"""WITH {PREDS_SQL} SELECT model, sample_unit_id, round(sum(age_pred * n_cells) / sum(n_cells), 6) AS age_pred,
- round(sum(age_base * n_cells) / sum(n_cells), 6) AS age_base, sum(n_cells)::BIGINT AS n_cells, count(*) AS n_groups, round(median(age), 6) AS age
- FROM preds GROUP BY ALL""")
+@query("prediction_rollup_to_sample", f"""WITH {PREDS_SQL} SELECT model, sample_unit_id, round(sum(age_pred * n_cells) / sum(n_cells), 9) AS age_pred,
+ round(sum(age_base * n_cells) / sum(n_cells), 7) AS age_base, sum(n_cells)::BIGINT AS n_cells, count(*) AS n_groups, round(median(age), 7) AS age
+ FROM raw GROUP BY ALL""")
 def prediction_rollup_to_sample(spark, folder):
-    return b.rounded(pr.roll_to_sample(simple_predictions(spark, folder), ["model", "sample_unit_id"]))
+    out = pr.roll_to_sample(simple_predictions(spark, folder, digits=None), ["model", "sample_unit_id"])
+    return b.rounded(out.withColumn("age", F.round("age", 7)).withColumn("age_base", F.round("age_base", 7)), 9)
 
 
 METRICS_SQL = """rk AS (SELECT *, rank() OVER (PARTITION BY model ORDER BY age) + (count(*) OVER (PARTITION BY model, age) - 1) / 2.0 AS ra, rank()
