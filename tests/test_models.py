@@ -22,7 +22,7 @@ def gee_frame(kind):
         shift = rng.normal(0, 0.3)
         for v in range(1 + s % 3):
             age = 30 + 2 * s + 3 * v + 0.0
-            lin = -2 + 0.03 * age + shift + rng.normal(0, 0.05)
+            lin = -2 + 0.03 * age + shift + rng.normal(0, 0.3)
             y = 1 / (1 + math.exp(-lin)) if kind == "binomial" else lin
             rows.append(("T", f"S{s}", f"S{s}-{v}", age, y, 50 + s))
     return pd.DataFrame(rows, columns=["cell_type", "subject_id", "sample_unit_id", "age", "y", "total"])
