@@ -18,6 +18,7 @@ from pyspark.sql.window import Window
 from cohortroll.functions.tails import f_upper, t_two_sided
 from cohortroll.operators.glm import (
     Z95, fit_grouped, gramian, indicator_columns, pairs, scaled_rank, square, sum_array)
+from cohortroll.operators.rollup import wide_quantiles
 from cohortroll.operators.stats import age_terms
 from cohortroll.session import keep
 
@@ -46,8 +47,7 @@ def leverage_sample_size(profiles: DataFrame, covariates: Sequence[str]) -> Data
 
 def expressed_genes(profiles: DataFrame, sums: DataFrame, min_samples: DataFrame) -> DataFrame:
     """Genes above the CPM cut-off in enough profiles and above the least total, per type."""
-    lib = profiles.groupBy("cell_type", "library_size").agg(F.count(F.lit(1)).alias("n")).groupBy("cell_type").agg(
-        F.percentile("library_size", F.lit(0.5), F.col("n")).alias("median_lib"))
+    lib = wide_quantiles(profiles, ["cell_type"], "library_size", {"median_lib": 0.5})
     cut = lib.join(min_samples, "cell_type").withColumn("cutoff", MIN_COUNT / F.col("median_lib") * 1e6)
     j = sums.join(profiles.select("profile_id", "cell_type", "library_size"), "profile_id").join(cut, "cell_type")
     cpm = F.col("count") * 1e6 / F.col("library_size")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from cohortroll.functions.scalar import (
     age_bin, effect_direction, interval_excludes_zero, join_key_text, scenario_code, scenario_name)
 from cohortroll.operators.ordering import top_per_group
-from cohortroll.operators.rollup import group_quantiles
+from cohortroll.operators.rollup import wide_quantiles
 from cohortroll.operators.stats import demean, linear_fit, spearman
 
 SIGNAL = ("gene_id", "cell_type")
@@ -66,7 +66,7 @@ def scenario_metrics(results: DataFrame, scenario: str, effect: str, fdr: str) -
     size = results.withColumn("__a", F.abs(effect))
     base = size.groupBy(scenario).agg(
         F.count(F.lit(1)).alias("n_tests"), F.count_if(F.col(fdr) < 0.05).alias("n_fdr_significant"))
-    return base.join(group_quantiles(size, [scenario], "__a", {"median_abs_effect": 0.5}), scenario)
+    return base.join(wide_quantiles(size, [scenario], "__a", {"median_abs_effect": 0.5}), scenario)
 
 
 def stability_matrix(results: DataFrame, signal: str, scenario: str, effect: str, names: Sequence[str]):
@@ -210,8 +210,8 @@ def type_robustness(profiles: DataFrame, diagnostics: DataFrame, evidence: DataF
     base = profiles.groupBy("cell_type").agg(
         F.count(F.lit(1)).alias("n_profiles"), F.count_distinct("sex").alias("n_sex_levels"),
         F.min("n_cells").alias("minimum_cells_per_profile"), F.min("library_size").alias("minimum_library_size"))
-    med = group_quantiles(profiles, ["cell_type"], "n_cells", {"median_cells_per_profile": 0.5}).join(
-        group_quantiles(profiles, ["cell_type"], "library_size", {"median_library_size": 0.5}), "cell_type")
+    med = wide_quantiles(profiles, ["cell_type"], "n_cells", {"median_cells_per_profile": 0.5}).join(
+        wide_quantiles(profiles, ["cell_type"], "library_size", {"median_library_size": 0.5}), "cell_type")
     rho = spearman(profiles, ["cell_type"], "age", "n_cells", "spearman_age_vs_n_cells").join(
         spearman(profiles, ["cell_type"], "age", "library_size", "spearman_age_vs_library_size"), "cell_type")
     states = diagnostics.groupBy("cell_type").agg(*[
@@ -220,7 +220,7 @@ def type_robustness(profiles: DataFrame, diagnostics: DataFrame, evidence: DataF
     conc = evidence.groupBy("cell_type").agg(
         F.count(F.lit(1)).alias("n_global_fdr_candidates"),
         F.min("direction_concordance_fraction").alias("minimum_candidate_direction_concordance"))
-    med_c = group_quantiles(evidence, ["cell_type"], "direction_concordance_fraction",
+    med_c = wide_quantiles(evidence, ["cell_type"], "direction_concordance_fraction",
                             {"median_candidate_direction_concordance": 0.5})
     queued = queue.groupBy("cell_type").agg(F.count(F.lit(1)).alias("n_review_queue_candidates"))
     out = base

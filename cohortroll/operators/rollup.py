@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 
 from cohortroll.functions.scalar import age_bin, age_bin_order
 from cohortroll.operators.joins import structural_zero_grid
+from cohortroll.operators.ordering import ONE_FAMILY, running_counts
 
 
 def fold(df: DataFrame, keys: Sequence[str], *values: str, weight: str | None = None,
@@ -38,12 +39,32 @@ def group_mode(df: DataFrame, keys: Sequence[str], value: str, out: str | None =
 
 def group_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float],
                     weight: str | None = None):
-    """Exact linear-interpolated quantiles per group from (value, count) rows."""
+    """Exact linear-interpolated quantiles per group from (value, count) rows, for values that take few
+    distinct values in a group (an attribute of a sample, small counts)."""
     counts = fold(df.where(F.col(value).isNotNull()), keys, value, weight=weight)
     return counts.groupBy(*keys).agg(*[
         F.percentile(value, F.lit(p), F.col("n")).alias(name) for name, p in probs.items()])
 
 
+def wide_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float],
+                   weight: str | None = None) -> DataFrame:
+    """The same quantiles where a group may have very many distinct values: the values at the two
+    ranks next to each quantile are read off running counts, so no group's values meet in one task."""
+    size = None if weight is None else F.col(weight)
+    ranks = running_counts(df.where(F.col(value).isNotNull()), value, keys, weight=size)
+    fam = list(keys) or [ONE_FAMILY]
+    v, first, last = F.col(value).cast("double"), F.col("n_upto") - F.col("n"), F.col("n_upto") - 1
+    picks = []
+    for name, p in probs.items():
+        at = (F.col("n_total") - 1) * F.lit(float(p))
+        for side, pos in (("lo", F.floor(at)), ("hi", F.ceil(at))):
+            picks.append(F.max(F.when((first <= pos) & (pos <= last), v)).alias(f"__{side}_{name}"))
+        picks.append(F.max(at - F.floor(at)).alias(f"__at_{name}"))
+    out = ranks.groupBy(*fam).agg(*picks)
+    return out.select(*keys, *[
+        (F.col(f"__lo_{n}") + (F.col(f"__hi_{n}") - F.col(f"__lo_{n}")) * F.col(f"__at_{n}")).alias(n) for n in probs])
+
+
 def _join_all(frames: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
     return reduce(lambda a, b: a.join(b, list(keys), "left"), frames)
 
@@ -231,7 +252,7 @@ def label_evidence(cells: DataFrame, label: str, low_confidence: float = 0.5) ->
         F.count_distinct("subject_id").alias("n_subjects"),
         F.min("age").alias("age_min"), F.max("age").alias("age_max"),
         (F.sum("n_low") / F.sum("n")).alias("low_confidence_fraction"))
-    quant = group_quantiles(cells, [label], "confidence",
+    quant = wide_quantiles(cells, [label], "confidence",
                             {"confidence_q05": 0.05, "confidence_median": 0.5, "confidence_q95": 0.95})
     return _join_all([base, quant, dominant(folded, [label], "cluster", "dominant_cluster", "n"),
                       dominant(folded, [label], "batch", "dominant_batch", "n")], [label])
@@ -313,9 +334,8 @@ def histogram(df: DataFrame, metrics: Sequence[str], bins: int = 40) -> DataFram
     long = df.select(F.inline(F.array(*[
         F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("x")) for m in metrics])))
     long = long.where("x is not null").groupBy("metric", "x").agg(F.count(F.lit(1)).alias("w"))
-    span = long.groupBy("metric").agg(
-        F.min("x").alias("lo"), F.max("x").alias("hi"), F.percentile("x", F.lit(0.5), F.col("w"))
-        .alias("median"))
+    span = long.groupBy("metric").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).join(
+        wide_quantiles(long, ["metric"], "x", {"median": 0.5}, weight="w"), "metric")
     at = F.floor(F.try_divide((F.col("x") - F.col("lo")) * bins, F.col("hi") - F.col("lo")))
     return long.join(span, "metric").withColumn(
         "bin", F.least(F.coalesce(at, F.lit(0)), F.lit(bins - 1)).cast("int")) \

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cohortroll.functions.scalar import hash_int
-from cohortroll.operators.ordering import hashed_number, running_position
+from cohortroll.operators.ordering import hashed_number, running_counts, running_position
 from cohortroll.session import keep
 
 
@@ -29,22 +29,20 @@ def seeded_take(df: DataFrame, ids: Sequence[str], take: DataFrame | int, seed:
     filter alone; only the one slot where a budget runs out is ranked.
     """
     grp = list(group)
-    if isinstance(take, int):
-        df, grp = df.withColumn("__g", F.lit(0)), ["__g", *grp]
-        take = df.select(*grp).distinct().withColumn("take", F.lit(take))
     keyed = df.withColumn("__key", draw_key(seed, *ids)).withColumn(
         "__slot", F.substring("__key", 1, digits))
     w = Window.partitionBy(*grp).orderBy("__slot")
     slots = keyed.groupBy(*grp, "__slot").agg(F.count(F.lit(1)).alias("__n")).select(
         *grp, "__slot", F.sum("__n").over(w).alias("__upto"), "__n")
-    slots = slots.join(take, grp).withColumn("__before", F.col("__upto") - F.col("__n")).where(
+    slots = slots.withColumn("take", F.lit(take)) if isinstance(take, int) else slots.join(take, grp)
+    slots = slots.withColumn("__before", F.col("__upto") - F.col("__n")).where(
         F.col("__before") < F.col("take"))
     placed = keyed.join(slots.drop("__n"), [*grp, "__slot"])
     whole = placed.where(F.col("__upto") <= F.col("take"))
     edge = placed.where(F.col("__upto") > F.col("take")).withColumn(
         "__rn", F.row_number().over(Window.partitionBy(*grp, "__slot").orderBy("__key", *ids)))
     edge = edge.where(F.col("__rn") + F.col("__before") <= F.col("take"))
-    return whole.select(*df.columns).unionByName(edge.select(*df.columns)).drop("__g")
+    return whole.select(*df.columns).unionByName(edge.select(*df.columns))
 
 
 def capped_allocation(sizes: DataFrame, keys: Sequence[str], weight: str, cap: str, total,
@@ -135,8 +133,9 @@ def fold_leaks(rows: DataFrame, subject: str, fold: str) -> DataFrame:
 def numbered(df: DataFrame, keys: Sequence[str], row_id: str) -> DataFrame:
     """Rows numbered 0..n-1 per test in hash order of the row id, with the test size."""
     out = hashed_number(df, [row_id], keys, "__i")
+    out = out.withColumn("__i", F.col("__i") - 1)
     size = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    return out.withColumn("__i", F.col("__i") - 1).join(size, list(keys))
+    return out.join(size, list(keys)) if keys else out.withColumn("__n", size.scalar())
 
 
 def row_bootstrap(df: DataFrame, keys: Sequence[str], row_id: str, x: str, y: str, n_boot: int,
@@ -148,20 +147,19 @@ def row_bootstrap(df: DataFrame, keys: Sequence[str], row_id: str, x: str, y: st
     Tests with fewer than four rows get null intervals; replicates with fewer than three distinct
     x or y are skipped; more than two good replicates are needed.
     """
-    rows = numbered(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()), keys, row_id)
+    rows = keep(numbered(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()), keys, row_id), "numbered")
     draws = rows.where("__n >= 4").select(
         *keys, "__n", F.col("__i").alias("__slot"), F.explode(F.sequence(F.lit(1), F.lit(n_boot)))
         .alias("__b"))
     hit = F.pmod(hash_int(F.lit(seed), *keys, "__b", "__slot"), F.col("__n"))
     weights = draws.groupBy(*keys, "__b", hit.alias("__i")).agg(F.count(F.lit(1)).alias("__w"))
-    drawn = weights.join(rows.select(*keys, "__i", x, y), [*keys, "__i"])
+    drawn = keep(weights.join(rows.select(*keys, "__i", x, y), [*keys, "__i"]), "drawn")
     rep = [*keys, "__b"]
 
     def weighted_rank(value, out):
         """Tie-averaged rank in a replicate, from weights of distinct values."""
-        folded = drawn.groupBy(*rep, value).agg(F.sum("__w").alias("n"))
-        w = Window.partitionBy(*rep).orderBy(value)
-        return folded.select(*rep, value, (F.sum("n").over(w) - (F.col("n") - 1) / 2.0).alias(out))
+        ranks = running_counts(drawn, value, rep, weight=F.col("__w"))
+        return ranks.select(*rep, value, (F.col("n_upto") - (F.col("n") - 1) / 2.0).alias(out))
 
     ranked = drawn.join(weighted_rank(x, "__rx"), [*rep, x]).join(weighted_rank(y, "__ry"), [*rep, y])
     w = F.col("__w")
@@ -198,9 +196,7 @@ def cluster_bootstrap(preds: DataFrame, subject: str, truth: str, pred: str, n_b
 
     Rows are folded to sums per subject once, so replicates touch subjects only.
     """
-    keys = list(keys) or ["__k"]
-    if keys == ["__k"]:
-        preds = preds.withColumn("__k", F.lit(0))
+    keys = list(keys)
     t, e = F.col(truth), F.col(truth) - F.col(pred)
     per_subject = preds.groupBy(*keys, subject).agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.abs(e)).alias("ae"), F.sum(e * e).alias("se"),
@@ -208,7 +204,7 @@ def cluster_bootstrap(preds: DataFrame, subject: str, truth: str, pred: str, n_b
     rows = numbered(per_subject, keys, subject)
     draws = rows.select(*keys, "__n", F.col("__i").alias("__slot"),
                         F.explode(F.sequence(F.lit(1), F.lit(n_boot))).alias("__b"))
-    hit = F.pmod(hash_int(F.lit(seed), *[k for k in keys if k != "__k"], "__b", "__slot"), F.col("__n"))
+    hit = F.pmod(hash_int(F.lit(seed), *keys, "__b", "__slot"), F.col("__n"))
     weights = draws.groupBy(*keys, "__b", hit.alias("__i")).agg(F.count(F.lit(1)).alias("w"))
     rep = weights.join(rows, [*keys, "__i"]).groupBy(*keys, "__b").agg(
         *[F.sum(F.col("w") * F.col(c)).alias(c) for c in ("n", "ae", "se", "t1", "t2")])
@@ -219,7 +215,7 @@ def cluster_bootstrap(preds: DataFrame, subject: str, truth: str, pred: str, n_b
     tail = (1 - ci) / 2
     return good.groupBy(*keys).agg(
         *[F.percentile(v, F.lit(p)).alias(f"{v}_ci_{side}") for v in ("mae", "r2")
-          for side, p in (("low", tail), ("high", 1 - tail))]).drop("__k")
+          for side, p in (("low", tail), ("high", 1 - tail))])
 
 
 def mean_bootstrap(values: DataFrame, keys: Sequence[str], row_id: str, value: str, n_boot: int,

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortroll.operators.ordering import average_rank
+from cohortroll.operators.rollup import wide_quantiles
 
 
 def pearson(x: str, y: str) -> Column:
@@ -56,8 +57,7 @@ def residual_violations(df: DataFrame, keys: Sequence[str], columns: Sequence[st
 def prediction_metrics(df: DataFrame, keys: Sequence[str], truth: str, pred: str, base: str):
     """Error, fit and correlation of predictions per model, with the baseline error and the gain."""
     e, b = F.col(truth) - F.col(pred), F.col(truth) - F.col(base)
-    folded = df.withColumn("__ae", F.abs(e)).groupBy(*keys, "__ae").agg(F.count(F.lit(1)).alias("w"))
-    med = folded.groupBy(*keys).agg(F.percentile("__ae", F.lit(0.5), F.col("w")).alias("median_ae"))
+    med = wide_quantiles(df.withColumn("__ae", F.abs(e)), keys, "__ae", {"median_ae": 0.5})
     main = df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"),
         (1 - F.try_divide(F.avg(e * e), F.var_pop(truth))).alias("r2"),

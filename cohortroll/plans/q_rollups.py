@@ -324,7 +324,7 @@ def marker_summary(spark, folder):
 @query("label_confidence_quantiles", f"""WITH {b.CELLS_B} SELECT raw_label, round(quantile_cont(confidence, 0.05), 8) AS q05,
  round(median(confidence), 8) AS q50, round(quantile_cont(confidence, 0.95), 8) AS q95 FROM cells GROUP BY 1""")
 def label_confidence_quantiles(spark, folder):
-    return b.rounded(r.group_quantiles(b.cells_b(spark, folder), ["raw_label"], "confidence",
+    return b.rounded(r.wide_quantiles(b.cells_b(spark, folder), ["raw_label"], "confidence",
                                        {"q05": 0.05, "q50": 0.5, "q95": 0.95}), 8)
 
 
@@ -492,7 +492,7 @@ def error_by_type(spark, folder):
         F.col("l_extendedprice") - F.col("l_quantity") * F.col("p_retailprice")) / 1000).alias("e"))
     base = e.groupBy("p_type").agg(F.count(F.lit(1)).alias("n"), F.avg("e").alias("mean_error"),
                                    F.avg((F.col("e") <= 5).cast("int")).alias("within_5")).where("n >= 50")
-    med = r.group_quantiles(e, ["p_type"], "e", {"median_error": 0.5})
+    med = r.wide_quantiles(e, ["p_type"], "e", {"median_error": 0.5})
     out = base.join(med, "p_type").orderBy("mean_error").limit(4)
     return out.select("p_type", "n", F.round("mean_error", 6).alias("mean_error"),
                       F.round("median_error", 6).alias("median_error"), F.round("within_5", 8).alias("within_5"))
