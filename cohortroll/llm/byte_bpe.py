@@ -18,7 +18,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from cohortroll.llm.common import WordTable, narrow, ragged, small_batches
+from cohortroll.llm.common import WordTable, narrow, ragged, text_slices, texts_of
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -134,12 +134,9 @@ def encode(df: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text:
 
     def run(batches):
         words, _ = codec(path, pattern)
-        for batch in batches:
-            rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
-            for part in small_batches(((i, t or "") for i, t in rows), lambda r: len(r[1])):
-                ids, ends = words.encode_batch([t for _, t in part])
-                keys = pa.array([i for i, _ in part], batch.schema.types[0])
-                yield pa.RecordBatch.from_arrays([keys, ragged(ids, ends)], ["doc_id", "ids"])
+        for batch in text_slices(batches):
+            ids, ends = words.encode_batch(texts_of(batch))
+            yield pa.RecordBatch.from_arrays([batch.column(0), ragged(ids, ends)], ["doc_id", "ids"])
 
     frame = narrow(df, doc_id=doc_id, text=text)
     return frame.mapInArrow(run, f"doc_id {frame.schema['doc_id'].dataType.simpleString()}, ids array<int>")

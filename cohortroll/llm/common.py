@@ -8,6 +8,7 @@ from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,8 +16,8 @@ from pyspark.sql import functions as F
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
 LIST_LIMIT = 100_000  # strings held in one list while a text is cut
-BATCH_CHARS = 4_000_000  # characters that are worked on before their rows are sent on
-KNOWN_WORDS = 500_000  # a worker's word table starts anew beyond so many words ...
+BATCH_CHARS = 2_000_000  # bytes of text that are worked on before their rows are sent on
+KNOWN_WORDS = 350_000  # a worker's word table starts anew beyond so many words ...
 KNOWN_CHARS = 20_000_000  # ... or characters
 
 
@@ -25,18 +26,20 @@ def narrow(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{old}`").alias(new) for new, old in columns.items()])
 
 
-def small_batches(rows: Iterable, size: Callable[[object], int], limit: int = BATCH_CHARS) -> Iterator[list]:
-    """Rows in lists of at most ``limit`` size, or one row."""
-    held, total = [], 0
-    for row in rows:
-        n = size(row)
-        if held and total + n > limit:
-            yield held
-            held, total = [], 0
-        held.append(row)
-        total += n
-    if held:
-        yield held
+def text_slices(batches: Iterable[pa.RecordBatch], column: int = 1, limit: int = BATCH_CHARS) -> Iterator[pa.RecordBatch]:
+    """The rows in batches whose texts have at most ``limit`` bytes, or one row."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + limit, "right")))
+            yield batch.slice(at, to - at)
+            at = to
+
+
+def texts_of(batch: pa.RecordBatch, column: int = 1) -> list[str]:
+    """A text column with null as the empty text."""
+    return [t or "" for t in batch.column(column).to_pylist()]
 
 
 def pieces_of(cut: Callable, text: str) -> Iterator[list[str]]:

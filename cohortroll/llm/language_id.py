@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortroll.llm.common import small_batches
+from cohortroll.llm.common import text_slices, texts_of
 
 PROFILE = 400  # n-grams of a profile and of a document's order
 LANGUAGES = 500  # most languages that a model holds: those with the most n-grams
@@ -116,18 +116,17 @@ def learn(df: DataFrame, text: str = "text", lang: str = "lang") -> Profiles:
                     yield pa.RecordBatch.from_arrays([pa.array([name] * len(part)), pa.array(part), pa.array(counts[k:k + 100_000])], ["lang", "gram", "n"])
             held.clear()
 
-        for batch in batches:
-            rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
-            for part in small_batches(rows, lambda r: len(r[1]), 1_000_000):
-                by_name: dict[str, list] = {}
-                for name, text in part:
-                    by_name.setdefault(name, []).extend(_coded(text) if len(text) <= SLICE else [])
-                    if len(text) > SLICE:
-                        held[name] = _merged(held.get(name), gram_counts(text))
-                for name, grams in by_name.items():
-                    held[name] = _merged(held.get(name), _counted(grams))
-                if sum(len(g) for g, _ in held.values()) > FLUSH:
-                    yield from flushed()
+        for batch in text_slices(batches, limit=1_000_000):
+            by_name: dict[str, list] = {}
+            for name, text in zip(batch.column(0).to_pylist(), texts_of(batch)):
+                if len(text) <= SLICE:
+                    by_name.setdefault(name, []).extend(_coded(text))
+                else:
+                    held[name] = _merged(held.get(name), gram_counts(text))
+            for name, grams in by_name.items():
+                held[name] = _merged(held.get(name), _counted(grams))
+            if sum(len(g) for g, _ in held.values()) > FLUSH:
+                yield from flushed()
         yield from flushed()
 
     rows = df.select(F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{text}`").alias("text")).where("lang is not null and text is not null")
@@ -157,7 +156,7 @@ def identified(text: Column, profiles: Profiles) -> Column:
     def run(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([profiles.identify(t) for t in texts], columns=["lang_pred", "score", "distance"])
 
-    return run(text)
+    return run.asNondeterministic()(text)  # so that no filter on the result evaluates it again
 
 
 def fold(doc_id: Column, folds: int = 3) -> Column:

@@ -170,9 +170,10 @@ def components(edges: DataFrame) -> DataFrame:
         now = keep(small.select("e.a", "e.b").where("a <> b").distinct(), "edges")
 
 
-def grouped(prints: DataFrame) -> DataFrame:
-    """``fp, root`` for the distinct fingerprints that have a link and aren't the smallest of their component."""
-    return components(link_forest(prints))
+def rooted(prints: DataFrame) -> DataFrame:
+    """``fp, root`` for each of the distinct fingerprints ``fp``: the smallest fingerprint of its component."""
+    linked = components(link_forest(prints)).select(F.col("node").alias("fp"), "root")
+    return prints.join(linked, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
 
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -189,8 +190,7 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
 
 def named(rows: DataFrame) -> DataFrame:
     """``fp, component_id`` for each distinct fingerprint of rows ``doc_id, fp``."""
-    prints = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    rooted = prints.join(grouped(prints.select("fp")).withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rooted.join(smallest, "root").select("fp", "component_id")
+    least = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    roots = keep(rooted(least.select("fp")).join(least, "fp"), "roots")
+    smallest = roots.groupBy("root").agg(F.min("least").alias("component_id"))
+    return roots.join(smallest, "root").select("fp", "component_id")

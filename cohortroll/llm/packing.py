@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortroll.llm.common import narrow, small_batches
+from cohortroll.llm.common import narrow, ragged, text_slices, texts_of
 from cohortroll.llm.library_tokens import library_words
 from cohortroll.session import keep
 
@@ -37,22 +37,20 @@ def token_pieces(df: DataFrame, path: str, end_id: int, capacity: int = CAPACITY
 
     def run(batches):
         words = library_words(path, keeps_space=False)
-        for batch in batches:
-            rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
-            for part in small_batches(((i, t or "") for i, t in rows), lambda r: len(r[1])):
-                ids, ends = words.encode_batch([t for _, t in part])
-                ids = np.insert(ids, ends[1:], end_id).astype(np.uint32)
-                bounds = (ends + np.arange(len(ends))).tolist()
-                cuts = [(k, n, a - first, a, min(a + capacity, last)) for k, (first, last) in enumerate(zip(bounds, bounds[1:]))
-                        for n, a in enumerate(range(first, last, capacity))]
-                whole = memoryview(ids.astype("<u4").tobytes())
-                out = [pa.array([part[k][0] for k, *_ in cuts], batch.schema.types[0]),
-                       pa.array([c[1] for c in cuts], pa.int32()), pa.array([c[2] for c in cuts], pa.int64()),
-                       pa.array([b - a for *_, a, b in cuts], pa.int64()),
-                       pa.array([zlib.crc32(whole[4 * a:4 * b]) for *_, a, b in cuts], pa.int64())]
-                if with_ids:
-                    out.append(pa.ListArray.from_arrays([a for *_, a, _ in cuts] + [bounds[-1]], pa.array(ids.astype(np.int32))))
-                yield pa.RecordBatch.from_arrays(out, names)
+        for batch in text_slices(batches):
+            ids, ends = words.encode_batch(texts_of(batch))
+            ids = np.insert(ids, ends[1:], end_id)
+            bounds = (ends + np.arange(len(ends))).tolist()
+            cuts = [(k, n, a - first, a, min(a + capacity, last)) for k, (first, last) in enumerate(zip(bounds, bounds[1:]))
+                    for n, a in enumerate(range(first, last, capacity))]
+            whole = memoryview(ids.astype("<u4").tobytes())
+            out = [batch.column(0).take(pa.array([c[0] for c in cuts])),
+                   pa.array([c[1] for c in cuts], pa.int32()), pa.array([c[2] for c in cuts], pa.int64()),
+                   pa.array([b - a for *_, a, b in cuts], pa.int64()),
+                   pa.array([zlib.crc32(whole[4 * a:4 * b]) for *_, a, b in cuts], pa.int64())]
+            if with_ids:
+                out.append(ragged(ids, np.array([a for *_, a, _ in cuts] + [bounds[-1]])))
+            yield pa.RecordBatch.from_arrays(out, names)
 
     frame = narrow(df, doc_id=doc_id, text=text)
     schema = f"doc_id {frame.schema['doc_id'].dataType.simpleString()}, piece int, start bigint, length bigint, ids_crc32 bigint"

@@ -19,11 +19,12 @@ SPACE = "[\\x20\\x09-\\x0D]+"
 SYMBOLS = "#*$%&|<>"
 
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+NAMES = [*MEASURES, "words", "lines", "windows", "again"]  # of the columns that ``measured`` uses, before the prefix
 
 
 def measured(df: DataFrame, text: Column, prefix: str = "") -> DataFrame:
     """Adds the measures of a text, each under its name with the prefix. A null text counts as one without words."""
-    own = {c: f"{prefix}{c}" for c in ("words", "lines", "windows", "again", *MEASURES)}
+    own = {c: f"{prefix}{c}" for c in NAMES}
     col = lambda c: F.col(f"`{own[c]}`")
     whole = F.coalesce(text, F.lit(""))
     df = df.withColumn(own["words"], F.array_remove(F.split(whole, SPACE), ""))

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cohortroll.llm.common import narrow, ragged, small_batches
+from cohortroll.llm.common import narrow, ragged, text_slices, texts_of
 from cohortroll.llm.library_tokens import library_words
 from cohortroll.session import keep
 
@@ -35,13 +35,10 @@ def encode_documents(df: DataFrame, path: str, end_id: int, doc_id: str = "doc_i
 
     def run(batches):
         words = library_words(path, keeps_space=True)
-        for batch in batches:
-            rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
-            for part in small_batches(((i, t or "") for i, t in rows), lambda r: len(r[1])):
-                ids, ends = words.encode_batch([t for _, t in part])
-                ids = np.insert(ids, ends[1:], end_id)
-                keys = pa.array([i for i, _ in part], batch.schema.types[0])
-                yield pa.RecordBatch.from_arrays([keys, ragged(ids, ends + np.arange(len(ends)))], ["doc_id", "ids"])
+        for batch in text_slices(batches):
+            ids, ends = words.encode_batch(texts_of(batch))
+            ids = np.insert(ids, ends[1:], end_id)
+            yield pa.RecordBatch.from_arrays([batch.column(0), ragged(ids, ends + np.arange(len(ends)))], ["doc_id", "ids"])
 
     frame = narrow(df, doc_id=doc_id, text=text)
     return frame.mapInArrow(run, f"doc_id {frame.schema['doc_id'].dataType.simpleString()}, ids array<int>")
