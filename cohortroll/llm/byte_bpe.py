@@ -18,7 +18,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from cohortroll.llm.common import WordTable, narrow, ragged, text_slices, texts_of
+from cohortroll.llm.common import WordTable, narrow, per_worker, ragged, text_slices, texts_of
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -111,18 +111,17 @@ class MergeReplay:
         return [own if own is not None else flat[slice(*next(bounds))] for own in out]
 
 
-_CODECS: dict[tuple[str, str], tuple] = {}
-
-
 def codec(path: str, pattern: str) -> tuple[WordTable, list[bytes]]:
-    """This worker's word table and token table; both are made once for each worker."""
-    if (path, pattern) not in _CODECS:
+    """This worker's word table and token table."""
+
+    def make():
         replay = MergeReplay(read_ranks(path))
         table = [replay.token.get(i, b"") for i in range(max(replay.token) + 1)]
-        cut = regex.compile(pattern)
-        words = WordTable(cut.findall, lambda new: replay.encode_all([w.encode("utf-8", "replace") for w in new]))
-        _CODECS[path, pattern] = words, table
-    return _CODECS[path, pattern]
+        words = WordTable(
+            regex.compile(pattern).findall, lambda new: replay.encode_all([w.encode("utf-8", "replace") for w in new]))
+        return words, table
+
+    return per_worker(("byte_bpe", path, pattern), make)
 
 
 def encode(df: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+import types
 from collections import defaultdict
 from collections.abc import Callable, Iterable, Iterator
 from itertools import chain, islice
@@ -21,6 +23,18 @@ KNOWN_WORDS = 350_000  # a worker's word table starts anew beyond so many words
 KNOWN_CHARS = 20_000_000  # ... or characters
 
 
+def per_worker(key: tuple, make: Callable[[], object]):
+    """What ``make`` gives, made once for each Python worker.
+
+    This package's functions travel to the workers by value, so their module variables start anew with each task; what is
+    to outlive a task hangs on a module of the worker's own.
+    """
+    store = sys.modules.setdefault("cohortroll_worker", types.ModuleType("cohortroll_worker")).__dict__
+    if key not in store:
+        store[key] = make()
+    return store[key]
+
+
 def narrow(df: DataFrame, **columns: str) -> DataFrame:
     """The named columns under fixed names, so that other columns, whatever their names, never meet an operator's own."""
     return df.select(*[F.col(f"`{old}`").alias(new) for new, old in columns.items()])

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortroll.llm.common import text_slices, texts_of
+from cohortroll.llm.common import per_worker, text_slices, texts_of
 
 PROFILE = 400  # n-grams of a profile and of a document's order
 LANGUAGES = 500  # most languages that a model holds: those with the most n-grams
@@ -24,14 +24,11 @@ FLUSH = 1_000_000  # n-grams that a task holds before it sends them on
 GAP = 1  # stands for whatever isn't a letter
 UNKNOWN = "und"
 
-_LETTERS: list[np.ndarray] = []
-
 
 def _letters() -> np.ndarray:
-    """Whether each code point is a letter; made once for each worker."""
-    if not _LETTERS:
-        _LETTERS.append(np.fromiter((unicodedata.category(chr(c))[0] == "L" for c in range(0x110000)), bool, 0x110000))
-    return _LETTERS[0]
+    """Whether each code point is a letter."""
+    make = lambda: np.fromiter((unicodedata.category(chr(c))[0] == "L" for c in range(0x110000)), bool, 0x110000)
+    return per_worker(("letters",), make)
 
 
 def _counted(parts: list[np.ndarray], weights: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:

@@ -11,7 +11,7 @@ import re
 
 import numpy as np
 
-from cohortroll.llm.common import WHITE, WordTable
+from cohortroll.llm.common import WHITE, WordTable, per_worker
 
 LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
 STOPS = ",.;:!?"
@@ -21,8 +21,6 @@ UNSPACED = re.compile(rf"[{LATIN}]+(?=[ \n{STOPS}]|\Z)|[{STOPS}]+(?=[ \n]|\Z)|[^
 PLAIN = re.compile(rf"[{LATIN}]+")
 AT_ONCE = 500  # plain words that the library gets as one text
 
-_TABLES: dict[tuple[str, bool], WordTable] = {}
-
 
 def _encoder(tokenizer, keeps_space: bool):
     """Encodes distinct parts: plain words many to a text, told apart by the tokens that start or end a word; others singly."""
@@ -54,11 +52,13 @@ def library_words(path: str, keeps_space: bool) -> WordTable:
 
     ``keeps_space``: white space belongs to the word that follows it (byte-level vocabularies); else it is dropped.
     """
-    if (path, keeps_space) not in _TABLES:
+
+    def make():
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on each core
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True
-        _TABLES[path, keeps_space] = WordTable((SPACED if keeps_space else UNSPACED).findall, _encoder(tokenizer, keeps_space))
-    return _TABLES[path, keeps_space]
+        return WordTable((SPACED if keeps_space else UNSPACED).findall, _encoder(tokenizer, keeps_space))
+
+    return per_worker(("library", path, keeps_space), make)

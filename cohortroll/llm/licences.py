@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortroll.llm.common import per_worker
+
 # The base phrases and their labels.
 BASE = {
     "gnu general public license": "gpl",
@@ -111,19 +113,18 @@ def label_of(identifier: str) -> str:
     return FAMILIES[max(starts, key=len)] if starts else small
 
 
-_AUTOMATON: list[ahocorasick.Automaton] = []
-
-
 def automaton() -> ahocorasick.Automaton:
     """This worker's automaton over all phrases, each between spaces: (phrase's length, label, kind)."""
-    if not _AUTOMATON:
+
+    def make():
         a = ahocorasick.Automaton()
         for kind, phrases in (("notice", NOTICES), ("base", BASE), ("tag", {TAG: ""})):
             for phrase, label in phrases.items():
                 a.add_word(f" {phrase} ", (len(phrase) + 2, label, kind))
         a.make_automaton()
-        _AUTOMATON.append(a)
-    return _AUTOMATON[0]
+        return a
+
+    return per_worker(("licences",), make)
 
 
 def scan_text(text: str | None) -> tuple:
