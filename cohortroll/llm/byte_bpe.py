@@ -124,54 +124,68 @@ def codec(path: str, pattern: str) -> tuple[WordTable, list[bytes]]:
     return per_worker(("byte_bpe", path, pattern), make)
 
 
+def encoded_batches(batches, path: str, pattern: str):
+    """``doc_id, ids`` of batches ``doc_id, text``."""
+    words, _ = codec(path, pattern)
+    for batch in text_slices(batches):
+        ids, ends = words.encode_batch(texts_of(batch))
+        yield pa.RecordBatch.from_arrays([batch.column(0), ragged(ids, ends)], ["doc_id", "ids"])
+
+
+def decoded_batches(batches, path: str, pattern: str):
+    """``doc_id, ids, decoded`` of batches ``doc_id, ids``."""
+    _, table = codec(path, pattern)
+    for batch in batches:
+        lists = batch.column(1)
+        texts = [b"".join(map(table.__getitem__, ids)) for ids in _lists(lists)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(texts, pa.binary())], ["doc_id", "ids", "decoded"])
+
+
+def digest_batches(batches):
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of batches ``doc_id, ids, decoded``."""
+    sha = lambda data: hashlib.sha256(data).hexdigest()
+    for batch in batches:
+        ids = list(_lists(batch.column(1)))
+        yield pa.RecordBatch.from_arrays([
+            batch.column(0), pa.array([len(x) for x in ids], pa.int64()),
+            pa.array([sha(" ".join(map(str, x)).encode()) for x in ids], pa.string()),
+            pa.array([sha(x or b"") for x in batch.column(2).to_pylist()], pa.string())], DIGESTS)
+
+
+DIGESTS = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+
+def _lists(column: pa.ListArray):
+    """Each row's numbers as a list; a null row has none."""
+    ends, flat = column.offsets.to_numpy().tolist(), column.values.to_numpy(zero_copy_only=False)
+    return (flat[a:b].tolist() for a, b in zip(ends, ends[1:]))
+
+
+def _kind(frame: DataFrame) -> str:
+    return frame.schema["doc_id"].dataType.simpleString()
+
+
 def encode(df: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, ids array<int>``: the byte-level BPE ids of each text by the rank file at ``path``.
 
     One row per input row, repeated rows included. A null or empty text has no ids; a null id stays null. Texts of any
     length are whole. ``pattern`` cuts a text into the words that merges never join. Other columns are not read.
     """
-
-    def run(batches):
-        words, _ = codec(path, pattern)
-        for batch in text_slices(batches):
-            ids, ends = words.encode_batch(texts_of(batch))
-            yield pa.RecordBatch.from_arrays([batch.column(0), ragged(ids, ends)], ["doc_id", "ids"])
-
     frame = narrow(df, doc_id=doc_id, text=text)
-    return frame.mapInArrow(run, f"doc_id {frame.schema['doc_id'].dataType.simpleString()}, ids array<int>")
+    return frame.mapInArrow(lambda batches: encoded_batches(batches, path, pattern), f"doc_id {_kind(frame)}, ids array<int>")
 
 
 def decode(df: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", ids: str = "ids") -> DataFrame:
     """``doc_id, ids, decoded binary``: the bytes that each row's ids stand for; a null list gives no bytes."""
-
-    def run(batches):
-        _, table = codec(path, pattern)
-        for batch in batches:
-            lists = batch.column(1)
-            ends, flat = lists.offsets.to_numpy().tolist(), lists.values.to_numpy(zero_copy_only=False)
-            bytes_of = table.__getitem__
-            texts = [b"".join(map(bytes_of, flat[a:b].tolist())) for a, b in zip(ends, ends[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(texts, pa.binary())], ["doc_id", "ids", "decoded"])
-
     frame = narrow(df, doc_id=doc_id, ids=ids)
-    kind = frame.schema["doc_id"].dataType.simpleString()
-    return frame.mapInArrow(run, f"doc_id {kind}, ids array<int>, decoded binary")
+    return frame.mapInArrow(lambda batches: decoded_batches(batches, path, pattern), f"doc_id {_kind(frame)}, ids array<int>, decoded binary")
 
 
-def digests(decoded: DataFrame) -> DataFrame:
-    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of decoded rows."""
+def round_trip(df: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Encodes, decodes the ids and gives the digests of both, in one pass through Python; rows as in ``encode``."""
 
     def run(batches):
-        for batch in batches:
-            lists = batch.column(1)
-            ends, flat = lists.offsets.to_numpy().tolist(), lists.values.to_numpy(zero_copy_only=False)
-            counts = np.diff(ends).astype(np.int64)
-            texts = [" ".join(map(str, flat[a:b].tolist())) for a, b in zip(ends, ends[1:])]
-            yield pa.RecordBatch.from_arrays([
-                batch.column(0), pa.array(counts),
-                pa.array([hashlib.sha256(t.encode()).hexdigest() for t in texts]),
-                pa.array([hashlib.sha256(t).hexdigest() for t in batch.column(2).to_pylist()])],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    kind = decoded.schema["doc_id"].dataType.simpleString()
-    return decoded.mapInArrow(run, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+        return digest_batches(decoded_batches(encoded_batches(batches, path, pattern), path, pattern))
+
+    frame = narrow(df, doc_id=doc_id, text=text)
+    return frame.mapInArrow(run, f"doc_id {_kind(frame)}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

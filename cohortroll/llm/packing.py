@@ -28,35 +28,41 @@ GRAIN = 64  # length classes of the patterns
 PATTERN_SIZE = 4  # most documents in a pattern
 
 
+def piece_batches(batches, path: str, end_id: int, capacity: int, with_ids: bool):
+    """Pieces of batches ``doc_id, text``; see ``token_pieces``."""
+    words = library_words(path, keeps_space=False)
+    for batch in text_slices(batches):
+        ids, ends = words.encode_batch(texts_of(batch))
+        ids = np.insert(ids, ends[1:], end_id)
+        bounds = (ends + np.arange(len(ends))).tolist()
+        cuts = [(k, n, a - first, a, min(a + capacity, last)) for k, (first, last) in enumerate(zip(bounds, bounds[1:]))
+                for n, a in enumerate(range(first, last, capacity))]
+        whole = memoryview(ids.astype("<u4").tobytes())
+        out = [batch.column(0).take(pa.array([c[0] for c in cuts])),
+               pa.array([c[1] for c in cuts], pa.int32()), pa.array([c[2] for c in cuts], pa.int64()),
+               pa.array([b - a for *_, a, b in cuts], pa.int64()),
+               pa.array([zlib.crc32(whole[4 * a:4 * b]) for *_, a, b in cuts], pa.int64())]
+        if with_ids:
+            out.append(ragged(ids, np.array([a for *_, a, _ in cuts] + [bounds[-1]])))
+        yield pa.RecordBatch.from_arrays(out, [*PIECE, "ids"][:len(out)])
+
+
+PIECE = ["doc_id", "piece", "start", "length", "ids_crc32"]
+
+
+def piece_schema(frame: DataFrame, with_ids: bool) -> str:
+    kind = frame.schema["doc_id"].dataType.simpleString()
+    return f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids
+
+
 def token_pieces(df: DataFrame, path: str, end_id: int, capacity: int = CAPACITY, with_ids: bool = True, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32`` and, if asked for, ``ids array<int>``: each document's ids, cut.
 
     Ids are the library's, without special tokens, then ``end_id``; a null or empty text is ``end_id`` alone. Only
     documents of over ``capacity`` ids are cut, every ``capacity`` ids. Repeated rows give repeated pieces.
     """
-
-    def run(batches):
-        words = library_words(path, keeps_space=False)
-        for batch in text_slices(batches):
-            ids, ends = words.encode_batch(texts_of(batch))
-            ids = np.insert(ids, ends[1:], end_id)
-            bounds = (ends + np.arange(len(ends))).tolist()
-            cuts = [(k, n, a - first, a, min(a + capacity, last)) for k, (first, last) in enumerate(zip(bounds, bounds[1:]))
-                    for n, a in enumerate(range(first, last, capacity))]
-            whole = memoryview(ids.astype("<u4").tobytes())
-            out = [batch.column(0).take(pa.array([c[0] for c in cuts])),
-                   pa.array([c[1] for c in cuts], pa.int32()), pa.array([c[2] for c in cuts], pa.int64()),
-                   pa.array([b - a for *_, a, b in cuts], pa.int64()),
-                   pa.array([zlib.crc32(whole[4 * a:4 * b]) for *_, a, b in cuts], pa.int64())]
-            if with_ids:
-                out.append(ragged(ids, np.array([a for *_, a, _ in cuts] + [bounds[-1]])))
-            yield pa.RecordBatch.from_arrays(out, names)
-
     frame = narrow(df, doc_id=doc_id, text=text)
-    schema = f"doc_id {frame.schema['doc_id'].dataType.simpleString()}, piece int, start bigint, length bigint, ids_crc32 bigint"
-    schema += ", ids array<int>" * with_ids
-    names = [c.split()[0] for c in schema.split(", ")]
-    return frame.mapInArrow(run, schema)
+    return frame.mapInArrow(lambda batches: piece_batches(batches, path, end_id, capacity, with_ids), piece_schema(frame, with_ids))
 
 
 # --- the plan, on the driver: its size depends on the capacity alone ---
@@ -230,6 +236,21 @@ class Plan:
         return sequence, offset
 
 
+def numbered_batches(batches, length: str, capacity: int, names: tuple[str, str]):
+    """Adds the task's number and each piece's number among the task's pieces of its length, from 0."""
+    seen, part = np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()
+    for batch in batches:
+        n = batch.column(batch.schema.get_field_index(length)).to_numpy(zero_copy_only=False).astype(np.int64)
+        if len(n) and (n.min() < 1 or n.max() > capacity):
+            raise ValueError(f"a length outside 1 to {capacity}")
+        order = np.argsort(n, kind="stable")
+        ordered = n[order]
+        numbers = np.empty_like(n)
+        numbers[order] = seen[ordered] + np.arange(len(n)) - np.searchsorted(ordered, ordered)
+        seen += np.bincount(n, minlength=capacity + 1)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(n), part, np.int32)), pa.array(numbers)], [*batch.schema.names, *names])
+
+
 def pack(pieces: DataFrame, capacity: int = CAPACITY, length: str = "length") -> DataFrame:
     """The pieces' rows with ``sequence_id`` and ``offset``: no sequence holds over ``capacity``, none has a gap.
 
@@ -238,24 +259,29 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, length: str = "length") ->
     once, with their numbers. An empty table gives an empty result.
     """
     own = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
-    task, number = (next(f"_{'_' * k}{c}" for k in range(99) if f"_{'_' * k}{c}" not in own) for c in ("task", "number"))
+    rows = pieces.select(*[F.col(f"`{c}`") for c in own])
+    names = tuple(next(x for k in range(99) if (x := f"_{'_' * k}{c}") not in own) for c in ("task", "number"))
+    ddl = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in rows.schema)
+    numbered = rows.mapInArrow(lambda batches: numbered_batches(batches, length, capacity, names), f"{ddl}, {names[0]} int, {names[1]} bigint")
+    return _placed(numbered, ddl, length, capacity, names)
 
-    def count(batches):
-        seen, part = np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()
-        for batch in batches:
-            n = batch.column(batch.schema.get_field_index(length)).to_numpy(zero_copy_only=False).astype(np.int64)
-            if len(n) and (n.min() < 1 or n.max() > capacity):
-                raise ValueError(f"a length outside 1 to {capacity}")
-            order = np.argsort(n, kind="stable")
-            ordered = n[order]
-            first = np.searchsorted(ordered, ordered)
-            numbers = np.empty_like(n)
-            numbers[order] = seen[ordered] + np.arange(len(n)) - first
-            seen += np.bincount(n, minlength=capacity + 1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(n), part, np.int32)), pa.array(numbers)], [*batch.schema.names, task, number])
-
-    ddl = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in pieces.select(*[F.col(f"`{c}`") for c in own]).schema)
-    held = keep(pieces.select(*[F.col(f"`{c}`") for c in own]).mapInArrow(count, f"{ddl}, {task} int, {number} bigint"), "pieces")
+
+def pack_documents(df: DataFrame, path: str, end_id: int, capacity: int = CAPACITY, with_ids: bool = True, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``pack`` of ``token_pieces``, cut and numbered in one pass through Python."""
+    frame, names = narrow(df, doc_id=doc_id, text=text), ("_task", "_number")
+    ddl = piece_schema(frame, with_ids)
+
+    def run(batches):
+        return numbered_batches(piece_batches(batches, path, end_id, capacity, with_ids), "length", capacity, names)
+
+    return _placed(frame.mapInArrow(run, f"{ddl}, _task int, _number bigint"), ddl, "length", capacity, names)
+
+
+def _placed(numbered: DataFrame, ddl: str, length: str, capacity: int, names: tuple[str, str]) -> DataFrame:
+    """Keeps the numbered pieces, plans from their lengths' counts, and looks up each piece's place."""
+    task, number = names
+    own = [c for c in numbered.columns if c not in names]
+    held = keep(numbered, "pieces")
     counts = held.groupBy(F.col(f"`{length}`").cast("bigint").alias("n"), F.col(task).alias("t")).agg(F.count("*").alias("c"))
     before = Window.partitionBy("n").orderBy("t").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.withColumn("base", F.coalesce(F.sum("c").over(before), F.lit(0)))
@@ -269,5 +295,5 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, length: str = "length") ->
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sequence), pa.array(offset)], [*batch.schema.names[:-1], "sequence_id", "offset"])
 
     based = held.join(bases, (F.col(f"`{length}`") == F.col("n")) & (F.col(task) == F.col("t")))
-    numbered = based.select(*[F.col(f"`{c}`") for c in own], (F.col(number) + F.col("base")).alias(number))
-    return numbered.mapInArrow(place, f"{ddl}, sequence_id bigint, offset bigint")
+    whole = based.select(*[F.col(f"`{c}`") for c in own], (F.col(number) + F.col("base")).alias(number))
+    return whole.mapInArrow(place, f"{ddl}, sequence_id bigint, offset bigint")

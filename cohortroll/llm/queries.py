@@ -27,9 +27,8 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 @query
 def op1_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
-    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    encoded = byte_bpe.encode(table(spark, folder, "documents"), path, pattern)
-    return byte_bpe.digests(byte_bpe.decode(encoded, path, pattern))
+    ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    return byte_bpe.round_trip(table(spark, folder, "documents"), ranks, pattern)
 
 
 @query
@@ -43,9 +42,8 @@ def op2_chat_format(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op3_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
-    pieces = packing.token_pieces(
-        table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1, with_ids=False)
-    return packing.pack(pieces)
+    words = public_tokenizers.path("word_bpe_49k.json")
+    return packing.pack_documents(table(spark, folder, "documents"), words, end_id=1, with_ids=False)
 
 
 @query

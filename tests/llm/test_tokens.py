@@ -1,5 +1,6 @@
 """Encoding, packing and token files against the libraries that they must agree with."""
 
+import hashlib
 import random
 import zlib
 from collections import Counter
@@ -75,8 +76,10 @@ def test_encode_and_decode_rows(spark, reference):
     for k, text in enumerate(texts):
         assert list(out[k].ids) == reference.encode_ordinary(text or "") and bytes(out[k].decoded).decode() == (text or "")
     assert bytes(out[None].decoded) == b"no id"
-    empty = df.limit(0)
-    assert byte_bpe.digests(byte_bpe.decode(byte_bpe.encode(empty, RANKS, PATTERN), RANKS, PATTERN)).count() == 0
+    for r in byte_bpe.round_trip(df, RANKS, PATTERN).collect():
+        assert r.n_tokens == len(out[r.doc_id].ids) and r.decoded_sha256 == hashlib.sha256(bytes(out[r.doc_id].decoded)).hexdigest()
+        assert r.ids_sha256 == hashlib.sha256(" ".join(map(str, out[r.doc_id].ids)).encode()).hexdigest()
+    assert byte_bpe.round_trip(df.limit(0), RANKS, PATTERN).count() == 0
 
 
 @pytest.mark.parametrize("path, keeps_space", [(BYTES, True), (WORDS, False)])
@@ -148,6 +151,8 @@ def test_pieces_and_packs_of_documents(spark):
             end += r.length
         assert end <= 1000
     assert packing.pack(pieces.limit(0), 1000).count() == 0
+    at_once = packing.pack_documents(documents(spark, texts), WORDS, 1, capacity=1000, with_ids=False).collect()
+    assert Counter((r.doc_id, r.piece, r.ids_crc32) for r in at_once) == Counter((r.doc_id, r.piece, r.ids_crc32) for r in rows)
 
 
 def test_token_files(spark):
