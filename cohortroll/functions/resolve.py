@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import DataFrame
@@ -20,7 +19,8 @@ ALIASES: dict[str, tuple[str, ...]] = {
 
 
 def canonical(name: str) -> str:
-    return re.sub(r"[^a-z0-9]", "", str(name).lower())
+    """Letters a-z and digits of the name, in lower case: spellings that differ in nothing else are the same."""
+    return "".join(c for c in str(name).lower() if c.isascii() and c.isalnum())
 
 
 def resolve_column(
@@ -68,18 +68,19 @@ def pick_roles(columns: Sequence[str], configured: Mapping[str, str] | None = No
     return {r: explicit_or_fallback(columns, configured.get(r), ALIASES[r], r) for r in roles}
 
 
-def resolve_covariates(
+def present_covariates(
     columns: Sequence[str], configured: Sequence[str] | None, defaults: Sequence[str] = ()
 ) -> list[str]:
-    """Explicit covariates must all exist, without duplicates; absent defaults are dropped."""
-    requested = list(defaults if configured is None else configured)
-    repeated = sorted({c for c in requested if requested.count(c) > 1})
-    if repeated:
-        raise ValueError(f"covariates listed twice: {repeated}")
-    missing = [c for c in requested if c not in columns]
-    if configured is not None and missing:
-        raise KeyError(f"configured covariates are missing: {missing}")
-    return [c for c in requested if c in columns]
+    """The model's covariates in order. A configured list is taken at its word, so each must exist; of
+    the defaults those that exist are used. Neither may name one twice."""
+    found: dict[str, bool] = {}
+    for name in defaults if configured is None else configured:
+        if name in found:
+            raise ValueError(f"covariate {name!r} is listed more than once")
+        found[name] = name in columns
+    if configured is not None and not all(found.values()):
+        raise KeyError(f"no column for covariates {[name for name, there in found.items() if not there]}")
+    return [name for name, there in found.items() if there]
 
 
 def standardise_headers(

@@ -152,6 +152,6 @@ def scenario_code(adjust: Column, drop_sparse: Column, min_cells: Column) -> Col
 
 
 def hash_int(*parts: str | Column) -> Column:
-    """First eight hex digits of md5 as a number: the same draw on any engine and any layout."""
+    """First 15 hex digits of md5 as a number: the same draw on any engine and any layout."""
     text = F.concat_ws("|", *[(_c(p)).cast("string") for p in parts])
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")

@@ -344,11 +344,25 @@ def mixed_model(weighted: DataFrame, x: Sequence[str], value: str, weight: str,
     return out.withColumn("p_value", t_two_sided("t_value", "residual_df"))
 
 
+def kept_libraries(profiles: DataFrame, sums: DataFrame, genes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Profiles and counts after the gene filter of each cell type.
+
+    A gene counts only in the types that keep it, and a library is the sum of its kept counts. Profiles
+    that are left without a count drop out.
+    """
+    typed = sums.join(profiles.select("profile_id", "cell_type"), "profile_id")
+    kept = typed.join(genes.select("cell_type", "gene_id"), ["cell_type", "gene_id"], "left_semi").select(*sums.columns)
+    library = kept.groupBy("profile_id").agg(F.sum("count").alias("library_size")).where("library_size > 0")
+    return profiles.drop("library_size").join(library, "profile_id"), kept
+
+
 def prepare_expression(profiles: DataFrame, sums: DataFrame, covariates: Sequence[str]):
     """Filtered, normalised and dense log-CPM with the design columns; the last is age per decade."""
     profiles, sums = keep(profiles, "profiles"), keep(sums, "sums")
     genes = keep(expressed_genes(profiles, sums, leverage_sample_size(profiles, covariates)), "genes")
-    factors = tmm_factors(profiles, sums.join(genes.select("gene_id").distinct(), "gene_id", "left_semi"))
+    profiles, sums = kept_libraries(profiles, sums, genes)
+    profiles, sums = keep(profiles, "profiles"), keep(sums, "sums")
+    factors = tmm_factors(profiles, sums)
     ready = profiles.join(factors.select("profile_id", "norm_factor"), "profile_id")
     d, x, groups = indicator_columns(age_terms(ready, ["cell_type"]), covariates)
     dense = keep(log_cpm(dense_counts(d, sums, genes)), "dense")
@@ -378,15 +392,22 @@ def quasi_poisson(dense: DataFrame, keys: Sequence[str], x: Sequence[str], group
     return out.withColumn("p_value", f_upper("f_statistic", F.lit(1.0), F.col("residual_df").cast("double")))
 
 
-def robustness_scenarios(profiles: DataFrame, high_cells: int, batches: Sequence[str]) -> DataFrame:
-    """Each profile under each scenario that keeps it: high cell support, one covariate dropped, one
-    batch left out. ``use_sex`` and ``use_batch`` say which covariates the scenario's model has."""
-    items = [("high_cell_support", "cell_support", True, True, ""), ("drop_sex", "covariate", False, True, ""),
-             ("drop_batch", "covariate", True, False, "")]
-    items += [(f"leave_out_{v}", "leave_one_batch_out", True, True, v) for v in batches]
-    listed = F.array(*[F.struct(F.lit(a).alias("scenario_id"), F.lit(b).alias("scenario_type"), F.lit(c).alias("use_sex"),
-                                F.lit(d).alias("use_batch"), F.lit(e).alias("excluded_batch")) for a, b, c, d, e in items])
-    rows = profiles.select("*", F.inline(listed))
+def robustness_scenarios(profiles: DataFrame, high_cells: int) -> DataFrame:
+    """Each profile under each scenario that keeps it: high cell support, one covariate dropped, each
+    batch left out. ``use_sex`` and ``use_batch`` say which covariates the scenario's model has.
+
+    The result has a row per profile and batch, so the list of all batches, a scalar subquery, is never
+    longer than what one profile unfolds to. A profile without a batch is in no scenario.
+    """
+    def scenario(name, kind, sex, batch, excluded):
+        return F.struct(name.alias("scenario_id"), F.lit(kind).alias("scenario_type"), F.lit(sex).alias("use_sex"),
+                        F.lit(batch).alias("use_batch"), excluded.alias("excluded_batch"))
+
+    fixed = F.array(*[scenario(F.lit(name), kind, sex, batch, F.lit("")) for name, kind, sex, batch in (
+        ("high_cell_support", "cell_support", True, True), ("drop_sex", "covariate", False, True), ("drop_batch", "covariate", True, False))])
+    batches = profiles.agg(F.array_sort(F.collect_set(F.col("batch").cast("string"))).alias("b")).scalar()
+    left_out = F.transform("__batches", lambda v: scenario(F.concat(F.lit("leave_out_"), v), "leave_one_batch_out", True, True, v))
+    rows = profiles.withColumn("__batches", batches).select(*profiles.columns, F.inline(F.concat(fixed, left_out)))
     return rows.where((F.col("scenario_id") != "high_cell_support") | (F.col("n_cells") >= high_cells)).where(
         F.col("batch") != F.col("excluded_batch"))
 

@@ -22,13 +22,17 @@ ONE_FAMILY = "__all"
 def order_bucket(value: Column, parts: int = 256) -> Column:
     """Bucket number that never decreases with the value: octave of the size, then ``parts`` steps.
 
-    Depends on the value alone, so a recomputed task always gives the same buckets.
+    Depends on the value alone, so a recomputed task always gives the same buckets. Infinities have the
+    first and last bucket of numbers; NaN, which Spark orders last, has one beyond.
     """
-    size = F.abs(value.cast("double"))
+    number = value.cast("double")
+    size = F.abs(number)
     octave = F.floor(F.log2(size))
     step = F.floor((size / F.pow(F.lit(2.0), octave) - 1) * parts)
     key = (octave + 1100) * parts + step
-    return F.when(size == 0, F.lit(0)).otherwise(F.signum(value) * key).cast("bigint")
+    end = F.lit(1 << 60)
+    return (F.when(F.isnan(number), end + 1).when(number == float("inf"), end).when(number == float("-inf"), -end)
+            .when(size == 0, F.lit(0)).otherwise((F.signum(value) * key).cast("bigint")).cast("bigint"))
 
 
 def _family(df: DataFrame, family: Sequence[str]) -> tuple[DataFrame, list[str]]:
@@ -106,7 +110,7 @@ def bh_fdr(df: DataFrame, p: str, outputs: dict[str, Sequence[str]] | None = Non
     itself, not from each other's results.
     """
     base = df.withColumn(ONE_FAMILY, F.lit(0)).withColumn(
-        "__p", F.when(~F.isnan(p) & F.col(p).isNotNull(), F.col(p).cast("double")))
+        "__p", F.when(~F.isnan(p) & (F.abs(p) != float("inf")), F.col(p).cast("double")))
     result = base
     for out, family in (outputs or {"fdr": ()}).items():
         fam = list(family) or [ONE_FAMILY]
@@ -181,9 +185,13 @@ def sorted_position(df: DataFrame, order: Sequence[str | Column], out: str = "po
 
 
 def earliest_per_group(df: DataFrame, group: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """First row per group by ``order``: a mergeable minimum, so a hot group is not one sort."""
+    """First row per group by ``order``: a mergeable minimum, so a hot group is not one sort.
+
+    An unknown value never wins over a known one: null comes last in each order column, NaN before it.
+    """
     rest = [c for c in df.columns if c not in group and c not in order]
-    best = F.min(F.struct(*order, *rest)).alias("__best")
+    keys = [k for i, c in enumerate(order) for k in (F.col(c).isNull().alias(f"__null{i}"), F.col(c))]
+    best = F.min(F.struct(*keys, *rest)).alias("__best")
     return df.groupBy(*group).agg(best).select(
         *[F.col(g) if g in group else F.col(f"__best.{g}").alias(g) for g in df.columns])
 

@@ -141,11 +141,11 @@ def nested_ridge(rows: DataFrame, subject: str, outer: int = 5, inner: int = 3,
     """Candidate predictions for each alpha, plus the nested model that picks its alpha per outer
     fold by inner error. Input: subject, sample_unit_id, cell_type, age, vec (one row per profile)."""
     rows = keep(with_folds(rows, subject, outer, inner), "folds")
-    first = rows.agg(F.max(F.size("vec")).alias("w"), F.array_sort(F.collect_set(F.col("cell_type").cast("string")))
-                     .alias("t")).first()
-    width, types = first["w"], list(first["t"])
-    if len(types) > max_types:
-        raise ValueError(f"{len(types)} types are too many for one-hot columns")
+    first = rows.agg(F.max(F.size("vec")).alias("w"), F.count_distinct("cell_type").alias("n")).first()
+    if first["n"] > max_types:
+        raise ValueError(f"{first['n']} types are too many for one-hot columns")
+    width = first["w"]
+    types = list(rows.agg(F.array_sort(F.collect_set(F.col("cell_type").cast("string")))).first()[0])
     fits = keep(ridge_fits(rows, types, width, outer, inner, alphas), "fits")
     preds = keep(ridge_predictions(rows, fits, types), "predictions")
     err = preds.where("fit_inner >= 0").groupBy("fit_outer", "alpha").agg(

@@ -86,11 +86,15 @@ def library_sizes(counts: DataFrame, cells: DataFrame) -> DataFrame:
 
 
 def remove_doublets(cells: DataFrame, scores: DataFrame, threshold: float,
-                    min_cells: int = 200) -> DataFrame:
-    """Drops cells called doublets whose score gap passes the threshold; small sets stay whole."""
+                    min_cells: int | None = None) -> DataFrame:
+    """Drops cells called doublets whose score gap passes the threshold.
+
+    With ``min_cells``, a set of fewer cells stays whole, as its scores had too little to learn from.
+    """
     bad = scores.where(F.col("is_doublet") & (F.col("doublet") - F.col("singlet") > threshold))
-    size = cells.agg(F.count(F.lit(1)).alias("n"))
-    bad = bad.where(size.scalar() >= min_cells).select("cell_id")
+    if min_cells is not None:
+        bad = bad.where(cells.agg(F.count(F.lit(1)).alias("n")).scalar() >= min_cells)
+    bad = bad.select("cell_id")
     return cells.join(bad, "cell_id", "left_anti")
 
 

@@ -49,6 +49,25 @@ def expressed_genes(spark, folder):
     return ex.expressed_genes(profiles, sums, ex.leverage_sample_size(profiles, []))
 
 
+KEPT_SQL = """l AS (SELECT cell_type, 1 / max(1.0 / n + x * x / sxx) AS n0 FROM xp JOIN (SELECT cell_type, count(*) AS n, sum(x * x) AS sxx FROM xp
+ GROUP BY 1) USING (cell_type) GROUP BY 1), m AS (SELECT cell_type, 10 / median(library_size) * 1e6 AS cutoff FROM profiles GROUP BY 1), g AS (SELECT
+ p.cell_type, gene_id, count(*) FILTER (count * 1e6 / library_size >= cutoff) AS n_above, sum(count)::BIGINT AS total FROM sums JOIN profiles p USING
+ (profile_id) JOIN m ON m.cell_type = p.cell_type GROUP BY ALL), kg AS (SELECT g.cell_type, gene_id FROM g JOIN l USING (cell_type) WHERE n_above >= CASE
+ WHEN n0 > 10 THEN 10 + (n0 - 10) * 0.7 ELSE n0 END AND total >= 15), ks AS (SELECT profile_id, cell_type, gene_id, count FROM sums JOIN profiles USING
+ (profile_id) JOIN kg USING (cell_type, gene_id)), kl AS (SELECT profile_id, sum(count)::BIGINT AS library_size FROM ks GROUP BY 1)"""
+
+
+@query("filtered_log_cpm", f"""WITH {PROFILE_SQL}, {KEPT_SQL} SELECT profile_id, cell_type, gene_id, count, kl.library_size, round(log2((count + 0.5) /
+ (kl.library_size + 1) * 1e6), 8) AS log_cpm FROM ks JOIN kl USING (profile_id)""")
+def filtered_log_cpm(spark, folder):
+    """Log-CPM of the counts that pass the gene filter of their type, by libraries of those counts."""
+    profiles, sums = inputs(spark, folder)
+    genes = ex.expressed_genes(profiles, sums, ex.leverage_sample_size(profiles, []))
+    profiles, kept = ex.kept_libraries(profiles, sums, genes)
+    rows = kept.join(profiles.select("profile_id", "cell_type", "library_size"), "profile_id").withColumn("norm_factor", F.lit(1.0))
+    return ex.log_cpm(rows).select("profile_id", "cell_type", "gene_id", "count", "library_size", F.round("log_cpm", 8).alias("log_cpm"))
+
+
 TMM_SQL = """s AS (SELECT profile_id, cell_type, library_size AS lib, gene_id, count FROM sums JOIN profiles USING (profile_id)), gn AS (SELECT DISTINCT
  cell_type, gene_id FROM s), q AS (SELECT p.profile_id, p.cell_type, quantile_cont(coalesce(count, 0), 0.75) / any_value(p.library_size) AS q FROM profiles p
  JOIN gn ON gn.cell_type = p.cell_type LEFT JOIN sums ON sums.profile_id = p.profile_id AND sums.gene_id = gn.gene_id GROUP BY ALL), r AS (SELECT cell_type,
@@ -113,8 +132,7 @@ def quasi_poisson_gene_models(spark, folder):
  WHERE (scenario_id <> 'high_cell_support' OR n_cells >= 3) AND batch <> excluded_batch GROUP BY ALL""")
 def robustness_scenarios(spark, folder):
     profiles, _ = inputs(spark, folder)
-    batches = [r[0] for r in profiles.select("batch").distinct().orderBy("batch").limit(1001).collect()]
-    out = ex.robustness_scenarios(profiles, 3, batches)
+    out = ex.robustness_scenarios(profiles, 3)
     return out.groupBy("scenario_id", "scenario_type", "excluded_batch", "cell_type").agg(F.count(F.lit(1)).alias("n_profiles"))
 
 
@@ -124,7 +142,6 @@ def robustness_refits(spark, folder):
     profiles, sums = inputs(spark, folder)
     dense, x, groups = ex.prepare_expression(profiles, sums, ["sex", "batch"])
     primary = keep(ex.quasi_poisson(dense, ["cell_type", "gene_id"], x, groups), "primary")
-    batches = [r[0] for r in profiles.select("batch").distinct().orderBy("batch").limit(1001).collect()]
-    scenarios = ex.robustness_scenarios(profiles, 3, batches)
+    scenarios = ex.robustness_scenarios(profiles, 3)
     cols = [[x[i] for i in g] for g in groups]
     return ex.scenario_models(dense, scenarios, primary.where("p_value < 0.25"), x, groups, cols[0], cols[1])

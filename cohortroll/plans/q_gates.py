@@ -67,7 +67,8 @@ def identity_gate(spark, folder):
 @query("identity_fingerprint", """WITH b1 AS (SELECT (pos - 1) // 4096 AS blk, sha256(string_agg(event_id::VARCHAR, chr(10) ORDER BY pos))
  AS h FROM (SELECT event_id, row_number() OVER (ORDER BY event_id) AS pos FROM events) GROUP BY 1), b2 AS (SELECT blk // 4096 AS blk,
  sha256(string_agg(h, chr(10) ORDER BY blk)) AS h FROM b1 GROUP BY 1), b3 AS (SELECT blk // 4096 AS blk, sha256(string_agg(h, chr(10)
- ORDER BY blk)) AS h FROM b2 GROUP BY 1) SELECT sha256(string_agg(h, chr(10) ORDER BY blk)) AS fingerprint FROM b3""")
+ ORDER BY blk)) AS h FROM b2 GROUP BY 1), n AS (SELECT (SELECT count(*) FROM b1) AS n1, (SELECT count(*) FROM b2) AS n2) SELECT CASE WHEN n1 = 0 THEN
+ sha256('') WHEN n1 = 1 THEN (SELECT max(h) FROM b1) WHEN n2 = 1 THEN (SELECT max(h) FROM b2) ELSE (SELECT max(h) FROM b3) END AS fingerprint FROM n""")
 def identity_fingerprint(spark, folder):
     ids = sorted_position(b.table(spark, folder, "events").select("event_id"), ["event_id"])
     return g.identity_fingerprint(ids, "position", "event_id")

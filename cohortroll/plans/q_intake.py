@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cohortroll.functions import scalar as s
 from cohortroll.functions.resolve import (
-    pick_roles, require_columns, require_disjoint_lists, resolve_covariates, standardise_headers)
+    pick_roles, require_columns, require_disjoint_lists, present_covariates, standardise_headers)
 from cohortroll.operators import qc
 from cohortroll.operators.ordering import sorted_position
 from cohortroll.operators.rollup import profile_table, pseudobulk_sums
@@ -186,7 +186,7 @@ def role_columns(spark, folder):
     cells = cells.withColumnsRenamed({"donor_age": "age_years"})
     cells = standardise_headers(cells)
     roles = pick_roles(cells.columns)
-    covariates = resolve_covariates(cells.columns, [roles["sex"], "batch"])
+    covariates = present_covariates(cells.columns, [roles["sex"], "batch"])
     require_disjoint_lists(["click", "view"], ["error"])
     return b.rounded(cells.groupBy(roles["sample_unit_id"], *covariates).agg(
         F.count(F.lit(1)).alias("n_cells"), F.max(roles["age"]).alias("age")))
@@ -399,9 +399,18 @@ def gene_dispersion(spark, folder):
     return out.select("gene_id", F.round("mean", 8).alias("mean"), F.round("variance", 6).alias("variance"))
 
 
-@query("variable_genes")
+@query("variable_genes", f"""WITH {b.COUNTS_B}, n AS (SELECT count(*)::DOUBLE AS n FROM orders), d AS (SELECT gene_id, sum(count) / any_value(n) AS mean,
+ (sum(count * count)::DOUBLE - sum(count)::DOUBLE * sum(count) / any_value(n)) / (any_value(n) - 1) AS variance FROM counts, n GROUP BY gene_id), g AS (SELECT *,
+ log10(mean) AS x, log10(variance) AS y FROM d WHERE variance > 0), c AS (SELECT *, x - avg(x) OVER () AS u FROM g), w AS (SELECT *, u * u - (sum(u * u * u)
+ OVER () / sum(u * u) OVER ()) * u - avg(u * u) OVER () AS q FROM c), f AS (SELECT avg(y) AS y0, sum(u * y) / sum(u * u) AS b1, sum(q * y) / sum(q * q) AS b2
+ FROM w), t AS (SELECT gene_id, mean, variance, sqrt(10 ** (y0 + b1 * u + b2 * q)) AS sd FROM w, f), z AS (SELECT gene_id, mean, variance, sd, n, sum(least((count
+ - mean) / sd, sqrt(n)) ** 2) AS z2, count(*) AS k FROM counts JOIN t USING (gene_id), n GROUP BY ALL), s AS (SELECT gene_id, mean, variance, (z2 + (n - k) *
+ (mean / sd) ** 2) / (n - 1) AS v FROM z) SELECT gene_id, round(mean, 8) AS mean, round(variance, 6) AS variance, round(v, 6) AS standardised_variance FROM s
+ ORDER BY v DESC, gene_id LIMIT 200""")
 def variable_genes(spark, folder):
-    return qc.variable_genes(b.counts_b(spark, folder), b.cells_b(spark, folder).select("cell_id"), 200)
+    out = qc.variable_genes(b.counts_b(spark, folder), b.cells_b(spark, folder).select("cell_id"), 200)
+    return out.select("gene_id", F.round("mean", 8).alias("mean"), F.round("variance", 6).alias("variance"),
+                      F.round("standardised_variance", 6).alias("standardised_variance"))
 
 
 @query("count_matrix_scan", f"""WITH {b.COUNTS_B} SELECT count(*) AS n_entries, 0::BIGINT AS n_non_finite,

@@ -11,7 +11,7 @@ from cohortroll.plans.registry import query
 
 
 def hash_sql(*parts: str) -> str:
-    return f"('0x' || substr(md5({" || '|' || ".join(parts)}), 1, 8))::BIGINT"
+    return f"('0x' || substr(md5({" || '|' || ".join(parts)}), 1, 15))::BIGINT"
 
 
 GROUP_SQL = f"""{b.CELLS_A}, g AS (SELECT sample_unit_id, cell_type, count(*) AS size, sum(k)::BIGINT AS w FROM cells

@@ -3,19 +3,19 @@ from pyspark.sql import functions as F
 
 from cohortroll.operators import contracts as c
 from cohortroll.operators import joins as j
-from cohortroll.operators.ordering import bh_fdr, earliest_per_group, order_bucket, sorted_position
+from cohortroll.operators.ordering import average_rank, bh_fdr, earliest_per_group, order_bucket, running_counts, sorted_position
 from cohortroll.operators.rollup import sample_fractions
 from cohortroll.plans.q_gates import METHODS
 
 
 def test_structural_zeros_and_fractions(spark):
     cells = spark.createDataFrame(
-        [("d1", "s1", 30, "A"), ("d1", "s1", 30, "A"), ("d2", "s2", 50, "A"), ("d2", "s2", 50, "B"), ("d2", "s2", 50, "B")],
+        [("u7", "p", 41, "K")] * 3 + [("u8", "q", 63, "K"), ("u9", "q", 64, "L")] + [("u9", "q", 64, "M")] * 4,
         "sample_unit_id string, subject_id string, age int, cell_type string")
     rows = {(r.sample_unit_id, r.cell_type): r for r in sample_fractions(cells, min_cells=1).collect()}
-    assert len(rows) == 4
-    assert rows["d1", "B"].n_cells == 0 and rows["d1", "B"].fraction == 0
-    assert rows["d2", "B"].fraction == pytest.approx(2 / 3)
+    assert len(rows) == 9  # three samples by three types
+    assert {k for k, r in rows.items() if r.n_cells == 0} == {("u7", "L"), ("u7", "M"), ("u8", "L"), ("u8", "M"), ("u9", "K")}
+    assert rows["u8", "L"].fraction == 0 and rows["u9", "M"].fraction == pytest.approx(0.8) and rows["u7", "K"].fraction == 1
 
 
 def test_denominator_keeps_nonprimary_cells(spark):
@@ -26,10 +26,21 @@ def test_denominator_keeps_nonprimary_cells(spark):
 
 
 def test_bh_matches_known_values_and_skips_missing(spark):
-    df = spark.createDataFrame([(0, 0.01), (1, 0.04), (2, 0.03), (3, 0.002), (4, None), (5, float("nan"))], "i int, p double")
+    # Four p values and their adjusted values.
+    bad = [None, float("nan"), float("inf"), float("-inf")]
+    df = spark.createDataFrame([(0, 0.01), (1, 0.04), (2, 0.03), (3, 0.002), *enumerate(bad, 4)], "i int, p double")
     got = {r.i: r.fdr for r in bh_fdr(df, "p").collect()}
     assert [got[i] for i in range(4)] == pytest.approx([0.02, 0.04, 0.04, 0.008])
-    assert got[4] is None and got[5] is None
+    assert [got[i] for i in range(4, 8)] == [None] * 4
+
+
+def test_ranks_and_quantiles_take_any_number(spark):
+    values = [float("-inf"), -2.5, 0.0, 0.0, 7.0, float("inf"), float("nan"), float("nan"), None]
+    df = spark.createDataFrame(list(enumerate(values)), "i int, v double").withColumn("g", F.lit("all"))
+    got = {r.i: r.k for r in average_rank(df, "v", ["g"], "k").collect()}
+    assert [got[i] for i in range(9)] == [1, 2, 3.5, 3.5, 5, 6, 7.5, 7.5, None]
+    counts = {r.n_total for r in running_counts(df, "v", ["g"]).collect()}
+    assert counts == {8}
 
 
 def test_order_bucket_is_monotone(spark):
@@ -40,10 +51,11 @@ def test_order_bucket_is_monotone(spark):
 
 
 def test_earliest_sample_rule(spark):
-    df = spark.createDataFrame([("S1", "B", 30), ("S1", "A", 30), ("S2", "D", 51), ("S2", "C", 50), ("S3", "E", 60), ("S4", "F", 70)],
-                               "subject_id string, sample_unit_id string, age int")
-    got = {r.sample_unit_id for r in earliest_per_group(df, ["subject_id"], ["age", "sample_unit_id"]).collect()}
-    assert got == {"A", "C", "E", "F"}
+    rows = [("x", "w3", 44.5), ("x", "w1", 44.5), ("x", "w2", 47.0), ("y", "w9", None), ("y", "w8", 29.0), ("y", "w7", float("nan")),
+            ("z", "w5", None), ("z", "w4", None), ("v", None, 18.0), ("v", "w6", 18.0)]
+    df = spark.createDataFrame(rows, "subject_id string, sample_unit_id string, age double")
+    got = {r.subject_id: (r.sample_unit_id, r.age) for r in earliest_per_group(df, ["subject_id"], ["age", "sample_unit_id"]).collect()}
+    assert got == {"x": ("w1", 44.5), "y": ("w8", 29.0), "z": ("w4", None), "v": ("w6", 18.0)}
 
 
 def test_sorted_position_is_dense(spark):
@@ -53,17 +65,17 @@ def test_sorted_position_is_dense(spark):
 
 
 def test_metadata_join_contract(spark):
-    left = spark.createDataFrame([("cell_b",), ("cell_a",)], "cell_id string")
-    right = spark.createDataFrame([("cell_b", 60), ("cell_a", 30), ("cell_a", 30)], "cell_id string, age int")
+    left = spark.createDataFrame([("k3",), ("k1",), ("k2",), ("k1",)], "cell_id string")
+    right = spark.createDataFrame([("k2", 19)] * 3 + [("k1", 77), ("k3", 51), ("k9", 60)], "cell_id string, age int")
     clean = j.collapse_exact_duplicates(right)
-    got = {r.cell_id: (r.age, r.metadata_matched) for r in j.many_to_one_left(left, clean, "cell_id").collect()}
-    assert got == {"cell_a": (30, True), "cell_b": (60, True)}
-    clash = spark.createDataFrame([("cell_a", 30), ("cell_a", 31)], "cell_id string, age int")
+    got = sorted((r.cell_id, r.age, r.metadata_matched) for r in j.many_to_one_left(left, clean, "cell_id").collect())
+    assert got == [("k1", 77, True), ("k1", 77, True), ("k2", 19, True), ("k3", 51, True)]
+    clash = spark.createDataFrame([("k2", 19), ("k2", 20), ("k1", 77), ("k3", 51)], "cell_id string, age int")
     assert j.conflicting_keys(clash, "cell_id").count() == 1
     with pytest.raises(c.ContractError):
         j.many_to_one_left(left, clash, "cell_id")
     with pytest.raises(c.ContractError):
-        j.many_to_one_left(left, clean.where("age = 60"), "cell_id")
+        j.many_to_one_left(left, clean.where("age > 50"), "cell_id")
 
 
 def test_unit_mapping_reports_missing_rows(spark):
@@ -99,3 +111,19 @@ def test_mapping_attaches_only_primary(spark):
 
 def test_method_list_is_unique():
     assert len({m for m, _, _ in METHODS}) == len(METHODS)
+
+
+def test_fingerprint_folds_until_one_block_is_left(spark):
+    from hashlib import sha256
+
+    from cohortroll.operators.gates import identity_fingerprint
+
+    def by_hand(values):
+        while True:
+            values = [sha256("\n".join(values[k:k + 4096]).encode()).hexdigest() for k in range(0, max(len(values), 1), 4096)]
+            if len(values) == 1:
+                return values[0]
+
+    for n in (0, 1, 4096, 4097, 9000):
+        ids = spark.range(1, n + 1).select(F.col("id").alias("p"), F.concat(F.lit("c"), "id").alias("v"))
+        assert identity_fingerprint(ids, "p", "v").first()[0] == by_hand([f"c{k}" for k in range(1, n + 1)])

@@ -83,11 +83,11 @@ def test_exchangeable_gee_matches_matrix_form(spark, family):
 
 
 def test_independent_glm_direction_and_rank_status(spark):
-    ages, score = [30, 40, 50, 60, 70, 80], [0.1, 0.2, 0.25, 0.4, 0.5, 0.55]
-    pdf = pd.DataFrame({"cell_type": "T", "sample_unit_id": [f"s{i}" for i in range(6)], "age": [float(a) for a in ages],
-                        "y": score, "sex": list("FFFMMM"), "batch": list("aaabbb")})
+    ages, score = [25.0, 35.0, 45.0, 55.0, 65.0, 75.0, 85.0, 95.0], [7.0, 6.5, 6.5, 5.0, 5.5, 4.0, 3.5, 3.0]
+    pdf = pd.DataFrame({"cell_type": "W", "sample_unit_id": [f"v{i}" for i in range(8)], "age": ages,
+                        "y": score, "sex": list("MMMMFFFF"), "batch": list("ppppqqqq")})
     got = independent_glm(spark.createDataFrame(pdf), ["cell_type"], "y", [], family="gaussian", weight=None).first()
-    assert got.effect_per_10y > 0 and got.status == "completed"
+    assert got.effect_per_10y == pytest.approx(np.polyfit(np.array(ages) / 10, score, 1)[0]) and got.status == "completed"
     bad = independent_glm(spark.createDataFrame(pdf), ["cell_type"], "y", ["sex", "batch"], family="gaussian", weight=None).first()
     assert bad.status == "non_estimable_rank_deficient" and bad.effect_per_10y is None
 
@@ -200,10 +200,25 @@ def test_seeded_take_is_exact_and_repeatable(spark):
 
 
 def test_cluster_bootstrap_is_repeatable(spark):
-    df = spark.createDataFrame([(30.0, 32.0, "S1"), (31.0, 32.0, "S1"), (50.0, 48.0, "S2"), (70.0, 68.0, "S3"), (71.0, 69.0, "S3")],
-                               "t double, p double, s string")
-    a, b = (cluster_bootstrap(df.repartition(k), "s", "t", "p", 50, 0.9, 1).first() for k in (1, 3))
-    assert a == b and a.mae_ci_low <= a.mae_ci_high and math.isfinite(a.mae_ci_high)
+    rows = [(20.0 + 6 * k, 20.0 + 6 * k + (-1) ** k * (k % 4), f"p{k % 7}") for k in range(14)]
+    df = spark.createDataFrame(rows, "t double, p double, s string")
+    a, b = (cluster_bootstrap(df.repartition(k), "s", "t", "p", 60, 0.9, 5).first() for k in (1, 3))
+    assert a == b and 0 <= a.mae_ci_low < a.mae_ci_high <= 3
+
+
+def test_every_batch_has_its_scenario(spark):
+    rows = spark.range(1200).select(F.col("id").alias("profile_id"), F.concat(F.lit("b"), "id").alias("batch"), F.lit(5).alias("n_cells"))
+    out = ex.robustness_scenarios(rows.limit(3).unionByName(rows), 3)
+    assert out.select("scenario_id").distinct().count() == 1203
+
+
+def test_a_gene_counts_only_in_the_types_that_keep_it(spark):
+    profiles = spark.createDataFrame([("p", "A", 30), ("q", "B", 30), ("r", "B", 4)], "profile_id string, cell_type string, library_size long")
+    sums = spark.createDataFrame([("p", "g", 10), ("p", "h", 20), ("q", "g", 13), ("q", "h", 17), ("r", "h", 4)], "profile_id string, gene_id string, count long")
+    genes = spark.createDataFrame([("A", "g"), ("A", "h"), ("B", "g")], "cell_type string, gene_id string")
+    ready, kept = ex.kept_libraries(profiles, sums, genes)
+    assert {r.profile_id: r.library_size for r in ready.collect()} == {"p": 30, "q": 13}
+    assert {(r.profile_id, r.gene_id) for r in kept.collect()} == {("p", "g"), ("p", "h"), ("q", "g")}
 
 
 def test_voom_moderation_on_simulated_counts(spark):

@@ -24,11 +24,13 @@ def test_column_resolution_order_and_errors():
     assert resolve.resolve_column(["a"], "b") is None
     with pytest.raises(KeyError):
         resolve.explicit_or_fallback(["age"], "donor", ["age"], "subject")
-    assert resolve.resolve_covariates(["sex"], None, ["sex", "batch"]) == ["sex"]
-    with pytest.raises(KeyError):
-        resolve.resolve_covariates(["sex"], ["sex", "batch"])
-    with pytest.raises(ValueError):
-        resolve.resolve_covariates(["sex"], ["sex", "sex"])
+    assert resolve.present_covariates(["site", "smoker"], None, ["smoker", "bmi", "site"]) == ["smoker", "site"]
+    assert resolve.present_covariates(["site", "smoker"], [], ["site"]) == []
+    with pytest.raises(KeyError, match="bmi"):
+        resolve.present_covariates(["site"], ["site", "bmi"])
+    for configured, defaults in ((["site", "site"], ()), (None, ["site", "site"])):
+        with pytest.raises(ValueError):
+            resolve.present_covariates(["site"], configured, defaults)
     with pytest.raises(ValueError):
         resolve.require_disjoint_lists(["A"], ["A"])
 
