@@ -15,6 +15,8 @@ from cohortroll.operators.rollup import wide_quantiles
 from cohortroll.operators.stats import demean, linear_fit, spearman
 
 SIGNAL = ("gene_id", "cell_type")
+# Fixed value: the column whose rows are the independent replicates of association results.
+GROUPING = "sample_unit_id"
 REQUIRED_SCENARIOS = ("high_cell_support", "drop_sex", "drop_batch")  # fixed value
 LEAVE_OUT = "leave_one_batch_out"
 
@@ -75,13 +77,17 @@ def stability_matrix(results: DataFrame, signal: str, scenario: str, effect: str
 
 
 def sensitivity_summary(primary: DataFrame, sensitivity: DataFrame, expected: int, threshold: float,
-                        keys: Sequence[str] = SIGNAL) -> DataFrame:
-    """How each primary signal fares over the scenarios."""
+                        keys: Sequence[str] = SIGNAL, grouping: str = GROUPING) -> DataFrame:
+    """How each primary signal fares over the scenarios.
+
+    ``sensitivity_grouping_valid``: every scenario's result counted replicates by the grouping column that
+    it names in ``grouping_id_column``; a null name is none. A signal without results has no bad one.
+    """
     d = effect_direction("s_effect")
     main = effect_direction("effect")
     j = primary.join(sensitivity.select(
         *keys, "scenario_id", F.col("effect").alias("s_effect"), F.col("fdr").alias("s_fdr"),
-        F.col("n_replicates").alias("s_n")), list(keys), "left")
+        F.col("n_replicates").alias("s_n"), F.col("grouping_id_column").alias("s_grouping")), list(keys), "left")
     tested = F.col("scenario_id").isNotNull()
     comparable = tested & (d != 0) & (main != 0)
     same = comparable & (d == main)
@@ -91,7 +97,8 @@ def sensitivity_summary(primary: DataFrame, sensitivity: DataFrame, expected: in
         F.count_if(F.col("s_fdr") < threshold).alias("sensitivity_fdr_supported_count"),
         F.count("s_fdr").alias("__with_fdr"), F.min("s_effect").alias("sensitivity_effect_min"),
         F.max("s_effect").alias("sensitivity_effect_max"),
-        F.coalesce(F.min("s_n"), F.lit(0).cast("bigint")).alias("sensitivity_min_replicates"))
+        F.coalesce(F.min("s_n"), F.lit(0).cast("bigint")).alias("sensitivity_min_replicates"),
+        (F.count_if(tested & ~F.col("s_grouping").eqNullSafe(grouping)) == 0).alias("sensitivity_grouping_valid"))
     complete = F.col("sensitivity_tested_scenarios") == expected
     return agg.withColumns({
         "sensitivity_direction_consistency_fraction": F.coalesce(
@@ -109,11 +116,11 @@ def screen_status(criteria: Mapping[str, bool]) -> Column:
     def need(flag: str, column: str) -> Column:
         return F.col(column) if criteria[flag] else F.lit(True)
 
-    core = (F.col("corrected_fdr_pass") & F.col("min_support_pass")
+    core = (F.col("corrected_fdr_pass") & F.col("min_support_pass") & F.col("grouping_valid")
             & need("require_effect_ci_excludes_zero", "effect_ci_excludes_zero"))
     steady = (need("require_all_sensitivity_scenarios", "sensitivity_complete_pass")
               & need("require_direction_consistency", "direction_consistency_pass")
-              & need("require_fdr_support_all_scenarios", "all_sensitivity_fdr_pass"))
+              & need("require_fdr_support_all_scenarios", "all_sensitivity_fdr_pass") & F.col("sensitivity_grouping_valid"))
     return F.when(~core, "not_prioritized").when(steady, "candidate_for_human_review").otherwise(
         "exploratory_sensitivity_limited")
 
@@ -124,13 +131,17 @@ STRICT = {"require_effect_ci_excludes_zero": True, "require_all_sensitivity_scen
 
 def screen_associations(primary: DataFrame, sensitivity: DataFrame, *, analysis: str, expected: int,
                         threshold: float = 0.05, min_replicates: int = 20, criteria=STRICT,
-                        keys: Sequence[str] = SIGNAL) -> DataFrame:
-    """Evidence row per signal with its automated screen; human decisions start as pending."""
-    summary = sensitivity_summary(primary, sensitivity, expected, threshold, keys)
+                        keys: Sequence[str] = SIGNAL, grouping: str = GROUPING) -> DataFrame:
+    """Evidence row per signal with its automated screen; human decisions start as pending.
+
+    A signal, or a scenario, whose replicates are not the rows of ``grouping`` never passes.
+    """
+    summary = sensitivity_summary(primary, sensitivity, expected, threshold, keys, grouping)
     rows = primary.join(summary, list(keys)).withColumns({
         "signal_id": join_key_text(F.lit(analysis), *reversed(keys)),
         "corrected_fdr_pass": F.coalesce(F.col("fdr") < threshold, F.lit(False)),
         "min_support_pass": F.col("n_replicates") >= min_replicates,
+        "grouping_valid": F.col("grouping_id_column").eqNullSafe(grouping),
         "effect_ci_excludes_zero": interval_excludes_zero("ci_low", "ci_high")})
     return rows.withColumns({
         "automated_screen_status": screen_status(criteria), "human_disposition": F.lit("pending"),

@@ -77,33 +77,43 @@ def evidence_inputs(spark, folder):
     return primary, sens
 
 
+def grouped_inputs(spark, folder):
+    """The same with the grouping that each result names; some name a wrong one."""
+    primary, sens = evidence_inputs(spark, folder)
+    gene = F.col("gene_id")
+    return (primary.withColumn("grouping_id_column", F.when(gene % 17 == 0, "cell_id").otherwise("sample_unit_id")),
+            sens.withColumn("grouping_id_column", F.when((gene % 19 == 0) & (F.col("scenario_id") == "drop_batch"), "subject_id")
+                            .otherwise("sample_unit_id")))
+
+
 SUMMARY_SQL = """j AS (SELECT p.gene_id, p.cell_type, sign(p.effect) AS ps, s.effect AS se, s.fdr AS sf, s.n_replicates AS sn,
  s.scenario_id FROM prim p LEFT JOIN sens s USING (gene_id, cell_type)), summ AS (SELECT gene_id, cell_type, count(scenario_id) AS
  sensitivity_tested_scenarios, count(*) FILTER (se <> 0 AND ps <> 0) AS cmp, count(*) FILTER (se <> 0 AND ps <> 0 AND sign(se) = ps)
  AS same, count(*) FILTER (sf < 0.05) AS sensitivity_fdr_supported_count, min(se) AS sensitivity_effect_min, max(se) AS
- sensitivity_effect_max, coalesce(min(sn), 0)::BIGINT AS sensitivity_min_replicates FROM j GROUP BY ALL)"""
+ sensitivity_effect_max, coalesce(min(sn), 0)::BIGINT AS sensitivity_min_replicates, count(*) FILTER (gene_id % 19 = 0 AND scenario_id =
+ 'drop_batch') = 0 AS sensitivity_grouping_valid FROM j GROUP BY ALL)"""
 
 
 @query("sensitivity_summary", f"""WITH {SENS_SQL}, {SUMMARY_SQL} SELECT gene_id, cell_type, sensitivity_tested_scenarios,
  sensitivity_fdr_supported_count, sensitivity_effect_min, sensitivity_effect_max, sensitivity_min_replicates, round(coalesce(same /
  nullif(cmp, 0), 0), 6) AS sensitivity_direction_consistency_fraction, round(sensitivity_fdr_supported_count / 4, 6) AS
  sensitivity_fdr_supported_fraction, sensitivity_tested_scenarios = 4 AS sensitivity_complete_pass, sensitivity_tested_scenarios = 4 AND
- same = cmp AS direction_consistency_pass, sensitivity_fdr_supported_count = 4 AS all_sensitivity_fdr_pass FROM summ""")
+ same = cmp AS direction_consistency_pass, sensitivity_fdr_supported_count = 4 AS all_sensitivity_fdr_pass, sensitivity_grouping_valid FROM summ""")
 def sensitivity_summary(spark, folder):
-    primary, sens = evidence_inputs(spark, folder)
+    primary, sens = grouped_inputs(spark, folder)
     return b.rounded(rv.sensitivity_summary(primary, sens, 4, 0.05))
 
 
 LOOSE = {**rv.STRICT, "require_fdr_support_all_scenarios": False, "require_direction_consistency": False}
 
 SCREEN_SQL = f"""{SENS_SQL}, {SUMMARY_SQL}, screen AS (SELECT 'expression::' || cell_type || '::' || gene_id AS signal_id, gene_id,
- cell_type, CASE WHEN NOT (fdr < 0.05 AND n_replicates >= 8 AND (ci_low > 0 OR ci_high < 0)) THEN 'not_prioritized' WHEN
- sensitivity_tested_scenarios = 4 THEN 'candidate_for_human_review' ELSE 'exploratory_sensitivity_limited' END AS
+ cell_type, CASE WHEN NOT (fdr < 0.05 AND n_replicates >= 8 AND (ci_low > 0 OR ci_high < 0) AND gene_id % 17 <> 0) THEN 'not_prioritized'
+ WHEN sensitivity_tested_scenarios = 4 AND sensitivity_grouping_valid THEN 'candidate_for_human_review' ELSE 'exploratory_sensitivity_limited' END AS
  automated_screen_status FROM prim JOIN summ USING (gene_id, cell_type))"""
 
 
 def screen(spark, folder):
-    primary, sens = evidence_inputs(spark, folder)
+    primary, sens = grouped_inputs(spark, folder)
     return rv.screen_associations(primary, sens, analysis="expression", expected=4, min_replicates=8, criteria=LOOSE)
 
 

@@ -247,10 +247,11 @@ def test_polygamma_and_inverse():
 
 def test_screen_rules(spark):
     flags = ["corrected_fdr_pass", "min_support_pass", "effect_ci_excludes_zero", "sensitivity_complete_pass",
-             "direction_consistency_pass", "all_sensitivity_fdr_pass"]
-    rows = [[True] * 6, [True] * 5 + [False], [False] + [True] * 5]
-    df = spark.createDataFrame(rows, flags).select("*", screen_status(STRICT).alias("s"))
-    assert [r.s for r in df.collect()] == ["candidate_for_human_review", "exploratory_sensitivity_limited", "not_prioritized"]
+             "direction_consistency_pass", "all_sensitivity_fdr_pass", "grouping_valid", "sensitivity_grouping_valid"]
+    fails = [None, "all_sensitivity_fdr_pass", "corrected_fdr_pass", "grouping_valid", "sensitivity_grouping_valid"]
+    df = spark.createDataFrame([[f != bad for f in flags] for bad in fails], flags).select("*", screen_status(STRICT).alias("s"))
+    assert [r.s for r in df.collect()] == ["candidate_for_human_review", "exploratory_sensitivity_limited", "not_prioritized",
+                                           "not_prioritized", "exploratory_sensitivity_limited"]
 
 
 def test_candidate_evidence_and_queue(spark):
