@@ -16,22 +16,38 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
-def query(fn: Callable[[SparkSession, str], DataFrame]):
-    QUERIES[fn.__name__] = fn
-    return fn
+def query(sql: str | None = None):
+    def add(fn: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[fn.__name__] = fn
+        if sql:
+            ORACLE[fn.__name__] = sql
+        return fn
+
+    return add
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-@query
+@query()
 def op1_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     return byte_bpe.round_trip(table(spark, folder, "documents"), ranks, pattern)
 
 
-@query
+MARKS = r"\\|\[INST\]|\[/INST\]|<<SYS>>|<</SYS>>|</s>|<s>|\[TURN\]|\[AS\]|\[/TURN\]"  # of the chat template, as a pattern
+IN_ORDER = "ORDER BY turn NULLS FIRST, role, text"
+
+
+@query(rf"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -7, 0, 'user',
+ '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'), e AS (SELECT *, length(text) + len(regexp_extract_all(text,
+ '{MARKS}')) AS size, length(role) + len(regexp_extract_all(role, '{MARKS}')) AS role_size, coalesce(lag(role) OVER w, 'start') AS before, lead(role) OVER w
+ IS NULL AS last FROM c WINDOW w AS (PARTITION BY conv_id {IN_ORDER})) SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text ||
+ chr(10), '' {IN_ORDER})) AS turns_sha256, coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text,
+ '' {IN_ORDER}) FILTER (role = 'assistant'), '')) AS loss_sha256, sum(CASE role WHEN 'system' THEN size + 15 WHEN 'user' THEN size + 13 WHEN 'assistant' THEN
+ size + 4 ELSE role_size + size + 17 END)::BIGINT AS formatted_chars, count(*) FILTER (NOT ((before, role) IN (('start', 'system'), ('start', 'user'),
+ ('system', 'user'), ('user', 'assistant'), ('assistant', 'user'))) OR (last AND role <> 'assistant')) AS n_problems FROM e GROUP BY conv_id""")
 def op2_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
     hostile = spark.range(2).select(
@@ -40,43 +56,54 @@ def op2_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     return chat.read_back(chat.format_turns(rows.unionByName(hostile)))
 
 
-@query
+@query()
 def op3_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     words = public_tokenizers.path("word_bpe_49k.json")
     return packing.pack_documents(table(spark, folder, "documents"), words, end_id=1, with_ids=False)
 
 
-@query
+@query()
 def op4_licence_scan(spark: SparkSession, folder: str) -> DataFrame:
     return licences.scan(table(spark, folder, "documents"))
 
 
-@query
+@query()
 def op5_multi_index(spark: SparkSession, folder: str) -> DataFrame:
     return multi_index.search(table(spark, folder, "embeddings"))
 
 
-@query
+@query(r"""WITH w AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''),
+ '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls
+ FROM documents), p AS (SELECT r, ws, unnest(range(1, len(ws) - 1)) AS p FROM w WHERE len(ws) >= 3), g AS (SELECT r, p FROM p QUALIFY count(*) OVER (PARTITION
+ BY r, ws[p], ws[p + 1], ws[p + 2]) > 1), c AS (SELECT r, count(DISTINCT q) AS n FROM (SELECT r, unnest([p, p + 1, p + 2]) AS q FROM g) GROUP BY r), m AS (SELECT
+ doc_id, source, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars, (length(t) - length(translate(t, '#*$%&|<>', '')))::BIGINT
+ AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN c USING (r)), b AS (SELECT *,
+ n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m), h AS (SELECT source, count(*) AS n, count(*) FILTER (base_failed) AS f FROM b WHERE
+ source IS NOT NULL GROUP BY 1), t AS (SELECT sum(f) / sum(n) AS mu, count(*) AS k, sum(n) AS total, sum(f * f / n) AS squares, sum(n * n) AS n2 FROM h), rho AS
+ (SELECT mu, greatest(least(CASE WHEN k > 1 AND mu * (1 - mu) > 0 AND total - n2 / total - (k - 1) > 0 THEN (squares - total * mu * mu - (k - 1) * mu * (1 -
+ mu)) / (mu * (1 - mu) * (total - n2 / total - (k - 1))) ELSE 0 END, 0.999), 1e-6) AS rho FROM t), v AS (SELECT source, (f + mu * (1 - rho) / rho) / (n + (1 -
+ rho) / rho) > 0.5 AS bad FROM h, rho) SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, coalesce(bad, false) AS
+ host_failed, NOT base_failed AND NOT coalesce(bad, false) AS kept FROM b LEFT JOIN v USING (source)""")
 def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.judge(table(spark, folder, "documents"))
 
 
-@query
+@query()
 def op7_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language_id.predict(table(spark, folder, "documents"))
 
 
-@query
+@query()
 def op8_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, folder, "documents"))
 
 
-@query
+@query()
 def op9_quality_model(spark: SparkSession, folder: str) -> DataFrame:
     return quality_model.predict(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
-@query
+@query()
 def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
     ordered = token_files.in_id_order(table(spark, folder, "documents"))
     encoded = token_files.encode_documents(ordered, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
