@@ -14,6 +14,8 @@ from cohortroll.session import keep
 MIN_WORDS = 50
 MAX_REPEAT_SHARE = 50  # percent of words in repeated windows
 MAX_HOST_RATE = 0.5  # of a host's documents that fail, after shrinking
+FEW_HOSTS = 100_000  # hosts that are sent to every task at most
+SALTS = 64
 WINDOW = 3
 SPACE = "[\\x20\\x09-\\x0D]+"
 SYMBOLS = "#*$%&|<>"
@@ -82,6 +84,20 @@ def host_verdicts(rows: DataFrame, host: str, failed_column: str, max_rate: floa
     return counts.withColumn("rate", rate).withColumn("host_failed", F.col("rate") > max_rate)
 
 
+def join_hosts(rows: DataFrame, host: str, hosts: DataFrame, key: str, how: str, few: int = FEW_HOSTS) -> DataFrame:
+    """``rows`` joined ("left" or "left_anti") with host rows that are distinct in ``key``, without dealing rows out by host.
+
+    A host may hold a third of all rows. The host rows are counted: few are sent to every task; more are repeated for each
+    of ``SALTS`` salts and rows are dealt out by host and salt. Null hosts match nothing.
+    """
+    hosts = keep(hosts, "hosts")
+    if hosts.count() <= few:
+        return rows.join(F.broadcast(hosts), F.col(host) == F.col(key), how)
+    salts = hosts.withColumn("__of", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = rows.withColumn("__salt", F.floor(F.rand(7) * SALTS).cast("int"))
+    return salted.join(salts, (F.col(host) == F.col(key)) & (F.col("__salt") == F.col("__of")), how).drop("__salt", "__of")
+
+
 def judge(df: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", max_rate: float = MAX_HOST_RATE) -> DataFrame:
     """``doc_id``, the measures, ``base_failed``, ``host_failed`` and ``kept``; one row per input row.
 
@@ -90,8 +106,7 @@ def judge(df: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str =
     """
     rows = df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{host}`").cast("string").alias("host"), F.col(f"`{text}`").alias("text"))
     own = keep(measured(rows, F.col("text")).drop("text").withColumn("base_failed", failed()), "quality")
-    verdicts = host_verdicts(own, "host", "base_failed", max_rate).select(F.col("host").alias("h"), "host_failed")
-    bad = verdicts.where("host_failed")
-    return own.join(bad, F.col("host") == F.col("h"), "left").select(
+    bad = host_verdicts(own, "host", "base_failed", max_rate).where("host_failed").select(F.col("host").alias("h"), "host_failed")
+    return join_hosts(own, "host", bad, "h", "left").select(
         "doc_id", *MEASURES, "base_failed", F.coalesce("host_failed", F.lit(False)).alias("host_failed"),
         (~F.col("base_failed") & F.col("host_failed").isNull()).alias("kept"))

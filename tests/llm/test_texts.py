@@ -125,6 +125,14 @@ def test_quality_measures_and_hosts(spark):
     assert quality_rules.judge(df.limit(0)).count() == 0
 
 
+def test_hosts_join_alike_by_either_way(spark):
+    rows = spark.createDataFrame([(k, f"h{k % 4}" if k % 9 else None) for k in range(300)], "i int, host string")
+    hosts = spark.createDataFrame([("h1", True), ("h3", True), ("h8", True)], "h string, bad boolean")
+    for how in ("left", "left_anti"):
+        few, many = (Counter(map(tuple, quality_rules.join_hosts(rows, "host", hosts, "h", how, few=n).collect())) for n in (10, 0))
+        assert few == many and sum(few.values()) == (300 if how == "left" else sum(h not in ("h1", "h3") for _, h in rows.collect()))
+
+
 def test_host_rates_are_shrunk(spark):
     rows = [("a", k < 5) for k in range(1000)] + [("b", k < 900) for k in range(1000)] + [("c", True)]
     df = spark.createDataFrame(rows, "host string, failed boolean")
