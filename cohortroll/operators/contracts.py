@@ -52,6 +52,26 @@ def replicate_covariate_violations(df, replicate: str, covariates: Sequence[str]
         clashes.select(F.lit("inconsistent").alias("problem"), "attribute", "example", "n"))
 
 
+def sample_rule_violations(rows: DataFrame, subject: str = "subject_id", sample: str = "sample_unit_id",
+                           age: str = "age") -> DataFrame:
+    """(problem, n): what keeps a table from the one-sample-per-subject rule; no rows if nothing does.
+
+    Rows whose subject or sample is null or blank, rows without a finite age, and samples that carry
+    two subjects or two ages. A sample of any size is folded to its distinct pairs first.
+    """
+    blank = {f"missing_{n}": F.col(c).isNull() | (F.trim(F.col(c).cast("string")) == "")
+             for n, c in (("subject", subject), ("sample", sample))}
+    number = F.col(age).cast("double")
+    blank["missing_age"] = number.isNull() | F.isnan(number) | (F.abs(number) == float("inf"))
+    gaps = rows.agg(*[F.count_if(c).alias(n) for n, c in blank.items()]).unpivot([], list(blank), "problem", "n")
+    pairs = rows.where(~blank["missing_sample"]).groupBy(F.col(sample).alias("__sample"), F.col(subject).alias("subject"), number.alias("age")).agg(
+        F.lit(1).alias("__one")).groupBy("__sample").agg(
+        *[(F.count_distinct(c) > 1).alias(f"conflicting_{c}") for c in ("subject", "age")])
+    kinds = ["conflicting_subject", "conflicting_age"]
+    clashes = pairs.agg(*[F.count_if(F.col(k)).alias(k) for k in kinds]).unpivot([], kinds, "problem", "n")
+    return gaps.unionByName(clashes).where("n > 0")
+
+
 def sample_metadata(cells: DataFrame, sample: str = "sample_unit_id", subject: str = "subject_id",
                     age: str = "age", sex: str = "sex", batch: str = "batch") -> DataFrame:
     """One row per sample unit: first non-null subject, age, sex, batch and age in decades."""

@@ -44,6 +44,23 @@ def sample_maps_to_one_subject(spark, folder):
     return c.inconsistent_attributes(cells, "week_key", ["subject_id"])
 
 
+@query("sample_rule_contract", f"""WITH {b.CELLS_A}, s AS (SELECT CASE WHEN cell_id % 401 = 0 THEN '  ' WHEN cell_id % 307 = 0 THEN NULL ELSE subject_id END AS
+ subject_id, CASE WHEN cell_id % 503 = 0 THEN '' ELSE sample_unit_id END AS sample_unit_id, CASE WHEN cell_id % 211 = 0 THEN 'nan'::DOUBLE WHEN cell_id % 199 = 0
+ THEN NULL WHEN cell_id % 97 = 0 THEN age + 1 ELSE age END AS age FROM cells), k AS (SELECT sample_unit_id, count(DISTINCT subject_id) > 1 AS cs, count(DISTINCT
+ age) > 1 AS ca FROM s WHERE trim(sample_unit_id) <> '' GROUP BY 1), p AS (SELECT 'missing_subject' AS problem, count(*) FILTER (subject_id IS NULL OR
+ trim(subject_id) = '') AS n FROM s UNION ALL SELECT 'missing_sample', count(*) FILTER (sample_unit_id IS NULL OR trim(sample_unit_id) = '') FROM s UNION ALL
+ SELECT 'missing_age', count(*) FILTER (age IS NULL OR isnan(age)) FROM s UNION ALL SELECT 'conflicting_subject', count(*) FILTER (cs) FROM k UNION ALL SELECT
+ 'conflicting_age', count(*) FILTER (ca) FROM k) SELECT * FROM p WHERE n > 0""")
+def sample_rule_contract(spark, folder):
+    """Blank and missing subjects and samples, unknown ages and clashing values, planted into the cells."""
+    i = F.col("cell_id")
+    spoiled = b.cells_a(spark, folder).select(
+        F.when(i % 401 == 0, "  ").when(i % 307 == 0, F.lit(None)).otherwise(F.col("subject_id")).alias("subject_id"),
+        F.when(i % 503 == 0, "").otherwise(F.col("sample_unit_id")).alias("sample_unit_id"),
+        F.when(i % 211 == 0, float("nan")).when(i % 199 == 0, F.lit(None)).when(i % 97 == 0, F.col("age") + 1).otherwise(F.col("age")).alias("age"))
+    return c.sample_rule_violations(spoiled)
+
+
 @query("sample_metadata_contract", f"""WITH {SPOILED_SQL},
  lv AS (SELECT sample_unit_id AS unit, count(DISTINCT sex) AS sex,
   count(DISTINCT coalesce(batch, '~')) AS batch FROM spoiled GROUP BY 1),

@@ -11,7 +11,7 @@ from cohortroll.operators.association import (
 from cohortroll.operators.glm import design_diagnostics, gramian, indicator_columns, pairs, residualise
 from cohortroll.operators.ordering import bh_fdr
 from cohortroll.operators.rollup import sample_fractions
-from cohortroll.operators.stats import age_terms, clustered_age_effect, demean, linear_fit, pearson, spearman
+from cohortroll.operators.stats import age_terms, clustered_age_effect, demean, linear_fit, pearson, residual_violations, spearman
 from cohortroll.plans import bindings as b
 from cohortroll.plans.registry import query
 from cohortroll.session import keep
@@ -151,6 +151,18 @@ def many_factor_residuals(spark, folder):
         (F.round(F.sum("age_resid"), 4) + flat).alias("sum_age_resid"))
 
 
+@query("degenerate_residuals", f"""WITH {b.CELLS_A}, y AS (SELECT cell_type, sex, CASE WHEN ascii(cell_type) % 2 = 1 THEN (CASE sex WHEN 'F' THEN 1.5 ELSE
+ 2.5 END) ELSE value END AS y, value FROM cells), r AS (SELECT cell_type, y - avg(y) OVER w AS y_resid, value - avg(value) OVER w AS value_resid FROM y WINDOW w AS
+ (PARTITION BY cell_type, sex)) SELECT cell_type, 'y_resid' AS variable FROM r GROUP BY 1 HAVING stddev_pop(y_resid) < 1e-8 UNION ALL SELECT cell_type,
+ 'value_resid' FROM r GROUP BY 1 HAVING stddev_pop(value_resid) < 1e-8""")
+def degenerate_residuals(spark, folder):
+    """Tests whose score, flat within each sex in some types, has nothing left after sex is taken out."""
+    rows = b.cells_a(spark, folder).withColumn("y", F.when(
+        F.ascii("cell_type") % 2 == 1, F.when(F.col("sex") == "F", 1.5).otherwise(2.5)).otherwise(F.col("value")))
+    out = demean(rows, ["cell_type"], "sex", ["y", "value"])
+    return residual_violations(out, ["cell_type"], ["y_resid", "value_resid"]).select("cell_type", "variable")
+
+
 @query("design_diagnostics", f"""WITH {SAMPLES_SQL}, m AS (SELECT *, avg(age) OVER (PARTITION BY cell_type, sex) AS mg,
  avg(age) OVER (PARTITION BY cell_type) AS ma FROM samples) SELECT cell_type, count(*) AS n_rows, (count(DISTINCT sex) + 1)
  ::INTEGER AS design_columns, (count(DISTINCT sex) + 1)::INTEGER AS design_rank, (count(*) - count(DISTINCT sex) - 1)::INTEGER AS

@@ -20,6 +20,9 @@ SETTINGS = {
 }
 
 
+KEPT: list[str] = []  # paths of the tables that ``keep`` has written in this process
+
+
 def build_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "16g"):
     """A local session for tests and the bench; on a cluster use the session you are given."""
     builder = SparkSession.builder.master(f"local[{cores}]").appName("cohortroll")
@@ -74,4 +77,18 @@ def keep(df: DataFrame, label: str = "kept") -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.parquet(path)
+    KEPT.append(path)
     return spark.read.parquet(path)
+
+
+def release_kept(spark: SparkSession) -> int:
+    """Deletes what ``keep`` has written so far, and says how many tables those were.
+
+    For the owner of a result, once it is written: frames that still read a kept table fail afterwards.
+    """
+    configuration = spark._jsc.hadoopConfiguration()
+    count = len(KEPT)
+    while KEPT:
+        path = spark._jvm.org.apache.hadoop.fs.Path(KEPT.pop())
+        path.getFileSystem(configuration).delete(path, True)
+    return count

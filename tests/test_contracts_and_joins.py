@@ -127,3 +127,22 @@ def test_fingerprint_folds_until_one_block_is_left(spark):
     for n in (0, 1, 4096, 4097, 9000):
         ids = spark.range(1, n + 1).select(F.col("id").alias("p"), F.concat(F.lit("c"), "id").alias("v"))
         assert identity_fingerprint(ids, "p", "v").first()[0] == by_hand([f"c{k}" for k in range(1, n + 1)])
+
+
+def test_kept_tables_are_released_by_their_owner(spark):
+    import os
+
+    from cohortroll.session import KEPT, keep, release_kept
+
+    table = keep(spark.range(5), "mine")
+    path = KEPT[-1].removeprefix("file://")
+    assert table.count() == 5 and os.path.isdir(path)
+    assert release_kept(spark) >= 1 and not os.path.exists(path) and not KEPT
+
+
+def test_sample_rule_contract(spark):
+    rows = [("s", "u1", 40.0), ("s", "u1", 40.0), (" ", "u2", 41.0), (None, "u3", None), ("t", "", float("nan")), ("s", "u4", 50.0), ("t", "u4", 51.0)]
+    df = spark.createDataFrame(rows, "subject_id string, sample_unit_id string, age double")
+    got = {r.problem: r.n for r in c.sample_rule_violations(df).collect()}
+    assert got == {"missing_subject": 2, "missing_sample": 1, "missing_age": 2, "conflicting_subject": 1, "conflicting_age": 1}
+    assert c.sample_rule_violations(df.limit(0)).count() == 0
