@@ -117,7 +117,7 @@ def result_checks(results: DataFrame, manifest: DataFrame, eligible: DataFrame,
 
 
 def result_set_checks(fractions: DataFrame, folds: DataFrame, *, sample: str = "sample_unit_id",
-                      expected_cells: int, expected_samples: int) -> DataFrame:
+                      expected_cells: int | Column, expected_samples: int | Column) -> DataFrame:
     """Grid complete, fractions sum to one, counts reconcile, no subject in two folds."""
     per = fractions.groupBy(sample).agg(
         F.count(F.lit(1)).alias("types"), F.sum("fraction").alias("f"), F.sum("n_cells").alias("c"),

@@ -93,14 +93,23 @@ def expression_result_checks(spark, folder):
     return g.result_checks(res, manifest, eligible, ["gene_id", "cell_type"])
 
 
-@query("result_set_checks", f"""WITH {FRACTIONS_SQL}, o AS (SELECT count(*) AS ns, sum(total_cells)::BIGINT AS nc FROM totals) SELECT
- unnest(['grid_complete', 'fractions_sum_to_one', 'counts_reconcile', 'no_subject_in_two_folds']) AS name, true AS passed, 'error' AS
- severity, '0' AS detail UNION ALL SELECT 'expected_cells', nc = 10000, 'warning', nc::VARCHAR FROM o UNION ALL SELECT
- 'expected_samples', ns = 664, 'warning', ns::VARCHAR FROM o""")
+@query("result_set_checks", f"""WITH {FRACTIONS_SQL}, sp AS (SELECT * FROM fractions WHERE NOT (cell_type = 'purchase' AND subject_id LIKE '%7')), per AS (SELECT
+ sample_unit_id, count(*) AS types, sum(fraction) AS f, sum(n_cells) AS c, max(total_cells) AS t FROM sp GROUP BY 1), o AS (SELECT count(*) AS ns, sum(c)::BIGINT AS
+ nc, count(*) FILTER (types <> (SELECT count(DISTINCT cell_type) FROM sp)) AS gaps, count(*) FILTER (abs(f - 1) > 1e-9) AS off_sum, count(*) FILTER (c <> t) AS
+ off_count FROM per), e AS (SELECT (SELECT count(*) FROM cells) AS nc, (SELECT count(*) FROM totals) AS ns, (SELECT count(DISTINCT subject_id) FROM fractions WHERE
+ subject_id LIKE '%3') AS leaks) SELECT 'grid_complete' AS name, gaps = 0 AS passed, 'error' AS severity, gaps::VARCHAR AS detail FROM o UNION ALL SELECT
+ 'fractions_sum_to_one', off_sum = 0, 'error', off_sum::VARCHAR FROM o UNION ALL SELECT 'counts_reconcile', off_count = 0, 'error', off_count::VARCHAR FROM o UNION
+ ALL SELECT 'no_subject_in_two_folds', leaks = 0, 'error', leaks::VARCHAR FROM e UNION ALL SELECT 'expected_cells', o.nc = e.nc, 'warning', o.nc::VARCHAR FROM o, e
+ UNION ALL SELECT 'expected_samples', o.ns = e.ns, 'warning', o.ns::VARCHAR FROM o, e""")
 def result_set_checks(spark, folder):
+    """Planted: types missing from some samples, and some subjects in a second fold."""
     f = fractions(spark, folder)
-    folds = grouped_folds(f, "subject_id", 5)
-    return g.result_set_checks(f, folds, expected_cells=10000, expected_samples=664)
+    folds = grouped_folds(f, "subject_id", 5).select("subject_id", "fold")
+    leaked = folds.where("subject_id like '%3'").withColumn("fold", F.lit(99))
+    cells = b.cells_a(spark, folder).agg(F.count(F.lit(1)).alias("n")).scalar()
+    samples = f.agg(F.count_distinct("sample_unit_id").alias("n")).scalar()
+    gappy = f.where("not (cell_type = 'purchase' and subject_id like '%7')")
+    return g.result_set_checks(gappy, folds.unionByName(leaked), expected_cells=cells, expected_samples=samples)
 
 
 @query("feasibility_summary", f"""WITH {b.COUNTS_B}, z AS (SELECT count(*) AS z FROM orders ANTI JOIN lineitem ON l_orderkey = o_orderkey)

@@ -178,11 +178,29 @@ def candidate_inputs(spark, folder):
     return keep(primary, "primary"), sens, keep(seen.unionByName(absent).join(expected, "cell_type"), "diagnostics")
 
 
-@query("sensitivity_contract", f"""WITH {SENS_SQL} SELECT unnest(['non_candidate_rows', 'tier_mismatches', 'wrong_denominators',
- 'wrong_observed_counts', 'rows_without_fit', 'duplicate_candidates']) AS problem, unnest([0, 0, 0, 0, 0, 0]::BIGINT[]) AS n""")
+@query("sensitivity_contract", f"""WITH {SENS_SQL}, {DIAG_SQL}, cp AS (SELECT gene_id, cell_type, analysis_tier FROM cand UNION ALL SELECT gene_id, cell_type,
+ analysis_tier FROM cand WHERE gene_id % 50 = 0), sp AS (SELECT CASE WHEN gene_id % 10 = 3 THEN -gene_id ELSE gene_id END AS gene_id, cell_type, scenario_id, CASE
+ WHEN gene_id % 7 = 0 THEN 'other' ELSE analysis_tier END AS tier FROM csens), j AS (SELECT tier, cp.analysis_tier AS want FROM sp LEFT JOIN cp USING (gene_id,
+ cell_type)), d AS (SELECT cell_type, scenario_id, obs - (cell_type = 'R')::INTEGER AS obs, ex + (scenario_id = 'drop_batch')::INTEGER AS ex, CASE WHEN scenario_id
+ = 'lobo_A' THEN 'failed' ELSE status END AS status FROM (SELECT cell_type, scenario_id, count(*) AS obs, 'completed' AS status FROM csens GROUP BY ALL UNION ALL
+ SELECT DISTINCT cell_type, 'drop_sex', 0, 'not_estimable' FROM cand WHERE cell_type = 'N') JOIN (SELECT cell_type, count(*) AS ex FROM cand GROUP BY 1) USING
+ (cell_type)), w AS (SELECT d.*, coalesce(ne, 0) AS ne, coalesce(ns, 0) AS ns FROM d LEFT JOIN (SELECT cell_type, count(*) AS ne FROM cp GROUP BY 1) USING
+ (cell_type) LEFT JOIN (SELECT cell_type, scenario_id, count(*) AS ns FROM sp GROUP BY ALL) USING (cell_type, scenario_id))
+ SELECT 'non_candidate_rows' AS problem, count(*) FILTER (want IS NULL) AS n FROM j UNION ALL SELECT 'tier_mismatches', count(*) FILTER (tier <> want) FROM j
+ UNION ALL SELECT 'wrong_denominators', count(*) FILTER (ex <> ne) FROM w UNION ALL SELECT 'wrong_observed_counts', count(*) FILTER (obs <> ns) FROM w UNION ALL
+ SELECT 'rows_without_fit', count(*) FILTER (status <> 'completed' AND ns > 0) FROM w UNION ALL SELECT 'duplicate_candidates', count(*) FROM (SELECT 1 FROM cp
+ GROUP BY gene_id, cell_type HAVING count(*) > 1)""")
 def sensitivity_contract(spark, folder):
+    """Each kind of violation is planted: strangers, wrong tiers, denominators and counts, a failed fit, repeated candidates."""
     primary, sens, diag = candidate_inputs(spark, folder)
-    return rv.sensitivity_violations(primary, sens, diag, 0.05)
+    gene, scenario = F.col("gene_id"), F.col("scenario_id")
+    sens = sens.withColumn("analysis_tier", F.when(gene % 7 == 0, "other").otherwise(F.col("analysis_tier"))).withColumn(
+        "gene_id", F.when(gene % 10 == 3, -gene).otherwise(gene))
+    diag = diag.withColumns({
+        "n_candidates_expected": F.col("n_candidates_expected") + (scenario == "drop_batch").cast("int"),
+        "n_candidates_observed": F.col("n_candidates_observed") - (F.col("cell_type") == "R").cast("int"),
+        "status": F.when(scenario == "lobo_A", "failed").otherwise(F.col("status"))})
+    return rv.sensitivity_violations(primary.unionByName(primary.where(gene % 50 == 0)), sens, diag, 0.05)
 
 
 EVIDENCE_SQL = f"""{SENS_SQL}, {DIAG_SQL}, ev AS (SELECT c.gene_id, c.cell_type, c.analysis_tier, any_value(c.effect) AS effect,
