@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortroll.llm.common import per_worker, text_slices, texts_of
+from cohortroll.session import keep
 
 PROFILE = 400  # n-grams of a profile and of a document's order
 LANGUAGES = 500  # most languages that a model holds: those with the most n-grams
@@ -127,12 +128,12 @@ def learn(df: DataFrame, text: str = "text", lang: str = "lang") -> Profiles:
         yield from flushed()
 
     rows = df.select(F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{text}`").alias("text")).where("lang is not null and text is not null")
-    sums = rows.mapInArrow(count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    sums = keep(rows.mapInArrow(count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
+    largest = sums.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    names = sorted(r.lang for r in largest.collect())
     first = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    top = sums.withColumn("place", F.row_number().over(first) - 1).where(F.col("place") < PROFILE)
-    found = top.orderBy("place", F.desc("n"), "lang", "gram").limit(PROFILE * LANGUAGES).toPandas()
-    found = found[found.lang.isin(sorted(found.lang[found.place == 0])[:LANGUAGES])]
-    names = sorted(found.lang.unique())
+    top = sums.where(F.col("lang").isin(names)).withColumn("place", F.row_number().over(first) - 1)
+    found = top.where(F.col("place") < PROFILE).toPandas()  # at most PROFILE * LANGUAGES rows
     grams = np.unique(found.gram.to_numpy(np.int64))
     places = np.full((len(grams), len(names)), PROFILE, np.int64)
     places[np.searchsorted(grams, found.gram.to_numpy(np.int64)), [names.index(x) for x in found.lang]] = found.place
