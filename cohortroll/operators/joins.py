@@ -56,6 +56,23 @@ def coalesce_prefer_right(df: DataFrame, base: str, left: str, right: str) -> Da
     )
 
 
+def status_by_key(rows: DataFrame, results: DataFrame, keys: Sequence[str], status: str = "status",
+                  absent: str = "absent", clash: str = "conflicting") -> DataFrame:
+    """The status of each row's result, looked up by keys in which null and blank are the same.
+
+    A key without a result has the status ``absent``; one whose results disagree, or hold an unknown
+    status, ``clash``. Rows keep their own key values.
+    """
+    def plain(df, prefix):
+        return df.withColumns({f"{prefix}{k}": F.trim(F.coalesce(F.col(k).cast("string"), F.lit(""))) for k in keys})
+
+    own = [f"__{k}" for k in keys]
+    known = plain(results, "__").groupBy(*own).agg(
+        F.when((F.count_distinct(status) == 1) & (F.count(status) == F.count(F.lit(1))), F.min(status)).otherwise(clash).alias("__status"))
+    return plain(rows.drop(status), "__").join(known, own, "left").withColumn(
+        status, F.coalesce("__status", F.lit(absent))).drop(*own, "__status")
+
+
 def attach_units(cells: DataFrame, mapping: DataFrame, units: Sequence[str], *,
                  check: bool = True) -> DataFrame:
     """Unit ids per cell: cleaned in place when present, otherwise looked up by cell id."""

@@ -338,6 +338,25 @@ def result_status_lookup(spark, folder):
         F.count("cell_type").alias("n_same_direction"))
 
 
+@query("result_status_by_key", """WITH k AS (SELECT l_linestatus AS analysis, l_returnflag AS cell_type, CASE l_linenumber % 4 WHEN 0 THEN NULL WHEN 1 THEN ' ' ELSE
+ 'S' || l_suppkey % 5 END AS signature, l_quantity, l_discount FROM lineitem), q AS (SELECT analysis, cell_type, signature, count(*) AS n FROM k GROUP BY ALL), r AS (SELECT
+ analysis, cell_type, trim(coalesce(signature, '')) AS sig, CASE WHEN l_quantity > 49 THEN 'reviewed' WHEN cell_type = 'N' AND l_discount > 0.09 THEN NULL ELSE
+ 'supported' END AS status FROM k WHERE signature IS DISTINCT FROM 'S2' AND (l_quantity > 49 OR cell_type <> 'A')), s AS (SELECT analysis, cell_type, sig, CASE
+ WHEN count(DISTINCT status) = 1 AND count(status) = count(*) THEN min(status) ELSE 'conflicting' END AS status FROM r GROUP BY ALL) SELECT q.*,
+ coalesce(s.status, 'absent') AS status FROM q LEFT JOIN s ON s.analysis = q.analysis AND s.cell_type = q.cell_type AND s.sig = trim(coalesce(q.signature, ''))""")
+def result_status_by_key(spark, folder):
+    """Statuses by analysis, type and signature; signatures are partly null and partly blank."""
+    k = b.table(spark, folder, "lineitem").select(
+        F.col("l_linestatus").alias("analysis"), F.col("l_returnflag").alias("cell_type"),
+        F.when(F.col("l_linenumber") % 4 == 0, F.lit(None)).when(F.col("l_linenumber") % 4 == 1, " ").otherwise(F.concat(F.lit("S"), F.col("l_suppkey") % 5)).alias("signature"),
+        "l_quantity", "l_discount")
+    keys = ["analysis", "cell_type", "signature"]
+    some = k.where(~F.col("signature").eqNullSafe("S2") & ((F.col("l_quantity") > 49) | (F.col("cell_type") != "A")))
+    results = some.withColumn("status", F.when(F.col("l_quantity") > 49, "reviewed").when(
+        (F.col("cell_type") == "N") & (F.col("l_discount") > 0.09), F.lit(None)).otherwise("supported"))
+    return j.status_by_key(k.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), results, keys)
+
+
 @query("model_metric_comparison", """WITH m AS (SELECT l_shipdate < TIMESTAMP '1998-06-01' AS early,
   l_returnflag || l_linestatus || (l_suppkey % 40) AS model, round(avg(l_quantity), 6) AS mae FROM lineitem
   WHERE NOT (l_shipdate < TIMESTAMP '1998-06-01' AND l_suppkey % 40 = 3) GROUP BY ALL)
