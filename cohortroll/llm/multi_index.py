@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortroll.llm.common import narrow
+from cohortroll.llm.common import bounded_sample, narrow
 from cohortroll.session import keep
 
 CENTROIDS = 32  # of each half
@@ -93,7 +93,7 @@ def search(df: DataFrame, every: int = 20, k: int = 20, centroids: int = CENTROI
     width, total = sizes[0].d, sizes[0].n
     half = (width + 1) // 2
     rows = rows.where(F.size("v") == width).withColumn("vec_id", F.col("vec_id").cast("bigint"))
-    sample = np.stack(rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toPandas().v.to_list())
+    sample = np.stack(bounded_sample(rows, "vec_id", SAMPLE).toPandas().v.to_list())
     books = kmeans(sample[:, :half], centroids), kmeans(sample[:, half:], centroids)
 
     @F.pandas_udf("i int, j int")

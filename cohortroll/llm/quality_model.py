@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortroll.llm.common import narrow
+from cohortroll.llm.common import bounded_sample, narrow
 from cohortroll.session import keep
 
 SAMPLE = 20_000  # labelled rows that the trees are fitted on at most: those with the smallest hash of their id
@@ -173,8 +173,8 @@ def predict(docs: DataFrame, labels: DataFrame, label: str = "quality", held_out
     crc = F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds
     one = narrow(labels, doc_id="doc_id", y=label).where("doc_id is not null and y is not null").groupBy("doc_id").agg(
         (F.avg("y") >= 0.5).cast("int").alias("y")).where(crc != held_out_fold)
-    unique = known.join(one, "doc_id").select("doc_id", "x", "y")
-    rows = unique.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).toPandas()
+    labelled = keep(known.join(one, "doc_id").select("doc_id", "x", "y"), "labelled")
+    rows = bounded_sample(labelled, "doc_id", sample).toPandas()
     x = np.stack(rows.x.to_list()).astype(np.float32) if len(rows) else np.zeros((0, len(STATISTICS)), np.float32)
     trees = fit(x, rows.y.to_numpy(float))
 
