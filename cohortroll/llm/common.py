@@ -19,8 +19,9 @@ WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u
 
 LIST_LIMIT = 100_000  # strings held in one list while a text is cut
 BATCH_CHARS = 2_000_000  # bytes of text that are worked on before their rows are sent on
-KNOWN_WORDS = 350_000  # a worker's word table starts anew beyond so many words ...
+KNOWN_WORDS = 350_000  # a worker's word table is cut down to its frequent words beyond so many words ...
 KNOWN_CHARS = 20_000_000  # ... or characters
+KEPT_CHARS = 64  # longer words don't stay when a table is cut down
 
 
 def per_worker(key: tuple, make: Callable[[], object]):
@@ -88,13 +89,22 @@ class WordTable:
 
     def __init__(self, cut: Callable[[str], list[str]], encode: Callable[[list[str]], list[list[int]]]):
         self.cut, self.encode = cut, encode
-        self._clear()
-
-    def _clear(self) -> None:
-        self.code: defaultdict[str, int] = defaultdict(lambda: len(self.code))
-        self.ids = np.zeros(0, np.int32)
-        self.start = np.zeros(1, np.int64)
-        self.chars = 0
+        self.ids, self.start = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        self._hold([])
+
+    def _hold(self, words: list[str]) -> None:
+        self.code: defaultdict[str, int] = defaultdict(lambda: len(self.code), zip(words, range(len(words))))
+        self.uses = np.zeros(len(words), np.int64)
+        self.chars = sum(map(len, words))
+
+    def _cut_down(self) -> None:
+        """Keeps the words that were used twice or more since the last time, half the table at most."""
+        often = np.argsort(-self.uses, kind="stable")[:KNOWN_WORDS // 2]
+        words = list(self.code)
+        kept = np.array([k for k in np.sort(often[self.uses[often] > 1]).tolist() if len(words[k]) <= KEPT_CHARS], np.int64)
+        self.ids, sizes = self._spread(kept)
+        self.start = np.concatenate([[0], np.cumsum(sizes)])
+        self._hold([words[k] for k in kept.tolist()])
 
     def _learn(self) -> None:
         new = list(islice(self.code, len(self.start) - 1, None))
@@ -105,6 +115,7 @@ class WordTable:
             self.ids = np.concatenate([self.ids, flat])
             self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(sizes)])
             self.chars += sum(map(len, new))
+            self.uses = np.concatenate([self.uses, np.zeros(len(new), np.int64)])
 
     def _spread(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The words' ids in their order, and how many each word has."""
@@ -115,9 +126,10 @@ class WordTable:
 
     def _finish(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         self._learn()
+        self.uses += np.bincount(codes, minlength=len(self.uses))
         out = self._spread(codes)
         if len(self.code) > KNOWN_WORDS or self.chars > KNOWN_CHARS:
-            self._clear()
+            self._cut_down()
         return out
 
     def encode_batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:

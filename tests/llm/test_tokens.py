@@ -61,7 +61,7 @@ def test_replay_lets_a_lower_new_rank_go_first():
     assert replay.encode([w.encode() for w in words]) == [own.encode_ordinary(w) for w in words]
 
 
-def test_word_table_starts_anew_when_full(reference, monkeypatch):
+def test_word_table_is_cut_down_when_full(reference, monkeypatch):
     monkeypatch.setattr("cohortroll.llm.common.KNOWN_WORDS", 20)
     words, _ = byte_bpe.codec(RANKS, PATTERN)
     for text in made_up(80, seed=4):
