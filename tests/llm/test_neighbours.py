@@ -197,3 +197,35 @@ def test_pipeline_stages(spark):
     assert len(packed) == len(held) and max(r.offset + r.length for r in packed) <= packing.CAPACITY
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), "").count() == 0, name
+
+
+def sets_by_hand(text):
+    w = SPACED.findall((text or "").translate(SMALL))
+    return {tuple(w[k:k + 5]) for k in range(len(w) - 4)} or ({tuple(w)} if w else set())
+
+
+def test_near_dedup_stage_is_shingle_similarity(spark):
+    rng = random.Random(12)
+    passage = [f"p{k}" for k in range(30)]
+    rows, own = [], lambda n: [f"w{rng.randrange(10 ** 6)}" for _ in range(n)]
+    for _ in range(60):
+        words = own(rng.randint(60, 300)) + passage  # a passage that all share
+        rows.append(words)
+        for _ in range(rng.randint(0, 3)):  # edits chain, and some go below the bound
+            words = list(words)
+            for _ in range(rng.randint(0, 1 + len(words) // 40)):
+                words[rng.randrange(len(words))] = own(1)[0].upper()
+            rows.append(words)
+    texts = [" ".join(w) for w in rows] + [None, "", " \t", "Short text", "short  TEXT", "another one"]
+    sets = [sets_by_hand(t) for t in texts]
+    root, near = list(range(len(texts))), 0
+    for b in range(len(texts)):
+        for a in range(b):
+            both = len(sets[a] & sets[b])
+            if sets[a] == sets[b] or 5 * both >= 4 * len(sets[a] | sets[b]):
+                near += sets[a] != sets[b]
+                root = [min(root[a], root[b]) if r in (root[a], root[b]) else r for r in root]
+    assert near > 40
+    docs = spark.createDataFrame([(k, t, "own") for k, t in enumerate(texts)], "doc_id bigint, text string, _node string").repartition(3)
+    left = passed_on(spark, corpus_pipeline.near_dedup_stage, docs)
+    assert sorted(r.doc_id for r in left.collect()) == sorted(set(root))
