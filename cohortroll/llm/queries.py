@@ -108,4 +108,4 @@ def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
     ordered = token_files.in_id_order(table(spark, folder, "documents"))
     encoded = token_files.encode_documents(ordered, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
     files = scratch_path(spark, "token-files")
-    return token_files.read_files(token_files.with_bases(token_files.write_files(encoded, files)), files)
+    return token_files.read_files(token_files.with_bases(token_files.write_files(encoded, files, null_ids=True)), files)

@@ -14,6 +14,7 @@ from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -49,12 +50,13 @@ def _store(folder: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(folder) if urlparse(folder).scheme else (fs.LocalFileSystem(), os.path.abspath(folder))
 
 
-def write_files(encoded: DataFrame, folder: str, width: int = 2) -> DataFrame:
+def write_files(encoded: DataFrame, folder: str, width: int = 2, null_ids: bool = False) -> DataFrame:
     """Writes ``doc_id bigint, ids`` partition by partition, as they stand, and returns the manifest, read back.
 
     ``part-*.bin`` holds the ids, unsigned little-endian of ``width`` bytes (an id beyond that fails). ``part-*.idx``
-    holds, for each document, its id and where its ids end, both 64-bit. Null document ids are refused. An empty
-    partition writes nothing; an empty table has an empty manifest.
+    holds, for each document, its id, where its ids end and whether the id is null (1; the id is 0 then), each of 64 bits.
+    Null document ids are refused unless ``null_ids``. An empty partition writes nothing; an empty table has an empty
+    manifest.
     """
     limit = 1 << 8 * width
 
@@ -69,7 +71,7 @@ def write_files(encoded: DataFrame, folder: str, width: int = 2) -> DataFrame:
             if out is None:
                 store.create_dir(at, recursive=True)
                 out, index = store.open_output_stream(f"{name}.bin"), store.open_output_stream(f"{name}.idx")
-            if batch.column(0).null_count:
+            if batch.column(0).null_count and not null_ids:
                 raise ValueError("a document without an id has no place in the files")
             lists = batch.column(1)
             ends, ids = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
@@ -77,9 +79,10 @@ def write_files(encoded: DataFrame, folder: str, width: int = 2) -> DataFrame:
             if len(ids) and not 0 <= int(ids.min()) <= int(ids.max()) < limit:
                 raise ValueError(f"ids don't fit into {width} bytes")
             out.write(ids.astype(f"<u{width}").tobytes())
-            rows = np.empty((batch.num_rows, 2), "<i8")
-            rows[:, 0] = batch.column(0).to_numpy(zero_copy_only=False)
+            rows = np.empty((batch.num_rows, 3), "<i8")
+            rows[:, 0] = pc.fill_null(batch.column(0), 0).to_numpy(zero_copy_only=False)
             rows[:, 1] = n_ids + ends[1:] - ends[0]
+            rows[:, 2] = batch.column(0).is_null().to_numpy(zero_copy_only=False)
             index.write(rows.tobytes())
             n_docs, n_ids = n_docs + batch.num_rows, n_ids + len(ids)
         if out is not None:
@@ -113,7 +116,7 @@ def read_files(based: DataFrame, folder: str, width: int = 2) -> DataFrame:
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                ids, index = mapped(row["ids_file"], f"<u{width}"), mapped(row["index_file"], "<i8").reshape(-1, 2)
+                ids, index = mapped(row["ids_file"], f"<u{width}"), mapped(row["index_file"], "<i8").reshape(-1, 3)
                 ends = index[:, 1]
                 at = 0
                 while at < len(ends):
@@ -125,7 +128,7 @@ def read_files(based: DataFrame, folder: str, width: int = 2) -> DataFrame:
                     view = memoryview(whole)
                     sums = [zlib.crc32(view[a:b]) for a, b in zip(cuts, cuts[1:])]
                     yield pa.RecordBatch.from_arrays([
-                        pa.array(np.array(index[at:to, 0])), pa.array(row["base"] + bounds[:-1]),
+                        pa.array(np.array(index[at:to, 0]), mask=index[at:to, 2] == 1), pa.array(row["base"] + bounds[:-1]),
                         pa.array(np.diff(bounds)), pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
                     at = to
 
@@ -134,7 +137,7 @@ def read_files(based: DataFrame, folder: str, width: int = 2) -> DataFrame:
 
 
 def in_id_order(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Documents dealt by ranges of the id and sorted; equal ids follow their text's hash, so a repeated id can't fill one task."""
+    """Documents dealt by ranges of the id and sorted, null ids first; equal ids follow their text's hash, so a repeated id can't fill one task."""
     frame = narrow(df, doc_id=doc_id, text=text)
     order = ["doc_id", F.xxhash64("text")]
     return frame.repartitionByRange(*order).sortWithinPartitions(*order)

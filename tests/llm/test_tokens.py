@@ -11,7 +11,7 @@ import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
-from cohortroll.llm import byte_bpe, packing, token_files
+from cohortroll.llm import byte_bpe, packing, queries, token_files
 from cohortroll.llm.library_tokens import library_words
 from cohortroll.session import scratch_path
 
@@ -180,3 +180,15 @@ def test_token_files_refuse_what_does_not_fit(spark):
     nameless = spark.createDataFrame([(None, [7])], "doc_id bigint, ids array<int>")
     with pytest.raises(Exception, match="without an id"):
         token_files.write_files(nameless, scratch_path(spark, "files"))
+
+
+def test_token_files_of_null_ids(spark, tmp_path):
+    texts = {None: ["of no id", None, "", "of no id"], -3: ["below zero"], 0: ["zero", "again"], 2**62 + 1: ["beyond a double"]}
+    rows = [(k, t) for k, many in texts.items() for t in many]
+    spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(queries.op10_token_files(spark, str(tmp_path)).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == [None] * 4 + [-3, 0, 0, 2**62 + 1]
+    whole = whole_text_library(BYTES)
+    want = [(k, [*whole.encode(t or "", add_special_tokens=False).ids, 2]) for k, t in rows]
+    assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == Counter((k, len(i), zlib.crc32(np.array(i, "<u4").tobytes())) for k, i in want)
+    assert [r.start for r in got] == [sum(r.n_tokens for r in got[:k]) for k in range(len(got))]
