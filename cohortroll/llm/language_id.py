@@ -22,6 +22,8 @@ PROFILE = 400  # n-grams of a profile and of a document's order
 LANGUAGES = 500  # most languages that a model holds: those with the most n-grams
 SLICE = 500_000  # characters of a text that are held as numbers at once
 FLUSH = 1_000_000  # n-grams that a task holds before it sends them on
+FAR = 0.05  # share of the learned documents that doesn't count for the bound of a language ...
+MARGIN = 0.15  # ... and what the bound leaves beyond the others
 GAP = 1  # stands for whatever isn't a letter
 UNKNOWN = "und"
 
@@ -140,6 +142,22 @@ def learn(df: DataFrame, text: str = "text", lang: str = "lang") -> Profiles:
     return Profiles(names, grams, places)
 
 
+def bounds(df: DataFrame, profiles: Profiles, text: str = "text", lang: str = "lang") -> dict[str, float]:
+    """For each language of the profiles, the distance beyond which a document is in none of them.
+
+    That is what all but a share of ``FAR`` of the learned documents keep to, of those that are named by their own language,
+    in steps of 0.001, and ``MARGIN`` more. A language without such documents has no bound.
+    """
+    rows = df.select(F.col(f"`{lang}`").cast("string").alias("lang"), identified(F.col(f"`{text}`"), profiles).alias("r"))
+    rows = rows.where((F.col("lang") == F.col("r.lang_pred")) & (F.col("r.distance") < 1))
+    steps = rows.groupBy("lang", F.floor(F.col("r.distance") * 1000).alias("step")).count().orderBy("lang", "step").toPandas()  # 1,000 rows a language
+    out = {}
+    for name, own in steps.groupby("lang"):
+        enough = own["count"].cumsum() >= (1 - FAR) * own["count"].sum()
+        out[name] = (int(own.step[enough].iloc[0]) + 1) / 1000 + MARGIN
+    return out
+
+
 def _merged(old, new):
     return new if old is None else _counted([old[0], new[0]], [old[1], new[1]])
 

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cohortroll.llm import multi_index, near_dedup, packing
+from cohortroll.llm import language_id, multi_index, near_dedup, packing
 
 SPACED = re.compile(r"[^\x20\x09-\x0D]+")
 SMALL = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -229,3 +229,26 @@ def test_near_dedup_stage_is_shingle_similarity(spark):
     docs = spark.createDataFrame([(k, t, "own") for k, t in enumerate(texts)], "doc_id bigint, text string, _node string").repartition(3)
     left = passed_on(spark, corpus_pipeline.near_dedup_stage, docs)
     assert sorted(r.doc_id for r in left.collect()) == sorted(set(root))
+
+
+SPOKEN = {
+    "en": "the of and to in is that for it was with as his on be at by had not are but from or have an they which one you were all her she there would their we him been has when who will more no if out so said what up its about into than them can only other time new some could these two may first then do any like my now over such our man me even most made after also did many before must through years where much your way well down should because each just those people how too little state good very make world still see own work men day get here between both life being under never same another know while last might us great old year off come since against go came right used take three",
+    "de": "der die und in den von zu das mit sich des auf ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach wird bei einer um am sind noch wie einem so zum war haben nur oder aber vor zur bis mehr durch man sein wurde sei hatte kann gegen vom schon wenn habe seine ihre dann unter wir soll ich eines jahr zwei jahren diese dieser wieder keine uhr seiner worden will zwischen immer millionen was sagte gibt alle seit muss wurden beim doch jetzt waren drei jahre neue damit bereits da ihr seinen ohne sondern selbst ersten nun etwa heute weil ihm menschen deutschland anderen ihn sagt ganz leben ihren liegt gut recht zeit stadt einmal geht fragen welt arbeit frage",
+    "fr": "le de un et il ne je son que se qui ce dans en du elle au pour pas vous par sur faire plus dire me on mon lui nous comme mais pouvoir avec tout y aller voir bien sans tu ou leur homme si deux mari moi vouloir te femme venir quand grand celui notre devoir heure prendre trouver rien encore jour aussi quelque main vie tout sous savoir temps petit peu jamais autre apres toujours monde enfant chose parler donner oeil mettre fois pouvoir fille passer aimer tenir dieu porter moins fait demander rester comprendre pendant chez coeur terre personne maison depuis toute premier devenir connaitre laisser seul entre nuit sortir parce regarder attendre puis entendre vivre beau",
+}
+
+
+def test_language_stage_drops_what_has_no_profile(spark):
+    rng = random.Random(9)
+    said = lambda lang, n: " ".join(rng.choice(SPOKEN[lang].split()) for _ in range(n))
+    noise = lambda n: " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(1, 10))) for _ in range(n))
+    rows = [(k, said(lang, rng.randint(50, 600)), lang) for k in range(160) for lang in [("en", "de")[k % 2]]]
+    rows += [(200 + k, said(("en", "de")[k % 2], rng.randint(50, 600)), None) for k in range(20)]  # clean without a label
+    rows += [(300 + k, said("fr", rng.randint(100, 600)), None) for k in range(20)]  # of a language without a profile
+    rows += [(400 + k, noise(1000), None) for k in range(10)] + [(500, noise(3000), "en")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(3)
+    left = {r.doc_id for r in passed_on(spark, corpus_pipeline.language_stage, docs).collect()}
+    assert left == {r[0] for r in rows if r[0] < 300}
+    named = docs.where("lang is not null")
+    bounds = language_id.bounds(named, language_id.learn(named))
+    assert set(bounds) == {"en", "de"} and all(b < corpus_pipeline.MAX_DISTANCE for b in bounds.values())
