@@ -48,7 +48,7 @@ def _encoder(tokenizer, keeps_space: bool):
 
 
 def library_words(path: str, keeps_space: bool) -> WordTable:
-    """This worker's table for the tokenizer file at ``path``; special tokens' strings in a text are ordinary text.
+    """This worker's table for the tokenizer file at ``path``; special tokens' strings in a text become their ids, as the library has it.
 
     ``keeps_space``: white space belongs to the word that follows it (byte-level vocabularies); else it is dropped.
     """
@@ -58,7 +58,6 @@ def library_words(path: str, keeps_space: bool) -> WordTable:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
         return WordTable((SPACED if keeps_space else UNSPACED).findall, _encoder(tokenizer, keeps_space))
 
     return per_worker(("library", path, keeps_space), make)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortroll.llm import (
-    byte_bpe, chat, language_id, licences, multi_index, near_dedup, packing, quality_model, quality_rules, token_files)
+    byte_bpe, chat, forced_bpe, language_id, licences, multi_index, near_dedup, packing, quality_model, quality_rules, token_files)
 from cohortroll.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -109,3 +109,8 @@ def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
     encoded = token_files.encode_documents(ordered, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
     files = scratch_path(spark, "token-files")
     return token_files.read_files(token_files.with_bases(token_files.write_files(encoded, files, null_ids=True)), files)
+
+
+@query()
+def op12_forced_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return forced_bpe.round_trip(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))

@@ -17,7 +17,7 @@ from cohortroll.session import scratch_path
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 BYTES, WORDS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
-ALPHABET = [*"abcXYZ 's't're  \n\t\r\x0b\x0c\x1c\x1f\x85\xa0 　​0123३\xe9\xdf漢\U0001f642́...!!|>aaaththΣς", "<|endoftext|>", "</s>", "İ"]
+ALPHABET = [*"abcXYZ 's't're  \n\t\r\x0b\x0c\x1c\x1f\x85\xa0 　​0123३\xe9\xdf漢\U0001f642́...!!|>aaaththΣς", "<|endoftext|>", "<|startoftext|>", "</s>", "</w>", "İ"]
 
 
 def made_up(n, seed=1, longest=60):
@@ -31,9 +31,7 @@ def reference():
 
 
 def whole_text_library(path):
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    return tokenizer
+    return Tokenizer.from_file(path)  # as the library has it: no setting is changed
 
 
 def documents(spark, texts):
@@ -89,6 +87,15 @@ def test_words_by_the_library(path, keeps_space):
         assert words.encode_batch([text])[0].tolist() == whole.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("path, keeps_space", [(BYTES, True), (WORDS, False)])
+def test_special_tokens_strings_are_as_the_library_has_them(path, keeps_space, monkeypatch):
+    monkeypatch.setattr("cohortroll.llm.common.LIST_LIMIT", 40)  # so that strings stand across the ends of slices
+    whole, words = whole_text_library(path), library_words(path, keeps_space)
+    for mark in ("<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>"):
+        for text in (mark, mark * 2, f"a{mark}b", f" {mark} ", f"one,  {mark}\n\n{mark}x, y", mark[:-1], *(f"{'w ' * k}{mark}. Two {mark}" * 4 for k in range(12, 24))):
+            assert words.encode_batch([text])[0].tolist() == whole.encode(text, add_special_tokens=False).ids
+
+
 def best_fit(histogram, capacity):
     rooms, n = [], 0
     for length in sorted(histogram, reverse=True):
