@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortroll.llm import (
-    byte_bpe, chat, forced_bpe, language_id, licences, multi_index, near_dedup, packing, quality_model, quality_rules, token_files)
+    byte_bpe, chat, forced_bpe, language_id, licences, multi_index, near_dedup, packing, periodic_runs, quality_model, quality_rules,
+    rotated_kmeans, token_files)
 from cohortroll.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -111,6 +112,32 @@ def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.read_files(token_files.with_bases(token_files.write_files(encoded, files, null_ids=True)), files)
 
 
+def lloyd_sql(rounds: int = 5, k: int = 40) -> str:
+    """The rounds of Lloyd's one below the other; components are rows, so that all sums are exact."""
+    nearest = """a{i} AS MATERIALIZED (SELECT r, cluster, d FROM (SELECT v.r, c.cluster, sum((v.x - c.x) * (v.x - c.x))::BIGINT AS d FROM v
+ JOIN c{i} c USING (pos) GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, cluster) = 1)"""
+    mean = """c{j} AS MATERIALIZED (SELECT cluster, pos, coalesce(m.x, c.x) AS x FROM c{i} c LEFT JOIN (SELECT cluster, pos, (sum(v.x) - ((sum(v.x)
+ % count(*)) + count(*)) % count(*)) // count(*) AS x FROM a{i} JOIN v USING (r) GROUP BY 1, 2) m USING (cluster, pos))"""
+    steps = [text.format(i=i, j=i + 1) for i in range(rounds) for text in (nearest, mean)] + [nearest.format(i=rounds)]
+    return f"""WITH e AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, embedding FROM embeddings WHERE len(embedding) = 64 AND
+ len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64), v AS MATERIALIZED (SELECT r, pos, floor(256 *
+ embedding[pos]::DOUBLE)::BIGINT AS x FROM e, range(1, 65) t(pos)), f AS MATERIALIZED (SELECT r, row_number() OVER (ORDER BY sha256('2:' || vec_id)
+ NULLS LAST, [floor(256 * x::DOUBLE) FOR x IN embedding]) - 1 AS cluster FROM e QUALIFY cluster < {k}), c0 AS MATERIALIZED (SELECT cluster, pos, x FROM f
+ JOIN v USING (r)), {", ".join(steps)}, s AS (SELECT cluster, sha256(string_agg(x::BIGINT, ',' ORDER BY pos)) AS centroid_sha256 FROM c{rounds} GROUP BY
+ 1) SELECT vec_id, cluster::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT
+ AS inertia, centroid_sha256 FROM a{rounds} JOIN e USING (r) JOIN s USING (cluster)"""
+
+
+@query(lloyd_sql())
+def op11_rotated_kmeans(spark: SparkSession, folder: str) -> DataFrame:
+    return rotated_kmeans.digest(rotated_kmeans.cluster(table(spark, folder, "embeddings")))
+
+
 @query()
 def op12_forced_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return forced_bpe.round_trip(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query()
+def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return periodic_runs.run_digests(table(spark, folder, "documents"), periodic_runs.planted)
