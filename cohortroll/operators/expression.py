@@ -29,7 +29,11 @@ MIN_COUNT, MIN_TOTAL, LARGE_N, MIN_PROP = 10, 15, 10, 0.7
 def leverage_sample_size(profiles: DataFrame, covariates: Sequence[str]) -> DataFrame:
     """Per type: 1 / largest leverage of the design, shortened above ``LARGE_N``."""
     d, x, _ = indicator_columns(age_terms(profiles, ["cell_type"]), covariates)
-    x = [*x, "age_decade"]
+    return design_sample_size(d, [*x, "age_decade"])
+
+
+def design_sample_size(d: DataFrame, x: Sequence[str]) -> DataFrame:
+    """The same for profiles that carry their design columns ``x``; columns of zeros take no part."""
     p = len(x)
     gram = gramian(d, ["cell_type"], x)
 
@@ -241,8 +245,8 @@ def _polygamma(order: int, x: float) -> float:
     return float(shift + series)
 
 
-def moderate(lines: DataFrame) -> DataFrame:
-    """Empirical-Bayes moderated t: prior variance and df from moments of log variances per type."""
+def prior_variances(lines: DataFrame) -> DataFrame:
+    """Prior variance and df of each type from the moments of the log variances ``sigma2`` with ``df``."""
     v = lines.where("sigma2 > 0 and df > 0")
     z = v.groupBy("cell_type", "df").agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.log("sigma2")).alias("z1"), F.sum(F.log("sigma2") * F.log("sigma2")).alias("z2"))
@@ -268,82 +272,18 @@ def moderate(lines: DataFrame) -> DataFrame:
                 out.append((1e10, float(np.exp(mean))))
         return pd.DataFrame(out, columns=["prior_df", "prior_var"])
 
-    pri = rows.select("cell_type", prior("m").alias("p")).select("cell_type", "p.*")
-    j = lines.join(pri, "cell_type")
+    return rows.select("cell_type", prior("m").alias("p")).select("cell_type", "p.*")
+
+
+def moderate(lines: DataFrame) -> DataFrame:
+    """Empirical-Bayes moderated t by the prior of each type."""
+    j = lines.join(prior_variances(lines), "cell_type")
     post = (F.col("prior_df") * F.col("prior_var") + F.col("df") * F.col("sigma2")) / (F.col("prior_df") + F.col("df"))
     j = j.withColumn("post_var", post).withColumn(
         "moderated_t", F.try_divide("effect", F.col("unscaled_se") * F.sqrt("post_var")))
     return j.withColumn("p_value", t_two_sided("moderated_t", F.least(F.col("prior_df") + F.col("df"), F.lit(1e7))))
 
 
-def mixed_model(weighted: DataFrame, x: Sequence[str], value: str, weight: str, rounds: int = 3) -> DataFrame:
-    """Random-intercept model per (type, gene), clustered by subject, by restricted likelihood.
-
-    For a given variance ratio the likelihood needs only sums per subject, so a short grid of ratios is
-    carried as rows, summed per gene, and narrowed around the best one in each round. The test uses the
-    residual-df t.
-    """
-    keys, p = ["cell_type", "gene_id"], len(x)
-    k = p * (p + 1) // 2
-    per = weighted.groupBy(*keys, "subject_id").agg(
-        F.count(F.lit(1)).alias("n"), F.expr(f"sum(`{weight}`)").alias("w"),
-        sum_array(f"`{weight}` * `{x[i]}` * `{x[j]}`" for i, j in pairs(p)).alias("xx"),
-        sum_array(f"`{weight}` * `{c}`" for c in x).alias("xs"),
-        sum_array(f"`{weight}` * `{c}` * `{value}`" for c in x).alias("xy"),
-        F.expr(f"sum(`{weight}` * `{value}`)").alias("y"), F.expr(f"sum(`{weight}` * `{value}` * `{value}`)").alias("yy"))
-    per = keep(per, "subjects")
-    # The ratio is relative to the gene's mean weight, so one grid serves every gene.
-    scale = per.groupBy(*keys).agg((F.sum("w") / F.sum("n")).alias("mw"))
-    per = keep(per.join(scale, keys), "subjects")
-    at = {pq: i for i, pq in enumerate(pairs(p))}
-
-    @F.pandas_udf("struct<ll:double,beta:double,se:double,sigma2:double,df:int>")
-    def evaluate(m: pd.Series, h: pd.Series, yy: pd.Series, logdet: pd.Series, n: pd.Series) -> pd.DataFrame:
-        out = []
-        for mi, hi, y2, ld, ni in zip(m, h, yy, logdet, n):
-            mat, v = square(np.asarray(mi, float), p), np.asarray(hi, float)
-            inv = np.linalg.pinv(mat, rcond=1e-11)
-            rank = scaled_rank(mat)
-            left = int(ni) - rank
-            if left < 1:
-                out.append((None, None, None, None, left))
-                continue
-            beta = inv @ v
-            sigma2 = max(float(y2 - beta @ v), 1e-300) / left
-            ev = np.linalg.eigvalsh(mat)
-            ll = -0.5 * (left * np.log(sigma2) + ld + np.log(ev[-rank:]).sum())
-            out.append((float(ll), float(beta[-1]), float(np.sqrt(sigma2 * max(inv[-1, -1], 0))), sigma2, left))
-        return pd.DataFrame(out, columns=["ll", "beta", "se", "sigma2", "df"])
-
-    best = None
-    for step in range(rounds):
-        if best is None:
-            grid = F.array(F.lit(0.0), *[F.lit(float(v)) for v in np.geomspace(1e-3, 1e2, 12)])
-            cand = per.withColumn("ratio", F.explode(grid))
-        else:
-            spread = 2.9 ** (1 / 6 ** (step - 1))
-            steps = F.array(*[F.lit(float(s)) for s in np.geomspace(1 / spread, spread, 9)])
-            near = best.select(*keys, F.col("ratio").alias("centre"))
-            # A best ratio of 0 gives 0 at every step; repeats would count the subjects several times.
-            cand = per.join(near, keys).withColumn("ratio", F.explode(F.array_distinct(
-                F.transform(steps, lambda s: s * F.col("centre"))))).drop("centre")
-        g = "(ratio / mw / (1 + ratio / mw * w))"
-        tot = cand.groupBy(*keys, "ratio").agg(
-            F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_subjects"), F.expr("sum(ln(1 + ratio / mw * w))").alias("logdet"),
-            sum_array(f"xx[{at[pq]}] - {g} * xs[{pq[0]}] * xs[{pq[1]}]" for pq in pairs(p)).alias("m"),
-            sum_array(f"xy[{i}] - {g} * xs[{i}] * y" for i in range(p)).alias("h"),
-            F.expr(f"sum(yy - {g} * y * y)").alias("yy"))
-        fit = tot.withColumn("f", evaluate("m", "h", "yy", "logdet", "n"))
-        top = F.max(F.struct(F.col("f.ll").alias("ll"), (-F.col("ratio")).alias("k"), "f", "n", "n_subjects"))
-        best = keep(fit.groupBy(*keys).agg(top.alias("b")).select(
-            *keys, (-F.col("b.k")).alias("ratio"), "b.f.*", "b.n", "b.n_subjects"), "ratio")
-    out = best.select(
-        *keys, F.col("n").alias("n_profiles"), "n_subjects", F.col("beta").alias("log2_fc_per_10_years"),
-        F.col("se").alias("standard_error"), "sigma2", F.col("df").alias("residual_df"),
-        (F.col("ratio")).alias("variance_ratio"), F.try_divide("beta", "se").alias("t_value"))
-    return out.withColumn("p_value", t_two_sided("t_value", "residual_df"))
-
-
 def kept_libraries(profiles: DataFrame, sums: DataFrame, genes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Profiles and counts after the gene filter of each cell type.
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cohortroll.functions.scalar import hash_int
+from cohortroll.operators import resampling
 from cohortroll.operators.ordering import hashed_number, running_counts, running_position
 from cohortroll.session import keep
 
@@ -138,6 +139,13 @@ def numbered(df: DataFrame, keys: Sequence[str], row_id: str) -> DataFrame:
     return out.join(size, list(keys)) if keys else out.withColumn("__n", size.scalar())
 
 
+def _intervals(good: DataFrame, keys: Sequence[str], columns: dict[str, str], ci: float, *more: Column) -> DataFrame:
+    """Percentile intervals of the replicates' columns, under the names given."""
+    tail = (1 - ci) / 2
+    return good.groupBy(*keys).agg(
+        *more, *[F.percentile(v, F.lit(p)).alias(f"{name}_{side}") for v, name in columns.items() for side, p in (("low", tail), ("high", 1 - tail))])
+
+
 def row_bootstrap(df: DataFrame, keys: Sequence[str], row_id: str, x: str, y: str, n_boot: int,
                   ci: float, seed: int) -> DataFrame:
     """Percentile intervals of the slope and the rank correlation by row resampling.
@@ -146,12 +154,24 @@ def row_bootstrap(df: DataFrame, keys: Sequence[str], row_id: str, x: str, y: st
     counts of the draws that hit the row, so replicates are weighted sums, never copied rows.
     Tests with fewer than four rows get null intervals; replicates with fewer than three distinct
     x or y are skipped; more than two good replicates are needed.
+
+    Tests of at most ``resampling.LEAF`` rows draw and rank in their task. Ranks of a replicate need all its rows in order,
+    so a larger test's weights are shuffled, with the same kind of draws and the same result.
     """
-    rows = keep(numbered(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()), keys, row_id), "numbered")
-    draws = rows.where("__n >= 4").select(
-        *keys, "__n", F.col("__i").alias("__slot"), F.explode(F.sequence(F.lit(1), F.lit(n_boot)))
-        .alias("__b"))
-    hit = F.pmod(hash_int(F.lit(seed), *keys, "__b", "__slot"), F.col("__n"))
+    rows = keep(numbered(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()), keys, row_id).where("__n >= 4"), "numbered")
+    good = resampling.replicate_trends(rows.where(F.col("__n") <= resampling.LEAF), keys, x, y, n_boot, seed)
+    large = rows.where(F.col("__n") > resampling.LEAF)
+    if not large.isEmpty():
+        good = good.unionByName(shuffled_trends(large, keys, x, y, n_boot, seed))
+    out = _intervals(keep(good, "replicates"), keys, {"rho": "spearman_rho_ci", "slope": "slope_per_year_ci"}, ci, F.count(F.lit(1)).alias("n_good"))
+    return out.select(*keys, "n_good", *[F.when(F.col("n_good") > 2, F.col(c)).alias(c) for c in out.columns if "_ci_" in c])
+
+
+def shuffled_trends(rows: DataFrame, keys: Sequence[str], x: str, y: str, n_boot: int, seed: int) -> DataFrame:
+    """``keys, slope, rho`` of every usable replicate, from weights joined to the rows."""
+    draws = rows.select(
+        *keys, "__n", F.col("__i").alias("__slot"), F.explode(F.sequence(F.lit(1), F.lit(n_boot))).alias("__b"))
+    hit = resampling.hit_column(resampling.test_base(seed, keys), F.col("__b").cast("bigint"), F.col("__slot").cast("bigint"), F.col("__n"))
     weights = draws.groupBy(*keys, "__b", hit.alias("__i")).agg(F.count(F.lit(1)).alias("__w"))
     drawn = keep(weights.join(rows.select(*keys, "__i", x, y), [*keys, "__i"]), "drawn")
     rep = [*keys, "__b"]
@@ -180,56 +200,33 @@ def row_bootstrap(df: DataFrame, keys: Sequence[str], row_id: str, x: str, y: st
     slope = F.try_divide(centred("a", "b", "ab", 1), centred("a", "a", "aa", 1))
     rho = F.try_divide(centred("a", "b", "ab", 2), F.sqrt(
         centred("a", "a", "aa", 2) * centred("b", "b", "bb", 2)))
-    tail = (1 - ci) / 2
-    good = sums.select(*keys, slope.alias("slope"), rho.alias("rho"))
-    enough = F.count(F.lit(1)) > 2
-    return good.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_good"),
-        *[F.when(enough, F.percentile(v, F.lit(p))).alias(f"{name}_{side}")
-          for v, name in (("rho", "spearman_rho_ci"), ("slope", "slope_per_year_ci"))
-          for side, p in (("low", tail), ("high", 1 - tail))])
+    return sums.select(*keys, slope.alias("slope"), rho.alias("rho"))
 
 
 def cluster_bootstrap(preds: DataFrame, subject: str, truth: str, pred: str, n_boot: int, ci: float,
                       seed: int, keys: Sequence[str] = ()) -> DataFrame:
     """Intervals of mean absolute error and R2 by resampling subjects.
 
-    Rows are folded to sums per subject once, so replicates touch subjects only.
+    Rows are folded to sums per subject once; replicates are sums over subjects, drawn where the subjects are.
     """
     keys = list(keys)
     t, e = F.col(truth), F.col(truth) - F.col(pred)
     per_subject = preds.groupBy(*keys, subject).agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.abs(e)).alias("ae"), F.sum(e * e).alias("se"),
         F.sum(t).alias("t1"), F.sum(t * t).alias("t2"))
-    rows = numbered(per_subject, keys, subject)
-    draws = rows.select(*keys, "__n", F.col("__i").alias("__slot"),
-                        F.explode(F.sequence(F.lit(1), F.lit(n_boot))).alias("__b"))
-    hit = F.pmod(hash_int(F.lit(seed), *keys, "__b", "__slot"), F.col("__n"))
-    weights = draws.groupBy(*keys, "__b", hit.alias("__i")).agg(F.count(F.lit(1)).alias("w"))
-    rep = weights.join(rows, [*keys, "__i"]).groupBy(*keys, "__b").agg(
-        *[F.sum(F.col("w") * F.col(c)).alias(c) for c in ("n", "ae", "se", "t1", "t2")])
+    rep = resampling.replicate_sums(numbered(per_subject, keys, subject), keys, ["n", "ae", "se", "t1", "t2"], n_boot, seed)
     good = rep.select(
         *keys, F.try_divide("ae", F.col("n").cast("double")).alias("mae"),
         (1 - F.try_divide(F.col("se"), F.col("t2") - F.col("t1") * F.col("t1") / F.col("n")))
         .alias("r2"))
-    tail = (1 - ci) / 2
-    return good.groupBy(*keys).agg(
-        *[F.percentile(v, F.lit(p)).alias(f"{v}_ci_{side}") for v in ("mae", "r2")
-          for side, p in (("low", tail), ("high", 1 - tail))])
+    return _intervals(good, keys, {"mae": "mae_ci", "r2": "r2_ci"}, ci)
 
 
 def mean_bootstrap(values: DataFrame, keys: Sequence[str], row_id: str, value: str, n_boot: int,
                    ci: float, seed: int) -> DataFrame:
-    """Interval of a mean and the share of replicates above zero."""
-    rows = numbered(values, keys, row_id)
-    draws = rows.select(*keys, "__n", F.col("__i").alias("__slot"),
-                        F.explode(F.sequence(F.lit(1), F.lit(n_boot))).alias("__b"))
-    hit = F.pmod(hash_int(F.lit(seed), *keys, "__b", "__slot"), F.col("__n"))
-    weights = draws.groupBy(*keys, "__b", hit.alias("__i")).agg(F.count(F.lit(1)).alias("w"))
-    rep = weights.join(rows, [*keys, "__i"]).groupBy(*keys, "__b").agg(
-        (F.sum(F.col("w") * F.col(value)) / F.sum("w")).alias("m"))
-    tail = (1 - ci) / 2
-    return rep.groupBy(*keys).agg(
-        F.percentile("m", F.lit(tail)).alias("mean_ci_low"),
-        F.percentile("m", F.lit(1 - tail)).alias("mean_ci_high"),
-        F.avg((F.col("m") > 0).cast("int")).alias("share_above_zero"))
+    """Interval of a mean and the share of replicates above zero; null values have no weight."""
+    rows = numbered(values, keys, row_id).withColumns({
+        "__one": F.col(value).isNotNull().cast("double"), "__value": F.coalesce(F.col(value).cast("double"), F.lit(0.0))})
+    rep = resampling.replicate_sums(rows, keys, ["__value", "__one"], n_boot, seed)
+    good = rep.select(*keys, F.try_divide("__value", "__one").alias("m"))
+    return _intervals(good, keys, {"m": "mean_ci"}, ci, F.avg((F.col("m") > 0).cast("int")).alias("share_above_zero"))

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cohortroll.operators import count_models as cm
 from cohortroll.operators import expression as ex
+from cohortroll.operators import mixed_models as mm
 from cohortroll.operators.ordering import bh_fdr
 from cohortroll.operators.rollup import pseudobulk_sums
 from cohortroll.operators.stats import age_terms
@@ -31,6 +33,16 @@ def inputs(spark, folder):
     return profiles, sums.join(profiles.select("profile_id"), "profile_id", "left_semi")
 
 
+PLANTED = "CASE cell_type WHEN 'P' THEN sex ELSE batch END AS batch, CASE cell_type WHEN 'O' THEN 40.0 ELSE age END AS age"
+
+
+def planted_designs(profiles):
+    """In type P the batch repeats the sex, so covariates can't be told apart; in type O all ages are one."""
+    kind = F.col("cell_type")
+    return profiles.withColumns({"batch": F.when(kind == "P", F.col("sex")).otherwise(F.col("batch")),
+                                 "age": F.when(kind == "O", F.lit(40.0)).otherwise(F.col("age"))})
+
+
 @query("leverage_sample_size", f"""WITH {PROFILE_SQL}, l AS (SELECT cell_type, 1 / max(1.0 / n + x * x / sxx) AS n0 FROM xp JOIN (SELECT cell_type,
  count(*) AS n, sum(x * x) AS sxx FROM xp GROUP BY 1) USING (cell_type) GROUP BY 1) SELECT cell_type, round(CASE WHEN n0 > 10 THEN 10 + (n0 - 10) * 0.7
  ELSE n0 END, 5) AS min_samples FROM l""")
@@ -115,9 +127,26 @@ def moderated_gene_models(spark, folder):
 
 @query("mixed_gene_models")
 def mixed_gene_models(spark, folder):
-    dense, x, _ = ex.prepare_expression(*inputs(spark, folder), ["sex"])
-    _, weighted = ex.fixed_model(dense, x)
-    return _with_fdr(ex.effect_interval(ex.mixed_model(weighted, x, "log_cpm", "weight")))
+    """Moderated random-intercept tests with the planted designs of ``count_model_scopes``."""
+    profiles, sums = inputs(spark, folder)
+    results, _ = mm.mixed_gene_models(planted_designs(profiles), sums, ["sex", "batch"])
+    return _with_fdr(ex.effect_interval(results))
+
+
+@query("mixed_model_scopes", f"""WITH {PROFILE_SQL}, q AS (SELECT cell_type, subject_id, sex, {PLANTED} FROM profiles), k AS (SELECT cell_type, subject_id, count(*)
+ AS k FROM q GROUP BY ALL), r AS (SELECT cell_type, count(*) AS n_subjects, count(*) FILTER (k > 1) AS n_subjects_repeated, max(k) AS max_samples_per_subject FROM
+ k GROUP BY 1), s AS (SELECT cell_type, count(*) AS n_sample_units, max(age) - min(age) AS age_span_years, count(DISTINCT sex) AS n_sex, count(DISTINCT batch) AS
+ n_batch, count(DISTINCT sex || batch) AS n_both FROM q GROUP BY 1) SELECT cell_type, n_sample_units, n_subjects, n_subjects_repeated, max_samples_per_subject,
+ age_span_years, CASE WHEN n_sample_units < 12 THEN 'insufficient_sample_units' WHEN age_span_years < 12 THEN 'insufficient_age_span' WHEN n_subjects < 12 THEN
+ 'insufficient_subjects' WHEN (n_both = n_sex AND n_both = n_batch AND n_sex > 1) OR n_subjects_repeated < 1 THEN
+ 'rank_deficient_age_absent_or_no_repeated_subjects' ELSE '' END AS reason, CASE WHEN reason = '' THEN 'adjusted_repeated_measures' ELSE 'not_tested' END AS
+ model_scope, CASE WHEN reason = '' THEN 'completed' ELSE 'excluded' END AS status FROM s JOIN r USING (cell_type)""")
+def mixed_model_scopes(spark, folder):
+    """Which types have a mixed model, and why the others have none."""
+    profiles, _ = inputs(spark, folder)
+    planted = keep(planted_designs(profiles), "planted")
+    scopes, _, _, _ = cm.design_scopes(planted, ["sex", "batch"], min_replicates=12, min_age_span=12, min_residual_df=5)
+    return mm.mixed_scopes(planted, scopes, 12)
 
 
 @query("quasi_poisson_gene_models")
@@ -145,3 +174,63 @@ def robustness_refits(spark, folder):
     scenarios = ex.robustness_scenarios(profiles, 3)
     cols = [[x[i] for i in g] for g in groups]
     return ex.scenario_models(dense, scenarios, primary.where("p_value < 0.25"), x, groups, cols[0], cols[1])
+
+
+@query("count_model_scopes", f"""WITH {PROFILE_SQL}, q AS (SELECT cell_type, sex, {PLANTED} FROM profiles), s AS (SELECT cell_type, count(*) AS n_replicates,
+ max(age) - min(age) AS age_span_years, count(DISTINCT sex) AS n_sex, count(DISTINCT batch) AS n_batch, count(DISTINCT sex || batch) AS n_both FROM q
+ GROUP BY 1), t AS (SELECT *, CASE WHEN n_replicates < 12 THEN 'insufficient_replicates' WHEN age_span_years < 12 THEN 'insufficient_age_span' ELSE '' END AS
+ reason, n_sex + n_batch AS wide, n_both = n_sex AND n_both = n_batch AND n_sex > 1 AS same FROM s) SELECT cell_type, n_replicates, age_span_years, reason,
+ CASE WHEN reason <> '' THEN 'not_tested' WHEN same OR n_replicates - wide < 5 THEN 'age_only_sensitivity' ELSE 'adjusted_primary' END AS model_scope, CASE WHEN
+ reason <> '' THEN NULL WHEN same OR n_replicates - wide < 5 THEN 2 ELSE wide END::INTEGER AS design_columns, CASE WHEN reason <> '' THEN NULL WHEN same OR
+ n_replicates - wide < 5 THEN 2 ELSE wide END::INTEGER AS design_rank, (n_replicates - design_rank)::INTEGER AS residual_df, CASE WHEN reason = '' THEN
+ 'completed' ELSE 'excluded' END AS status FROM t""")
+def count_model_scopes(spark, folder):
+    """Which design each type is tested with, with a type whose covariates can't be estimated and one without an age span."""
+    profiles, _ = inputs(spark, folder)
+    scopes, _, _, _ = cm.design_scopes(planted_designs(profiles), ["sex", "batch"], min_replicates=12, min_age_span=12, min_residual_df=5)
+    return scopes
+
+
+PHIS = (0.5, 5.0, 50.0)
+
+
+def scoring_sql(rounds: int) -> str:
+    """Fisher scoring of a line in the log mean, one round below the other."""
+    out = []
+    for i in range(rounds):
+        out.append(f"""m{i} AS MATERIALIZED (SELECT cell_type, gene_id, phi, sum(w) AS a, sum(w * x) AS b, sum(w * x * x) AS c, sum(r) AS u, sum(r * x) AS v FROM (SELECT
+ d.cell_type, d.gene_id, phi, x, mu / (1 + phi * mu) AS w, (y - mu) / (1 + phi * mu) AS r FROM (SELECT d.*, phi, exp(o + b0 + b1 * x) AS mu FROM d JOIN s{i}
+ USING (cell_type, gene_id)) d) GROUP BY ALL), s{i + 1} AS MATERIALIZED (SELECT cell_type, gene_id, phi, b0 + (c * u - b * v) / (a * c - b * b) AS b0, b1 + (a * v
+ - b * u) / (a * c - b * b) AS b1 FROM s{i} JOIN m{i} USING (cell_type, gene_id, phi))""")
+    return ", ".join(out)
+
+
+@query("dispersion_likelihoods", f"""WITH {PROFILE_SQL}, d AS MATERIALIZED (SELECT xp.cell_type, g.gene_id, x, ln(library_size) AS o, coalesce(count, 0)::DOUBLE AS y
+ FROM xp JOIN (SELECT DISTINCT cell_type, gene_id FROM sums JOIN profiles USING (profile_id)) g ON g.cell_type = xp.cell_type LEFT JOIN sums ON
+ sums.profile_id = xp.profile_id AND sums.gene_id = g.gene_id), s0 AS MATERIALIZED (SELECT cell_type, gene_id, phi, ln((sum(y) + 0.5) / sum(exp(o))) AS b0,
+ 0.0::DOUBLE AS b1 FROM d, (SELECT unnest([{", ".join(map(str, PHIS))}]::DOUBLE[]) AS phi) GROUP BY ALL), {scoring_sql(12)}, f AS (SELECT d.cell_type,
+ d.gene_id, phi, b1, y, x, exp(o + b0 + b1 * x) AS mu FROM d JOIN s12 USING (cell_type, gene_id)) SELECT cell_type, gene_id, phi, round(any_value(b1) / ln(2), 5)
+ AS log2_fc_per_10_years, round(sum(lgamma(y + 1 / phi) - lgamma(1 / phi) - lgamma(y + 1) + y * ln(phi * mu / (1 + phi * mu)) - ln(1 + phi * mu) / phi) - 0.5 *
+ ln(sum(mu / (1 + phi * mu)) * sum(x * x * mu / (1 + phi * mu)) - sum(x * mu / (1 + phi * mu)) ** 2), 4) AS adjusted_likelihood, round(2 * sum(CASE WHEN y > 0
+ THEN y * ln(y / mu) ELSE 0 END - (y + 1 / phi) * ln((1 + phi * y) / (1 + phi * mu))), 4) AS deviance FROM f GROUP BY ALL""")
+def dispersion_likelihoods(spark, folder):
+    """Age effect, adjusted profile likelihood and deviance of every gene of every type at three dispersions, age alone in the design."""
+    profiles, sums = inputs(spark, folder)
+    genes = sums.join(profiles.select("profile_id", "cell_type"), "profile_id").select("cell_type", "gene_id").distinct()
+    d = age_terms(profiles, ["cell_type"]).withColumns({"x0": F.lit(1.0), "norm_factor": F.lit(1.0)})
+    tiles = cm.tiles_of(d, sums, genes, ["x0", "age_decade"])
+    models = cm.gene_totals(tiles).select(
+        "cell_type", "part", "gene_id", "start", F.posexplode(F.array(*[F.lit(v) for v in PHIS])).alias("variant", "phi"))
+    fits = cm.fit_models(tiles, models, 2, [[0, 1]] * len(PHIS))
+    apl = cm.adjusted_profile(fits, 2).select(*cm.MODEL, "apl")
+    return fits.join(apl, cm.MODEL).select(
+        "cell_type", "gene_id", "phi", F.round(F.col("beta")[1] / F.log(F.lit(2.0)), 5).alias("log2_fc_per_10_years"),
+        F.round("apl", 4).alias("adjusted_likelihood"), F.round(2 * (F.col("s")[7] - F.col("s")[5]), 4).alias("deviance"))
+
+
+@query("count_gene_models")
+def count_gene_models(spark, folder):
+    """Negative-binomial quasi-likelihood tests with the planted designs of ``count_model_scopes``."""
+    profiles, sums = inputs(spark, folder)
+    results, _ = cm.count_models(planted_designs(profiles), sums, ["sex", "batch"])
+    return _with_fdr(results)

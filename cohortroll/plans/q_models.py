@@ -229,7 +229,7 @@ def gee_binomial_exchangeable(spark, folder):
 def composition_associations(spark, folder):
     f = sample_fractions(b.cells_a(spark, folder), covariates=["sex"], min_cells=MIN_CELLS)
     return associations(f.withColumn("detected", F.col("n_cells") > 0), ["cell_type"], "fraction", family="binomial",
-                        covariates=["sex"], min_subjects=8, detected="detected", weight="total_cells", n_boot=20, seed=7)
+                        covariates=["sex"], min_subjects=8, detected="detected", weight="total_cells", n_boot=2_000, seed=7)
 
 
 def signature_rows(spark, folder):
@@ -247,4 +247,4 @@ def signature_rows(spark, folder):
 def signature_associations(spark, folder):
     rows = signature_rows(spark, folder)
     return associations(rows, ["cell_type", "signature"], "score", family="gaussian", covariates=["sex"],
-                        min_subjects=12, min_age_span=12, n_boot=5, seed=3)
+                        min_subjects=12, min_age_span=12, n_boot=2_000, seed=3)

@@ -10,7 +10,7 @@ from cohortroll.operators.rollup import mean_vectors, pack_vectors
 from cohortroll.operators.sampling import grouped_folds
 from cohortroll.operators.stats import prediction_metrics
 from cohortroll.plans import bindings as b
-from cohortroll.plans.q_sampling import FOLDS_SQL, hash_sql
+from cohortroll.plans.q_sampling import FOLDS_SQL, REPLICATES, draws_sql, hash_sql
 from cohortroll.plans.registry import query
 from cohortroll.session import keep
 
@@ -36,7 +36,7 @@ def ridge_nested_predictions(spark, folder):
 def ridge_model_table(spark, folder):
     preds = keep(ridge_nested_predictions(spark, folder), "predictions")
     rolled = pr.roll_to_sample(preds, ["model", "subject_id", "sample_unit_id"])
-    return pr.model_table(rolled, "subject_id", 50, 0.95, 1)
+    return pr.model_table(rolled, "subject_id", REPLICATES, 0.95, 1)
 
 
 @query("boosted_tree_predictions")
@@ -105,8 +105,7 @@ def metrics(spark, folder):
 
 BOOT_SQL = f"""bq AS (SELECT model, subject_id, count(*) AS n, sum(abs(age - age_pred)) AS ae, sum((age - age_pred) ** 2) AS se, sum(age) AS t1,
  sum(age * age) AS t2 FROM preds GROUP BY ALL), nb AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY {hash_sql("subject_id")},
- subject_id) - 1 AS i, count(*) OVER (PARTITION BY model) AS m FROM bq), dr AS (SELECT model, bt.b, {hash_sql("'2'", "model", "bt.b", "i")} % m AS i
- FROM nb, (SELECT unnest(range(1, 41)) AS b) bt), rp AS (SELECT d.model, d.b, sum(ae) / sum(n) AS mae, 1 - sum(se) / (sum(t2) - sum(t1) * sum(t1) /
+ subject_id) - 1 AS i, count(*) OVER (PARTITION BY model) AS m FROM bq), dr AS {draws_sql("nb", "model", 2, "m")}, rp AS (SELECT d.model, d.b, sum(ae) / sum(n) AS mae, 1 - sum(se) / (sum(t2) - sum(t1) * sum(t1) /
  sum(n)) AS r2 FROM dr d JOIN nb ON nb.i = d.i AND nb.model = d.model GROUP BY ALL), ci AS (SELECT model, quantile_cont(mae, 0.025) AS mae_lo,
  quantile_cont(mae, 0.975) AS mae_hi, quantile_cont(r2, 0.025) AS r2_lo, quantile_cont(r2, 0.975) AS r2_hi FROM rp GROUP BY 1)"""
 
@@ -116,7 +115,7 @@ BOOT_SQL = f"""bq AS (SELECT model, subject_id, count(*) AS n, sum(abs(age - age
  mae = (SELECT min(mae) FROM met WHERE model LIKE 'ridge%') AS is_best_ridge, round(mae - (SELECT min(mae) FROM met WHERE model LIKE 'ridge%'), 6) AS
  delta_vs_best_ridge FROM met JOIN ci USING (model)""")
 def model_table(spark, folder):
-    m = pr.model_table(simple_predictions(spark, folder), "subject_id", 40, 0.95, 2)
+    m = pr.model_table(simple_predictions(spark, folder), "subject_id", REPLICATES, 0.95, 2)
     return m.select("model", F.round("mae", 6).alias("mae"), *[F.round(c, 5).alias(c) for c in (
         "mae_ci_low", "mae_ci_high", "r2_ci_low", "r2_ci_high")], "is_best_model", "is_best_ridge",
         F.round("delta_vs_best_ridge", 6).alias("delta_vs_best_ridge"))
@@ -126,18 +125,17 @@ def model_table(spark, folder):
  baseline_mae, CASE WHEN mae < baseline_mae AND r2 > 0.5 THEN 'candidate_for_human_review' ELSE 'not_prioritized' END AS automated_screen_status FROM
  met WHERE mae = (SELECT min(mae) FROM met)""")
 def screen(spark, folder):
-    m = pr.model_table(simple_predictions(spark, folder), "subject_id", 40, 0.95, 2)
+    m = pr.model_table(simple_predictions(spark, folder), "subject_id", REPLICATES, 0.95, 2)
     return b.rounded(prediction_screen(m).drop("r2_ci_low"))
 
 
 @query("model_comparison", f"""WITH {PREDS_SQL}, f AS (SELECT model, outer_fold, avg(abs(age - age_pred)) AS mae FROM preds GROUP BY ALL), d AS (SELECT
  f.model, f.outer_fold, round(f.mae - r.mae, 9) AS delta FROM f JOIN f r ON r.outer_fold = f.outer_fold AND r.model = 'ridge_b' WHERE f.model <>
  'ridge_b'), nb AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY {hash_sql("outer_fold::VARCHAR")}, outer_fold) - 1 AS i, count(*) OVER
- (PARTITION BY model) AS n FROM d), dr AS (SELECT model, bt.b, {hash_sql("'4'", "model", "bt.b", "i")} % n AS i FROM nb, (SELECT unnest(range(1, 101)) AS b)
- bt), rp AS (SELECT d.model, d.b, avg(nb.delta) AS m FROM dr d JOIN nb ON nb.model = d.model AND nb.i = d.i GROUP BY ALL), bs AS (SELECT model,
+ (PARTITION BY model) AS n FROM d), dr AS {draws_sql("nb", "model", 4, "n")}, rp AS (SELECT d.model, d.b, avg(nb.delta) AS m FROM dr d JOIN nb ON nb.model = d.model AND nb.i = d.i GROUP BY ALL), bs AS (SELECT model,
  round(quantile_cont(m, 0.025), 6) AS mean_ci_low, round(quantile_cont(m, 0.975), 6) AS mean_ci_high, round(avg((m > 0)::INTEGER), 6) AS
  share_above_zero FROM rp GROUP BY 1) SELECT model, count(*) AS n_folds, count(*) FILTER (delta < 0) AS n_wins, count(*) FILTER (delta > 0) AS n_losses,
  count(*) FILTER (delta = 0) AS n_ties, round(avg(delta), 6) AS mean_delta, round(median(delta), 6) AS median_delta, any_value(mean_ci_low) AS
  mean_ci_low, any_value(mean_ci_high) AS mean_ci_high, any_value(share_above_zero) AS share_above_zero FROM d JOIN bs USING (model) GROUP BY 1""")
 def model_comparison(spark, folder):
-    return b.rounded(pr.compare_models(simple_predictions(spark, folder), "ridge_b", 100, 0.95, 4))
+    return b.rounded(pr.compare_models(simple_predictions(spark, folder), "ridge_b", REPLICATES, 0.95, 4))

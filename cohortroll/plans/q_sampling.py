@@ -14,6 +14,27 @@ def hash_sql(*parts: str) -> str:
     return f"('0x' || substr(md5({" || '|' || ".join(parts)}), 1, 15))::BIGINT"
 
 
+REPLICATES = 2_000
+
+
+def draws_sql(source: str, keys: str, seed: int, n: str) -> str:
+    """``keys, b, i``: the row that each draw of each replicate hits, for tests of one leaf; ``n`` names a test's rows."""
+    def mixed(rows: str) -> str:
+        for step in ("xor(h, h >> 16)", f"h * {sp.resampling.FIRST}::UBIGINT % 4294967296::UBIGINT", "xor(h, h >> 13)",
+                     f"h * {sp.resampling.SECOND}::UBIGINT % 4294967296::UBIGINT", "xor(h, h >> 16)"):
+            rows = f"(SELECT * REPLACE ({step} AS h) FROM {rows})"
+        return rows
+
+    names = [k.strip() for k in keys.split(",") if k.strip()]
+    listed = "".join(f"{k}, " for k in names)
+    tests = f"(SELECT DISTINCT {listed}{n} AS n_rows FROM {source})"
+    starts = mixed(f"""(SELECT t.*, b, (({hash_sql(f"'{seed}'", *[f"{k}::VARCHAR" for k in names])} % 4294967296 + b * {sp.resampling.REPLICATE})
+ % 4294967296)::UBIGINT AS h FROM {tests} t, (SELECT unnest(range(1, {REPLICATES + 1})) AS b))""")
+    slots = mixed(f"""(SELECT s.* REPLACE (((h + slot * {sp.resampling.DRAW}) % 4294967296)::UBIGINT AS h) FROM (SELECT *, unnest(range(n_rows)) AS slot
+ FROM {starts}) s)""")
+    return f"(SELECT {listed}b, (h * n_rows::UBIGINT >> 32)::BIGINT AS i FROM {slots})"
+
+
 GROUP_SQL = f"""{b.CELLS_A}, g AS (SELECT sample_unit_id, cell_type, count(*) AS size, sum(k)::BIGINT AS w FROM cells
  GROUP BY ALL), gh AS (SELECT *, {hash_sql("sample_unit_id", "cell_type")} AS h, sample_unit_id || '|' || cell_type AS id
  FROM g)"""
@@ -93,8 +114,7 @@ def fold_cover_and_leaks(spark, folder):
 
 @query("row_bootstrap_intervals", f"""WITH {FRACTIONS_SQL}, nb AS (SELECT cell_type, age, fraction, row_number() OVER (PARTITION
  BY cell_type ORDER BY {hash_sql("sample_unit_id")}, sample_unit_id) - 1 AS i, count(*) OVER (PARTITION BY cell_type) AS n FROM
- fractions), dr AS (SELECT cell_type, bt.b, {hash_sql("'11'", "cell_type", "bt.b", "i")} % n AS i FROM nb, (SELECT
- unnest(range(1, 21)) AS b) bt), pk AS (SELECT d.cell_type, d.b, age, fraction FROM dr d JOIN nb ON nb.cell_type = d.cell_type
+ fractions), dr AS {draws_sql("nb", "cell_type", 11, "n")}, pk AS (SELECT d.cell_type, d.b, age, fraction FROM dr d JOIN nb ON nb.cell_type = d.cell_type
  AND nb.i = d.i), rk AS (SELECT *, rank() OVER (PARTITION BY cell_type, b ORDER BY age) + (count(*) OVER (PARTITION BY
  cell_type, b, age) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY cell_type, b ORDER BY fraction) + (count(*) OVER (PARTITION BY
  cell_type, b, fraction) - 1) / 2.0 AS ry FROM pk), st AS (SELECT cell_type, b, corr(rx, ry) AS rho, regr_slope(fraction, age)
@@ -103,27 +123,25 @@ def fold_cover_and_leaks(spark, folder):
  0.975), 7) AS spearman_rho_ci_high, round(quantile_cont(slope, 0.025), 8) AS slope_per_year_ci_low,
  round(quantile_cont(slope, 0.975), 8) AS slope_per_year_ci_high FROM st GROUP BY 1""")
 def row_bootstrap_intervals(spark, folder):
-    out = sp.row_bootstrap(fractions(spark, folder), ["cell_type"], "sample_unit_id", "age", "fraction", 20, 0.95, 11)
+    out = sp.row_bootstrap(fractions(spark, folder), ["cell_type"], "sample_unit_id", "age", "fraction", REPLICATES, 0.95, 11)
     return out.select("cell_type", "n_good", *[F.round(c, 7).alias(c) for c in out.columns if c.startswith("spearman")],
                       *[F.round(c, 8).alias(c) for c in out.columns if c.startswith("slope")])
 
 
 @query("subject_bootstrap_intervals", f"""WITH {b.CELLS_A}, ps AS (SELECT subject_id, count(*) AS n, sum(abs(age - 42)) AS ae,
  sum((age - 42) * (age - 42)) AS se, sum(age) AS t1, sum(age * age) AS t2 FROM cells GROUP BY 1), nb AS (SELECT *, row_number()
- OVER (ORDER BY {hash_sql("subject_id")}, subject_id) - 1 AS i, count(*) OVER () AS m FROM ps), dr AS (SELECT bt.b,
- {hash_sql("'3'", "bt.b", "i")} % m AS i FROM nb, (SELECT unnest(range(1, 101)) AS b) bt), rp AS (SELECT d.b, sum(ae) / sum(n)
+ OVER (ORDER BY {hash_sql("subject_id")}, subject_id) - 1 AS i, count(*) OVER () AS m FROM ps), dr AS {draws_sql("nb", "", 3, "m")}, rp AS (SELECT d.b, sum(ae) / sum(n)
  AS mae, 1 - sum(se) / (sum(t2) - sum(t1) * sum(t1) / sum(n)) AS r2 FROM dr d JOIN nb ON nb.i = d.i GROUP BY 1)
  SELECT round(quantile_cont(mae, 0.025), 6) AS mae_ci_low, round(quantile_cont(mae, 0.975), 6) AS mae_ci_high,
  round(quantile_cont(r2, 0.025), 6) AS r2_ci_low, round(quantile_cont(r2, 0.975), 6) AS r2_ci_high FROM rp""")
 def subject_bootstrap_intervals(spark, folder):
     cells = b.cells_a(spark, folder).select("subject_id", "age", F.lit(42.0).alias("pred"))
-    return b.rounded(sp.cluster_bootstrap(cells, "subject_id", "age", "pred", 100, 0.95, 3))
+    return b.rounded(sp.cluster_bootstrap(cells, "subject_id", "age", "pred", REPLICATES, 0.95, 3))
 
 
 @query("mean_delta_bootstrap", f"""WITH f AS (SELECT l_returnflag AS model, l_suppkey AS fold, avg(l_discount * 100) - 5 AS d
  FROM lineitem GROUP BY ALL), nb AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY {hash_sql("fold::VARCHAR")},
- fold::VARCHAR) - 1 AS i, count(*) OVER (PARTITION BY model) AS n FROM f), dr AS (SELECT model, bt.b, {hash_sql("'8'", "model",
- "bt.b", "i")} % n AS i FROM nb, (SELECT unnest(range(1, 201)) AS b) bt), rp AS (SELECT d.model, d.b, avg(nb.d) AS m FROM dr d
+ fold::VARCHAR) - 1 AS i, count(*) OVER (PARTITION BY model) AS n FROM f), dr AS {draws_sql("nb", "model", 8, "n")}, rp AS (SELECT d.model, d.b, avg(nb.d) AS m FROM dr d
  JOIN nb ON nb.model = d.model AND nb.i = d.i GROUP BY ALL)
  SELECT model, round(quantile_cont(m, 0.025), 7) AS mean_ci_low, round(quantile_cont(m, 0.975), 7) AS mean_ci_high,
  round(avg((m > 0)::INTEGER), 8) AS share_above_zero FROM rp GROUP BY 1""")
@@ -131,4 +149,4 @@ def mean_delta_bootstrap(spark, folder):
     f = b.table(spark, folder, "lineitem").groupBy(
         F.col("l_returnflag").alias("model"), F.col("l_suppkey").alias("fold")).agg(
         (F.avg(F.col("l_discount") * 100) - 5).alias("d"))
-    return b.rounded(sp.mean_bootstrap(f, ["model"], "fold", "d", 200, 0.95, 8), 7)
+    return b.rounded(sp.mean_bootstrap(f, ["model"], "fold", "d", REPLICATES, 0.95, 8), 7)

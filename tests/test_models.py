@@ -110,42 +110,6 @@ def test_design_diagnostics_and_residuals_match_numpy(spark):
         assert mine == pytest.approx(want.to_numpy()[np.argsort(g.age.to_numpy())], abs=1e-9)
 
 
-def test_mixed_model_matches_direct_restricted_likelihood(spark):
-    rng = np.random.default_rng(3)
-    rows, want = [], {}
-    for gene, sd in (("g_none", 0.0), ("g_some", 0.8)):
-        x, y, w, sub = [], [], [], []
-        for s in range(25):
-            u = rng.normal(0, sd)
-            for v in range(1 + s % 3):
-                a = rng.normal()
-                x.append(a), w.append(rng.uniform(0.5, 2)), sub.append(s)
-                y.append(1 + 0.4 * a + u + rng.normal(0, 0.5) / math.sqrt(w[-1]))
-        x, y, w, sub = map(np.array, (x, y, w, sub))
-        design = np.column_stack([np.ones(len(x)), x])
-        z = (sub[:, None] == np.arange(25)).astype(float)
-        mw = w.mean()
-        best = None
-        for ratio in np.r_[0, np.geomspace(1e-3, 1e2, 4000)]:
-            v = np.diag(1 / w) + ratio / mw * z @ z.T
-            vi = np.linalg.inv(v)
-            m = design.T @ vi @ design
-            beta = np.linalg.solve(m, design.T @ vi @ y)
-            r = y - design @ beta
-            left = len(y) - 2
-            s2 = r @ vi @ r / left
-            ll = -0.5 * (left * math.log(s2) + np.linalg.slogdet(v)[1] + np.linalg.slogdet(m)[1])
-            if best is None or ll > best[0]:
-                best = (ll, beta[1], math.sqrt(s2 * np.linalg.inv(m)[1, 1]))
-        want[gene] = best
-        rows += [("T", gene, f"S{s}", 1.0, float(a), float(b), float(c)) for s, a, b, c in zip(sub, x, y, w)]
-    df = spark.createDataFrame(rows, "cell_type string, gene_id string, subject_id string, x0 double, x1 double, v double, w double")
-    for r in ex.mixed_model(df, ["x0", "x1"], "v", "w").collect():
-        assert r.n_profiles == df.where(F.col("gene_id") == r.gene_id).count()
-        assert r.log2_fc_per_10_years == pytest.approx(want[r.gene_id][1], rel=2e-3)
-        assert r.standard_error == pytest.approx(want[r.gene_id][2], rel=5e-3)
-
-
 def test_ridge_folds_match_direct_solution(spark):
     rng = np.random.default_rng(2)
     n, width = 60, 3
@@ -235,8 +199,6 @@ def test_voom_moderation_on_simulated_counts(spark):
     assert rows["g0"].effect == pytest.approx(math.log2(1.05) * 10, rel=0.2)
     qp = {r.gene_id: r for r in ex.quasi_poisson(dense, ["cell_type", "gene_id"], x, groups).collect()}
     assert qp["g0"].status == "completed" and qp["g0"].p_value < 1e-6
-    mixed = {r.gene_id: r for r in ex.mixed_model(weighted, x, "log_cpm", "weight").collect()}
-    assert len(mixed) == 40 and mixed["g0"].p_value < 1e-6 and mixed["g0"].n_profiles == 24
 
 
 def test_polygamma_and_inverse():
