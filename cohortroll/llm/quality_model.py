@@ -6,6 +6,8 @@ sample of labelled documents and flattened into arrays, which tasks walk for man
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,6 +26,7 @@ RATE = 0.15
 MIN_ROWS = 20
 PENALTY = 1.0
 SLICE = 2_000_000  # bytes of a text whose words are held at once
+SPACE, LINE = re.compile(rb"[ \t-\r]"), re.compile(rb"[^\n]+")
 
 STATISTICS = [
     "log_bytes", "log_words", "word_bytes", "word_spread", "distinct_words", "distinct_windows", "top_word", "capitals",
@@ -35,39 +38,54 @@ _MARK[[c for c in range(33, 127) if not chr(c).isalnum()]] = True
 _MARKS = {"sentence_ends": b".!?", "commas": b",;:", "bars": b"|", "hashes": b"#", "symbols": b"$%&*+<=>@[]^_`{}~/\\"}
 
 
-def _slice_statistics(data: bytes) -> list[float]:
-    """All but the two sizes, of one slice."""
-    raw = np.frombuffer(data, np.uint8)
-    hist = np.bincount(raw, minlength=256)
-    words = data.split()
-    n, size = max(len(words), 1), max(len(raw), 1)
-    sizes = np.fromiter(map(len, words), np.int64, len(words)) if words else np.zeros(1)
-    counts: dict[bytes, int] = {}
-    for w in words:
-        counts[w] = counts.get(w, 0) + 1
-    windows = len(set(zip(words, words[1:], words[2:]))) / (len(words) - 2) if len(words) > 2 else 1.0
-    lines = [x for x in data.split(b"\n") if x.strip()]
-    share = hist[hist > 0] / size
-    marks = _MARK[raw]
-    first = np.fromiter((w[0] for w in words), np.int64, len(words)) if words else np.zeros(1)
-    of = {k: hist[list(v)].sum() / size for k, v in _MARKS.items()}
-    return [
-        sizes.mean(), sizes.std(), len(counts) / n, windows, max(counts.values(), default=0) / n, hist[65:91].sum() / size,
-        hist[48:58].sum() / size, (hist[32] + hist[9]) / size, hist[10] / size, hist[128:].sum() / size, of["sentence_ends"], of["commas"],
-        float((marks[1:] & (raw[1:] == raw[:-1])).sum()) / size, of["bars"], of["hashes"], of["symbols"],
-        len(set(lines)) / max(len(lines), 1), len(words) / max(len(lines), 1), float((sizes > 15).mean()), float((sizes < 3).mean()),
-        float(-(share * np.log2(share)).sum()), float(((first >= 65) & (first <= 90)).mean()),
-    ]
+def word_slices(data: bytes) -> Iterator[list[bytes]]:
+    """The words of a text, some ``SLICE`` bytes of it at a time, cut where no word is."""
+    start = 0
+    while len(data) - start > SLICE:
+        end = SPACE.search(data, start + SLICE)
+        stop = end.start() if end else len(data)
+        yield data[start:stop].split()
+        start = stop
+    yield data[start:].split()
+
+
+def _hashes(items: Iterable[bytes]) -> np.ndarray:
+    """64-bit hashes that tell apart what stands in one text; they differ from one process to the next."""
+    return np.fromiter(map(hash, items), np.int64)
 
 
 def statistics(text: str | None) -> list[float]:
-    """One value for each of ``STATISTICS``; a long text's are its slices' means, weighted by their bytes."""
+    """One value for each of ``STATISTICS``, all of the whole text: words, windows of three and lines are counted by their hashes."""
     data = (text or "").encode("utf-8", "replace")
-    slices = [data[k:k + SLICE] for k in range(0, len(data), SLICE)] or [b""]
-    rows = np.array([_slice_statistics(s) for s in slices], float)
-    mean = np.average(rows, axis=0, weights=[max(len(s), 1) for s in slices])
-    n_words = sum(len(s.split()) for s in slices)
-    return [float(np.log1p(len(data))), float(np.log1p(n_words)), *mean.tolist()]
+    raw = np.frombuffer(data, np.uint8)
+    hist, size = np.zeros(256, np.int64), max(len(raw), 1)
+    doubled = 0
+    for k in range(0, len(raw), SLICE):
+        part = raw[k:k + SLICE + 1]  # one byte more, for the pair across the cut
+        hist += np.bincount(part[:SLICE], minlength=256)
+        doubled += int((_MARK[part[1:]] & (part[1:] == part[:-1])).sum())
+    hashes = []
+    n = long = short = total = squares = capitals = 0
+    for words in word_slices(data):
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        hashes.append(_hashes(words))
+        n += len(words)
+        total, squares = total + int(lengths.sum()), squares + int((lengths * lengths).sum())
+        long, short = long + int((lengths > 15).sum()), short + int((lengths < 3).sum())
+        capitals += sum(65 <= w[0] <= 90 for w in words)
+    h = np.concatenate(hashes).view(np.uint64)
+    _, counts = np.unique(h, return_counts=True)
+    three = h[:-2] * np.uint64(0x9E3779B97F4A7C15) + h[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + h[2:] if n > 2 else h[:0]
+    lines = _hashes(m.group() for m in LINE.finditer(data) if m.group().strip())
+    share = hist[hist > 0] / size
+    of = {k: hist[list(v)].sum() / size for k, v in _MARKS.items()}
+    many, mean = max(n, 1), total / max(n, 1)
+    return [float(v) for v in (
+        np.log1p(len(data)), np.log1p(n), mean, np.sqrt(max(squares / many - mean * mean, 0.0)), len(counts) / many,
+        len(np.unique(three)) / (n - 2) if n > 2 else 1.0, counts.max(initial=0) / many, hist[65:91].sum() / size,
+        hist[48:58].sum() / size, (hist[32] + hist[9]) / size, hist[10] / size, hist[128:].sum() / size, of["sentence_ends"], of["commas"],
+        doubled / size, of["bars"], of["hashes"], of["symbols"], len(np.unique(lines)) / max(len(lines), 1), n / max(len(lines), 1),
+        long / many, short / many if n else 1.0, -(share * np.log2(share)).sum(), capitals / many)]
 
 
 def document_statistics(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -167,7 +185,9 @@ def predict(docs: DataFrame, labels: DataFrame, label: str = "quality", held_out
     """``doc_id, held_out, score, predicted`` for every document row.
 
     Labels are learned from ids outside the fold only, at most ``sample`` of them; an id with several labels has the
-    label of most (1 in a tie), null labels are none. Null ids are neither learned from nor held out.
+    label of most (1 in a tie), null labels are none. Null ids are neither learned from nor held out. Null and empty texts have a
+    score like any other; texts of any length are whole, by the same definitions. Repeated rows have equal scores. Other columns
+    of either table, whatever their names, aren't read. An empty table gives no rows.
     """
     known = keep(document_statistics(docs, doc_id, text), "statistics")
     crc = F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds

@@ -1,6 +1,7 @@
 """Chat, licences, quality rules, language ID and the quality model against plain Python."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -8,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cohortroll.llm import chat, language_id, licences, quality_model, quality_rules
 
@@ -180,8 +182,68 @@ def test_profile_ties_and_out_of_place_distance(spark):
     df = spark.createDataFrame([("aa", "x"), ("ab", "x"), ("b", "y")], "text string, lang string")
     profiles = language_id.learn(df)
     assert profiles.names == ["x", "y"]
-    lang, score, distance = profiles.identify("B")
-    assert (lang, distance) == ("y", 0.0) and score == 1.0
+    lang, distance, following = profiles.blocks[0].identify("B")
+    assert (lang, distance) == ("y", 0.0) and 0 < following < 1
+
+
+def plain_rank_order(texts, profiles):
+    """Nearest language by lists and dictionaries, for texts of letters and blanks."""
+    def grams(text):
+        held = {}
+        marked = " " + " ".join(text.lower().split()) + " "
+        for i, c in enumerate(marked):
+            if c != " ":
+                held[c] = held.get(c, 0) + 1
+            if i and not (c == " " and marked[i - 1] == " "):
+                held[marked[i - 1:i + 1]] = held.get(marked[i - 1:i + 1], 0) + 1
+            if i > 1 and marked[i - 1] != " ":
+                held[marked[i - 2:i + 1]] = held.get(marked[i - 2:i + 1], 0) + 1
+        return held
+
+    def number(g):  # ties go by code points, a word end before all letters
+        value = 0
+        for c in g:
+            value = value << 21 | (1 if c == " " else ord(c))
+        return value
+
+    def order(counts):
+        return sorted(counts, key=lambda g: (-counts[g], number(g)))[:language_id.PROFILE]
+
+    learned = {}
+    for lang, text in profiles:
+        own = learned.setdefault(lang, {})
+        for g, n in grams(text).items():
+            own[g] = own.get(g, 0) + n
+    places = {lang: {g: k for k, g in enumerate(order(counts))} for lang, counts in learned.items()}
+    out = []
+    for text in texts:
+        own = order(grams(text))
+        far = sorted((sum(abs(p[g] - k) if g in p else language_id.PROFILE for k, g in enumerate(own)) / (language_id.PROFILE * len(own)), lang)
+                     for lang, p in places.items())
+        out.append((far[0][1], far[0][0], 1 - far[0][0] / far[1][0] if far[1][0] > 0 else 0.0))
+    return out
+
+
+def test_rank_order_of_many_languages_in_blocks(spark, monkeypatch):
+    rng = random.Random(12)
+    names = [f"l{k:03d}" for k in range(600)]  # more than one block holds
+    letters = {name: "".join(rng.sample("abcdefghijklmnopqrstuvwxyz", 7)) for name in names}
+
+    def speak(name):
+        return " ".join("".join(rng.choice(letters[name]) for _ in range(rng.randint(2, 6))) for _ in range(25))
+
+    learned = [(name, speak(name)) for name in names for _ in range(2)]
+    asked = [speak(name) for name in rng.sample(names, 60)] + [learned[0][1]] * 2
+    df = spark.createDataFrame(learned, "lang string, text string")
+    model = language_id.learn(df)
+    assert model.names == names and [len(b.names) for b in model.blocks] == [500, 100]
+    want = plain_rank_order(asked, learned)
+    monkeypatch.setattr(language_id, "BLOCK", 70)
+    for own in (model, language_id.learn(df)):
+        rows = spark.createDataFrame([(k, t) for k, t in enumerate(asked)], "k int, text string")
+        got = rows.select("k", language_id.identified(F.col("text"), own).alias("r")).select("k", "r.*").orderBy("k").collect()
+        for r, (lang, distance, score) in zip(got, want):
+            assert r.lang_pred == lang and abs(r.distance - distance) < 1e-12 and abs(r.score - score) < 1e-9
 
 
 # --- quality model ---
@@ -213,3 +275,58 @@ def test_flat_trees_follow_their_thresholds():
     y = ((x[:, 0] > 0.3) ^ (x[:, 1] > 0)).astype(float)
     assert ((quality_model.fit(x, y).score(x) > 0.5) == y).mean() > 0.97
     assert (quality_model.fit(x, np.ones(2000)).score(x) > 0.99).all()
+
+
+def plain_statistics(text):
+    """Every statistic of a whole text by sets and lists."""
+    data = text.encode()
+    words, size = data.split(), max(len(data), 1)
+    n, lines = max(len(words), 1), [x for x in data.split(b"\n") if x.strip()]
+    windows = list(zip(words, words[1:], words[2:]))
+    count = lambda chars: sum(data.count(c) for c in chars) / size
+    sizes = [len(w) for w in words]
+    mean = sum(sizes) / n
+    marks = {c for c in range(33, 127) if not chr(c).isalnum()}
+    share = [data.count(c) / size for c in set(data)]
+    return dict(zip(quality_model.STATISTICS, (
+        math.log1p(len(data)), math.log1p(len(words)), mean, math.sqrt(sum((k - mean) ** 2 for k in sizes) / n), len(set(words)) / n,
+        len(set(windows)) / len(windows) if windows else 1.0, max((words.count(w) for w in set(words)), default=0) / n,
+        count(range(65, 91)), count(range(48, 58)), count(b" \t"), count(b"\n"), count(range(128, 256)), count(b".!?"), count(b",;:"),
+        sum(a == b and b in marks for a, b in zip(data, data[1:])) / size, count(b"|"), count(b"#"), count(b"$%&*+<=>@[]^_`{}~/\\"),
+        len(set(lines)) / max(len(lines), 1), len(words) / max(len(lines), 1), sum(k > 15 for k in sizes) / n,
+        sum(k < 3 for k in sizes) / n if words else 1.0, -sum(p * math.log2(p) for p in share), sum(65 <= w[0] <= 90 for w in words) / n)))
+
+
+@pytest.mark.parametrize("size", [7, 100, 2_000_000])
+def test_statistics_are_those_of_the_whole_text_at_every_slice(size, monkeypatch):
+    monkeypatch.setattr(quality_model, "SLICE", size)
+    rng = random.Random(4)
+    texts = ["", " \n\t ", "One", "a b", "same line\n" * 40, "no-space-" * 50, "Ein Stück, ein Stück!! ##|| Ümläut\n\n \nEnde..."]
+    texts += ["".join(rng.choice("aB c\n.!!#é9 |") for _ in range(rng.randint(1, 700))) for _ in range(60)]
+    for text in texts:
+        got = dict(zip(quality_model.STATISTICS, quality_model.statistics(text)))
+        want = plain_statistics(text)
+        assert all(abs(got[k] - want[k]) < 1e-9 for k in want), (text, {k: (got[k], want[k]) for k in want if abs(got[k] - want[k]) >= 1e-9})
+
+
+def test_statistics_of_a_long_text_of_known_shares():
+    passage = " ".join(f"w{k}" for k in range(400_000))
+    got = dict(zip(quality_model.STATISTICS, quality_model.statistics(passage + "\n" + passage)))
+    assert len(passage) > 2_500_000 and got["distinct_words"] == 0.5 and got["distinct_lines"] == 0.5
+    assert abs(got["distinct_windows"] - 400_000 / 799_998) < 1e-12 and got["top_word"] == 2 / 800_000
+
+
+def test_tree_walk_is_the_plain_one():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(1500, len(quality_model.STATISTICS))).astype(np.float32)
+    trees = quality_model.fit(x, ((x[:, 0] > 0.2) ^ (x[:, 3] > 0)).astype(float))
+
+    def walk(row):
+        total = trees.base
+        for node in trees.roots.tolist():
+            while trees.left[node] != node:
+                node = int(trees.right[node] if row[trees.feature[node]] > trees.threshold[node] else trees.left[node])
+            total += trees.value[node]
+        return 1 / (1 + math.exp(-total))
+
+    assert np.allclose(trees.score(x[:200]), [walk(r) for r in x[:200]], atol=1e-12)
