@@ -22,10 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from cohortroll.llm.common import WordTable, narrow, per_worker, ragged, text_slices, texts_of
-from cohortroll.llm.library_tokens import SPACED, UNSPACED
+from cohortroll.llm.library_tokens import PLAIN, SPACED, UNSPACED
 
 ENDS = 256  # added to a byte that ends a word
-LETTERS = re.compile(r"[A-Za-z]+")
+FEW = 48  # symbols of a fragment that are merged by looking through them
+NONE = 1 << 62  # stands for a pair that isn't merged
 
 
 def byte_letters() -> list[str]:
@@ -50,12 +51,12 @@ class ForcedBoundaries:
         first = {s: k for k, s in enumerate(symbols)}
         last = dict(first)
         self.inside = np.zeros((len(symbols), len(symbols)), bool)
-        self.pairs: dict[int, tuple[int, int]] = {}
+        self.pairs: dict[int, int] = {}  # rank of the merge, then the id that it makes, in one number
         for rank, (a, b) in enumerate(merges):
             whole = a + b
             first[whole], last[whole] = first[a], last[b]
             self.inside[last[a], first[b]] = True
-            self.pairs.setdefault(vocab[a] << self.SHIFT | vocab[b], (rank, vocab[whole]))
+            self.pairs.setdefault(vocab[a] << self.SHIFT | vocab[b], rank << self.SHIFT | vocab[whole])
 
     def symbols(self, word: bytes) -> np.ndarray:
         out = np.frombuffer(word, np.uint8).astype(np.int64)
@@ -93,32 +94,50 @@ class ForcedBoundaries:
 
     def merge(self, ids: list[int]) -> list[int]:
         """Ids of one fragment: the earliest merge first, the leftmost of its places first."""
-        get, shift = self.pairs.get, self.SHIFT
+        return self.merge_few(ids) if len(ids) <= FEW else self.merge_many(ids)
+
+    def merge_few(self, ids: list[int]) -> list[int]:
+        """For short fragments, whose pairs are looked through anew for each merge."""
+        get, shift, new_id = self.pairs.get, self.SHIFT, (1 << self.SHIFT) - 1
+        found = [get(a << shift | b, NONE) for a, b in zip(ids, ids[1:])]
+        while found:
+            best = min(found)
+            if best == NONE:
+                break
+            k = found.index(best)
+            new = ids[k] = best & new_id
+            del ids[k + 1], found[k]
+            if k < len(found):
+                found[k] = get(new << shift | ids[k + 1], NONE)
+            if k:
+                found[k - 1] = get(ids[k - 1] << shift | new, NONE)
+        return ids
+
+    def merge_many(self, ids: list[int]) -> list[int]:
+        """For long ones: the places of all pairs lie on a heap, and neighbours are linked."""
+        get, shift, new_id = self.pairs.get, self.SHIFT, (1 << self.SHIFT) - 1
         after, before = list(range(1, len(ids) + 1)), list(range(-1, len(ids) - 1))
         after[-1] = -1
-        heap = []
-        for p in range(len(ids) - 1):
-            found = get(ids[p] << shift | ids[p + 1])
-            if found:
-                heap.append((found[0], p, found[1]))
+        heap = [(found, p) for p, (a, b) in enumerate(zip(ids, ids[1:])) if (found := get(a << shift | b)) is not None]
         heapify(heap)
         while heap:
-            rank, p, new = heappop(heap)
+            best, p = heappop(heap)
             q = after[p]
-            if ids[p] < 0 or q < 0 or get(ids[p] << shift | ids[q], (-1,))[0] != rank:
+            if ids[p] < 0 or q < 0 or get(ids[p] << shift | ids[q]) != best:
                 continue  # one of the two was merged in the meantime
+            new = best & new_id
             ids[p], ids[q] = new, -1
             right = after[p] = after[q]
             left = before[p]
             if right >= 0:
                 before[right] = p
                 found = get(new << shift | ids[right])
-                if found:
-                    heappush(heap, (found[0], p, found[1]))
+                if found is not None:
+                    heappush(heap, (found, p))
             if left >= 0:
                 found = get(ids[left] << shift | new)
-                if found:
-                    heappush(heap, (found[0], left, found[1]))
+                if found is not None:
+                    heappush(heap, (found, left))
         return [i for i in ids if i >= 0]
 
 
@@ -156,8 +175,8 @@ class Codec:
         self.parts = WordTable((SPACED if keeps_space else UNSPACED).findall, self.encode_parts)
 
     def _plain_words_are_whole(self, keeps_space: bool) -> bool:
-        """Whether words of Latin letters go through normalisation and cutting as a probe says they do."""
-        probe = "aZbY"
+        """Whether a word of Latin letters is one word in lower case by the file's own rules, as one of all of them shows."""
+        probe = "".join(c for c in map(chr, range(256)) if PLAIN.match(c))
         return not keeps_space and self.cut_words(probe) == [probe.lower().encode()]
 
     def cut_words(self, text: str) -> list[bytes]:
@@ -172,7 +191,7 @@ class Codec:
         words: list[bytes] = []
         plan: list[list[int | tuple[int, int]]] = []  # special ids, and ranges of words
         for part in parts:
-            if self.plain and LETTERS.fullmatch(part):
+            if self.plain and PLAIN.fullmatch(part):
                 plan.append([(len(words), len(words) + 1)])
                 words.append(part.lower().encode())
                 continue

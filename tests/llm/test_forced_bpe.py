@@ -41,6 +41,8 @@ def test_fragments_give_what_whole_words_give():
     cuts = [int((~model.inside[s[:-1], s[1:]]).sum()) for s in map(model.symbols, words)]
     assert sum(cuts) > len(words)  # the words do fall into fragments
     assert model.encode(words) == [model.merge(model.ids[model.symbols(w)].tolist()) for w in words]
+    many = [model.ids[model.symbols(w * 3)].tolist() for w in words[:500]]
+    assert [model.merge_few(list(m)) for m in many] == [model.merge_many(list(m)) for m in many]
     assert model.encode([]) == [] and model.encode([b"", b"a", b""])[1:] == [model.ids[[97 + 256]].tolist(), []]
 
 
