@@ -22,9 +22,15 @@ PLAIN = re.compile(rf"[{LATIN}]+")
 AT_ONCE = 500  # plain words that the library gets as one text
 
 
-def _encoder(tokenizer, keeps_space: bool):
-    """Encodes distinct parts: plain words many to a text, told apart by the tokens that start or end a word; others singly."""
-    many = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
+def _encoder(tokenizer, keeps_space: bool, without_special=None):
+    """Encodes distinct parts: plain words many to a text, told apart by the tokens that start or end a word; others singly.
+
+    ``without_special`` is the same tokenizer, which doesn't look for special tokens' strings: for parts that hold none of them.
+    """
+    slow = tokenizer.encode_batch
+    many = getattr(without_special or tokenizer, "encode_batch_fast", (without_special or tokenizer).encode_batch)
+    strings = [t.content for t in tokenizer.get_added_tokens_decoder().values()] if without_special else []
+    held = re.compile("|".join(map(re.escape, strings))).search if strings else lambda part: None
     tokens = sorted(tokenizer.get_vocab().items(), key=lambda x: x[1])
     mark = np.array([t.startswith("Ġ") if keeps_space else t.endswith("</w>") for t, _ in tokens])
 
@@ -40,6 +46,10 @@ def _encoder(tokenizer, keeps_space: bool):
                 for k, a, b in zip(group, cuts, cuts[1:]):
                     out[k] = ids[a:b]
         rest = [k for k, ids in enumerate(out) if ids is None]
+        special = [k for k in rest if held(parts[k])]
+        for k, e in zip(special, slow([parts[k] for k in special], add_special_tokens=False)):
+            out[k] = e.ids
+        rest = [k for k in rest if out[k] is None]
         for k, e in zip(rest, many([parts[k] for k in rest], add_special_tokens=False)):
             out[k] = e.ids
         return out
@@ -57,7 +67,8 @@ def library_words(path: str, keeps_space: bool) -> WordTable:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on each core
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        return WordTable((SPACED if keeps_space else UNSPACED).findall, _encoder(tokenizer, keeps_space))
+        tokenizer, fast = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        fast.encode_special_tokens = True  # it gets only parts without such strings, in which that changes nothing
+        return WordTable((SPACED if keeps_space else UNSPACED).findall, _encoder(tokenizer, keeps_space, fast))
 
     return per_worker(("library", path, keeps_space), make)
