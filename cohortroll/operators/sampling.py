@@ -18,6 +18,9 @@ from cohortroll.operators.ordering import hashed_number, running_counts, running
 from cohortroll.session import keep
 
 
+EDGE = 200_000  # rows of the slot in which a budget runs out that are ranked together
+
+
 def draw_key(seed: int | str, *ids: str) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(i).cast("string") for i in ids]))
 
@@ -26,24 +29,51 @@ def seeded_take(df: DataFrame, ids: Sequence[str], take: DataFrame | int, seed:
                 group: Sequence[str] = (), digits: int = 3) -> DataFrame:
     """Exactly ``take`` rows (per group) with the smallest draw keys, without a full sort.
 
-    Rows are counted by the first hex digits of the key. Slots wholly below the budget are kept by
-    filter alone; only the one slot where a budget runs out is ranked.
+    Rows are counted by the first hex digits of the key, which shows the slot where a group's budget runs out. A slot of more
+    than ``EDGE`` rows is counted again by its next digits, until it is small. Rows of lower slots are kept by filter alone; only
+    the last slot is ranked. Rows of equal ids have equal keys and share a slot at any length.
     """
     grp = list(group)
-    keyed = df.withColumn("__key", draw_key(seed, *ids)).withColumn(
-        "__slot", F.substring("__key", 1, digits))
-    w = Window.partitionBy(*grp).orderBy("__slot")
-    slots = keyed.groupBy(*grp, "__slot").agg(F.count(F.lit(1)).alias("__n")).select(
-        *grp, "__slot", F.sum("__n").over(w).alias("__upto"), "__n")
-    slots = slots.withColumn("take", F.lit(take)) if isinstance(take, int) else slots.join(take, grp)
-    slots = slots.withColumn("__before", F.col("__upto") - F.col("__n")).where(
-        F.col("__before") < F.col("take"))
-    placed = keyed.join(slots.drop("__n"), [*grp, "__slot"])
-    whole = placed.where(F.col("__upto") <= F.col("take"))
-    edge = placed.where(F.col("__upto") > F.col("take")).withColumn(
-        "__rn", F.row_number().over(Window.partitionBy(*grp, "__slot").orderBy("__key", *ids)))
-    edge = edge.where(F.col("__rn") + F.col("__before") <= F.col("take"))
-    return whole.select(*df.columns).unionByName(edge.select(*df.columns))
+    keyed = df.withColumn("__key", draw_key(seed, *ids))
+    budget = take if isinstance(take, DataFrame) else df.groupBy(*grp).agg(F.lit(take).alias("take")) if grp else None
+
+    def counted(rows: DataFrame, length: int, known: Sequence[str]) -> DataFrame:
+        """Per group the slot in which its budget runs out: its prefix, the rows before it and the rows in it."""
+        slots = rows.groupBy(*grp, *known, F.substring("__key", 1, length).alias("__slot")).agg(F.count(F.lit(1)).alias("__n"))
+        start = F.col("__start") if "__start" in known else F.lit(0)
+        upto = F.sum("__n").over(Window.partitionBy(*grp).orderBy("__slot")) + start
+        slots = slots.withColumn("__upto", upto)
+        if "take" not in known:
+            slots = slots.join(budget, grp) if grp else slots.withColumn("take", F.lit(take))
+        slots = slots.withColumn("__before", F.col("__upto") - F.col("__n"))
+        return slots.where((F.col("__before") < F.col("take")) & (F.col("__upto") >= F.col("take"))).select(
+            *grp, "take", F.col("__slot").alias("__prefix"), F.col("__before").alias("__start"), F.col("__n").alias("__held"))
+
+    def joined(rows: DataFrame, edges: DataFrame, how: str) -> DataFrame:
+        if grp:
+            return rows.join(edges, grp, how)
+        one = edges.first()  # the only row there can be
+        return rows.withColumns({c: F.lit(one[c] if one else None).cast(t) for c, t in edges.dtypes})
+
+    length = digits
+    edges = keep(counted(keyed, length, ()), "edges")
+    while length < 32 and not (large := edges.where(F.col("__held") > EDGE)).isEmpty():
+        length += digits
+        inside = joined(keyed, large, "inner").where(F.col("__key").startswith(F.col("__prefix")))
+        finer = counted(inside, length, ("take", "__start"))
+        edges = keep(finer.unionByName(edges.where(F.col("__held") <= EDGE)), "edges")
+    # A group without an edge is kept whole, if it has a budget at all.
+    told = joined(keyed, edges, "left")
+    whole_groups = F.col("__prefix").isNull()
+    head = F.substring(F.col("__key"), F.lit(1), F.length("__prefix"))
+    lower = told.where(whole_groups | (head < F.col("__prefix")))
+    if grp:
+        lower = lower.drop("take").join(budget.where("take > 0").select(*grp), grp, "left_semi")
+    elif take <= 0:
+        lower = lower.limit(0)
+    edge = told.where(head == F.col("__prefix")).withColumn("__rn", F.row_number().over(Window.partitionBy(*grp, "__prefix").orderBy("__key", *ids)))
+    edge = edge.where(F.col("__rn") + F.col("__start") <= F.col("take"))
+    return lower.select(*df.columns).unionByName(edge.select(*df.columns))
 
 
 def capped_allocation(sizes: DataFrame, keys: Sequence[str], weight: str, cap: str, total,

@@ -132,6 +132,25 @@ def nuisance_gramian(spark, folder):
         F.col("gram")[at[p, q]].alias(f"g_{p}_{q}") for p, q in ((0, 1), (1, 1), (1, 2), (4, 4), (3, 5), (5, 5))]), 4)
 
 
+PLANTED = """q AS (SELECT cell_type, CASE cell_type WHEN 'O' THEN 'ONE' ELSE sex END AS sex, CASE WHEN cell_type = 'P' THEN sex WHEN cell_type = 'F' AND
+ age > 60 THEN NULL ELSE batch END AS batch, CASE WHEN cell_type = 'F' AND age < 22 THEN 'infinity'::DOUBLE ELSE age END AS age FROM samples)"""
+
+
+@query("design_problems", f"""WITH {SAMPLES_SQL}, {PLANTED}, s AS (SELECT cell_type, count(*) AS n, count(*) FILTER (batch IS NULL) AS nb, count(*) FILTER (isinf(age)) AS
+ na, count(DISTINCT sex) AS ks FROM q GROUP BY 1), f AS (SELECT *, row_number() OVER (PARTITION BY cell_type ORDER BY batch) AS turn, sum(k) OVER (PARTITION BY
+ cell_type)::BIGINT AS n FROM (SELECT cell_type, batch, count(*) AS k FROM q WHERE batch IS NOT NULL AND NOT isinf(age) GROUP BY ALL)) SELECT cell_type, 'missing' AS
+ problem, 'batch' AS "column", nb AS n_rows FROM s WHERE nb > 0 UNION ALL SELECT cell_type, 'not_finite', 'age', na FROM s WHERE na > 0 UNION ALL SELECT cell_type,
+ 'no_variation', 'sex', n FROM s WHERE ks = 1 UNION ALL SELECT cell_type, 'dependent', 'batch=' || batch, n FROM f WHERE cell_type = 'P' AND turn > 1""")
+def design_problems_planted(spark, folder):
+    """Covariates with gaps and infinities in type F, without variation in O, and one that repeats another in P."""
+    kind, age = F.col("cell_type"), F.col("age")
+    rows = samples(spark, folder).withColumns({
+        "sex": F.when(kind == "O", "ONE").otherwise(F.col("sex")),
+        "batch": F.when(kind == "P", F.col("sex")).when((kind == "F") & (age > 60), None).otherwise(F.col("batch")),
+        "age": F.when((kind == "F") & (age < 22), float("inf")).otherwise(age)})
+    return design_problems(rows, ["cell_type"], ["sex", "batch", "age"])
+
+
 @query("one_factor_residuals", f"""WITH {SAMPLES_SQL} SELECT sample_unit_id, cell_type, round(score - avg(score) OVER w, 6) AS
  score_resid, round(age - avg(age) OVER w, 6) AS age_resid FROM samples WINDOW w AS (PARTITION BY cell_type, sex)""")
 def one_factor_residuals(spark, folder):

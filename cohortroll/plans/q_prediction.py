@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cohortroll.operators import predict as pr
+from cohortroll.operators import tree_models as tm
 from cohortroll.operators.review import prediction_screen
 from cohortroll.operators.rollup import mean_vectors, pack_vectors
 from cohortroll.operators.sampling import grouped_folds
@@ -66,6 +67,25 @@ def simple_predictions(spark, folder, digits: int | None = 8):
     return keep(out.drop("k", "v"), "predictions")
 
 
+@query("nested_model_predictions")
+def nested_model_predictions(spark, folder):
+    """Every ridge and tree candidate, and the nested choice among all of them, on rows of held-out subjects."""
+    out, _ = tm.nested_models(profiles(spark, folder), "subject_id")
+    return pr.prediction_frame(out)
+
+
+@query("nested_candidate_choice", f"""WITH {PREDS_SQL}, i AS (SELECT p.* EXCLUDE (outer_fold), o.f AS fit_outer FROM preds p, (SELECT DISTINCT outer_fold AS f FROM
+ preds) o WHERE o.f <> p.outer_fold), s AS (SELECT fit_outer, model, sample_unit_id, sum(age_pred * n_cells) / sum(n_cells) AS yp, median(age) AS y FROM i GROUP
+ BY ALL), e AS (SELECT fit_outer, model, avg(abs(y - yp)) AS mae FROM s GROUP BY ALL) SELECT fit_outer, model, round(mae, 7) AS mae FROM e QUALIFY row_number() OVER
+ (PARTITION BY fit_outer ORDER BY round(mae, 12), list_position(['tree', 'ridge_b', 'ridge_a'], model)) = 1""")
+def nested_candidate_choice(spark, folder):
+    """The candidate of least sample-level error inside each outer fold, of the three plain predictors."""
+    preds = simple_predictions(spark, folder)
+    folds = preds.agg(F.collect_set("outer_fold").alias("f")).scalar()
+    inside = preds.withColumn("fit_outer", F.explode(F.array_except(folds, F.array("outer_fold"))))
+    return b.rounded(tm.choose_candidates(inside, ["tree", "ridge_b", "ridge_a"]), 7)
+
+
 @query("training_baseline", f"""WITH {PREDS_SQL} SELECT fold AS outer_fold, round(age_base, 8) AS age_base FROM pb""")
 def training_baseline(spark, folder):
     cells = b.cells_a(spark, folder).select("subject_id", "age")

@@ -231,3 +231,29 @@ def test_candidate_evidence_and_queue(spark):
     assert {(r.gene_id, r.effect_direction) for r in queue} == {("g1", "higher_with_age"), ("g2", "lower_with_age")}
     with pytest.raises(ValueError):
         review_queue(primary, 0)
+
+
+def test_design_problems_name_their_columns(spark):
+    from cohortroll.operators.glm import dependent_columns, design_problems, require_design
+
+    rows = [(t, "FM"[k % 2], f"b{k % 3}", float(k), float(2 * k + 1)) for t in "AB" for k in range(12)]
+    df = spark.createDataFrame(rows, "t string, sex string, batch string, x double, y double")
+    require_design(df, ["t"], ["sex", "batch", "x"], "fine")
+    told = lambda d, cols: {(r.t, r.problem, r.column) for r in design_problems(d, ["t"], cols).collect()}
+    assert told(df, ["sex", "batch", "x", "y"]) == {("A", "dependent", "y"), ("B", "dependent", "y")}
+    bad = df.withColumns({"sex": F.when(F.col("t") == "A", "F").otherwise(F.col("sex")), "x": F.when(F.col("x") == 3, None).when(F.col("x") == 4, float("nan")).otherwise(F.col("x")),
+                          "batch": F.when(F.col("t") == "B", F.col("sex")).otherwise(F.col("batch"))})
+    assert told(bad, ["sex", "batch", "x"]) == {("A", "no_variation", "sex"), ("A", "missing", "x"), ("A", "not_finite", "x"), ("B", "missing", "x"),
+                                               ("B", "not_finite", "x"), ("B", "dependent", "batch=M")}
+    with pytest.raises(ValueError, match=r"study: batch=M dependent \(10 rows in B\); sex no_variation \(12 rows in A\)|study: batch=M dependent"):
+        require_design(bad, ["t"], ["sex", "batch", "x"], "study")
+    with pytest.raises(ValueError, match="empty"):
+        require_design(df.limit(0), ["t"], ["sex"], "study")
+    assert design_problems(df, [], ["sex", "x"]).count() == 0
+    rng = np.random.default_rng(0)
+    for _ in range(50):
+        x = np.column_stack([np.ones(30), rng.normal(size=(30, 5))])
+        at = sorted(rng.choice(np.arange(2, 6), 2, replace=False).tolist())
+        for i in at:
+            x[:, i] = x[:, :i] @ rng.normal(size=i)
+        assert dependent_columns(x.T @ x, []) == at
