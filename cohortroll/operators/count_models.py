@@ -37,7 +37,7 @@ GRID = tuple(0.1 * 2.0 ** g for g in range(-10, 11))
 PRIOR_DF = 10.0
 
 BINS = 16  # abundance bins for each doubling
-TOLERANCE = 1e-9  # a model is done when a step adds less than this share to its likelihood
+TOLERANCE = 1e-9  # a model is done when a round adds less than this share to its likelihood
 MODEL = ["cell_type", "part", "gene_id", "variant"]
 
 
@@ -182,11 +182,13 @@ def summed(tiles: DataFrame, models: DataFrame, p: int, last: bool = False) -> D
     return partial.groupBy(*MODEL).agg(sum_array(f"s[{i}]" for i in range(width)).alias("s"))
 
 
-def fit_models(tiles: DataFrame, models: DataFrame, p: int, columns: Sequence[Sequence[int]], max_rounds: int = 40) -> DataFrame:
+def fit_models(tiles: DataFrame, models: DataFrame, p: int, columns: Sequence[Sequence[int]], max_rounds: int = 40,
+               tolerance: float = TOLERANCE, still: float = 0.0) -> DataFrame:
     """Fits each model ``MODEL, phi, start`` with its variant's columns, by Fisher scoring with halved steps.
 
-    Returns ``MODEL, phi, beta, converged, s``, where ``s`` are the sums of the last pass at the solution. A model whose
-    likelihood still rises after ``max_rounds`` is not converged; its numbers are those it has got to.
+    Returns ``MODEL, phi, beta, converged, s``, where ``s`` are the sums of the last pass at the solution. A model is done when a
+    round adds no more than the share ``tolerance`` to its likelihood, or the next step moves no coefficient by more than
+    ``still``. One that isn't done after ``max_rounds`` is not converged; its numbers are those it has got to.
     """
     k = p * (p + 1) // 2
     masks = np.zeros((len(columns), p), bool)
@@ -212,7 +214,7 @@ def fit_models(tiles: DataFrame, models: DataFrame, p: int, columns: Sequence[Se
         move = (np.linalg.pinv(full, rcond=1e-12, hermitian=True) @ np.where(mask, np.where(better[:, None], sums[:, k:k + p], 0.0), 0.0)[:, :, None])[:, :, 0]
         move = np.clip(move, -10.0, 10.0)
         gain = np.where(np.isfinite(old), new - old, np.inf)
-        close = better & (gain <= TOLERANCE * (1 + np.abs(new)))
+        close = better & ((gain <= tolerance * (1 + np.abs(new))) | (np.abs(move).max(1) <= still))
         stuck = ~better & (np.abs(step).max(1) < 1e-9)
         base = np.where(better[:, None], trial, beta)
         step = np.where(better[:, None], move, step / 2)

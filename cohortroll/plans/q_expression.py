@@ -208,8 +208,8 @@ def scoring_sql(rounds: int) -> str:
 @query("dispersion_likelihoods", f"""WITH {PROFILE_SQL}, d AS MATERIALIZED (SELECT xp.cell_type, g.gene_id, x, ln(library_size) AS o, coalesce(count, 0)::DOUBLE AS y
  FROM xp JOIN (SELECT DISTINCT cell_type, gene_id FROM sums JOIN profiles USING (profile_id)) g ON g.cell_type = xp.cell_type LEFT JOIN sums ON
  sums.profile_id = xp.profile_id AND sums.gene_id = g.gene_id), s0 AS MATERIALIZED (SELECT cell_type, gene_id, phi, ln((sum(y) + 0.5) / sum(exp(o))) AS b0,
- 0.0::DOUBLE AS b1 FROM d, (SELECT unnest([{", ".join(map(str, PHIS))}]::DOUBLE[]) AS phi) GROUP BY ALL), {scoring_sql(12)}, f AS (SELECT d.cell_type,
- d.gene_id, phi, b1, y, x, exp(o + b0 + b1 * x) AS mu FROM d JOIN s12 USING (cell_type, gene_id)) SELECT cell_type, gene_id, phi, round(any_value(b1) / ln(2), 5)
+ 0.0::DOUBLE AS b1 FROM d, (SELECT unnest([{", ".join(map(str, PHIS))}]::DOUBLE[]) AS phi) GROUP BY ALL), {scoring_sql(20)}, f AS (SELECT d.cell_type,
+ d.gene_id, phi, b1, y, x, exp(o + b0 + b1 * x) AS mu FROM d JOIN s20 USING (cell_type, gene_id)) SELECT cell_type, gene_id, phi, round(any_value(b1) / ln(2), 5)
  AS log2_fc_per_10_years, round(sum(lgamma(y + 1 / phi) - lgamma(1 / phi) - lgamma(y + 1) + y * ln(phi * mu / (1 + phi * mu)) - ln(1 + phi * mu) / phi) - 0.5 *
  ln(sum(mu / (1 + phi * mu)) * sum(x * x * mu / (1 + phi * mu)) - sum(x * mu / (1 + phi * mu)) ** 2), 4) AS adjusted_likelihood, round(2 * sum(CASE WHEN y > 0
  THEN y * ln(y / mu) ELSE 0 END - (y + 1 / phi) * ln((1 + phi * y) / (1 + phi * mu))), 4) AS deviance FROM f GROUP BY ALL""")
@@ -221,7 +221,7 @@ def dispersion_likelihoods(spark, folder):
     tiles = cm.tiles_of(d, sums, genes, ["x0", "age_decade"])
     models = cm.gene_totals(tiles).select(
         "cell_type", "part", "gene_id", "start", F.posexplode(F.array(*[F.lit(v) for v in PHIS])).alias("variant", "phi"))
-    fits = cm.fit_models(tiles, models, 2, [[0, 1]] * len(PHIS))
+    fits = cm.fit_models(tiles, models, 2, [[0, 1]] * len(PHIS), tolerance=-1.0, still=1e-9)
     apl = cm.adjusted_profile(fits, 2).select(*cm.MODEL, "apl")
     return fits.join(apl, cm.MODEL).select(
         "cell_type", "gene_id", "phi", F.round(F.col("beta")[1] / F.log(F.lit(2.0)), 5).alias("log2_fc_per_10_years"),

@@ -8,7 +8,7 @@ from cohortroll.functions.scalar import direction_label
 from cohortroll.functions.tails import t_two_sided
 from cohortroll.operators.association import (
     associations, earliest_samples, gee_with_fallback, independent_glm, subject_gee)
-from cohortroll.operators.glm import design_diagnostics, gramian, indicator_columns, pairs, residualise
+from cohortroll.operators.glm import design_diagnostics, design_problems, gramian, indicator_columns, pairs, residualise
 from cohortroll.operators.ordering import bh_fdr
 from cohortroll.operators.rollup import sample_fractions
 from cohortroll.operators.stats import age_terms, clustered_age_effect, demean, linear_fit, pearson, residual_violations, spearman
