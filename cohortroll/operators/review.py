@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from cohortroll.functions.scalar import (
     age_bin, effect_direction, interval_excludes_zero, join_key_text, scenario_code, scenario_name)
-from cohortroll.operators.ordering import top_per_group
+from cohortroll.operators.ordering import sorted_position, top_per_group
 from cohortroll.operators.rollup import wide_quantiles
 from cohortroll.operators.stats import demean, linear_fit, spearman
+from cohortroll.session import keep
 
 SIGNAL = ("gene_id", "cell_type")
 # Fixed value: the column whose rows are the independent replicates of association results.
@@ -253,3 +254,34 @@ def prediction_screen(metrics: DataFrame) -> DataFrame:
 def evidence_counts(evidence: DataFrame) -> DataFrame:
     return evidence.groupBy("automated_screen_status", "human_disposition").agg(
         F.count(F.lit(1)).alias("n_signals"), F.count_if("public_claim_approved").alias("n_approved"))
+
+
+def evidence_id_lists(evidence: DataFrame, block: int = 1000) -> DataFrame:
+    """``automated_screen_status, list_no, n_ids, signal_ids``: the signals of each status in order, in lists of at most ``block``."""
+    status = "automated_screen_status"
+    placed = sorted_position(evidence.select(status, "signal_id"), [status, "signal_id"], "__place")
+    first = placed.groupBy(status).agg(F.min("__place").alias("__first"))
+    numbered = placed.join(first, status).withColumn("list_no", F.floor((F.col("__place") - F.col("__first")) / block))
+    return numbered.groupBy(status, "list_no").agg(F.count(F.lit(1)).alias("n_ids"), F.array_sort(F.collect_list("signal_id")).alias("signal_ids"))
+
+
+def presentation_rows(associations: DataFrame, significant_only: bool = False, min_support: int | None = None, support: str = "n_subjects",
+                      significant: str = "fdr_significant") -> DataFrame:
+    """Associations that a report shows: with enough support, and significant ones only where asked. Null flags and supports don't pass."""
+    out = associations
+    if min_support is not None:
+        out = out.where(F.col(support) >= min_support)
+    return out.where(F.col(significant)) if significant_only else out
+
+
+def association_matrix(associations: DataFrame, row: str, column: str, levels: list, value: str, fdr: str, fallback: str, alpha: float = 0.05) -> DataFrame:
+    """One line per ``row``: for each level the mean value, least adjusted p value and whether any fit fell back.
+
+    ``n_significant`` counts a line's levels whose least adjusted p value is below ``alpha``; ``place`` orders the lines by it, most
+    first, then by name.
+    """
+    wide = associations.groupBy(row).pivot(column, levels).agg(
+        F.avg(value).alias("value"), F.min(fdr).alias("fdr"), F.bool_or(fallback).alias("fallback"))
+    found = [F.coalesce((F.col(f"`{v}_fdr`") < alpha).cast("int"), F.lit(0)) for v in levels]
+    wide = keep(wide.withColumn("n_significant", sum(found[1:], found[0])).withColumn("__turn", -F.col("n_significant")), "matrix")
+    return sorted_position(wide, ["__turn", row], "place").drop("__turn")

@@ -160,6 +160,22 @@ def coordinate_matrix_checks(spark, folder):
     return sinks.matrix_checks(entries, rows, cols, library)
 
 
+@query("matrix_read_back", f"""WITH {b.CELLS_B}, {b.COUNTS_BRAND}, s AS (SELECT sample_unit_id || '||' || cell_type AS profile, gene_id, sum(count)::BIGINT AS count
+ FROM counts JOIN cells USING (cell_id) GROUP BY ALL), e AS (SELECT dense_rank() OVER (ORDER BY profile) AS row, dense_rank() OVER (ORDER BY gene_id) AS col, count FROM
+ s), k AS (SELECT count(*) FILTER (row % 90 = 0) AS r, count(*) FILTER (col = 3) + count(*) FILTER (col = 3 AND row % 50 = 7) AS c, count(*) FILTER
+ (row % 50 = 7) AS twice, count(DISTINCT row) FILTER (row % 90 <> 0 AND (row % 50 = 7 OR row % 40 = 1)) AS off FROM e) SELECT unnest(['rows_outside', 'columns_outside', 'rows_without_entry', 'columns_without_entry', 'repeated_entries', 'row_sums_off']) AS name,
+ unnest([r, c, 0, 0, twice, off])::BIGINT AS n, n = 0 AS passed FROM k""")
+def matrix_read_back(spark, folder):
+    """A written matrix read back, with rows and a column missing from the tables, repeated entries and wrong library sizes planted."""
+    cells, sums = profile_sums(spark, folder)
+    entries, rows, cols = sinks.coordinate_matrix(sums, "profile", "gene_id")
+    path = scratch_path(spark, "matrix")
+    sinks.write_coordinate(entries.unionByName(entries.where("row % 50 = 7")), path)
+    library = sums.groupBy("profile").agg(F.sum("count").alias("library_size")).join(rows, "profile").select(
+        "profile", (F.col("library_size") + (F.col("row") % 40 == 1).cast("int")).alias("library_size"))
+    return sinks.matrix_source_checks(sinks.read_coordinate(spark, path), rows.where("row % 90 <> 0"), cols.where("col <> 3"), library)
+
+
 @query("profile_surrogate_ids", f"""WITH {b.CELLS_A} SELECT printf('PB%05d', row_number() OVER
   (ORDER BY cell_type, sample_unit_id)) AS profile_id, cell_type, sample_unit_id,
   count(*) AS n_cells FROM cells GROUP BY cell_type, sample_unit_id HAVING count(*) >= 2""")

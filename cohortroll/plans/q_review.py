@@ -156,6 +156,14 @@ def evidence_counts(spark, folder):
     return rv.evidence_counts(apply_dispositions(ev, decisions(ev)))
 
 
+@query("evidence_id_lists", f"""WITH {SCREEN_SQL}, n AS (SELECT automated_screen_status, signal_id, (row_number() OVER (PARTITION BY automated_screen_status ORDER BY
+ signal_id) - 1) // 20 AS list_no FROM screen) SELECT automated_screen_status, list_no::BIGINT AS list_no, count(*) AS n_ids, string_agg(signal_id, ',' ORDER BY
+ signal_id) AS signal_ids FROM n GROUP BY ALL""")
+def evidence_id_lists(spark, folder):
+    """The signals of each screen status, in lists of twenty."""
+    return rv.evidence_id_lists(screen(spark, folder), 20).withColumn("signal_ids", F.concat_ws(",", "signal_ids"))
+
+
 DIAG_SQL = """cand AS (SELECT *, fdr AS fdr_global, CASE WHEN cell_type = 'A' THEN 'primary' ELSE 'exploratory' END AS analysis_tier FROM
  prim WHERE fdr < 0.05), csens AS (SELECT s.*, analysis_tier FROM sens s JOIN cand USING (gene_id, cell_type)),
  diag AS (SELECT t.cell_type, x.scenario_id, x.scenario_type, CASE WHEN t.cell_type = 'N' AND x.scenario_id = 'drop_sex' THEN

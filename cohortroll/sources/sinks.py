@@ -48,6 +48,32 @@ def write_coordinate(entries: DataFrame, path: str) -> None:
     entries.write.mode("overwrite").option("sep", " ").option("compression", "gzip").csv(path)
 
 
+def read_coordinate(spark, path: str, value: str = "count") -> DataFrame:
+    """The entries that ``write_coordinate`` wrote. A line that is no entry is an error."""
+    return spark.read.option("sep", " ").option("mode", "FAILFAST").schema(f"row bigint, col bigint, {value} bigint").csv(path)
+
+
+def matrix_source_checks(entries: DataFrame, rows: DataFrame, cols: DataFrame, library: DataFrame) -> DataFrame:
+    """``name, n, passed``: what of a matrix that was read back doesn't fit its dimension tables and library sizes.
+
+    ``n`` counts entries outside the tables, entries that stand twice, rows and columns without an entry, and profiles whose row
+    doesn't sum up to their library size (a profile without a row has sum 0, one without a library size fits none).
+    """
+    key = rows.columns[0]
+    outside = lambda table, c: entries.join(table.select(c), c, "left_anti").agg(F.count(F.lit(1)).alias("n"))
+    empty = lambda table, c: table.join(entries.select(c), c, "left_anti").agg(F.count(F.lit(1)).alias("n"))
+    twice = entries.groupBy("row", "col").agg(F.count(F.lit(1)).alias("k")).agg(F.coalesce(F.sum(F.col("k") - 1), F.lit(0)).alias("n"))
+    sums = entries.groupBy("row").agg(F.sum("count").alias("total"))
+    off = rows.join(sums, "row", "left").join(library, key, "left").where(~F.col("library_size").eqNullSafe(F.coalesce("total", F.lit(0))))
+    found = {"rows_outside": outside(rows, "row"), "columns_outside": outside(cols, "col"), "rows_without_entry": empty(rows, "row"),
+             "columns_without_entry": empty(cols, "col"), "repeated_entries": twice, "row_sums_off": off.agg(F.count(F.lit(1)).alias("n"))}
+    out = None
+    for name, n in found.items():
+        part = n.select(F.lit(name).alias("name"), F.col("n").cast("bigint").alias("n"), (F.col("n") == 0).alias("passed"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def matrix_checks(entries: DataFrame, rows: DataFrame, cols: DataFrame, library: DataFrame):
     """Read-back checks: index ranges fit the dimension tables, row sums equal library sizes."""
     span = entries.agg(F.max("row").alias("max_row"), F.max("col").alias("max_col"))

@@ -107,7 +107,7 @@ def test_test_statistic_trend_and_scopes(spark, study):
     # In type B batch repeats sex, so only age can be estimated there.
     everyone = everyone.withColumn("batch", F.when(F.col("cell_type") == "B", F.col("sex")).otherwise(F.col("batch")))
     counts = sums.unionByName(sums.where("profile_id like 'A%'").withColumn("profile_id", F.concat(F.lit("C"), "profile_id")))
-    results, about = cm.count_models(everyone, counts, ["sex", "batch"], min_replicates=12, min_age_span=12)
+    results, about = cm.count_models(everyone, counts, ["sex", "batch"], min_replicates=12, min_age_span=12, grid=[0.03 * 2.0**k for k in range(7)])
     told = {r.cell_type: r for r in about.collect()}
     assert [(k, told[k].model_scope, told[k].status, told[k].reason) for k in "ABCD"] == [
         ("A", "adjusted_primary", "completed", ""), ("B", "age_only_sensitivity", "completed", ""),
@@ -148,5 +148,5 @@ def test_peaks_of_parabolas():
 
 def test_nothing_to_test(spark, study):
     profiles, sums = study
-    results, about = cm.count_models(profiles, sums.where("count > 1000000"), ["sex"])
+    results, about = cm.count_models(profiles, sums.where("count > 1000000"), ["sex"], grid=[0.1, 0.2, 0.4])
     assert results.count() == 0 and {(r.status, r.n_genes_tested) for r in about.collect()} == {("model_failed", 0)}
