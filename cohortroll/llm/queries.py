@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from cohortroll.llm import (
     byte_bpe, chat, forced_bpe, language_id, licences, multi_index, near_dedup, packing, periodic_runs, quality_model, quality_rules,
     rotated_kmeans, token_files)
-from cohortroll.session import scratch_path
+from cohortroll.session import KEPT, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -109,6 +109,7 @@ def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
     ordered = token_files.in_id_order(table(spark, folder, "documents"))
     encoded = token_files.encode_documents(ordered, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
     files = scratch_path(spark, "token-files")
+    KEPT.append(files)
     return token_files.read_files(token_files.with_bases(token_files.write_files(encoded, files, null_ids=True)), files)
 
 
