@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cohortroll.llm import language_id, multi_index, near_dedup, packing
+from cohortroll.llm import language_id, multi_index, near_dedup, packing, similar_texts
 
 SPACED = re.compile(r"[^\x20\x09-\x0D]+")
 SMALL = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -204,7 +204,10 @@ def sets_by_hand(text):
     return {tuple(w[k:k + 5]) for k in range(len(w) - 4)} or ({tuple(w)} if w else set())
 
 
-def test_near_dedup_stage_is_shingle_similarity(spark):
+@pytest.mark.parametrize("spokes, block", [(similar_texts.SPOKES, similar_texts.BLOCK_BYTES), (2, 1200)])
+def test_near_dedup_stage_is_shingle_similarity(spark, monkeypatch, spokes, block):
+    monkeypatch.setattr(similar_texts, "SPOKES", spokes)
+    monkeypatch.setattr(similar_texts, "BLOCK_BYTES", block)  # groups of copies are cut into many blocks
     rng = random.Random(12)
     passage = [f"p{k}" for k in range(30)]
     rows, own = [], lambda n: [f"w{rng.randrange(10 ** 6)}" for _ in range(n)]
@@ -216,6 +219,13 @@ def test_near_dedup_stage_is_shingle_similarity(spark):
             for _ in range(rng.randint(0, 1 + len(words) // 40)):
                 words[rng.randrange(len(words))] = own(1)[0].upper()
             rows.append(words)
+    for n, edits in ((40, 2), (30, 3)):  # many alike, around a text that isn't there
+        base = own(150)
+        for _ in range(n):
+            words = list(base)
+            for k in rng.sample(range(150), edits):
+                words[k] = own(1)[0].upper()
+            rows.append(words)
     texts = [" ".join(w) for w in rows] + [None, "", " \t", "Short text", "short  TEXT", "another one"]
     sets = [sets_by_hand(t) for t in texts]
     root, near = list(range(len(texts))), 0
