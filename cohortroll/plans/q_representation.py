@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cohortroll.operators import graph_clusters as gc
 from cohortroll.operators import represent as rp
 from cohortroll.plans import bindings as b
 from cohortroll.plans.registry import query
+from cohortroll.session import keep
 
 
 @query("pca_representation")
@@ -27,6 +29,20 @@ def vector_clusters(spark, folder):
     return rp.cluster_sizes(clusters, ["cluster"])
 
 
+@query("shared_neighbour_edges", """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), d AS (SELECT a.vec_id AS src,
+ b.vec_id AS dst, round(list_distance(a.v, b.v), 9) AS dist FROM e a JOIN e b ON a.vec_id <> b.vec_id), near AS (SELECT src, dst FROM d
+ QUALIFY row_number() OVER (PARTITION BY src ORDER BY dist, dst) <= 15), l AS (SELECT src, list(dst) || [src] AS l FROM near GROUP BY src),
+ p AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM near) SELECT a, b, len(list_intersect(x.l, y.l))::BIGINT AS w
+ FROM p JOIN l x ON x.src = a JOIN l y ON y.src = b""")
+def shared_neighbour_edges(spark, folder):
+    return gc.shared_neighbour_edges(keep(rp.exact_neighbours(b.vectors(spark, folder), 15).select("src", "dst"), "neighbours"))
+
+
+@query("graph_clusters")
+def graph_clusters(spark, folder):
+    return gc.graph_clusters(b.vectors(spark, folder), shared_neighbour_edges(spark, folder))
+
+
 @query("partition_agreement", f"""WITH {b.CELLS_A}, c AS (SELECT cluster AS a, CASE WHEN cell_id % 3 = 0 THEN cluster ELSE cell_type END AS b,
  count(*)::DOUBLE AS n FROM cells GROUP BY ALL), r AS (SELECT sum(n) AS n FROM c GROUP BY a), k AS (SELECT sum(n) AS n FROM c GROUP BY b), s AS
  (SELECT (SELECT sum(n * (n - 1) / 2) FROM c) AS pc, (SELECT sum(n * (n - 1) / 2) FROM r) AS pa, (SELECT sum(n * (n - 1) / 2) FROM k) AS pb,
