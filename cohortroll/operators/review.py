@@ -12,7 +12,7 @@ from cohortroll.functions.scalar import (
     age_bin, effect_direction, interval_excludes_zero, join_key_text, scenario_code, scenario_name)
 from cohortroll.operators.ordering import sorted_position, top_per_group
 from cohortroll.operators.rollup import wide_quantiles
-from cohortroll.operators.stats import demean, linear_fit, spearman
+from cohortroll.operators.stats import clustered_age_effect, demean, linear_fit, spearman
 from cohortroll.session import keep
 
 SIGNAL = ("gene_id", "cell_type")
@@ -45,24 +45,43 @@ def with_scenarios(df: DataFrame, grid: Sequence[Mapping]) -> DataFrame:
     return out.withColumn("scenario", scenario_name(*args)).withColumn("code", scenario_code(*args))
 
 
-def scenario_trends(fractions: DataFrame, grid: Sequence[Mapping], edges: Sequence[float], covariate: str,
-                    sparse_below: int) -> DataFrame:
-    """Age trend of each type under each scenario, all scenarios in one plan.
+SCENARIO = ("scenario", "code", "scenario_order")
 
-    A scenario keeps samples with enough cells, may leave out age bins with few samples, and may
-    adjust age and fraction for one covariate.
+
+def scenario_rows(rows: DataFrame, grid: Sequence[Mapping], edges: Sequence[float], covariate: str, sparse_below: int,
+                  keys: Sequence[str], value: str, size: str) -> DataFrame:
+    """The rows that each scenario keeps, with its ``x`` (age) and ``y`` (value) for every test ``keys``.
+
+    A scenario keeps rows whose ``size`` reaches its number of cells, may leave out age bins with few samples, and may
+    adjust age and value for one covariate inside each test.
     """
-    rows = with_scenarios(fractions, grid).where(F.col("total_cells") >= F.col("min_cells"))
+    rows = with_scenarios(rows, grid).where(F.col(size) >= F.col("min_cells"))
     rows = rows.withColumn("age_bin", F.coalesce(age_bin("age", edges), F.lit("outside")))
     support = rows.groupBy("scenario", "age_bin").agg(F.count_distinct("sample_unit_id").alias("n_in_bin"))
     rows = rows.join(support, ["scenario", "age_bin"]).where(
         ~F.col("drop_sparse") | (F.col("n_in_bin") >= sparse_below))
-    keys = ["scenario", "code", "scenario_order", "cell_type"]
-    rows = demean(rows, keys, covariate, ["age", "fraction"]).withColumns({
+    rows = demean(rows, [*SCENARIO, *keys], covariate, ["age", value])
+    return rows.withColumns({
         "x": F.when(F.col("adjust"), F.col("age_resid")).otherwise(F.col("age")),
-        "y": F.when(F.col("adjust"), F.col("fraction_resid")).otherwise(F.col("fraction"))})
-    return linear_fit(rows, keys, "x", "y").select(
-        *keys, "n", (F.col("slope") * 10).alias("effect_per_10y"), "r_squared", "t_value")
+        "y": F.when(F.col("adjust"), F.col(f"{value}_resid")).otherwise(F.col(value))})
+
+
+def scenario_trends(fractions: DataFrame, grid: Sequence[Mapping], edges: Sequence[float], covariate: str, sparse_below: int,
+                    keys: Sequence[str] = ("cell_type",), value: str = "fraction", size: str = "total_cells") -> DataFrame:
+    """Age trend of each test under each scenario, all scenarios in one plan."""
+    rows = scenario_rows(fractions, grid, edges, covariate, sparse_below, keys, value, size)
+    tests = [*SCENARIO, *keys]
+    return linear_fit(rows, tests, "x", "y").select(
+        *tests, "n", (F.col("slope") * 10).alias("effect_per_10y"), "r_squared", "t_value")
+
+
+def scenario_clustered_effects(rows: DataFrame, grid: Sequence[Mapping], edges: Sequence[float], covariate: str,
+                               sparse_below: int, keys: Sequence[str], value: str, size: str,
+                               subject: str = "subject_id") -> DataFrame:
+    """Age effect with subject-clustered errors (working independence) of each test under each scenario, in one plan."""
+    kept = scenario_rows(rows, grid, edges, covariate, sparse_below, keys, value, size)
+    tests = [*SCENARIO, *keys]
+    return clustered_age_effect(kept.select(*tests, subject, F.col("x").alias("age"), "y"), tests, subject, "y")
 
 
 def scenario_metrics(results: DataFrame, scenario: str, effect: str, fdr: str) -> DataFrame:

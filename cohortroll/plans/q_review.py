@@ -9,7 +9,7 @@ from cohortroll.operators import review as rv
 from cohortroll.operators.joins import apply_dispositions, disposition_violations
 from cohortroll.operators.rollup import sample_fractions
 from cohortroll.plans import bindings as b
-from cohortroll.plans.q_models import FRACTIONS_SQL, MIN_CELLS
+from cohortroll.plans.q_models import FRACTIONS_SQL, MIN_CELLS, SAMPLES_SQL, samples
 from cohortroll.plans.registry import query
 from cohortroll.session import keep, scratch_path
 from cohortroll.sources.readers import read_scenarios
@@ -18,9 +18,17 @@ GRID = rv.scenario_grid({"adjust": True, "drop_sparse": True, "min_cells": 8},
                         {"adjust": [True, False], "drop_sparse": [True, False], "min_cells": [5, 8, 12]})
 EDGES = (20, 30, 40, 50, 60)
 
-GRID_SQL = "grid AS (SELECT * FROM (VALUES " + ", ".join(
-    f"({i}, {str(g['adjust']).lower()}, {str(g['drop_sparse']).lower()}, {g['min_cells']})"
-    for i, g in enumerate(GRID)) + ") t(scenario_order, adjust, drop_sparse, min_cells))"
+SCORE_GRID = rv.scenario_grid({"adjust": True, "drop_sparse": True, "min_cells": 2},
+                              {"adjust": [True, False], "drop_sparse": [True, False], "min_cells": [1, 2, 3]})
+
+
+def grid_sql(grid):
+    return "grid AS (SELECT * FROM (VALUES " + ", ".join(
+        f"({i}, {str(g['adjust']).lower()}, {str(g['drop_sparse']).lower()}, {g['min_cells']})"
+        for i, g in enumerate(grid)) + ") t(scenario_order, adjust, drop_sparse, min_cells))"
+
+
+GRID_SQL = grid_sql(GRID)
 
 
 @query("scenario_trends", f"""WITH {FRACTIONS_SQL}, sx AS (SELECT sample_unit_id, min(sex) AS sex FROM cells GROUP BY 1), {GRID_SQL},
@@ -40,6 +48,36 @@ def scenario_trends(spark, folder):
     return b.rounded(out.drop("t_value"), 7)
 
 
+SCORE_ROWS_SQL = f"""{SAMPLES_SQL}, {grid_sql(SCORE_GRID)}, r AS (SELECT f.*, g.*, CASE
+ {" ".join(f"WHEN age >= {a} AND age < {z} THEN '{a}-{z}'" for a, z in zip(EDGES, EDGES[1:]))} ELSE 'outside' END AS age_bin
+ FROM samples f CROSS JOIN grid g WHERE n_cells >= min_cells), n AS (SELECT scenario_order, age_bin, count(DISTINCT sample_unit_id)
+ AS nb FROM r GROUP BY ALL), k AS (SELECT r.* FROM r JOIN n USING (scenario_order, age_bin) WHERE NOT drop_sparse OR nb >= 100),
+ v AS (SELECT *, CASE WHEN adjust THEN age - avg(age) OVER w ELSE age END AS x, CASE WHEN adjust THEN score - avg(score) OVER w ELSE
+ score END AS y FROM k WINDOW w AS (PARTITION BY scenario_order, cell_type, sex))"""
+SCENARIO_SQL = """printf('adj_%d__drop_sparse_%d__min_cells_%d', adjust::INTEGER, drop_sparse::INTEGER, min_cells) AS scenario,
+ printf('A%d|D%d|M%d', adjust::INTEGER, drop_sparse::INTEGER, min_cells) AS code, scenario_order, cell_type"""
+
+
+@query("scenario_score_trends", f"""WITH {SCORE_ROWS_SQL} SELECT {SCENARIO_SQL}, count(*) AS n, round(regr_slope(y, x) * 10, 6) AS effect_per_10y,
+ round(regr_r2(y, x), 6) AS r_squared FROM v GROUP BY adjust, drop_sparse, min_cells, scenario_order, cell_type""")
+def scenario_score_trends(spark, folder):
+    out = rv.scenario_trends(samples(spark, folder), SCORE_GRID, EDGES, "sex", 100, value="score", size="n_cells")
+    return b.rounded(out.drop("t_value"), 6)
+
+
+@query("scenario_clustered_effects", f"""WITH {SCORE_ROWS_SQL}, dm AS (SELECT *, (x - avg(x) OVER (PARTITION BY scenario_order, cell_type)) / 10 AS d FROM v),
+ t AS (SELECT scenario_order, cell_type, count(*) AS n, sum(d) AS sx, sum(d * d) AS sxx, sum(y) AS sy, sum(d * y) AS sxy FROM dm GROUP BY ALL),
+ c AS (SELECT *, (n * sxy - sx * sy) / (n * sxx - sx * sx) AS b1 FROM t), e AS (SELECT scenario_order, cell_type, adjust, drop_sparse,
+ min_cells, subject_id, sum((y - (sy - b1 * sx) / n - b1 * d) * (n * d - sx) / (n * sxx - sx * sx)) AS u FROM dm JOIN c USING
+ (scenario_order, cell_type) GROUP BY ALL)
+ SELECT {SCENARIO_SQL}, any_value(n) AS n_observations, count(*) AS n_subjects, round(any_value(b1), 6) AS effect_per_10y,
+ round(sqrt(sum(u * u)), 6) AS standard_error FROM e JOIN c USING (scenario_order, cell_type)
+ GROUP BY adjust, drop_sparse, min_cells, scenario_order, cell_type""")
+def scenario_clustered_effects(spark, folder):
+    out = rv.scenario_clustered_effects(samples(spark, folder), SCORE_GRID, EDGES, "sex", 100, ["cell_type"], "score", "n_cells")
+    return b.rounded(out.select(*rv.SCENARIO, "cell_type", "n_observations", "n_subjects", "effect_per_10y", "standard_error"))
+
+
 @query("scenario_labels", """SELECT event_id, printf('adj_%d__drop_sparse_%d__min_cells_%d', event_id % 2, (lower(event_type) = 'view')
  ::INTEGER, user_id) AS name, printf('A%d|D%d|M%d', event_id % 2, (lower(event_type) = 'view')::INTEGER, user_id) AS code FROM events""")
 def scenario_labels(spark, folder):

@@ -1,5 +1,8 @@
 """Report filters, ordered matrices, id lists and matrices that are read back."""
 
+from collections import Counter
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -47,3 +50,39 @@ def test_ids_of_each_status_in_lists(spark):
     got = {(r.automated_screen_status, r.list_no): r for r in review.evidence_id_lists(df.repartition(4), 10).collect()}
     assert {k: r.n_ids for k, r in got.items()} == {("kept", 0): 10, ("kept", 1): 10, ("kept", 2): 5, ("open", 0): 2}
     assert got["kept", 1].signal_ids == [f"s{k:03d}" for k in range(10, 20)] and got["open", 0].signal_ids == ["t0", "t1"]
+
+
+def test_each_scenario_equals_a_fit_of_its_own(spark):
+    rng = np.random.default_rng(8)
+    grid = review.scenario_grid({"adjust": False, "drop_sparse": True, "min_cells": 2},
+                            {"adjust": [True, False], "drop_sparse": [True, False], "min_cells": [1, 2, 4]})
+    rows = [(f"u{k}", f"p{k // 2}", "ab"[k % 2], "xy"[int(rng.integers(2))], float(rng.integers(20, 60)), int(rng.integers(1, 7)),
+             float(rng.normal())) for k in range(90)]
+    df = spark.createDataFrame(rows, "sample_unit_id string, subject_id string, cell_type string, sex string, age double, n_cells int, score double")
+    args = (df, grid, (20, 30, 40, 60), "sex", 20, ["cell_type"], "score", "n_cells")
+    slopes = {(r.scenario_order, r.cell_type): (r.n, r.effect_per_10y) for r in review.scenario_trends(*args[:-3], value="score", size="n_cells").collect()}
+    errors = {(r.scenario_order, r.cell_type): r for r in review.scenario_clustered_effects(*args).collect()}
+    sparse = 0
+    for order, s in enumerate(grid):
+        kept = [r for r in rows if r[5] >= s["min_cells"]]
+        bin_of = lambda r: np.searchsorted([30, 40], r[4], "right")
+        size = Counter(bin_of(r) for r in kept)
+        sparse += any(n < 20 for n in size.values()) and s["drop_sparse"]
+        kept = [r for r in kept if not s["drop_sparse"] or size[bin_of(r)] >= 20]
+        for kind in "ab":
+            own = [r for r in kept if r[2] == kind]
+            x, y = np.array([r[4] for r in own]), np.array([r[6] for r in own])
+            if s["adjust"]:
+                for sex in "xy":
+                    of = np.array([r[3] == sex for r in own])
+                    x[of] -= x[of].mean()
+                    y[of] -= y[of].mean()
+            slope, start = np.polyfit(x, y, 1)
+            assert slopes[order, kind][0] == len(own) and np.isclose(slopes[order, kind][1], 10 * slope)
+            u = (y - start - slope * x) * (x - x.mean()) / ((x - x.mean()) ** 2).sum()
+            sums = Counter()
+            for r, part in zip(own, u):
+                sums[r[1]] += part
+            assert np.isclose(errors[order, kind].standard_error, 10 * np.sqrt(sum(v * v for v in sums.values())))
+            assert errors[order, kind].n_subjects == len(sums)
+    assert sparse and len(slopes) == len(errors) == 2 * len(grid)
