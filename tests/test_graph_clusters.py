@@ -47,7 +47,6 @@ def test_cells_without_edges_and_empty_tables(spark):
     edges = spark.createDataFrame([(1, 2, 4)], "a bigint, b bigint, w bigint")
     rows = {tuple(r) for r in gc.graph_clusters(cells, edges).collect()}
     assert rows == {(1, 1, 2, 0.0), (2, 1, 2, 0.0), (3, 3, 1, 0.0), (9, 9, 1, 0.0)}
-    assert {tuple(r) for r in gc.graph_clusters(cells.repartition(3), edges.repartition(2)).collect()} == rows
     alone = gc.graph_clusters(cells, edges.limit(0)).collect()
     assert {(r.cell_id, r.cluster, r.modularity) for r in alone} == {(k, k, None) for k in (1, 2, 3, 9)}
     assert gc.graph_clusters(cells.limit(0), edges.limit(0)).count() == 0
