@@ -67,3 +67,30 @@ def test_interval_of_a_mean_covers_it(spark):
     half = 1.96 * values.std() / np.sqrt(120)
     assert abs(r.mean_ci_low - (values.mean() - half)) < 0.12 and abs(r.mean_ci_high - (values.mean() + half)) < 0.12
     assert r.share_above_zero == 1.0
+
+
+def test_weights_of_pairs_are_the_hits_of_all_rows(monkeypatch):
+    monkeypatch.setattr(rs, "LEAF", 100)
+    rng = np.random.default_rng(4)
+    test = rs.RankedTest(rng.integers(0, 5, 730).astype(float), rng.integers(0, 4, 730).astype(float))
+    for b in (1, 2, 77):
+        rows = np.bincount(rs.hits(991, b, 730, 730), minlength=730)
+        assert (np.bincount(test.pair_of_row, weights=rows) == test.weights(991, b)).all() and test.weights(991, b).sum() == 730
+
+
+def test_replicates_of_a_test_beyond_a_leaf_stay_in_tasks(spark, monkeypatch):
+    monkeypatch.setattr(rs, "LEAF", 16)
+    monkeypatch.setattr(rs, "SMALL", 8)
+    rng = np.random.default_rng(5)
+    rows = [(g, i, float(rng.normal()), float(rng.integers(0, 7))) for g, n in (("a", 90), ("b", 11)) for i in range(n)]
+    df = spark.createDataFrame(rows, "g string, id int, x double, y double")
+    numbered = sp.numbered(df, ["g"], "id").cache()
+    want = sorted((r.g, round(r.slope, 9), round(r.rho, 9)) for r in sp.shuffled_trends(numbered, ["g"], "x", "y", 20, 3).collect())
+    got = sorted((r.g, round(r.slope, 9), round(r.rho, 9)) for r in rs.replicate_trends(numbered, ["g"], "x", "y", 20, 3).collect())
+    assert got == want and len(got) == 40
+
+    def fail(*_):
+        raise AssertionError("weights were shuffled")
+
+    monkeypatch.setattr(sp, "shuffled_trends", fail)
+    assert sp.row_bootstrap(df, ["g"], "id", "x", "y", 20, 0.9, 3).count() == 2
