@@ -7,7 +7,7 @@ with ``labels`` as a lookup that covers only part of the rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -130,3 +130,21 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Doubles rounded for comparison; sums in another order differ in the last bits."""
     return df.select(*[
         F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+def exact_mean(cents: str) -> Column:
+    """Mean of a column of whole hundredths from whole sums, the same in any order of rows."""
+    return F.sum(F.round(F.col(cents) * 100).cast("bigint")) / (F.count(cents) * 100)
+
+
+def exact_mean_sql(cents: str) -> str:
+    return f"sum(round({cents} * 100)::BIGINT) / (count({cents}) * 100)"
+
+
+def half_up(name: str, digits: int) -> Column:
+    """Rounded by plain arithmetic: engines round a double half-way between two results differently."""
+    return (F.floor(F.col(name) * F.lit(10.0**digits) + F.lit(0.5)) / F.lit(10.0**digits)).alias(name)
+
+
+def half_up_sql(name: str, digits: int) -> str:
+    return f"floor({name} * {10**digits}::DOUBLE + 0.5::DOUBLE) / {10**digits}::DOUBLE AS {name}"

@@ -542,27 +542,27 @@ def association_matrix(spark, folder):
         F.avg("rho").alias("rho"), F.min("fdr").alias("fdr"), F.bool_or("fallback").alias("fallback")), 8)
 
 
-@query("ordered_association_matrix", """WITH a AS (SELECT l_suppkey AS unit, l_returnflag AS signature, avg(l_discount) AS rho, avg(l_tax) AS fdr,
- bool_or(l_orderkey % 13 = 0) AS fallback FROM lineitem GROUP BY ALL), m AS (SELECT unit, avg(rho) FILTER (signature = 'A') AS A_value, min(fdr) FILTER (signature =
+@query("ordered_association_matrix", f"""WITH a AS (SELECT l_suppkey AS unit, l_returnflag AS signature, {b.exact_mean_sql("l_discount")} AS rho,
+ {b.exact_mean_sql("l_tax")} AS fdr, bool_or(l_orderkey % 13 = 0) AS fallback FROM lineitem GROUP BY ALL), m AS (SELECT unit, avg(rho) FILTER (signature = 'A') AS A_value, min(fdr) FILTER (signature =
  'A') AS A_fdr, bool_or(fallback) FILTER (signature = 'A') AS A_fallback, avg(rho) FILTER (signature = 'N') AS N_value, min(fdr) FILTER (signature = 'N') AS N_fdr,
  bool_or(fallback) FILTER (signature = 'N') AS N_fallback, avg(rho) FILTER (signature = 'R') AS R_value, min(fdr) FILTER (signature = 'R') AS R_fdr, bool_or(fallback)
  FILTER (signature = 'R') AS R_fallback FROM a GROUP BY 1), s AS (SELECT *, (coalesce(A_fdr < 0.04, false)::INTEGER + coalesce(N_fdr < 0.04, false)::INTEGER +
- coalesce(R_fdr < 0.04, false)::INTEGER)::INTEGER AS n_significant FROM m) SELECT unit, round(A_value, 8) AS A_value, round(A_fdr, 8) AS A_fdr, A_fallback,
- round(N_value, 8) AS N_value, round(N_fdr, 8) AS N_fdr, N_fallback, round(R_value, 8) AS R_value, round(R_fdr, 8) AS R_fdr, R_fallback, n_significant, row_number()
+ coalesce(R_fdr < 0.04, false)::INTEGER)::INTEGER AS n_significant FROM m) SELECT unit, {", ".join(f"{b.half_up_sql(f'{v}_value', 8)}, {b.half_up_sql(f'{v}_fdr', 8)}, {v}_fallback" for v in "ANR")}, n_significant, row_number()
  OVER (ORDER BY n_significant DESC, unit) AS place FROM s""")
 def ordered_association_matrix(spark, folder):
     """Units by level, with the number of levels below an adjusted p value and the units' place by it."""
     a = b.table(spark, folder, "lineitem").groupBy(F.col("l_suppkey").alias("unit"), F.col("l_returnflag").alias("signature")).agg(
-        F.avg("l_discount").alias("rho"), F.avg("l_tax").alias("fdr"), F.bool_or(F.col("l_orderkey") % 13 == 0).alias("fallback"))
-    return b.rounded(review.association_matrix(a, "unit", "signature", ["A", "N", "R"], "rho", "fdr", "fallback", 0.04), 8)
+        b.exact_mean("l_discount").alias("rho"), b.exact_mean("l_tax").alias("fdr"), F.bool_or(F.col("l_orderkey") % 13 == 0).alias("fallback"))
+    out = review.association_matrix(a, "unit", "signature", ["A", "N", "R"], "rho", "fdr", "fallback", 0.04)
+    return out.withColumns({f"{v}_{c}": b.half_up(f"{v}_{c}", 8) for v in "ANR" for c in ("value", "fdr")})
 
 
-@query("significant_supported_associations", """WITH a AS (SELECT l_suppkey AS unit, count(DISTINCT l_partkey) AS n_subjects, avg(l_tax) AS fdr FROM lineitem GROUP BY 1)
- SELECT unit, n_subjects, round(fdr, 8) AS fdr FROM a WHERE fdr < 0.04 AND n_subjects >= 20""")
+@query("significant_supported_associations", f"""WITH a AS (SELECT l_suppkey AS unit, count(DISTINCT l_partkey) AS n_subjects, {b.exact_mean_sql("l_tax")} AS fdr FROM
+ lineitem GROUP BY 1) SELECT unit, n_subjects, {b.half_up_sql("fdr", 8)} FROM a WHERE fdr < 0.04 AND n_subjects >= 20""")
 def significant_supported_associations(spark, folder):
     a = b.table(spark, folder, "lineitem").groupBy(F.col("l_suppkey").alias("unit")).agg(
-        F.count_distinct("l_partkey").alias("n_subjects"), F.avg("l_tax").alias("fdr")).withColumn("fdr_significant", F.col("fdr") < 0.04)
-    return b.rounded(review.presentation_rows(a, significant_only=True, min_support=20).drop("fdr_significant"), 8)
+        F.count_distinct("l_partkey").alias("n_subjects"), b.exact_mean("l_tax").alias("fdr")).withColumn("fdr_significant", F.col("fdr") < 0.04)
+    return review.presentation_rows(a, significant_only=True, min_support=20).drop("fdr_significant").withColumn("fdr", b.half_up("fdr", 8))
 
 
 @query("presentation_filter", f"""WITH {FRACTIONS_SQL}, a AS (SELECT cell_type, count(*) FILTER (n_cells > 0) AS n,
