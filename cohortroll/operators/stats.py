@@ -12,8 +12,12 @@ from cohortroll.operators.rollup import wide_quantiles
 
 
 def pearson(x: str, y: str) -> Column:
-    """Correlation aggregate; null for fewer than two rows or a constant side."""
-    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+    """Correlation aggregate; null for fewer than two rows or a constant side.
+
+    A side is constant if its extremes are equal: merged deviations of a constant need not add up to zero.
+    """
+    varies = (F.min(x) < F.max(x)) & (F.min(y) < F.max(y))
+    return F.when(varies, F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)))
 
 
 def linear_fit(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
