@@ -66,8 +66,13 @@ def weighted_capped_allocation(spark, folder):
 MUST = "CASE WHEN size >= 3 THEN 3 ELSE 0 END"
 
 
-@query("group_budget_allocation", f"""WITH {GROUP_SQL}, gm AS (SELECT *, {MUST} AS must, sum({MUST}) OVER () AS needed FROM
- gh), {allocation_sql("size - must", "size - must", "7500 - needed", "gm")} SELECT sample_unit_id, cell_type, size,
+# When the minimum alone takes up the budget, only large groups share it, by size.
+BUDGET_SQL = f"""gm AS (SELECT * REPLACE (CASE WHEN needed >= 7500 THEN 0 ELSE must END AS must), CASE WHEN needed < 7500 THEN size - must WHEN size >= 3 THEN
+ size ELSE 0 END AS room, CASE WHEN needed < 7500 THEN 7500 - needed ELSE 7500 END AS rest_of_budget FROM (SELECT *, {MUST} AS must, sum({MUST}) OVER () AS
+ needed FROM gh)), {allocation_sql("room", "room", "rest_of_budget", "gm")}"""
+
+
+@query("group_budget_allocation", f"""WITH {GROUP_SQL}, {BUDGET_SQL} SELECT sample_unit_id, cell_type, size,
  must + got AS allocation FROM alloc""")
 def group_budget_allocation(spark, folder):
     sizes = group_sizes(spark, folder).drop("w")
@@ -81,8 +86,7 @@ def tight_budget_allocation(spark, folder):
     return sp.allocate_budget(sizes, ["sample_unit_id", "cell_type"], "size", 900, 4)
 
 
-@query("stratified_cell_sample", f"""WITH {GROUP_SQL}, gm AS (SELECT *, {MUST} AS must, sum({MUST}) OVER () AS needed FROM
- gh), {allocation_sql("size - must", "size - must", "7500 - needed", "gm")}, r AS (SELECT cell_id, sample_unit_id, cell_type,
+@query("stratified_cell_sample", f"""WITH {GROUP_SQL}, {BUDGET_SQL}, r AS (SELECT cell_id, sample_unit_id, cell_type,
  row_number() OVER (PARTITION BY sample_unit_id, cell_type ORDER BY md5('5|' || cell_id), cell_id) AS rn FROM cells)
  SELECT cell_id FROM r JOIN alloc USING (sample_unit_id, cell_type) WHERE rn <= must + got""")
 def stratified_cell_sample(spark, folder):
