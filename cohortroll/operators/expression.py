@@ -332,11 +332,14 @@ def quasi_poisson(dense: DataFrame, keys: Sequence[str], x: Sequence[str], group
     return out.withColumn("p_value", f_upper("f_statistic", F.lit(1.0), F.col("residual_df").cast("double")))
 
 
-def robustness_scenarios(profiles: DataFrame, high_cells: int) -> DataFrame:
-    """Each profile under each scenario that keeps it: high cell support, one covariate dropped, each
+def robustness_scenarios(rows: DataFrame, high_cells: int, profiles: DataFrame | None = None) -> DataFrame:
+    """Each row under each scenario that keeps its profile: high cell support, one covariate dropped, each
     batch left out. ``use_sex`` and ``use_batch`` say which covariates the scenario's model has.
 
-    The result has a row per profile and batch, so the list of all batches, a scalar subquery, is never
+    Rows are profiles, or rows that carry their profile's ``batch`` and ``n_cells``; then ``profiles`` has all batches. They
+    unfold where they are: a table of every profile under every scenario is never joined, so never broadcast either.
+
+    The result has a row per row and batch, so the list of all batches, a scalar subquery, is never
     longer than what one profile unfolds to. A profile without a batch is in no scenario.
     """
     def scenario(name, kind, sex, batch, excluded):
@@ -345,22 +348,22 @@ def robustness_scenarios(profiles: DataFrame, high_cells: int) -> DataFrame:
 
     fixed = F.array(*[scenario(F.lit(name), kind, sex, batch, F.lit("")) for name, kind, sex, batch in (
         ("high_cell_support", "cell_support", True, True), ("drop_sex", "covariate", False, True), ("drop_batch", "covariate", True, False))])
-    batches = profiles.agg(F.array_sort(F.collect_set(F.col("batch").cast("string"))).alias("b")).scalar()
+    batches = (rows if profiles is None else profiles).agg(F.array_sort(F.collect_set(F.col("batch").cast("string"))).alias("b")).scalar()
     left_out = F.transform("__batches", lambda v: scenario(F.concat(F.lit("leave_out_"), v), "leave_one_batch_out", True, True, v))
-    rows = profiles.withColumn("__batches", batches).select(*profiles.columns, F.inline(F.concat(fixed, left_out)))
-    return rows.where((F.col("scenario_id") != "high_cell_support") | (F.col("n_cells") >= high_cells)).where(
+    unfolded = rows.withColumn("__batches", batches).select(*rows.columns, F.inline(F.concat(fixed, left_out)))
+    return unfolded.where((F.col("scenario_id") != "high_cell_support") | (F.col("n_cells") >= high_cells)).where(
         F.col("batch") != F.col("excluded_batch"))
 
 
-def scenario_models(dense: DataFrame, scenarios: DataFrame, candidates: DataFrame, x: Sequence[str], groups,
+def scenario_models(dense: DataFrame, profiles: DataFrame, high_cells: int, candidates: DataFrame, x: Sequence[str], groups,
                     sex_columns: Sequence[str], batch_columns: Sequence[str]) -> DataFrame:
     """Quasi-Poisson refits of candidates only, every scenario in one grouped fit.
 
     Dropped covariates become zero columns, which the solver leaves out, so all scenarios share one
     design. A scenario that cannot be estimated is a status, not a failure.
     """
-    rows = dense.join(candidates.select("cell_type", "gene_id"), ["cell_type", "gene_id"], "left_semi").join(
-        scenarios.select("profile_id", "scenario_id", "use_sex", "use_batch"), "profile_id")
+    rows = dense.join(candidates.select("cell_type", "gene_id"), ["cell_type", "gene_id"], "left_semi")
+    rows = robustness_scenarios(rows, high_cells, profiles)
     rows = rows.withColumns({c: F.when(F.col("use_sex"), F.col(c)).otherwise(0.0) for c in sex_columns})
     rows = rows.withColumns({c: F.when(F.col("use_batch"), F.col(c)).otherwise(0.0) for c in batch_columns})
     keys = ["cell_type", "gene_id", "scenario_id"]

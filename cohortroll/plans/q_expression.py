@@ -171,9 +171,8 @@ def robustness_refits(spark, folder):
     profiles, sums = inputs(spark, folder)
     dense, x, groups = ex.prepare_expression(profiles, sums, ["sex", "batch"])
     primary = keep(ex.quasi_poisson(dense, ["cell_type", "gene_id"], x, groups), "primary")
-    scenarios = ex.robustness_scenarios(profiles, 3)
     cols = [[x[i] for i in g] for g in groups]
-    return ex.scenario_models(dense, scenarios, primary.where("p_value < 0.25"), x, groups, cols[0], cols[1])
+    return ex.scenario_models(dense, profiles, 3, primary.where("p_value < 0.25"), x, groups, cols[0], cols[1])
 
 
 @query("count_model_scopes", f"""WITH {PROFILE_SQL}, q AS (SELECT cell_type, sex, {PLANTED} FROM profiles), s AS (SELECT cell_type, count(*) AS n_replicates,

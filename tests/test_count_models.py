@@ -150,3 +150,17 @@ def test_nothing_to_test(spark, study):
     profiles, sums = study
     results, about = cm.count_models(profiles, sums.where("count > 1000000"), ["sex"], grid=[0.1, 0.2, 0.4])
     assert results.count() == 0 and {(r.status, r.n_genes_tested) for r in about.collect()} == {("model_failed", 0)}
+
+
+def test_rows_unfold_into_scenarios_without_a_join(spark):
+    """Rows under the scenarios of their profiles are those of a join, and no table of profiles under scenarios is broadcast."""
+    from cohortroll.operators import expression as ex
+
+    profiles = spark.createDataFrame([(f"p{i}", "B" + "xyz"[i % 3] if i else None, i % 5) for i in range(12)], "profile_id string, batch string, n_cells int")
+    rows = profiles.where("batch <> 'Bz'").join(spark.range(2).withColumnRenamed("id", "gene_id"))
+    rows = spark.createDataFrame(rows.collect(), rows.schema)
+    got = ex.robustness_scenarios(rows, 3, profiles)
+    told = ex.robustness_scenarios(profiles, 3).drop("batch", "n_cells")
+    key = lambda df: sorted(map(str, df.select("profile_id", "gene_id", "scenario_id", "use_sex", "use_batch").collect()))
+    assert key(got) == key(rows.join(told, "profile_id")) and any("leave_out_Bz" in r for r in key(got))
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
