@@ -51,10 +51,12 @@ def _round(both: DataFrame, state: DataFrame, number: int, scale: float) -> Data
     """
     totals = state.groupBy("label").agg(F.sum("degree").alias("total"))
     own = state.join(totals, "label").select(F.col("node").alias("src"), F.col("label").alias("own"), "degree", F.col("total").alias("own_total"))
-    links = both.join(state.select(F.col("node").alias("dst"), "label"), "dst").groupBy("src", "label").agg(F.sum("w").alias("w"))
+    there = own.select(F.col("src").alias("dst"), F.col("own").alias("label"), F.col("own_total").alias("total"))
+    # Edges carry their cluster's total along and meet once at their source: two shuffles of edges a round, the rest are of nodes.
+    links = both.join(there, "dst").select("src", "label", "total", "w").repartition("src").groupBy("src", "label", "total").agg(F.sum("w").alias("w"))
     here = F.col("label") == F.col("own")
     gain = F.col("w") - scale * F.col("degree") * (F.col("total") - F.when(here, F.col("degree")).otherwise(0))
-    best = links.join(totals, "label").join(own, "src").groupBy("src").agg(
+    best = links.join(own, "src").groupBy("src").agg(
         F.max(F.struct(gain.alias("gain"), (-F.col("label")).alias("label"))).alias("m"), F.max(F.when(here, F.col("w"))).alias("w"))
     stay = F.coalesce("w", F.lit(0)) - scale * F.col("degree") * (F.col("own_total") - F.col("degree"))
     moves = (F.xxhash64("src", F.lit(number)).bitwiseAND(F.lit(1)) == 0) & (F.col("m.gain") > stay + 1e-9)

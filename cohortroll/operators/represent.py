@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
@@ -20,6 +21,8 @@ from cohortroll.operators.rollup import dominant
 from cohortroll.session import keep
 
 BLOCK = 512
+CHUNK = 2048  # rows of a tile that a block is multiplied with at once
+TILES, TILE_ROWS, TILE_BYTES = 12, 1024, 1 << 25  # tiles of a side; rows that are no use to cut; bytes of vectors in a tile, at most
 
 
 def pca_representation(counts: DataFrame, cells: DataFrame, n_genes: int, k: int, target: float = 1e4) -> DataFrame:
@@ -64,13 +67,74 @@ def _assign(vectors: DataFrame, pivots: np.ndarray) -> DataFrame:
     return vectors.mapInPandas(near, "rep long, vec array<float>, cell int, d double")
 
 
+def tile_count(rows: int, width: int) -> int:
+    """Tiles that each side of the neighbour search is cut into: a fixed number unless the table is small or a tile too large."""
+    return max(min(TILES, -(-rows // TILE_ROWS)), -(-rows * width * 4 // TILE_BYTES), 1)
+
+
+def _nearest(a: pa.Table, b: pa.Table, gap: np.ndarray, bound: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k nearest rows of tile b to each row of tile a by distance, ties by id: ids, ids found, distances.
+
+    Products only pick candidates, with room for their rounding; what counts are the differences' norms.
+    """
+    def arrays(t: pa.Table):
+        t = t.sort_by([("cell", "ascending"), ("rep", "ascending")])
+        ids, cell, d = (t[c].to_numpy() for c in ("rep", "cell", "d"))
+        return ids, cell, d, t["vec"].combine_chunks().flatten().to_numpy().reshape(len(ids), -1).astype(float)
+
+    (a_ids, a_cell, a_d, a_vec), (b_ids, b_cell, b_d, b_vec) = arrays(a), arrays(b)
+    b_norm = (b_vec ** 2).sum(1)
+    size = max((a_vec ** 2).sum(1).max(), b_norm.max())
+    slack, margin = 1e-12 * size, 1e-6 * np.sqrt(size) + 1e-8
+    turned = np.concatenate([-2 * b_vec, b_norm[:, None]], axis=1)
+    starts = np.flatnonzero(np.r_[True, a_cell[1:] != a_cell[:-1]])
+    out = []
+    for at, end in zip(starts, np.append(starts[1:], len(a_ids))):
+        i, apart = int(a_cell[at]), gap[a_cell[at], b_cell]
+        for s in range(at, end, BLOCK):
+            own = a_vec[s:min(s + BLOCK, end)]
+            norm, ones = (own ** 2).sum(1), np.concatenate([own, np.ones((len(own), 1))], axis=1)
+            far = a_d[s:s + len(own)].max()
+            row, col, dist = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+            worst = np.full(len(own), np.inf)
+            for t in range(0, len(b_ids), CHUNK):
+                # Both rings around the pivots bound the distance from below.
+                low = np.maximum(apart[t:t + CHUNK] - b_d[t:t + CHUNK], b_d[t:t + CHUNK] - apart[t:t + CHUNK]) - far
+                near = np.flatnonzero(low <= min(bound[i], worst.max()) + margin)
+                if not len(near):
+                    continue
+                part = turned[t:t + CHUNK] if len(near) == len(low) else turned[t + near]
+                d2 = ones @ part.T
+                most = worst
+                if len(near) > k and np.isinf(worst).any():
+                    kth = np.sqrt(np.maximum(np.partition(d2, k - 1, axis=1)[:, k - 1] + norm, 0) + slack)
+                    most = np.minimum(worst, kth)
+                r, c = np.nonzero(d2 <= ((most + 1e-8) ** 2 - norm + slack)[:, None])
+                c = t + near[c]
+                new = np.empty(len(r))
+                for v in range(0, len(r), CHUNK):
+                    new[v:v + CHUNK] = np.round(np.sqrt(((own[r[v:v + CHUNK]] - b_vec[c[v:v + CHUNK]]) ** 2).sum(1)), 9)
+                row, col, dist = np.concatenate([row, r]), np.concatenate([col, c]), np.concatenate([dist, new])
+                order = np.lexsort((b_ids[col], dist, row))
+                row, col, dist = row[order], col[order], dist[order]
+                first = np.searchsorted(row, np.arange(len(own) + 1))
+                kept = np.arange(len(row)) - first[row] < k
+                row, col, dist = row[kept], col[kept], dist[kept]
+                n = np.bincount(row, minlength=len(own))
+                full = n == k
+                worst[full] = dist[np.cumsum(n)[full] - 1]
+            out.append((a_ids[s + row], b_ids[col], dist))
+    return tuple(np.concatenate(c) for c in zip(*out))
+
+
 def exact_neighbours(vectors: DataFrame, k: int, max_pivots: int = 512) -> DataFrame:
     """The k nearest other rows of each row by euclidean distance, ties by id, exact.
 
     Copies of one vector are folded to a representative with its first k + 1 ids, which is all any
-    list can use. Representatives are cut into cells around pivots and cells into bounded blocks; the
-    triangle inequality drops block pairs that cannot hold a neighbour. Each remaining block pair is
-    one numpy product in a task that gives back only the best rows per query.
+    list can use. Representatives are dealt into tiles, ``TILES`` unless they outgrow ``TILE_BYTES``, and every
+    pair of tiles meets in a task, so a vector is sent a fixed number of times, not once for each block it is held
+    against. Inside, rows are ordered by the pivot they lie around; the triangle inequality drops those that cannot be
+    a neighbour, the rest meet in bounded products, and a task gives back only the best rows per query.
     Input: cell_id (long), vec. Output: src, dst, dist, rank.
     """
     ids = vectors.select(F.col("cell_id").cast("long").alias("cell_id"), "vec")
@@ -88,43 +152,24 @@ def exact_neighbours(vectors: DataFrame, k: int, max_pivots: int = 512) -> DataF
     gap = np.sqrt(np.maximum((pivots ** 2).sum(1)[:, None] + (pivots ** 2).sum(1) - 2 * pivots @ pivots.T, 0))
     at, d = np.array([r["cell"] for r in close]), np.array([r["d"] for r in close])
     need = min(k + 1, size)
-    pairs = []
+    bound, margin = np.full(len(pivots), np.inf), 1e-6 * float(np.sqrt((pivots ** 2).sum(1).max())) + 1e-9
     for i, u in radius.items():
-        bound = float(np.partition(u + gap[i, at] + d, need - 1)[need - 1]) * (1 + 1e-9) + 1e-9
-        pairs += [(i, j, float(gap[i, j]), bound) for j, w in radius.items() if gap[i, j] - u - w <= bound]
-    spark = vectors.sparkSession
-    # At most max_pivots squared short rows.
-    cell_pairs = spark.createDataFrame(pairs, "a_cell int, b_cell int, gap double, bound double")
-    counts = placed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("slots"))
-    blocks = keep(placed.join(counts, "cell").withColumn("slot", F.pmod(F.xxhash64("rep"), F.col("slots"))).groupBy(
-        "cell", "slot").agg(F.collect_list("rep").alias("ids"), F.flatten(F.collect_list("vec")).alias("flat"),
-                            F.max("d").alias("far"), F.min("d").alias("near")), "blocks")
-
-    def side(tag):
-        return blocks.select(*[F.col(c).alias(f"{tag}_{c}") for c in blocks.columns])
-
-    # Lower bound from both rings around the pivots.
-    joined = side("a").join(cell_pairs, "a_cell").join(side("b"), "b_cell").where(
-        (F.col("gap") - F.col("a_far") - F.col("b_far") <= F.col("bound"))
-        & (F.col("b_near") - F.col("gap") - F.col("a_far") <= F.col("bound"))).select(
-        "a_ids", "a_flat", "b_ids", "b_flat")
-
-    def best(batches):
-        for pdf in batches:
-            for row in pdf.itertuples(index=False):
-                a_ids, b_ids = np.asarray(row.a_ids), np.asarray(row.b_ids)
-                a = np.asarray(row.a_flat, float).reshape(len(a_ids), -1)
-                b = np.asarray(row.b_flat, float).reshape(len(b_ids), -1)
-                d2 = np.maximum((a ** 2).sum(1)[:, None] + (b ** 2).sum(1) - 2 * a @ b.T, 0)
-                d2[a_ids[:, None] == b_ids] = 0
-                dist = np.round(np.sqrt(d2), 9)
-                take = min(k + 1, len(b_ids))
-                order = np.argsort(b_ids, kind="stable")
-                pick = order[np.argsort(dist[:, order], axis=1, kind="stable")[:, :take]]
-                yield pd.DataFrame({"rep": np.repeat(a_ids, take), "near_rep": b_ids[pick].ravel(),
-                                    "dist": np.take_along_axis(dist, pick, 1).ravel()})
-
-    found = joined.mapInPandas(best, "rep long, near_rep long, dist double")
+        # The pivots' distances are good to a rounding of their squares.
+        bound[i] = float(np.partition(u + gap[i, at] + d, need - 1)[need - 1]) * (1 + 1e-9) + margin
+    tiles = tile_count(size, pivots.shape[1])
+    pair = ["tile", "other"]
+    own, every = F.pmod(F.xxhash64("rep"), F.lit(tiles)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))
+
+    def side(mine: str, others: str):
+        rows = placed.withColumn(mine, own).withColumn(others, every)
+        return rows.select(*pair, *placed.columns).repartition(tiles * tiles, *pair).groupBy(*pair)
+
+    def best(a: pa.Table, b: pa.Table) -> pa.Table:
+        if not len(a) or not len(b):
+            return pa.table({"rep": pa.array([], pa.int64()), "near_rep": pa.array([], pa.int64()), "dist": pa.array([], pa.float64())})
+        return pa.table(dict(zip(("rep", "near_rep", "dist"), _nearest(a, b, gap, bound, k + 1))))
+
+    found = side("tile", "other").cogroup(side("other", "tile")).applyInArrow(best, "rep long, near_rep long, dist double")
     found = top_per_group(found, ["rep"], [F.col("dist"), F.col("near_rep")], k + 1, "r")
     full = found.join(reps.select(F.col("rep").alias("near_rep"), "members"), "near_rep").select(
         "rep", "dist", F.explode("members").alias("dst"))
