@@ -67,7 +67,7 @@ def tmm_factors(profiles: DataFrame, sums: DataFrame, trim_ratio: float = 0.3, t
     to the type's mean upper quartile. Ranks run over genes of one profile.
     """
     lib = profiles.select("profile_id", "cell_type", "library_size")
-    s = sums.join(lib, "profile_id").where("library_size > 0")
+    s = keep(sums.join(lib, "profile_id").where("library_size > 0"), "typed-sums")
     genes = s.groupBy("cell_type").agg(F.count_distinct("gene_id").alias("g"))
     seen = s.groupBy("profile_id", "cell_type", "library_size", "count").agg(F.count(F.lit(1)).alias("n"))
     zeros = seen.groupBy("profile_id", "cell_type", "library_size").agg(F.sum("n").alias("k")).join(genes, "cell_type").select(
@@ -87,10 +87,12 @@ def tmm_factors(profiles: DataFrame, sums: DataFrame, trim_ratio: float = 0.3, t
         ((F.col("library_size") - F.col("count")) / F.col("library_size") / F.col("count")
          + (F.col("rl") - F.col("rc")) / F.col("rl") / F.col("rc")).alias("v"))
     w = Window.partitionBy("profile_id")
-    tie = (F.count(F.lit(1)).over(Window.partitionBy("profile_id", "m")) - 1) / 2.0
-    tie_a = (F.count(F.lit(1)).over(Window.partitionBy("profile_id", "a")) - 1) / 2.0
-    j = j.withColumns({
-        "n": F.count(F.lit(1)).over(w), "rm": F.rank().over(w.orderBy("m")) + tie, "ra": F.rank().over(w.orderBy("a")) + tie_a})
+
+    def mean_rank(value):
+        alike = F.count(F.lit(1)).over(w.orderBy(value).rangeBetween(Window.currentRow, Window.currentRow))
+        return F.rank().over(w.orderBy(value)) + (alike - 1) / 2.0
+
+    j = j.withColumns({"n": F.count(F.lit(1)).over(w), "rm": mean_rank("m"), "ra": mean_rank("a")})
 
     def inside(rank, trim):
         low = F.floor(F.col("n") * trim) + 1
@@ -110,8 +112,15 @@ def dense_counts(profiles: DataFrame, sums: DataFrame, genes: DataFrame) -> Data
     """Every profile with every kept gene of its type; absent counts are 0. The gene list per type is
     bounded by the gene catalogue and unfolds on the map side, so a large type is not a hot key."""
     listed = genes.groupBy("cell_type").agg(F.collect_list("gene_id").alias("genes"))
-    grid = profiles.join(listed, "cell_type").withColumn("gene_id", F.explode("genes")).drop("genes")
-    return grid.join(sums, ["profile_id", "gene_id"], "left").fillna(0, ["count"])
+    # Only counts are shuffled, one list a profile; the grid unfolds after that.
+    known = sums.join(profiles.select("profile_id", "cell_type"), "profile_id").join(
+        genes.select("cell_type", "gene_id").distinct(), ["cell_type", "gene_id"], "left_semi")
+    packed = known.groupBy("profile_id").agg(F.collect_list(F.struct("gene_id", F.coalesce("count", F.lit(0)).alias("count"))).alias("__seen"))
+    zero = F.lit(0).cast(packed.schema["__seen"].dataType.elementType["count"].dataType)
+    seen = F.coalesce("__seen", F.array().cast(packed.schema["__seen"].dataType))
+    absent = F.transform(F.array_except("genes", F.transform(seen, lambda s: s["gene_id"])), lambda g: F.struct(g.alias("gene_id"), zero.alias("count")))
+    grid = profiles.join(listed, "cell_type").join(packed, "profile_id", "left")
+    return grid.select(*profiles.columns, F.inline(F.concat(seen, absent)))
 
 
 def log_cpm(dense: DataFrame) -> DataFrame:
@@ -205,18 +214,19 @@ def voom_trend(lines: DataFrame) -> DataFrame:
 def precision_weights(dense: DataFrame, lines: DataFrame, trend: DataFrame, x: Sequence[str]) -> DataFrame:
     """Weight of each observation from the trend at its fitted log count."""
     fitted = F.expr(" + ".join(f"beta[{i}] * `{c}`" for i, c in enumerate(x)))
-    j = dense.join(lines.select("cell_type", "gene_id", "beta"), ["cell_type", "gene_id"]).join(trend, "cell_type")
-    j = j.withColumn("__fit", fitted + F.col("log_size") - F.log2(F.lit(1e6)))
+    j = dense.join(lines.select("cell_type", "gene_id", "beta"), ["cell_type", "gene_id"])
+    # At most 200 knots a type; they go to the tasks once, not beside each row.
+    curves = {r["cell_type"]: (np.array(r["knots"], float), np.array(r["levels"], float)) for r in trend.collect()}
+    j = j.where(F.col("cell_type").isin(list(curves)))
 
     @F.pandas_udf("double")
-    def at(v: pd.Series, knots: pd.Series, levels: pd.Series) -> pd.Series:
+    def at(v: pd.Series, cell_type: pd.Series) -> pd.Series:
         out = np.empty(len(v))
-        code = pd.Series([id(k) for k in knots]) if len(v) < 2 else pd.Series([(k[0], k[-1], len(k)) for k in knots])
-        for _, idx in code.groupby(code).indices.items():
-            out[idx] = np.interp(v.to_numpy(float)[idx], knots.iloc[idx[0]], levels.iloc[idx[0]])
+        for name, idx in cell_type.groupby(cell_type).indices.items():
+            out[idx] = np.interp(v.to_numpy(float)[idx], *curves[name])
         return pd.Series(1 / out ** 4)
 
-    return j.withColumn("weight", at("__fit", "knots", "levels")).drop("__fit", "knots", "levels", "beta")
+    return j.withColumn("weight", at(fitted + F.col("log_size") - F.log2(F.lit(1e6)), "cell_type")).drop("beta")
 
 
 def _trigamma_inverse(v: float) -> float:
@@ -320,7 +330,7 @@ def fixed_model(dense: DataFrame, x: Sequence[str]) -> tuple[DataFrame, DataFram
 def quasi_poisson(dense: DataFrame, keys: Sequence[str], x: Sequence[str], groups) -> DataFrame:
     """Log-linear model per gene with log library offset and a free dispersion; F test on age."""
     rows = dense.withColumn("offset", F.log(F.col("library_size") * F.col("norm_factor")))
-    fit = fit_grouped(rows, keys, "count", x, ["profile_id"], family="poisson", offset="offset", groups=groups, max_iter=25)
+    fit = fit_grouped(rows, keys, "count", x, ["profile_id"], family="poisson", offset="offset", groups=groups, max_iter=25, single=True)
     i = len(x) - 1
     done = F.col("status") == "completed"
     # The variance here is dispersion times inverse information, not the sandwich.
