@@ -13,7 +13,7 @@ from cohortroll.operators.rollup import profile_table, pseudobulk_sums
 from cohortroll.operators.sampling import seeded_take
 from cohortroll.plans import bindings as b
 from cohortroll.plans.registry import query
-from cohortroll.session import scratch_path
+from cohortroll.session import keep, scratch_path
 from cohortroll.sources import readers, sinks
 
 DIRTY_SQL = """dirty AS (SELECT event_id, CASE event_id % 7 WHEN 0 THEN '  ' WHEN 1 THEN ' nan '
@@ -167,7 +167,8 @@ def coordinate_matrix_checks(spark, folder):
  unnest([r, c, 0, 0, twice, off])::BIGINT AS n, n = 0 AS passed FROM k""")
 def matrix_read_back(spark, folder):
     """A written matrix read back, with rows and a column missing from the tables, repeated entries and wrong library sizes planted."""
-    cells, sums = profile_sums(spark, folder)
+    _, sums = profile_sums(spark, folder)
+    sums = keep(sums, "sums")
     entries, rows, cols = sinks.coordinate_matrix(sums, "profile", "gene_id")
     path = scratch_path(spark, "matrix")
     sinks.write_coordinate(entries.unionByName(entries.where("row % 50 = 7")), path)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cohortroll.functions.scalar import path_label
 from cohortroll.operators.ordering import sorted_position
+from cohortroll.session import keep
 
 
 def write_delimited(df: DataFrame, path: str, sep: str = ",", gzip: bool = False) -> None:
@@ -37,7 +38,8 @@ def group_manifest(df: DataFrame, group: str) -> DataFrame:
 
 
 def coordinate_matrix(sums: DataFrame, row_key: str, col_key: str, value: str = "count"):
-    """1-based (row, col, value) entries with their row and column dimension tables."""
+    """1-based (row, col, value) entries with their row and column dimension tables; the sums are worked out once for all three."""
+    sums = keep(sums.select(row_key, col_key, value), "sums")
     rows = sorted_position(sums.select(row_key).distinct(), [row_key], "row")
     cols = sorted_position(sums.select(col_key).distinct(), [col_key], "col")
     entries = sums.join(rows, row_key).join(cols, col_key).select("row", "col", value)
@@ -60,6 +62,7 @@ def matrix_source_checks(entries: DataFrame, rows: DataFrame, cols: DataFrame, l
     doesn't sum up to their library size (a profile without a row has sum 0, one without a library size fits none).
     """
     key = rows.columns[0]
+    entries = keep(entries, "entries")  # a written matrix is parsed once, not for each check
     outside = lambda table, c: entries.join(table.select(c), c, "left_anti").agg(F.count(F.lit(1)).alias("n"))
     empty = lambda table, c: table.join(entries.select(c), c, "left_anti").agg(F.count(F.lit(1)).alias("n"))
     twice = entries.groupBy("row", "col").agg(F.count(F.lit(1)).alias("k")).agg(F.coalesce(F.sum(F.col("k") - 1), F.lit(0)).alias("n"))
@@ -76,6 +79,7 @@ def matrix_source_checks(entries: DataFrame, rows: DataFrame, cols: DataFrame, l
 
 def matrix_checks(entries: DataFrame, rows: DataFrame, cols: DataFrame, library: DataFrame):
     """Read-back checks: index ranges fit the dimension tables, row sums equal library sizes."""
+    entries = keep(entries, "entries")
     span = entries.agg(F.max("row").alias("max_row"), F.max("col").alias("max_col"))
     sums = entries.groupBy("row").agg(F.sum("count").alias("total"))
     off = rows.join(sums, "row", "left").join(library, rows.columns[0], "left").where(

@@ -86,3 +86,24 @@ def test_each_scenario_equals_a_fit_of_its_own(spark):
             assert np.isclose(errors[order, kind].standard_error, 10 * np.sqrt(sum(v * v for v in sums.values())))
             assert errors[order, kind].n_subjects == len(sums)
     assert sparse and len(slopes) == len(errors) == 2 * len(grid)
+
+
+def test_matrix_parts_are_worked_out_once(spark):
+    """Sums reach entries and both dimension tables, and entries all checks, through one evaluation each."""
+    seen, read = (spark.sparkContext.accumulator(0) for _ in range(2))
+
+    def counted(df, which):
+        def run(batches):
+            for batch in batches:
+                which.add(batch.num_rows)
+                yield batch
+
+        return df.mapInArrow(run, df.schema)
+
+    sums = counted(spark.createDataFrame([("p", "g", 3), ("p", "h", 2), ("q", "g", 1)], "profile string, gene string, count long").coalesce(1), seen)
+    entries, rows, cols = sinks.coordinate_matrix(sums, "profile", "gene")
+    assert sorted(tuple(r) for r in entries.collect()) == [(1, 1, 3), (1, 2, 2), (2, 1, 1)] and seen.value == 3
+    library = spark.createDataFrame([("p", 5), ("q", 1)], "profile string, library_size long")
+    for checks in (sinks.matrix_checks, sinks.matrix_source_checks):
+        read.value = 0
+        assert all(r.passed for r in checks(counted(entries, read), rows, cols, library).collect()) and read.value == 3
