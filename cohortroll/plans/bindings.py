@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortroll.session import dealt
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -92,14 +94,15 @@ CELLS_B = """cells AS (SELECT o_orderkey AS cell_id, 'C' || o_custkey AS subject
 
 
 def counts_b(spark, folder, gene: str = "part") -> DataFrame:
-    """Sparse counts: order x part (or brand) with summed line quantity; (cell, gene) is unique."""
+    """Sparse counts: order x part (or brand) with summed line quantity; (cell, gene) is unique. Large ones lie by cell."""
     lines = table(spark, folder, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
+    n_lines = lines.count()  # from the files' footers
     gene_col = F.col("l_partkey")
     if gene == "brand":
         part = table(spark, folder, "part").select("p_partkey", "p_brand")
         lines = lines.join(part, F.col("l_partkey") == F.col("p_partkey"))
         gene_col = F.col("p_brand")
-    return lines.groupBy(F.col("l_orderkey").alias("cell_id"), gene_col.alias("gene_id")).agg(
+    return dealt(lines, n_lines, "l_orderkey").groupBy(F.col("l_orderkey").alias("cell_id"), gene_col.alias("gene_id")).agg(
         F.sum("l_quantity").cast("bigint").alias("count"))
 
 

@@ -20,6 +20,8 @@ SETTINGS = {
 }
 
 
+TASK_ROWS = 500_000  # rows that ``dealt`` gives a task, about
+
 KEPT: list[str] = []  # paths of the tables that ``keep`` has written in this process
 
 
@@ -81,6 +83,17 @@ def keep(df: DataFrame, label: str = "kept") -> DataFrame:
     return spark.read.parquet(path)
 
 
+def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """``df`` by a hash of ``keys`` in as many partitions as keep a task to about ``TASK_ROWS`` of its ``rows`` rows.
+
+    For groups by keys that hardly repeat, where summing up before the shuffle saves nothing: the session's number of shuffle
+    partitions is fixed, and with it each task's table of groups would grow with the input. Small tables stay as they are.
+    """
+    if rows <= 2 * TASK_ROWS:
+        return df
+    return df.repartition(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // TASK_ROWS)), *keys)
+
+
 def release_kept(spark: SparkSession) -> int:
     """Deletes what ``keep`` has written so far, and says how many tables those were.
 

@@ -43,17 +43,17 @@ def union_by_name(frames: Sequence[DataFrame]) -> DataFrame:
 def choose_layer(counts: DataFrame, layer: str | None, preferred: Sequence[str] = ("counts",)):
     """``None`` or ``X`` is the main layer, ``auto`` the first preferred one present, else by name.
 
-    ``auto`` compares each row's layer with one scalar worked out from the distinct layers.
+    ``auto`` asks for one layer after the other and stops at the first that has a row; the others are not read again.
     """
     if layer in (None, "X"):
         return counts.where(F.col("layer") == "X").drop("layer")
     if layer != "auto":
         return counts.where(F.col("layer") == layer).drop("layer")
-    names = [*preferred, "X"]
-    order = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("layer"))
-    best = counts.select("layer").distinct().where(F.col("layer").isin(names)).agg(
-        F.min_by("layer", order).alias("l"))
-    return counts.where(F.col("layer") == best.scalar()).drop("layer")
+    for name in (*preferred, "X"):
+        chosen = counts.where(F.col("layer") == name)
+        if not chosen.isEmpty():
+            break
+    return chosen.drop("layer")
 
 
 def vectors_to_long(df: DataFrame, key: str, vector: str) -> DataFrame:
