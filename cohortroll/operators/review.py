@@ -12,8 +12,8 @@ from cohortroll.functions.scalar import (
     age_bin, effect_direction, interval_excludes_zero, join_key_text, scenario_code, scenario_name)
 from cohortroll.operators.ordering import sorted_position, top_per_group
 from cohortroll.operators.rollup import wide_quantiles
-from cohortroll.operators.stats import clustered_age_effect, demean, linear_fit, spearman
-from cohortroll.session import keep
+from cohortroll.operators.stats import clustered_age_effect, demean, level_means, linear_fit, spearman
+from cohortroll.session import dealt, keep
 
 SIGNAL = ("gene_id", "cell_type")
 # Fixed value: the column whose rows are the independent replicates of association results.
@@ -33,35 +33,51 @@ def scenario_grid(baseline: Mapping, options: Mapping[str, Sequence]) -> list[di
     return grid
 
 
-def with_scenarios(df: DataFrame, grid: Sequence[Mapping]) -> DataFrame:
-    """Every row under every scenario, scenario fields as columns; the grid is a short constant."""
+SCENARIO = ("scenario", "code", "scenario_order")
+FIELDS = ("adjust", "drop_sparse", "min_cells")
+
+
+def _items(grid: Sequence[Mapping]) -> Column:
     def lit(v):
         return F.lit(v) if not isinstance(v, int) or isinstance(v, bool) else F.lit(v).cast("int")
 
-    items = [F.struct(F.lit(i).alias("scenario_order"), *[lit(v).alias(k) for k, v in s.items()])
-             for i, s in enumerate(grid)]
-    out = df.select("*", F.inline(F.array(*items)))
-    args = [F.col(c) for c in ("adjust", "drop_sparse", "min_cells")]
-    return out.withColumn("scenario", scenario_name(*args)).withColumn("code", scenario_code(*args))
+    return F.array(*[F.struct(F.lit(i).alias("scenario_order"), *[lit(v).alias(k) for k, v in s.items()])
+                     for i, s in enumerate(grid)])
 
 
-SCENARIO = ("scenario", "code", "scenario_order")
+def with_scenarios(df: DataFrame, grid: Sequence[Mapping]) -> DataFrame:
+    """Every row under every scenario, scenario fields as columns; the grid is a short constant."""
+    return df.select("*", F.inline(_items(grid)))
+
+
+def with_names(df: DataFrame, grid: Sequence[Mapping]) -> DataFrame:
+    """Name and code of the scenario of each ``scenario_order``; results get them, rows don't carry them."""
+    item = F.element_at(_items(grid), F.col("scenario_order") + 1)
+    args = [item[c] for c in FIELDS]
+    return df.select(scenario_name(*args).alias("scenario"), scenario_code(*args).alias("code"), *df.columns)
 
 
 def scenario_rows(rows: DataFrame, grid: Sequence[Mapping], edges: Sequence[float], covariate: str, sparse_below: int,
-                  keys: Sequence[str], value: str, size: str) -> DataFrame:
-    """The rows that each scenario keeps, with its ``x`` (age) and ``y`` (value) for every test ``keys``.
+                  keys: Sequence[str], value: str, size: str, by: Sequence[str] = ()) -> DataFrame:
+    """The rows that each scenario keeps, with its ``x`` (age) and ``y`` (value) for every test ``scenario_order, keys``.
 
     A scenario keeps rows whose ``size`` reaches its number of cells, may leave out age bins with few samples, and may
-    adjust age and value for one covariate inside each test.
+    adjust age and value for one covariate inside each test. Samples per bin and level means are written first, as small
+    tables, so the unfolded rows meet them where they are. Large tables are dealt ``by`` columns before they unfold.
     """
-    rows = with_scenarios(rows, grid).where(F.col(size) >= F.col("min_cells"))
     rows = rows.withColumn("age_bin", F.coalesce(age_bin("age", edges), F.lit("outside")))
-    support = rows.groupBy("scenario", "age_bin").agg(F.count_distinct("sample_unit_id").alias("n_in_bin"))
-    rows = rows.join(support, ["scenario", "age_bin"]).where(
-        ~F.col("drop_sparse") | (F.col("n_in_bin") >= sparse_below))
-    rows = demean(rows, [*SCENARIO, *keys], covariate, ["age", value])
-    return rows.withColumns({
+    largest = rows.where("sample_unit_id is not null").groupBy("age_bin", "sample_unit_id").agg(F.max(size).alias(size))
+    support = keep(with_scenarios(largest, grid).where(F.col(size) >= F.col("min_cells")).groupBy("scenario_order", "age_bin").agg(
+        F.count(F.lit(1)).alias("n_in_bin")), "bins")
+
+    def kept(some: DataFrame) -> DataFrame:
+        unfolded = with_scenarios(some, grid).where(F.col(size) >= F.col("min_cells"))
+        return unfolded.join(support, ["scenario_order", "age_bin"]).where(~F.col("drop_sparse") | (F.col("n_in_bin") >= sparse_below))
+
+    tests = ["scenario_order", *keys]
+    means = keep(level_means(kept(rows), tests, covariate, ["age", value]), "levels")
+    out = demean(kept(dealt(rows, rows.count(), *by) if by else rows), tests, covariate, ["age", value], means)
+    return out.withColumns({
         "x": F.when(F.col("adjust"), F.col("age_resid")).otherwise(F.col("age")),
         "y": F.when(F.col("adjust"), F.col(f"{value}_resid")).otherwise(F.col(value))})
 
@@ -70,18 +86,18 @@ def scenario_trends(fractions: DataFrame, grid: Sequence[Mapping], edges: Sequen
                     keys: Sequence[str] = ("cell_type",), value: str = "fraction", size: str = "total_cells") -> DataFrame:
     """Age trend of each test under each scenario, all scenarios in one plan."""
     rows = scenario_rows(fractions, grid, edges, covariate, sparse_below, keys, value, size)
-    tests = [*SCENARIO, *keys]
-    return linear_fit(rows, tests, "x", "y").select(
-        *tests, "n", (F.col("slope") * 10).alias("effect_per_10y"), "r_squared", "t_value")
+    fit = with_names(linear_fit(rows, ["scenario_order", *keys], "x", "y"), grid)
+    return fit.select(*SCENARIO, *keys, "n", (F.col("slope") * 10).alias("effect_per_10y"), "r_squared", "t_value")
 
 
 def scenario_clustered_effects(rows: DataFrame, grid: Sequence[Mapping], edges: Sequence[float], covariate: str,
                                sparse_below: int, keys: Sequence[str], value: str, size: str,
                                subject: str = "subject_id") -> DataFrame:
     """Age effect with subject-clustered errors (working independence) of each test under each scenario, in one plan."""
-    kept = scenario_rows(rows, grid, edges, covariate, sparse_below, keys, value, size)
-    tests = [*SCENARIO, *keys]
-    return clustered_age_effect(kept.select(*tests, subject, F.col("x").alias("age"), "y"), tests, subject, "y")
+    kept = scenario_rows(rows, grid, edges, covariate, sparse_below, keys, value, size, [subject])
+    tests = ["scenario_order", *keys]
+    out = clustered_age_effect(kept.select(*tests, subject, F.col("x").alias("age"), "y"), tests, subject, "y")
+    return with_names(out, grid)
 
 
 def scenario_metrics(results: DataFrame, scenario: str, effect: str, fdr: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cohortroll.operators.ordering import average_rank
 from cohortroll.operators.rollup import wide_quantiles
+from cohortroll.session import keep
 
 
 def pearson(x: str, y: str) -> Column:
@@ -44,9 +45,14 @@ def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str, out: str = "spe
     return ranked.groupBy(*keys).agg(pearson("__rx", "__ry").alias(out))
 
 
-def demean(df: DataFrame, keys: Sequence[str], factor: str, columns: Sequence[str]) -> DataFrame:
-    """Residuals on one factor: the value less its level mean inside the test."""
-    means = df.groupBy(*keys, factor).agg(*[F.avg(c).alias(f"__m_{c}") for c in columns])
+def level_means(df: DataFrame, keys: Sequence[str], factor: str, columns: Sequence[str]) -> DataFrame:
+    """Mean of each column per test and level, as ``__m_<column>``."""
+    return df.groupBy(*keys, factor).agg(*[F.avg(c).alias(f"__m_{c}") for c in columns])
+
+
+def demean(df: DataFrame, keys: Sequence[str], factor: str, columns: Sequence[str], means: DataFrame | None = None) -> DataFrame:
+    """Residuals on one factor: the value less its level mean inside the test (``means``, if already known)."""
+    means = level_means(df, keys, factor, columns) if means is None else means
     return df.join(means, [*keys, factor]).withColumns(
         {f"{c}_resid": F.col(c) - F.col(f"__m_{c}") for c in columns}).drop(
         *[f"__m_{c}" for c in columns])
@@ -74,8 +80,11 @@ def prediction_metrics(df: DataFrame, keys: Sequence[str], truth: str, pred: str
 
 
 def age_terms(df: DataFrame, keys: Sequence[str], age: str = "age") -> DataFrame:
-    """Adds ``age_decade`` centred inside the test, from the test mean joined back."""
-    means = df.groupBy(*keys).agg(F.avg(age).alias("__mean_age"))
+    """Adds ``age_decade`` centred inside the test, from the test mean joined back.
+
+    The means are written, so Spark knows how few they are and rows aren't shuffled by test to meet them.
+    """
+    means = keep(df.groupBy(*keys).agg(F.avg(age).alias("__mean_age")), "mean-age")
     return df.join(means, list(keys)).withColumn(
         "age_decade", (F.col(age) - F.col("__mean_age")) / 10).drop("__mean_age")
 
@@ -84,25 +93,24 @@ def clustered_age_effect(df: DataFrame, keys: Sequence[str], subject: str, y: st
                          age: str = "age") -> DataFrame:
     """Gaussian working-independence fit with subject-clustered covariance, in closed form.
 
-    Per-subject sums are enough: residual sums follow from them once the coefficients are known.
+    The tests' totals need no subjects; they are written first, so subjects' sums become scores where they are.
     """
     d = age_terms(df, keys, age)
     x = F.col("age_decade")
-    per = d.groupBy(*keys, subject).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(x).alias("x"), F.sum(x * x).alias("xx"),
-        F.sum(y).alias("y"), F.sum(x * F.col(y)).alias("xy"))
-    tot = per.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_subjects"), *[F.sum(c).alias(f"t_{c}") for c in ("n", "x", "xx", "y", "xy")])
+    sums = [F.count(F.lit(1)).alias("n"), F.sum(x).alias("x"), F.sum(x * x).alias("xx"),
+            F.sum(y).alias("y"), F.sum(x * F.col(y)).alias("xy")]
+    tot = d.groupBy(*keys).agg(*sums).select(*keys, *[F.col(c).alias(f"t_{c}") for c in ("n", "x", "xx", "y", "xy")])
     det = F.col("t_n") * F.col("t_xx") - F.col("t_x") * F.col("t_x")
     tot = tot.withColumn("det", F.nullif(det, F.lit(0.0)))
     tot = tot.withColumn("b1", (F.col("t_n") * F.col("t_xy") - F.col("t_x") * F.col("t_y")) / F.col("det"))
-    tot = tot.withColumn("b0", (F.col("t_y") - F.col("b1") * F.col("t_x")) / F.col("t_n"))
+    tot = keep(tot.withColumn("b0", (F.col("t_y") - F.col("b1") * F.col("t_x")) / F.col("t_n")), "totals")
+    per = d.groupBy(*keys, subject).agg(*sums)
     j = per.join(tot, list(keys))
     u0 = F.col("y") - F.col("b0") * F.col("n") - F.col("b1") * F.col("x")
     u1 = F.col("xy") - F.col("b0") * F.col("x") - F.col("b1") * F.col("xx")
     # Row of the inverse bread that belongs to the age term.
     score = (F.col("t_n") * u1 - F.col("t_x") * u0) / F.col("det")
-    out = j.groupBy(*keys, "n_subjects", F.col("t_n").alias("n_observations"),
-                    F.col("b1").alias("effect_per_10y")).agg(
-        F.sqrt(F.sum(score * score)).alias("standard_error"))
-    return out.withColumn("z_value", F.try_divide("effect_per_10y", "standard_error"))
+    out = j.groupBy(*keys, F.col("t_n").alias("n_observations"), F.col("b1").alias("effect_per_10y")).agg(
+        F.count(F.lit(1)).alias("n_subjects"), F.sqrt(F.sum(score * score)).alias("standard_error"))
+    return out.select(*keys, "n_subjects", "n_observations", "effect_per_10y", "standard_error",
+                      F.try_divide("effect_per_10y", "standard_error").alias("z_value"))
