@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortroll.functions.scalar import gene_flags
+from cohortroll.session import keep
 
 
 def qc_metrics(counts: DataFrame, genes: DataFrame) -> DataFrame:
@@ -115,7 +116,7 @@ def variable_genes(counts: DataFrame, cells: DataFrame, n_top: int) -> DataFrame
     The trend is least squares of log10 variance on log10 mean and its square, from five sums
     over genes; clipping at sqrt(n) bounds what one cell can add, and needs only the entries.
     """
-    disp = gene_dispersion(counts, cells).where("variance > 0")
+    disp = keep(gene_dispersion(counts, cells).where("variance > 0"), "dispersion")
     logs = disp.withColumn("x", F.log10("mean")).withColumn("y", F.log10("variance"))
     sums = logs.agg(*[F.sum(F.pow("x", F.lit(k))).alias(f"x{k}") for k in range(5)],
                     *[F.sum(F.pow("x", F.lit(k)) * F.col("y")).alias(f"y{k}") for k in range(3)])

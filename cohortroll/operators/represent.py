@@ -18,7 +18,7 @@ from cohortroll.functions.scalar import hash_int, log_normalise
 from cohortroll.operators.ordering import top_per_group
 from cohortroll.operators.qc import variable_genes
 from cohortroll.operators.rollup import dominant
-from cohortroll.session import keep
+from cohortroll.session import dealt, keep
 
 BLOCK = 512
 CHUNK = 2048  # rows of a tile that a block is multiplied with at once
@@ -26,25 +26,24 @@ TILES, TILE_ROWS, TILE_BYTES = 12, 1024, 1 << 25  # tiles of a side; rows that a
 
 
 def pca_representation(counts: DataFrame, cells: DataFrame, n_genes: int, k: int, target: float = 1e4) -> DataFrame:
-    """Principal components of log-normalised expression over the most variable genes."""
+    """Principal components of log-normalised expression over the most variable genes.
+
+    Counts, cells and each cell's few values are written once for all the passes over them; rows become dense where they
+    are read.
+    """
+    counts, cells = keep(counts.select("cell_id", "gene_id", "count"), "counts"), keep(cells.select("cell_id"), "cells")
     chosen = keep(variable_genes(counts, cells, n_genes).select("gene_id"), "genes")
     index = chosen.orderBy("gene_id").limit(n_genes).agg(F.array_sort(F.collect_list("gene_id")).alias("a")).scalar()
-    totals = counts.groupBy("cell_id").agg(F.sum("count").alias("total"))
-    x = counts.join(chosen, "gene_id", "left_semi").join(totals, "cell_id").select(
-        "cell_id", (F.array_position(index, F.col("gene_id")) - 1).cast("int").alias("i"),
-        log_normalise("count", "total", target).alias("x"))
-    packed = x.groupBy("cell_id").agg(F.collect_list("i").alias("i"), F.collect_list("x").alias("x"))
-
-    @F.pandas_udf("array<double>")
-    def dense(i: pd.Series, x: pd.Series) -> pd.Series:
-        out = np.zeros((len(i), n_genes))
-        for row, (at, values) in enumerate(zip(i, x)):
-            if at is not None:
-                out[row, at] = values
-        return pd.Series(list(out))
-
-    rows = cells.select("cell_id").join(packed, "cell_id", "left").select(
-        "cell_id", array_to_vector(dense("i", "x")).alias("v"))
+    at = (F.array_position(index, F.col("gene_id")) - 1).cast("int")
+    placed = dealt(counts.withColumn("i", at), counts.count(), "cell_id").groupBy("cell_id").agg(
+        F.sum("count").alias("total"), F.collect_list(F.when(F.col("i") >= 0, F.struct("i", "count"))).alias("seen"))
+    packed = placed.where(F.size("seen") > 0).withColumn("e", F.explode("seen")).select(
+        "cell_id", F.col("e.i").alias("i"), log_normalise("e.count", "total", target).alias("x")).groupBy("cell_id").agg(
+        F.map_from_entries(F.collect_list(F.struct("i", "x"))).alias("values"))
+    rows = keep(cells.join(packed, "cell_id", "left"), "rows")
+    dense = F.when(F.col("values").isNull(), F.array_repeat(F.lit(0.0), n_genes)).otherwise(F.transform(
+        F.sequence(F.lit(0), F.lit(n_genes - 1)), lambda i: F.coalesce(F.element_at("values", i), F.lit(0.0))))
+    rows = rows.select("cell_id", array_to_vector(dense).alias("v"))
     model = PCA(k=k, inputCol="v", outputCol="pc").fit(rows)
     return model.transform(rows).select("cell_id", vector_to_array("pc").alias("vec"))
 

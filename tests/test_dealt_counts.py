@@ -52,3 +52,21 @@ def test_automatic_layer_leaves_the_others_out(spark, layers, want):
     assert rows_of(out) == ([] if want is None else [(i, i + 1 + len(want)) for i in range(3)])
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "Union" not in plan and "scalar-subquery" not in plan
+
+
+def test_components_read_the_given_counts_once(spark):
+    from cohortroll.operators.represent import pca_representation
+
+    reads = spark.sparkContext.accumulator(0)
+    counts = [(c, g, 1 + (c * 7 + g * 3) % 11) for c in range(60) for g in range(8) if (c + g * g) % 3]
+
+    def told(batches):
+        for batch in batches:
+            reads.add(batch.num_rows)
+            yield batch
+
+    given = spark.createDataFrame(counts, "cell_id long, gene_id long, count long").coalesce(1).mapInArrow(told, "cell_id long, gene_id long, count long")
+    out = pca_representation(given, spark.range(61).selectExpr("id AS cell_id"), 4, 2)
+    rows = {r.cell_id: r.vec for r in out.collect()}
+    assert reads.value == len(counts) and len(rows) == 61 and len(rows[0]) == 2
+    assert rows[60] == [0.0, 0.0]  # a cell without counts
