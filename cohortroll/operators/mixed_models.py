@@ -20,7 +20,7 @@ from pyspark.sql.types import DoubleType
 from cohortroll.functions.tails import t_two_sided
 from cohortroll.operators import expression as ex
 from cohortroll.operators.glm import pairs, scaled_rank, square, sum_array
-from cohortroll.session import keep
+from cohortroll.session import dealt, keep
 
 KEYS = ["cell_type", "gene_id"]
 POLISH = 4  # steps by the derivatives
@@ -28,16 +28,20 @@ NEGLIGIBLE = 1e-9  # a ratio below it is a fit without subject variance
 
 
 def subject_sums(weighted: DataFrame, x: Sequence[str], value: str, weight: str) -> DataFrame:
-    """Sums per gene and subject, with the gene's mean weight: the ratio is relative to it, so one grid serves every gene."""
+    """Sums per gene and subject, with the gene's mean weight: the ratio is relative to it, so one grid serves every gene.
+
+    A subject's rows are few and its sums wide, so rows of large tables are dealt by subject and summed where they meet. The sums
+    are written once; mean weights, a row a gene, are joined to them where they are read.
+    """
     p = len(x)
-    per = keep(weighted.groupBy(*KEYS, "subject_id").agg(
+    per = keep(dealt(weighted, weighted.count(), "subject_id").groupBy(*KEYS, "subject_id").agg(
         F.count(F.lit(1)).alias("n"), F.expr(f"sum(`{weight}`)").alias("w"),
         sum_array(f"`{weight}` * `{x[i]}` * `{x[j]}`" for i, j in pairs(p)).alias("xx"),
         sum_array(f"`{weight}` * `{c}`" for c in x).alias("xs"),
         sum_array(f"`{weight}` * `{c}` * `{value}`" for c in x).alias("xy"),
         F.expr(f"sum(`{weight}` * `{value}`)").alias("y"), F.expr(f"sum(`{weight}` * `{value}` * `{value}`)").alias("yy")), "subjects")
-    scale = per.groupBy(*KEYS).agg((F.sum("w") / F.sum("n")).alias("mw"))
-    return keep(per.join(scale, KEYS), "subjects")
+    scale = keep(per.groupBy(*KEYS).agg((F.sum("w") / F.sum("n")).alias("mw")), "mean-weights")
+    return per.join(scale, KEYS)
 
 
 def at_ratio(rows: DataFrame, p: int, derivatives: bool = False) -> DataFrame:

@@ -7,6 +7,7 @@ import pytest
 from cohortroll import session
 from cohortroll.operators import expression as ex
 from cohortroll.operators import glm
+from cohortroll.operators import mixed_models as mm
 from cohortroll.operators.glm import fit_grouped
 
 
@@ -77,3 +78,26 @@ def test_clusters_are_summed_in_tasks_of_bounded_size(spark, monkeypatch, family
             assert got[name] == (pytest.approx(value, rel=1e-7, abs=1e-10) if isinstance(value, (float, list)) else value), name
     assert seen and all(sums.rdd.getNumPartitions() == n // 50 for sums in seen[:1])
     assert all("Exchange hashpartitioning(id" in s._jdf.queryExecution().executedPlan().toString() and "Exchange hashpartitioning(t" not in s._jdf.queryExecution().executedPlan().toString() for s in seen)
+
+
+def test_subject_sums_are_written_once_and_not_shuffled(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    n = 240
+    pdf = pd.DataFrame({"cell_type": "P", "gene_id": np.arange(n) % 4, "subject_id": [f"s{k // 8}" for k in range(n)], "x0": 1.0,
+                        "a": rng.normal(size=n), "v": rng.normal(size=n), "w": rng.uniform(0.5, 2, size=n)})
+    weighted = spark.createDataFrame(pdf)
+    flat = lambda df: {(r.gene_id, r.subject_id): [r.n, r.w, *r.xx, *r.xs, *r.xy, r.y, r.yy, r.mw] for r in df.collect()}
+    want = flat(mm.subject_sums(weighted, ["x0", "a"], "v", "w"))
+    written = []
+    plain = mm.keep
+    monkeypatch.setattr(mm, "keep", lambda df, label: written.append((label, df)) or plain(df, label))
+    monkeypatch.setattr(session, "TASK_ROWS", 40)
+    got = flat(mm.subject_sums(weighted, ["x0", "a"], "v", "w"))
+    assert got.keys() == want.keys() and len(got) == 120
+    for key, values in want.items():
+        assert got[key] == pytest.approx(values, rel=1e-12)
+    assert [label for label, _ in written] == ["subjects", "mean-weights"]
+    plan = written[0][1]._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Exchange hashpartitioning(subject_id" in plan
+    per = pdf.assign(o=1).groupby(["gene_id"]).w.mean()
+    assert {k[0]: pytest.approx(v[-1], rel=1e-12) for k, v in got.items()} == dict(per)
