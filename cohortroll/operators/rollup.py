@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 from cohortroll.functions.scalar import age_bin, age_bin_order
 from cohortroll.operators.joins import structural_zero_grid
 from cohortroll.operators.ordering import ONE_FAMILY, running_counts
+from cohortroll.session import keep
 
 
 def fold(df: DataFrame, keys: Sequence[str], *values: str, weight: str | None = None,
@@ -85,9 +86,9 @@ def sample_fractions(cells: DataFrame, sample: str = "sample_unit_id",
                      covariates: Sequence[str] = (), min_cells: int = 200) -> DataFrame:
     """Fraction of each type in each sample over the full grid; structural zeros included.
 
-    The cells are read once, into counts per distinct (sample, type, attributes).
+    The cells are read once, into counts per distinct (sample, type, attributes), which are written for all that read them.
     """
-    folded = fold(cells, [sample], "cell_type", "age", "subject_id", *covariates)
+    folded = keep(fold(cells, [sample], "cell_type", "age", "subject_id", *covariates), "folded")
     totals = sample_totals(folded, [sample], covariates, min_cells)
     counts = folded.groupBy(sample, "cell_type").agg(F.sum("n").alias("n_cells"))
     kept = counts.join(totals.select(sample), sample, "left_semi").select("cell_type")

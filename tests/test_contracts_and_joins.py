@@ -146,3 +146,11 @@ def test_sample_rule_contract(spark):
     got = {r.problem: r.n for r in c.sample_rule_violations(df).collect()}
     assert got == {"missing_subject": 2, "missing_sample": 1, "missing_age": 2, "conflicting_subject": 1, "conflicting_age": 1}
     assert c.sample_rule_violations(df.limit(0)).count() == 0
+
+
+def test_fractions_read_the_cells_once(spark, tmp_path):
+    cells = spark.createDataFrame([(f"u{k % 7}", "p", 41, "KLM"[k % 3]) for k in range(40)], "sample_unit_id string, subject_id string, age int, cell_type string")
+    cells.write.parquet(str(tmp_path / "given-cells"))
+    out = sample_fractions(spark.read.parquet(str(tmp_path / "given-cells")), min_cells=1)
+    assert out.count() == 21
+    assert "given-cells" not in out._jdf.queryExecution().toString()  # all that follows reads the written counts
