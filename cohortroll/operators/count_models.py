@@ -30,7 +30,9 @@ from cohortroll.session import keep
 
 BLOCK = 256  # profiles in a block, on average
 PART = 256  # genes in a part, on average
-AT_ONCE = 400_000  # model x profile cells that are worked on at once
+AT_ONCE = 15_000  # model x profile cells that are worked on at once: as many as stay in a core's own cache
+SENT = 100_000  # models that are sent to all tasks at once, at most
+TILES = 64  # tiles in a file of tiles, about: the least that one task works on
 
 # The dispersion grid (powers of two of 0.1) and the weight of the shared likelihood, in degrees of freedom.
 GRID = tuple(0.1 * 2.0 ** g for g in range(-10, 11))
@@ -108,9 +110,14 @@ def tiles_of(profiles: DataFrame, sums: DataFrame, genes: DataFrame, x: Sequence
         F.coalesce("counts", F.array().cast("array<double>")).alias("counts"))
     packed = cells.groupBy("cell_type", "part", "block").agg(F.array_sort(F.collect_list(F.struct("gene_id", "slots", "counts"))).alias("g"))
     design = listed.select("cell_type", "block", F.flatten("rows.x").alias("x"), F.col("rows.offset").alias("offset"))
-    return keep(packed.join(design, ["cell_type", "block"]).select(
+    tiles = packed.join(design, ["cell_type", "block"]).select(
         "cell_type", "part", "block", F.col("g.gene_id").alias("genes"), F.transform("g.slots", F.size).alias("sizes"),
-        F.flatten("g.slots").alias("slots"), F.flatten("g.counts").alias("counts"), "x", "offset"), "tiles")
+        F.flatten("g.slots").alias("slots"), F.flatten("g.counts").alias("counts"), "x", "offset")
+    # A tile is small but long to work on: they are dealt by number, not by bytes, and lie by part for tasks to add up. The hash
+    # is one that no shuffle above has dealt them by already: such a one would stand in for this, merged by bytes into few tasks.
+    n = int(sizes.join(parts, "cell_type").agg(F.coalesce(F.sum(F.col("blocks") * F.col("parts")), F.lit(0))).first()[0])
+    files = min(max(int(tiles.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // TILES)), max(n, 1))
+    return keep(tiles.repartition(files, F.xxhash64("cell_type", "part", "block")).sortWithinPartitions("cell_type", "part", "block"), "tiles")
 
 
 def gene_totals(tiles: DataFrame) -> DataFrame:
@@ -147,14 +154,27 @@ def model_sums(x: np.ndarray, offset: np.ndarray, y: np.ndarray, phi: np.ndarray
     cross = np.stack([x[:, i] * x[:, j] for i, j in pairs(x.shape[1])], 1)
     out = [w @ cross, r @ x, (y * eta - (y + 1 / phi) * np.log(grown)).sum(1, keepdims=True)]
     if last:
-        free = y * np.log(phi) + log_gamma(y + 1 / phi) - log_gamma(1 / phi) - log_gamma(y + 1)
-        whole = np.where(y > 0, y * np.log(np.where(y > 0, y, 1.0)), 0.0) - (y + 1 / phi) * np.log1p(phi * y)
-        out += [free.sum(1, keepdims=True), whole.sum(1, keepdims=True)]
+        out += [part.sum(1, keepdims=True) for part in count_terms(y, phi)]
     return np.concatenate(out, 1)
 
 
-def summed(tiles: DataFrame, models: DataFrame, p: int, last: bool = False) -> DataFrame:
-    """``MODEL, s``: the sums of each model at its ``trial`` coefficients, over all blocks."""
+def count_terms(y: np.ndarray, phi: np.ndarray) -> list[np.ndarray]:
+    """The parts of the likelihood that depend on count and dispersion alone, worked out once for each pair of their values."""
+    values, place = np.unique(y, return_inverse=True)
+    kinds, kind = np.unique(phi, return_inverse=True)
+    few = len(values) * len(kinds) < y.size
+    c, d = (values[None, :], kinds[:, None]) if few else (y, phi)
+    free = c * np.log(d) + log_gamma(c + 1 / d) - log_gamma(1 / d) - log_gamma(c + 1)
+    whole = np.where(c > 0, c * np.log(np.where(c > 0, c, 1.0)), 0.0) - (c + 1 / d) * np.log1p(d * c)
+    return [t[kind.reshape(-1, 1), place.reshape(y.shape)] for t in (free, whole)] if few else [free, whole]
+
+
+def summed(tiles: DataFrame, models: DataFrame, p: int, n_models: int, last: bool = False) -> DataFrame:
+    """``MODEL, s``: the sums of each model at its ``trial`` coefficients, over all blocks.
+
+    Models go to the tiles, never the few tiles' parts to the models: as many tasks work as there are tiles for. A task adds up the
+    tiles of a part that follow one another before it sends anything.
+    """
     width = p * (p + 1) // 2 + p + (3 if last else 1)
     asked = models.groupBy("cell_type", "part").agg(F.array_sort(F.collect_list(F.struct("gene_id", "variant", "phi", "trial"))).alias("m")).select(
         "cell_type", "part", F.col("m.gene_id").alias("m_gene"), F.col("m.variant").alias("m_variant"), F.col("m.phi").alias("m_phi"),
@@ -163,6 +183,12 @@ def summed(tiles: DataFrame, models: DataFrame, p: int, last: bool = False) -> D
     kind = models.schema["cell_type"].dataType.simpleString()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, added = None, np.zeros(0)
+
+        def told() -> pd.DataFrame:
+            return pd.DataFrame({"cell_type": [now.cell_type] * len(added), "part": now.part, "gene_id": list(now.m_gene),
+                                 "variant": list(now.m_variant), "s": list(added)})
+
         for frame in frames:
             for row in frame.itertuples(index=False):
                 x = np.asarray(row.x, float).reshape(-1, p)
@@ -174,9 +200,16 @@ def summed(tiles: DataFrame, models: DataFrame, p: int, last: bool = False) -> D
                     own = slice(a, a + step)
                     genes, index = np.unique(which[own], return_inverse=True)
                     sums.append(model_sums(x, np.asarray(row.offset, float), _dense(row, genes)[index], phi[own], trial[own], last))
-                yield pd.DataFrame({"cell_type": [row.cell_type] * len(which), "part": row.part, "gene_id": list(row.m_gene),
-                                    "variant": list(row.m_variant), "s": list(np.concatenate(sums))})
-
+                if now is not None and (now.cell_type, now.part) == (row.cell_type, row.part):
+                    added += np.concatenate(sums)
+                    continue
+                if now is not None:
+                    yield told()
+                now, added = row, np.concatenate(sums)
+        if now is not None:
+            yield told()
+
+    asked = F.broadcast(asked) if n_models <= SENT else asked.hint("merge")
     partial = tiles.join(asked, ["cell_type", "part"]).mapInPandas(
         run, f"cell_type {kind}, part bigint, gene_id {gene}, variant int, s array<double>")
     return partial.groupBy(*MODEL).agg(sum_array(f"s[{i}]" for i in range(width)).alias("s"))
@@ -222,12 +255,13 @@ def fit_models(tiles: DataFrame, models: DataFrame, p: int, columns: Sequence[Se
 
     for _ in range(max_rounds):
         active = state.where(~F.col("done"))
-        if active.isEmpty():
+        n_active = active.count()
+        if not n_active:
             break
-        at = summed(tiles, active, p).join(active, MODEL)
+        at = summed(tiles, active, p, n_active).join(active, MODEL)
         moved = at.withColumn("n", advance("variant", "s", "beta", "trial", "step", "ll")).select(*MODEL, "phi", "n.*")
         state = keep(moved.unionByName(state.where("done")), "models")
-    final = summed(tiles, state.withColumn("trial", F.col("beta")), p, last=True)
+    final = summed(tiles, state.withColumn("trial", F.col("beta")), p, state.count(), last=True)
     return keep(state.select(*MODEL, "phi", "beta", F.col("done").alias("converged")).join(final, MODEL), "fits")
 
 

@@ -164,3 +164,26 @@ def test_rows_unfold_into_scenarios_without_a_join(spark):
     key = lambda df: sorted(map(str, df.select("profile_id", "gene_id", "scenario_id", "use_sex", "use_batch").collect()))
     assert key(got) == key(rows.join(told, "profile_id")) and any("leave_out_Bz" in r for r in key(got))
     assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tiles_are_dealt_by_number_and_models_go_to_them(spark, study, monkeypatch):
+    monkeypatch.setattr(cm, "BLOCK", 9)
+    monkeypatch.setattr(cm, "PART", 5)
+    monkeypatch.setattr(cm, "TILES", 2, raising=False)
+    profiles, sums = study
+    d = profiles.withColumns({"x0": F.lit(1.0), "age_decade": (F.col("age") - 45) / 10, "norm_factor": F.lit(1.0)})
+    genes = sums.join(profiles.select("profile_id", "cell_type"), "profile_id").select("cell_type", "gene_id").distinct()
+    tiles = cm.tiles_of(d, sums, genes, ["x0", "age_decade"])
+    n = tiles.count()
+    assert tiles.select(F.input_file_name()).distinct().count() > n / 6  # small as they are, tiles are work for many tasks
+    models = cm.gene_totals(tiles).select("cell_type", "part", "gene_id", F.lit(0).alias("variant"), F.lit(0.3).alias("phi"), "start")
+    known = lambda: {(r.cell_type, r.gene_id): list(r.beta) + list(r.s) for r in cm.fit_models(tiles, models, 2, [[0, 1]]).collect()}
+    sent = known()
+    monkeypatch.setattr(cm, "SENT", 0, raising=False)  # more models than are sent to all tasks
+    met = known()
+    assert len(sent) == 48 and sent.keys() == met.keys()
+    assert all(sent[k] == pytest.approx(met[k], rel=1e-9, abs=1e-9) for k in sent)
+    y, phi = np.random.default_rng(2).integers(0, 30, (40, 60)).astype(float), np.repeat([0.1, 0.7], 20)[:, None]
+    free, whole = cm.count_terms(y, phi)
+    assert free == pytest.approx(GAMMA(y + 1 / phi) - GAMMA(1 / phi) - GAMMA(y + 1) + y * np.log(phi), rel=1e-10, abs=1e-10)
+    assert whole == pytest.approx(np.where(y > 0, y * np.log(np.where(y > 0, y, 1)), 0) - (y + 1 / phi) * np.log1p(phi * y), rel=1e-12)
