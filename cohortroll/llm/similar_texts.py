@@ -1,8 +1,9 @@
 """Groups of texts whose sets of five-word shingles are alike: a Jaccard similarity of at least 0.8, checked exactly.
 
-Candidates come from min-hashes: 40 bands of 8 minima each. A pair of similarity s shares a band with a chance of
-1 - (1 - s ** 8) ** 40: 0.9994 at 0.8, 0.999997 at 0.85. (No Hamming distance of a 64-bit fingerprint gives that: at 0.8 the
-fingerprints differ in about ten bits, which leaves pigeonring keys of hardly any bits.)
+Candidates come from two sides. Texts whose SimHash fingerprints hang together within two bits are candidates, found by the
+pigeonring chain of ``near_dedup``. At a similarity of 0.8 fingerprints differ in about ten bits, which leaves pigeonring keys of
+hardly any bits; so texts that share a band of minima are candidates too, of 40 min-hash bands of 8 minima each. A pair of
+similarity s shares a band with a chance of 1 - (1 - s ** 8) ** 40: 0.9994 at 0.8, 0.999997 at 0.85.
 
 Of the texts under a band key, each is held against the key's best connected one first, which links most of a large group in
 one pass that streams. What then is under one key and not yet in one group meets in blocks of bounded size: every pair of
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortroll.llm.common import text_slices
-from cohortroll.llm.near_dedup import components
+from cohortroll.llm.near_dedup import components, rooted, simhash
 from cohortroll.session import keep
 
 SHINGLE = 5
@@ -75,25 +76,33 @@ def _node(own: np.ndarray) -> int:
 
 
 def sketched(text: Column) -> Column:
-    """A struct ``node, keys``: the number of a text's set and its band keys."""
-    @F.pandas_udf("node bigint, keys array<bigint>")
+    """A struct ``node, keys, print``: the number of a text's set, its band keys and its fingerprint."""
+    @F.pandas_udf("node bigint, keys array<bigint>, print bigint")
     def run(texts: pd.Series) -> pd.DataFrame:
-        nodes, keys = np.zeros(len(texts), np.int64), []
+        nodes, prints, keys = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64), []
         for k, text in enumerate(texts):  # one set is held at a time
             own = shingles(text)
             nodes[k] = _node(own)
             keys.append(band_keys(own))
-        return pd.DataFrame({"node": nodes, "keys": keys})
+            prints[k] = simhash(text)
+        return pd.DataFrame({"node": nodes, "keys": keys, "print": prints})
 
     return run(text)
 
 
+def print_keys(sketches: DataFrame) -> DataFrame:
+    """``node, key``: a key for each component of fingerprints that hang together within two bits, texts without words aside."""
+    known = keep(sketches.where("node <> 0").select("node", F.col("print").alias("fp")).distinct(), "prints")
+    roots = rooted(known.select("fp").distinct())
+    return known.join(roots, "fp").select("node", F.xxhash64(F.lit(BANDS), "root").alias("key"))
+
+
 def key_members(sketches: DataFrame) -> DataFrame:
-    """``key, node, hub`` for the band keys of two or more nodes; of keys with the same nodes, one stays.
+    """``key, node, hub`` for the band and fingerprint keys of two or more nodes; of keys with the same nodes, one stays.
 
     The hub is the key's node that shares keys with the most others, all its keys taken together.
     """
-    keyed = sketches.select("node", F.explode("keys").alias("key"))
+    keyed = sketches.select("node", F.explode("keys").alias("key")).unionByName(print_keys(sketches))
     shared = keyed.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("key")
     every = keep(keyed.join(shared, "key").distinct(), "band-keys")
     sizes = every.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("h"))

@@ -65,8 +65,9 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near-duplicates: the one of the smallest id, null ids last.
 
-    Documents are linked whose distinct shingles of five words have a similarity of 0.8 or more; texts without words are
-    one group. Rows that share the smallest id are told apart by a hash of the row, and rows that are equal in every column
+    Candidates are documents whose SimHash fingerprints hang together within two bits, found by pigeonring filtering as in
+    ``op8_simhash``, and those that share a min-hash band. Of them those are linked whose distinct shingles of five words have a
+    similarity of 0.8 or more; texts without words are one group. Rows that share the smallest id are told apart by a hash of the row, and rows that are equal in every column
     count once.
     """
     own, copies, id_of, hash_of, node = _free(docs, "hash", "copies", "id_of", "hash_of", "node")

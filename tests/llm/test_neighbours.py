@@ -241,6 +241,22 @@ def test_near_dedup_stage_is_shingle_similarity(spark, monkeypatch, spokes, bloc
     assert sorted(r.doc_id for r in left.collect()) == sorted(set(root))
 
 
+def test_candidates_come_from_fingerprints_too(spark):
+    """Texts that share no band but whose fingerprints hang together within two bits meet under one key."""
+    at = 0x0123456789ABCDEF
+    prints = {1: at, 2: at ^ 3, 3: at ^ 3 ^ 1 << 40 ^ 1 << 62, 4: at ^ 0xFF, 5: ~at, 6: ~at, 7: at, 0: 0}
+    rows = [(n, [], f) for n, f in prints.items()] + [(8, [77], 5), (9, [77], 1 << 50)]
+    got = similar_texts.key_members(spark.createDataFrame(rows, "node bigint, keys array<bigint>, print bigint")).collect()
+    groups = {}
+    for r in got:
+        groups.setdefault(r.key, set()).add(r.node)
+    assert sorted(map(sorted, groups.values())) == [[1, 2, 3, 7], [5, 6], [8, 9]]
+    words = [f"w{k}" for k in range(120)]
+    near = " ".join(words), " ".join([*words[:60], "other", *words[61:]])
+    sketch = spark.createDataFrame(list(enumerate(near)), "k int, text string").select(similar_texts.sketched(F.col("text")).alias("s")).select("s.*").collect()
+    assert [r.print for r in sketch] == [near_dedup.simhash(t) for t in near] and sketch[0].node != sketch[1].node
+
+
 SPOKEN = {
     "en": "the of and to in is that for it was with as his on be at by had not are but from or have an they which one you were all her she there would their we him been has when who will more no if out so said what up its about into than them can only other time new some could these two may first then do any like my now over such our man me even most made after also did many before must through years where much your way well down should because each just those people how too little state good very make world still see own work men day get here between both life being under never same another know while last might us great old year off come since against go came right used take three",
     "de": "der die und in den von zu das mit sich des auf ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach wird bei einer um am sind noch wie einem so zum war haben nur oder aber vor zur bis mehr durch man sein wurde sei hatte kann gegen vom schon wenn habe seine ihre dann unter wir soll ich eines jahr zwei jahren diese dieser wieder keine uhr seiner worden will zwischen immer millionen was sagte gibt alle seit muss wurden beim doch jetzt waren drei jahre neue damit bereits da ihr seinen ohne sondern selbst ersten nun etwa heute weil ihm menschen deutschland anderen ihn sagt ganz leben ihren liegt gut recht zeit stadt einmal geht fragen welt arbeit frage",
