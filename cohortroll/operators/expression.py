@@ -17,7 +17,7 @@ from pyspark.sql.window import Window
 
 from cohortroll.functions.tails import f_upper, t_two_sided
 from cohortroll.operators.glm import (
-    Z95, fit_grouped, gramian, indicator_columns, pairs, scaled_rank, square, sum_array)
+    FOLDED, Z95, fit_folded_counts, fit_grouped, gramian, indicator_columns, pairs, scaled_rank, square, sum_array)
 from cohortroll.operators.rollup import wide_quantiles
 from cohortroll.operators.stats import age_terms
 from cohortroll.session import keep
@@ -306,8 +306,8 @@ def kept_libraries(profiles: DataFrame, sums: DataFrame, genes: DataFrame) -> tu
     return profiles.drop("library_size").join(library, "profile_id"), kept
 
 
-def prepare_expression(profiles: DataFrame, sums: DataFrame, covariates: Sequence[str]):
-    """Filtered, normalised and dense log-CPM with the design columns; the last is age per decade."""
+def prepare_counts(profiles: DataFrame, sums: DataFrame, covariates: Sequence[str]):
+    """Profiles with their scaling factors and design columns, the last of which is age per decade, and the kept counts and genes."""
     profiles, sums = keep(profiles, "profiles"), keep(sums, "sums")
     genes = keep(expressed_genes(profiles, sums, leverage_sample_size(profiles, covariates)), "genes")
     profiles, sums = kept_libraries(profiles, sums, genes)
@@ -315,8 +315,14 @@ def prepare_expression(profiles: DataFrame, sums: DataFrame, covariates: Sequenc
     factors = tmm_factors(profiles, sums)
     ready = profiles.join(factors.select("profile_id", "norm_factor"), "profile_id")
     d, x, groups = indicator_columns(age_terms(ready, ["cell_type"]), covariates)
+    return d, sums, genes, [*x, "age_decade"], groups
+
+
+def prepare_expression(profiles: DataFrame, sums: DataFrame, covariates: Sequence[str]):
+    """Filtered, normalised and dense log-CPM with the design columns; the last is age per decade."""
+    d, sums, genes, x, groups = prepare_counts(profiles, sums, covariates)
     dense = keep(log_cpm(dense_counts(d, sums, genes)), "dense")
-    return dense, [*x, "age_decade"], groups
+    return dense, x, groups
 
 
 def fixed_model(dense: DataFrame, x: Sequence[str]) -> tuple[DataFrame, DataFrame]:
@@ -331,7 +337,11 @@ def quasi_poisson(dense: DataFrame, keys: Sequence[str], x: Sequence[str], group
     """Log-linear model per gene with log library offset and a free dispersion; F test on age."""
     rows = dense.withColumn("offset", F.log(F.col("library_size") * F.col("norm_factor")))
     fit = fit_grouped(rows, keys, "count", x, ["profile_id"], family="poisson", offset="offset", groups=groups, max_iter=25, single=True)
-    i = len(x) - 1
+    return age_tests(fit, keys, len(x) - 1)
+
+
+def age_tests(fit: DataFrame, keys: Sequence[str], i: int) -> DataFrame:
+    """Dispersion and F test of column ``i``, age, of quasi-Poisson fits."""
     done = F.col("status") == "completed"
     # The variance here is dispersion times inverse information, not the sandwich.
     f = F.try_divide(F.pow(F.col("at_beta")[i], F.lit(2.0)), F.pow(F.col("naive_se")[i], F.lit(2.0)))
@@ -365,20 +375,46 @@ def robustness_scenarios(rows: DataFrame, high_cells: int, profiles: DataFrame |
         F.col("batch") != F.col("excluded_batch"))
 
 
-def scenario_models(dense: DataFrame, profiles: DataFrame, high_cells: int, candidates: DataFrame, x: Sequence[str], groups,
+def folded_counts(d: DataFrame, sums: DataFrame, genes: DataFrame, x: Sequence[str], high_cells: int) -> DataFrame:
+    """Every kept gene of a type with every design among the type's profiles, as the sums that ``fit_folded_counts`` takes.
+
+    A design is the covariate columns ``x`` without age per decade, the age, the batch and whether ``n_cells`` reaches ``high_cells``,
+    which is all that ``n_cells`` still tells. Profiles fold before genes unfold, so the grid of profiles and genes is never made: absent
+    counts only add exposure.
+    """
+    design = ["cell_type", *x[:-1], "age", "batch", "n_cells"]
+    cells = F.when(F.col("n_cells") >= high_cells, high_cells).when(F.col("n_cells") < high_cells, high_cells - 1)
+    d = d.withColumn("n_cells", cells).withColumn("__e", F.col("library_size") * F.col("norm_factor"))
+    e, y, none = F.col("__e"), F.col("count"), F.lit(0.0)
+    listed = genes.groupBy("cell_type").agg(F.collect_list("gene_id").alias("__genes"))
+    exposed = d.groupBy(*design).agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("__e").alias("e"), F.sum(e * e).alias("ee"))
+    exposed = exposed.join(listed, "cell_type").select(*design, F.explode("__genes").alias("gene_id"), "n", "e", "ee", *[none.alias(c) for c in FOLDED[3:]])
+    counted = sums.where("count > 0").join(d.select("profile_id", *design, "__e"), "profile_id").groupBy(*design, "gene_id").agg(
+        *[F.sum(v.cast("double")).alias(c) for c, v in zip(FOLDED[3:], (y, y.cast("double") * y, y * e, y.cast("double") * y / e))])
+    counted = counted.select(*design, "gene_id", *[none.alias(c) for c in FOLDED[:3]], *FOLDED[3:])
+    return keep(exposed.unionByName(counted).groupBy(*design, "gene_id").agg(*[F.sum(c).alias(c) for c in FOLDED]), "designs")
+
+
+def folded_quasi_poisson(folded: DataFrame, keys: Sequence[str], x: Sequence[str], groups) -> DataFrame:
+    """``quasi_poisson`` of ``folded_counts``; age is centred inside each model."""
+    n = F.when(F.col("age").isNotNull(), F.col("n"))
+    means = keep(folded.groupBy(*keys).agg(F.try_divide(F.sum(n * F.col("age")), F.sum(n)).alias("__mean_age")), "mean-age")
+    rows = folded.join(means, list(keys)).withColumn("age_decade", (F.col("age") - F.col("__mean_age")) / 10)
+    return age_tests(fit_folded_counts(rows, keys, x, groups, max_iter=25), keys, len(x) - 1)
+
+
+def scenario_models(folded: DataFrame, profiles: DataFrame, high_cells: int, candidates: DataFrame, x: Sequence[str], groups,
                     sex_columns: Sequence[str], batch_columns: Sequence[str]) -> DataFrame:
-    """Quasi-Poisson refits of candidates only, every scenario in one grouped fit.
+    """Quasi-Poisson refits of candidates only, every scenario in one grouped fit of ``folded_counts``.
 
     Dropped covariates become zero columns, which the solver leaves out, so all scenarios share one
     design. A scenario that cannot be estimated is a status, not a failure.
     """
-    rows = dense.join(candidates.select("cell_type", "gene_id"), ["cell_type", "gene_id"], "left_semi")
+    rows = folded.join(candidates.select("cell_type", "gene_id"), ["cell_type", "gene_id"], "left_semi")
     rows = robustness_scenarios(rows, high_cells, profiles)
     rows = rows.withColumns({c: F.when(F.col("use_sex"), F.col(c)).otherwise(0.0) for c in sex_columns})
     rows = rows.withColumns({c: F.when(F.col("use_batch"), F.col(c)).otherwise(0.0) for c in batch_columns})
-    keys = ["cell_type", "gene_id", "scenario_id"]
-    rows = age_terms(rows.drop("age_decade"), keys)
-    return quasi_poisson(rows, keys, x, groups)
+    return folded_quasi_poisson(rows, ["cell_type", "gene_id", "scenario_id"], x, groups)
 
 
 def effect_interval(df: DataFrame) -> DataFrame:

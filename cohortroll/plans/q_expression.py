@@ -169,10 +169,11 @@ def robustness_scenarios(spark, folder):
 def robustness_refits(spark, folder):
     """Quasi-Poisson refits of the strongest quarter of primary results under every scenario."""
     profiles, sums = inputs(spark, folder)
-    dense, x, groups = ex.prepare_expression(profiles, sums, ["sex", "batch"])
-    primary = keep(ex.quasi_poisson(dense, ["cell_type", "gene_id"], x, groups), "primary")
+    d, kept, genes, x, groups = ex.prepare_counts(profiles, sums, ["sex", "batch"])
+    folded = ex.folded_counts(d, kept, genes, x, 3)
+    primary = keep(ex.folded_quasi_poisson(folded, ["cell_type", "gene_id"], x, groups), "primary")
     cols = [[x[i] for i in g] for g in groups]
-    return ex.scenario_models(dense, profiles, 3, primary.where("p_value < 0.25"), x, groups, cols[0], cols[1])
+    return ex.scenario_models(folded, profiles, 3, primary.where("p_value < 0.25"), x, groups, cols[0], cols[1])
 
 
 @query("count_model_scopes", f"""WITH {PROFILE_SQL}, q AS (SELECT cell_type, sex, {PLANTED} FROM profiles), s AS (SELECT cell_type, count(*) AS n_replicates,
