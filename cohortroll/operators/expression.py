@@ -41,7 +41,8 @@ def design_sample_size(d: DataFrame, x: Sequence[str]) -> DataFrame:
     def inverse(g: pd.Series) -> pd.Series:
         return pd.Series([list(np.linalg.pinv(square(np.asarray(v, float), p), rcond=1e-10).ravel()) for v in g])
 
-    inv = gram.select("cell_type", inverse("gram").alias("inv"))
+    # One row per type, written so Spark knows it: profiles aren't dealt by type, a task for each, to meet it.
+    inv = keep(gram.select("cell_type", inverse("gram").alias("inv")), "inverses")
     lev = F.expr(" + ".join(f"inv[{i * p + j}] * `{x[i]}` * `{x[j]}`" for i in range(p) for j in range(p)))
     n = F.try_divide(F.lit(1.0), F.max(lev))
     return d.join(inv, "cell_type").groupBy("cell_type").agg(n.alias("n0")).select(
@@ -52,7 +53,8 @@ def design_sample_size(d: DataFrame, x: Sequence[str]) -> DataFrame:
 def expressed_genes(profiles: DataFrame, sums: DataFrame, min_samples: DataFrame) -> DataFrame:
     """Genes above the CPM cut-off in enough profiles and above the least total, per type."""
     lib = wide_quantiles(profiles, ["cell_type"], "library_size", {"median_lib": 0.5})
-    cut = lib.join(min_samples, "cell_type").withColumn("cutoff", MIN_COUNT / F.col("median_lib") * 1e6)
+    # One row per type, written so Spark knows it: counts aren't dealt by type, a task for each, to meet them.
+    cut = keep(lib.join(min_samples, "cell_type").withColumn("cutoff", MIN_COUNT / F.col("median_lib") * 1e6), "cutoffs")
     j = sums.join(profiles.select("profile_id", "cell_type", "library_size"), "profile_id").join(cut, "cell_type")
     cpm = F.col("count") * 1e6 / F.col("library_size")
     return j.groupBy("cell_type", "gene_id", "min_samples").agg(
@@ -74,12 +76,14 @@ def tmm_factors(profiles: DataFrame, sums: DataFrame, trim_ratio: float = 0.3, t
         "profile_id", "cell_type", "library_size", F.lit(0).cast("bigint").alias("count"), (F.col("g") - F.col("k")).alias("n"))
     quart = seen.unionByName(zeros.where("n > 0")).groupBy("profile_id", "cell_type", "library_size").agg(
         F.percentile("count", F.lit(0.75), F.col("n")).alias("q")).withColumn("q", F.col("q") / F.col("library_size"))
+    # What several steps read is written once, and what is few is known to be: counts don't move to meet it.
+    quart = keep(quart, "quartiles")
     mean = quart.groupBy("cell_type").agg(F.avg("q").alias("m"))
     ref = quart.join(mean, "cell_type").groupBy("cell_type").agg(
         F.min(F.struct(F.round(F.abs(F.col("q") - F.col("m")), 12).alias("d"), "profile_id")).alias("r")).select(
         "cell_type", F.col("r.profile_id").alias("ref"))
-    ref_counts = s.join(ref, "cell_type").where("profile_id = ref").select(
-        "cell_type", "gene_id", F.col("count").alias("rc"), F.col("library_size").alias("rl"))
+    ref_counts = keep(s.join(keep(ref, "references"), "cell_type").where("profile_id = ref").select(
+        "cell_type", "gene_id", F.col("count").alias("rc"), F.col("library_size").alias("rl")), "reference-counts")
     j = s.join(ref_counts, ["cell_type", "gene_id"])
     a, b = F.col("count") / F.col("library_size"), F.col("rc") / F.col("rl")
     j = j.select(
@@ -102,7 +106,7 @@ def tmm_factors(profiles: DataFrame, sums: DataFrame, trim_ratio: float = 0.3, t
     f = j.groupBy("cell_type", "profile_id").agg(
         F.coalesce(F.try_divide(F.sum(F.when(used, F.col("m") / F.col("v"))), F.sum(F.when(used, 1 / F.col("v")))),
                    F.lit(0.0)).alias("lf"))
-    f = lib.join(f, ["profile_id", "cell_type"], "left").fillna(0.0, ["lf"])
+    f = keep(lib.join(f, ["profile_id", "cell_type"], "left").fillna(0.0, ["lf"]), "factors")
     centre = f.groupBy("cell_type").agg(F.avg("lf").alias("c"))
     return f.join(centre, "cell_type").select(
         "profile_id", "cell_type", "library_size", F.pow(F.lit(2.0), F.col("lf") - F.col("c")).alias("norm_factor"))
@@ -384,7 +388,7 @@ def folded_counts(d: DataFrame, sums: DataFrame, genes: DataFrame, x: Sequence[s
     """
     design = ["cell_type", *x[:-1], "age", "batch", "n_cells"]
     cells = F.when(F.col("n_cells") >= high_cells, high_cells).when(F.col("n_cells") < high_cells, high_cells - 1)
-    d = d.withColumn("n_cells", cells).withColumn("__e", F.col("library_size") * F.col("norm_factor"))
+    d = keep(d.select("profile_id", *design[:-1], cells.alias("n_cells"), (F.col("library_size") * F.col("norm_factor")).alias("__e")), "design")
     e, y, none = F.col("__e"), F.col("count"), F.lit(0.0)
     listed = genes.groupBy("cell_type").agg(F.collect_list("gene_id").alias("__genes"))
     exposed = d.groupBy(*design).agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("__e").alias("e"), F.sum(e * e).alias("ee"))

@@ -84,3 +84,18 @@ def test_profiles_fold_before_genes_unfold(spark):
     assert list(total(all_)) == pytest.approx([40 * v for v in total(one)], rel=1e-9)
     empty = ex.folded_counts(d.withColumn("n_cells", F.lit(None).cast("long")), sums.limit(0), genes, x, 3)
     assert empty.where("n_cells is not null or y > 0").count() == 0 and total(empty)[0] == total(one)[0]
+
+
+def test_profiles_and_counts_do_not_gather_by_type(spark, monkeypatch):
+    d, sums, genes, x, _ = inputs(spark)
+    written = []
+    plain = ex.keep
+    monkeypatch.setattr(ex, "keep", lambda df, label: written.append(label) or plain(df, label))
+    least = ex.design_sample_size(d, x)
+    ex.expressed_genes(d, sums, plain(least, "least")).collect()
+    ex.tmm_factors(d, sums).collect()
+    assert {"inverses", "cutoffs", "references", "reference-counts"} <= set(written)
+    least.collect()
+    plan = least._jdf.queryExecution().executedPlan().toString()
+    plan = plan[:plan.index("Initial Plan")] if "Initial Plan" in plan else plan
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
